@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, urls
+from . import chat, lines, media, mixing, secrets, urls
 from .common import table
 
 
@@ -23,13 +23,34 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), lab.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner: the source; repository: source and language."""
+    docs = table(spark, sf_dir, "documents").withColumn("_repo", F.concat_ws("/", "source", "lang"))
+    return secrets.digests(secrets.scan_secrets(docs, "source", "_repo"))
+
+
+def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.link_quotes(table(spark, sf_dir, "conversations"))
+    return out.withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "topic", "rate", "p", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op9_media)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_secret_scan, op8_chat_quotes, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.oracle(), "op3_url_filter": urls.oracle()}
+    return {
+        "op2_line_dedup": lines.oracle(),
+        "op3_url_filter": urls.oracle(),
+        "op4_secret_scan": secrets.oracle(),
+        "op8_chat_quotes": chat.oracle(),
+        "op10_mixing": mixing.oracle(),
+    }
