@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, media, mixing, secrets, urls
+from . import bpe, chat, lines, media, mixing, secrets, urls
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(docs, "source", "_repo"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.link_quotes(table(spark, sf_dir, "conversations"))
     return out.withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256")
@@ -43,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_secret_scan, op8_chat_quotes, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_secret_scan, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
