@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, media, mixing, secrets, urls
+from . import bpe, chat, langid, lines, media, mixing, secrets, urls, vectors
 from .common import table
 
 
@@ -29,6 +29,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan_secrets(docs, "source", "_repo"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_secret_scan, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_secret_scan, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -57,6 +65,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": lines.oracle(),
         "op3_url_filter": urls.oracle(),
         "op4_secret_scan": secrets.oracle(),
+        "op6_embedding_dedup": vectors.oracle(),
         "op8_chat_quotes": chat.oracle(),
         "op10_mixing": mixing.oracle(),
     }
