@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lines, media, mixing, secrets, urls, vectors
+from . import bpe, chat, langid, lines, media, mixing, ngram_join, secrets, urls, vectors
 from .common import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -57,11 +61,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_secret_scan, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_url_filter, op4_secret_scan, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard": ngram_join.oracle(),
         "op2_line_dedup": lines.oracle(),
         "op3_url_filter": urls.oracle(),
         "op4_secret_scan": secrets.oracle(),
