@@ -16,14 +16,18 @@ sum over a tree node's largest counts for all points of the node.
    links give components.
 4. Tree round: token groups that still hold several components are dealt into
    bounded blocks; in each pair of blocks R-trees over the points are joined,
-   skipping pairs of one component, and surviving pairs are verified.
+   skipping pairs of one component.  What survives meets the same bound once
+   more with finer counts (about four members to a group), then verification.
 5. Components over the verified links of both rounds.
 
 A pair that links is either joined by a path of links already found or is met in
 step 4, so the components are exact; large groups of near copies cost about one
-verification per document.  Verification streams: the pairs of one document are
-dealt over salts of at most ``PER_SALT`` pairs, and only sets of documents that
-a fixed-size Bloom filter lets through are made again and shuffled.
+verification per document.  Verification brings a set once to each of the tiles
+that need it: pairs go by the component of the candidate pairs, large components
+by pairs of bounded blocks and salts of about ``PER_SALT`` pairs.  Bloom filters
+(two bits a key, of at most ``MOST_BLOOM`` bits) keep tokens of a single class and
+sets of documents without a candidate from being shuffled; a full filter would
+only cost time.
 
 Cases: null or wordless texts have an empty set, link with nothing and are their
 own component; fewer words than a shingle make one short shingle; ids must be
@@ -42,14 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, components
-from .shingles import chunks, shingle_sets
+from .shingles import chunks, mix, shingle_sets
 
 NUM, DEN = 80, 100
 GROUPS = 64
-#: Cells of the frequency sketch and bits of the Bloom filter: fixed sizes, 4 MB each at most.
-CELLS, BLOOM, PARTS = 1 << 21, 1 << 25, 128
+#: Cells of the frequency sketch, and most bits of a Bloom filter (32 MB).
+CELLS, MOST_BLOOM, PARTS = 1 << 21, 1 << 28, 128
 TILE, LEAF, FAN = 1024, 32, 8
-PER_SALT = 256
+#: Bounds of a verification tile: set members and documents of a block, pairs of a salt.
+MASS, PER_BLOCK, PER_SALT = 1_000_000, 1024, 256
 
 
 def prefix_length(n: int) -> int:
@@ -61,13 +66,31 @@ def links(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DEN * inter >= NUM * (a + b - inter)
 
 
-def point(s: np.ndarray) -> bytes:
-    c = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)
-    return c.astype("<u2" if len(s) < 65536 else "<u4").tobytes()
+def point(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    """Counts in hash groups (a power of 2), as the item size and then the items."""
+    c = np.bincount((s & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
+    size = 1 if c.max() < 256 else 2 if c.max() < 65536 else 4
+    return bytes([size]) + c.astype(f"<u{size}").tobytes()
+
+
+def fine_groups(n: int) -> int:
+    """Groups of the finer counts of n members: the power of 2 from n / 4, within 64 and 2 ** 20."""
+    return min(1 << 20, max(GROUPS, 1 << max(0, (n - 1) // 4).bit_length()))
+
+
+def counts(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1)
+
+
+def fine_overlap(x: bytes, y: bytes) -> int:
+    """Sum of the smaller counts; the longer vector is folded onto the shorter one's groups."""
+    a, b = counts(x), counts(y)
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, k).sum(axis=0), b.reshape(-1, k).sum(axis=0)).sum())
 
 
 def points(col: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4").astype(np.int64) for x in col])
+    return np.stack([counts(x).astype(np.int64) for x in col])
 
 
 def _dense(a: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -78,24 +101,53 @@ def _dense(a: np.ndarray) -> Iterator[pa.RecordBatch]:
     )
 
 
-def reduced(rows: DataFrame, dtype: str, bits: bool) -> np.ndarray:
-    """Element-wise sum (or for bits, or) of all tasks' arrays; only the fixed-size result reaches the driver."""
+def summed(rows: DataFrame) -> np.ndarray:
+    """Element-wise sum of all tasks' sketches; only the fixed-size result reaches the driver."""
 
     def run(t: pa.Table) -> pa.Table:
-        total = None
+        total = np.zeros(CELLS // PARTS, "<u8")
         for x in t["bytes"]:
-            a = np.frombuffer(x.as_buffer(), dtype)
-            total = a.astype("u1" if bits else "<u8") if total is None else (total | a if bits else total + a)
+            total += np.frombuffer(x.as_buffer(), "<u2")
         return pa.table({"part": t["part"][:1], "bytes": pa.array([total.tobytes()], pa.binary())})
 
     got = {r["part"]: r["bytes"] for r in rows.groupBy("part").applyInArrow(run, "part int, bytes binary").collect()}
-    size = BLOOM // 8 if bits else CELLS
-    if not got:
-        return np.zeros(size, "u1" if bits else "<u8")
-    return np.concatenate([np.frombuffer(got[k], "u1" if bits else "<u8") for k in range(PARTS)])
+    return np.concatenate([np.frombuffer(got[k], "<u8") for k in range(PARTS)]) if got else np.zeros(CELLS, "<u8")
+
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(11))
+    m = np.uint64(bits - 1)
+    return [(h & m).astype(np.int64), (h >> np.uint64(32) & m).astype(np.int64)]
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """Packed Bloom filter of the one column of ``keys`` (long); its size follows the count up to MOST_BLOOM bits."""
+    bits = min(MOST_BLOOM, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    width = bits // PARTS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.unique(np.concatenate(_places(batch.column(0).to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array((p // width).astype(np.int32)), pa.array((p % width).astype(np.int32))], names=["part", "p"])
+
+    def build(t: pa.Table) -> pa.Table:
+        on = np.zeros(width, bool)
+        on[t["p"].to_numpy()] = True
+        return pa.table({"part": t["part"][:1], "bytes": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
+    placed = keys.mapInArrow(place, "part int, p int").groupBy("part").applyInArrow(build, "part int, bytes binary")
+    out = np.zeros((PARTS, width // 8), np.uint8)
+    for r in placed.collect():
+        out[r["part"]] = np.frombuffer(r["bytes"], np.uint8)
+    return out.ravel()
 
-FIRST = "doc_id long, n long, k1 long, k2 long, vec binary, part int, bytes binary"
+
+def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    p, q = _places(keys, 8 * len(bits))
+    return ((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & (bits[q >> 3] >> (7 - (q & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+FIRST = "doc_id long, n long, k1 long, k2 long, vec binary, fine binary, part int, bytes binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,35 +161,40 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()),
-                pa.array([point(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                pa.array([point(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([point(s, fine_groups(len(s))) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
             ],
             names=names,
         )
         sketch += np.bincount((np.concatenate(sets) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
     for b in _dense(np.minimum(sketch, 65535).astype("<u2")):
-        empty = [pa.nulls(PARTS, pa.int64())] * 4 + [pa.nulls(PARTS, pa.binary())]
+        empty = [pa.nulls(PARTS, pa.int64())] * 4 + [pa.nulls(PARTS, pa.binary())] * 2
         yield pa.RecordBatch.from_arrays([*empty, b.column(0), b.column(1)], names=names)
 
 
-def _prefixes(late: np.ndarray):
-    """Rows (token, k1) of every document's prefix; late: rank of a cell's frequency, 0 for most."""
+def _prefixes(late, only=None):
+    """Rows (token, k1) of every document's prefix.
+
+    late: broadcast rank of each cell's frequency, 0 for most; only: broadcast filter of the tokens to keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raws in chunks(batches):
-            tokens, keys, count = [], [], []
+            tokens, keys, count, late_of = [], [], [], late.value
             for s in shingle_sets(raws):
                 if not len(s):
                     continue
-                cls = late[(s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)]
+                cls = late_of[(s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)]
                 o = s[np.argsort(cls, kind="stable")] if cls.any() else s
                 o = o[: prefix_length(len(s))]
                 tokens.append(o)
                 count.append(len(o))
                 keys.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")[0])
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), count))], names=["token", "k1"]
-                )
+                token, key = np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, np.int64), count)
+                if only is not None:
+                    fits = maybe_in(only.value, token)
+                    token, key = token[fits], key[fits]
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key)], names=["token", "k1"])
 
     return run
 
@@ -235,67 +292,50 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
-    from .shingles import mix
-
-    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(11))
-    return [(h & np.uint64(BLOOM - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(BLOOM - 1)).astype(np.int64)]
-
-
-def _bloom_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BLOOM, bool)
-    for batch in batches:
-        for p in _bloom_places(batch.column(0).to_numpy()):
-            bits[p] = True
-    if bits.any():
-        yield from _dense(np.packbits(bits))
-
-
-def _sets_of(bloom):
+def _sets_of(wanted):
     """(id, set) of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            p, q = _bloom_places(batch.column(0).to_numpy())
-            maybe = (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1) & (bits[q >> 3] >> (7 - (q & 7)).astype(np.uint8) & 1)
-            for ids, raws in chunks([batch.filter(pa.array(maybe.astype(bool)))]):
+            batch = batch.filter(pa.array(maybe_in(wanted.value, batch.column(0).to_numpy())))
+            for ids, raws in chunks([batch]):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(raws)], pa.binary())], names=["id", "set"])
 
     return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (x, salt, y), hub sets first (y null): the pairs that link."""
-    key, hubs = None, []
+    """Rows (cluster, lo, hi, salt, x, y, set), sorted so that a tile's sets (y null) precede its pairs: the pairs that link."""
+    key: tuple | None = None
+    sets: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        xs, salts, ys = (batch.column(k).to_pylist() for k in range(3))
+        cols = [batch.column(k).to_pylist() for k in range(6)]
         got = []
-        for k, (x, salt, y) in enumerate(zip(xs, salts, ys, strict=True)):
-            s = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-            if (x, salt) != key:
-                key, hubs = (x, salt), []
+        for k, (*tile, x, y) in enumerate(zip(*cols, strict=True)):
+            if tile != key:
+                key, sets = tile, {}
             if y is None:
-                hubs.append(s)
-                continue
-            for h in hubs:
-                at = np.searchsorted(h, s)
-                inter = int((h[np.minimum(at, len(h) - 1)] == s).sum())
-                if links(np.int64(inter), np.int64(len(h)), np.int64(len(s))):
-                    got.append((x, y))
-                    break
+                sets.setdefault(x, []).append(np.frombuffer(batch.column(6)[k].as_py(), np.uint64))
+            elif any(_link(a, b) for a in sets.get(x, ()) for b in sets.get(y, ())):
+                got.append((x, y))
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
 
 
+def _link(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b):
+        return False
+    at = np.searchsorted(a, b)
+    return bool(links(int((a[np.minimum(at, len(a) - 1)] == b).sum()), len(a), len(b)))
+
+
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, nx, ny, fine counts of both): the pairs that the finer counts allow."""
     for batch in batches:
-        if batch.num_rows:
-            inter = np.minimum(points(batch.column(4).to_pylist()), points(batch.column(5).to_pylist())).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(
-                pa.array(links(inter, batch.column(2).to_numpy(), batch.column(3).to_numpy()))
-            )
+        nx, ny = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        fits = [bool(links(fine_overlap(a, b), p, q)) for a, b, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), nx, ny, strict=True)]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(fits, pa.bool_()))
 
 
 class JaccardJoin:
@@ -306,48 +346,55 @@ class JaccardJoin:
         self.ws = Workspace(self.spark)
         self.src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
-    def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
+    def verified(self, pairs: DataFrame, cls: DataFrame, tag: str) -> DataFrame:
         """Links (a, b) among stored pairs (x, y) of ids."""
-        need = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-        bits = self.spark.sparkContext.broadcast(reduced(need.mapInArrow(_bloom_pass, "part int, bytes binary"), "u1", True))
-        sets = self.src.mapInArrow(_sets_of(bits), "id long, set binary")
-        salts = pairs.groupBy("x").agg(F.ceil(F.count("*") / PER_SALT).cast("long").alias("q"))
-        others = pairs.join(salts, "x").select("x", F.pmod(F.xxhash64("y"), F.col("q")).alias("salt"), "y")
-        one = need.join(sets, "id")
-        one = self.ws.put(one, f"sets-{tag}")
-        others = others.join(one.withColumnRenamed("id", "y"), "y").select("x", "salt", "y", "set")
-        hubs = salts.join(one.withColumnRenamed("id", "x"), "x").select(
-            "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("salt"), F.lit(None).cast("long").alias("y"), "set"
+        ws = self.ws
+        cluster = ws.put(components(ws, pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), f"cc-{tag}"), f"clusters-{tag}")
+        node = cluster.join(cls.groupBy("id").agg(F.max("n").alias("n")), "id")
+        size = node.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / MASS, F.count("*") / PER_BLOCK)).cast("long").alias("q"))
+        node = node.join(size, "component").select("id", F.col("component").alias("cluster"), F.pmod(F.xxhash64("id"), F.col("q")).alias("sub"))
+        node = ws.put(node, f"nodes-{tag}")
+        tiled = pairs.join(node.select(F.col("id").alias("x"), "cluster", F.col("sub").alias("sx")), "x").join(
+            node.select(F.col("id").alias("y"), F.col("sub").alias("sy")), "y"
         )
-        rows = hubs.union(others).repartition("x", "salt").sortWithinPartitions("x", "salt", F.asc_nulls_first("y"))
-        out = self.ws.put(rows.mapInArrow(_verify, "a long, b long"), f"links-{tag}")
-        self.ws.drop(f"sets-{tag}")
-        return out
+        tiled = tiled.select("cluster", F.least("sx", "sy").alias("lo"), F.greatest("sx", "sy").alias("hi"), "x", "y")
+        salts = tiled.groupBy("cluster", "lo", "hi").agg(F.ceil(F.count("*") / PER_SALT).cast("long").alias("k"))
+        tiled = tiled.join(salts, ["cluster", "lo", "hi"]).select("cluster", "lo", "hi", F.pmod(F.xxhash64("x"), F.col("k")).alias("salt"), "x", "y")
+        tiled = ws.put(tiled, f"tiled-{tag}")
+        tile = ["cluster", "lo", "hi", "salt"]
+        need = tiled.select(*tile, F.explode(F.array("x", "y")).alias("id")).distinct()
+        wanted = self.spark.sparkContext.broadcast(bloom(node.select("id")))
+        sets = self.src.mapInArrow(_sets_of(wanted), "id long, set binary")
+        sent = need.join(sets, "id").select(*tile, F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "set")
+        rows = sent.union(tiled.select(*tile, "x", "y", F.lit(None).cast("binary").alias("set")))
+        rows = rows.repartition(*tile).sortWithinPartitions(*tile, F.asc_nulls_first("y"))
+        return ws.put(rows.mapInArrow(_verify, "a long, b long"), f"links-{tag}")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
         ws = self.ws
         first = ws.put(self.src.mapInArrow(_first_pass, FIRST), "first")
-        count = reduced(first.filter("part is not null").select("part", "bytes"), "<u2", False).astype(np.float64)
+        count = summed(first.filter("part is not null").select("part", "bytes")).astype(np.float64)
         usual = 4 * count.mean() + 64
         late = np.where(count > usual, 1 + np.log2(np.maximum(count, 1) / usual), 0).astype(np.uint8)
         late = self.spark.sparkContext.broadcast(late)
-        members = first.filter("part is null").select("doc_id", "n", "k1", "k2", "vec")
+        members = first.filter("part is null").select("doc_id", "n", "k1", "k2", "vec", "fine")
         # the point goes by its class's smallest id, so one of equal sets carries it
-        cls = members.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("vec").alias("vec"))
+        cls = members.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("vec").alias("vec"), F.min("fine").alias("fine"))
         cls = ws.put(cls, "classes")
 
-        def post() -> DataFrame:
-            return self.src.mapInArrow(lambda it: _prefixes(late.value)(it), "token long, k1 long")
+        def post(only=None) -> DataFrame:
+            return self.src.mapInArrow(_prefixes(late, only), "token long, k1 long")
 
         shared = post().groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("token")
         shared = ws.put(shared, "tokens")
-        multi = post().join(shared.hint("shuffle_hash"), "token").distinct()
+        only = self.spark.sparkContext.broadcast(bloom(shared))
+        multi = post(only).join(shared.hint("shuffle_hash"), "token").distinct()
         multi = ws.put(multi.join(cls.select("k1", "id", "n"), "k1").select("token", "id", "n"), "multi")
         hubs = multi.groupBy("token").agg(F.min(F.struct("n", "id")).alias("h"))
         star = multi.join(hubs, "token").filter(f"id <> h.id and {NUM} * n <= {DEN} * h.n").select(F.col("h.id").alias("x"), F.col("id").alias("y")).distinct()
         star = ws.put(self._bounded(star, cls), "star")
-        links1 = self.verified(star, "star")
+        links1 = self.verified(star, cls, "star")
         comp = components(ws, links1, "cc1")
         left = multi.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         several = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
@@ -358,7 +405,8 @@ class JaccardJoin:
         pairs = left.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_tiles, "x long, y long").distinct()
         tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         pairs = ws.put(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-        links2 = self.verified(pairs, "tree")
+        pairs = ws.put(self._bounded(pairs, cls), "bounded")
+        links2 = self.verified(pairs, cls, "tree")
         final = ws.put(components(ws, links1.union(links2), "cc2"), "components")
         whole = cls.select("k1", "k2", "n", "id").join(final, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
         return members.join(whole, ["k1", "k2", "n"], "left").select(
@@ -367,10 +415,9 @@ class JaccardJoin:
 
     @staticmethod
     def _bounded(pairs: DataFrame, cls: DataFrame) -> DataFrame:
-        """The pairs whose points allow a link."""
-        p = cls.select("id", "n", "vec")
-        x = p.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("vec").alias("vx"))
-        y = p.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("vec").alias("vy"))
+        """The pairs whose finer counts allow a link."""
+        x = cls.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("fine").alias("vx"))
+        y = cls.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fine").alias("vy"))
         rows = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "vx", "vy")
         return rows.mapInArrow(_bound, "x long, y long").distinct()
 
