@@ -1,13 +1,264 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that checks them.
 
+``SHARED`` holds statements both engines read; the functions below use the
+DataFrame operators of this package and are held against SQL in ``ORACLES``.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+from __future__ import annotations
 
+import re
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import mr, stats
+from ..operators import intervals
+from .registry import Engine
 
-def oracle_sql():
-    return {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+SHARED = {
+    "scan_project_filter": "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS q2 FROM {lineitem} WHERE l_quantity BETWEEN 10 AND 12 AND l_returnflag IN ('A', 'R') AND l_shipdate IS NOT NULL",
+    "cast_case": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band FROM {orders}",
+    "order_limit_offset": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5",
+    "topk": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50",
+    "join_inner_2way": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    "join_inner_3way": "SELECT r_name, n_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
+    "join_left": "SELECT c_custkey, count(o_orderkey) AS n_orders FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey GROUP BY c_custkey",
+    "join_right": "SELECT n_name, count(s_suppkey) AS n FROM {supplier} RIGHT JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_name",
+    "join_full": "SELECT coalesce(c_nationkey, s_nationkey) AS nation, nc, ns FROM (SELECT c_nationkey, count(*) AS nc FROM {customer} WHERE c_acctbal > 5000 GROUP BY c_nationkey) x FULL JOIN (SELECT s_nationkey, count(*) AS ns FROM {supplier} GROUP BY s_nationkey) y ON c_nationkey = s_nationkey",
+    "join_semi": "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "join_anti": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "in_subquery": "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49)",
+    "join_cross_small": "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}",
+    "join_theta": "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    "agg_hash": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM {lineitem} GROUP BY l_returnflag, l_linestatus",
+    "agg_moments": "SELECT l_returnflag, round(var_samp(l_quantity), 6) AS v, round(stddev_pop(l_quantity), 6) AS s, round(corr(l_quantity, l_extendedprice), 8) AS r, round(covar_samp(l_quantity, l_discount), 8) AS c, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM {lineitem} GROUP BY l_returnflag",
+    "agg_distinct": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n_supp, count(DISTINCT l_partkey) AS n_part FROM {lineitem} GROUP BY l_returnflag",
+    "agg_filter_having": "SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS n_r, count(*) AS n FROM {lineitem} GROUP BY l_suppkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 10",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
+    "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "rollup": "SELECT r_name, n_name, count(*) AS n FROM {nation} JOIN {region} ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+    "bool_bit_aggregates": "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS b_all, bool_or(o_totalprice > 400000) AS b_any, bit_xor(o_orderkey) AS x FROM {orders} GROUP BY o_orderstatus",
+    "first_last_by_order": "SELECT o_custkey, min_by(o_orderkey, o_orderdate) AS first_order, max_by(o_orderkey, o_orderdate) AS last_order FROM (SELECT o_custkey, o_orderkey, o_orderdate FROM {orders} QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate) = 1) GROUP BY o_custkey",
+    "window_rank": "SELECT o_orderkey, row_number() OVER w AS rn, CAST(rank() OVER w AS BIGINT) AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, ntile(4) OVER w AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)",
+    "window_lag_lead": "SELECT event_id, lag(value) OVER w AS prev, lead(value, 2, 0.0) OVER w AS next2, first_value(value) OVER w AS f, nth_value(value, 2) OVER w AS n2 FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "window_rows_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS s FROM {events}",
+    "window_range_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS n FROM {orders}",
+    "union_all": "SELECT c_name AS name, c_acctbal AS bal FROM {customer} UNION ALL SELECT s_name, s_acctbal FROM {supplier}",
+    "intersect_distinct": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
+    "except_distinct": "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0",
+    "cte_correlated": "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice FROM {orders}) SELECT o_orderkey FROM t x WHERE o_totalprice > (SELECT avg(o_totalprice) FROM t y WHERE y.o_custkey = x.o_custkey)",
+    "scalar_subquery_values": "SELECT n_name, v.label FROM {nation} JOIN (VALUES (0, 'zero'), (1, 'one'), (2, 'two')) AS v(k, label) ON n_regionkey = v.k WHERE n_nationkey < (SELECT max(n_nationkey) FROM {nation})",
+    "string_functions": "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_type, 1, 4) AS s, replace(p_brand, 'Brand', 'B') AS b, concat(p_brand, '-', p_type) AS c, trim(p_name) AS t, p_name LIKE '%a%' AS has_a FROM {part}",
+    "math_functions": "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, round(sqrt(l_quantity), 9) AS q, round(ln(l_extendedprice), 9) AS l, CAST(l_orderkey % 7 AS BIGINT) AS m FROM {lineitem}",
+    "conditional_functions": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'open') AS s, greatest(o_totalprice, 1000.0) AS g, least(o_totalprice, 1000.0) AS l FROM {orders}",
+    "latest_record_per_id": "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1",
+    "keyword_search_sorted": "SELECT p_partkey, p_name, p_retailprice FROM {part} WHERE lower(p_name) LIKE '%re%' ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 25",
+    "append_union_cast": "SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_totalprice AS DOUBLE) AS v FROM {orders} WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderkey % 2 <> 0",
+    "lambda_gc": "SELECT round(median(l_quantity * l_quantity / 100) / 0.4549, 9) AS lambda_gc, round(avg(l_quantity * l_quantity / 100), 9) AS mean_chisq FROM {lineitem}",
+    "munge_filter": "SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {documents} WHERE n_chars BETWEEN 200 AND 20000) WHERE rn = 1",
+    "struct_access": "SELECT s.k AS k, s.name AS name FROM (SELECT {{struct}} AS s FROM {nation})",
+    "quantiles_type7": "SELECT l_returnflag, {{q25}} AS q25, {{q50}} AS q50, {{q90}} AS q90 FROM {lineitem} GROUP BY l_returnflag",
+    "date_functions": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mon FROM {orders}",
+    "array_unnest": "SELECT vec_id, {{explode}} FROM {embeddings}",
+    "regex_functions": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, {{rlike}} AS is_html FROM {pages}",
+    "json_extract": "SELECT event_id, {{json}} AS v FROM {events}",
+}
+#: What differs between the dialects: (Spark, DuckDB).
+DIALECT = {
+    "struct": ("named_struct('k', n_nationkey, 'name', n_name)", "{'k': n_nationkey, 'name': n_name}"),
+    "q25": ("round(percentile(l_extendedprice, 0.25), 6)", "round(quantile_cont(l_extendedprice, 0.25), 6)"),
+    "q50": ("round(percentile(l_extendedprice, 0.5), 6)", "round(quantile_cont(l_extendedprice, 0.5), 6)"),
+    "q90": ("round(percentile(l_extendedprice, 0.9), 6)", "round(quantile_cont(l_extendedprice, 0.9), 6)"),
+    "explode": ("posexplode(embedding) AS (pos, x)", "unnest(range(0, len(embedding)))::INT AS pos, unnest(embedding) AS x"),
+    "rlike": ("url RLIKE '[.]html'", "regexp_matches(url, '[.]html')"),
+    "json": ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
+}
+
+
+def _said(sql: str, engine: int) -> str:
+    return re.sub(r"\{\{(\w+)\}\}", lambda m: DIALECT[m[1]][engine], sql)
+
+
+def _spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = SHARED[name]
+        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql))}
+        views = {t: f"quillon_{t}" for t in used}
+        for t, df in used.items():
+            df.createOrReplaceTempView(views[t])  # analysis is eager: the views are free again after sql()
+        if name == "first_last_by_order":
+            sql = sql.replace("QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate) = 1", "{qualify}")
+            inner = "(SELECT o_custkey, o_orderkey, o_orderdate FROM {orders} {qualify})"
+            sql = sql.replace(inner, "(SELECT * FROM (SELECT o_custkey, o_orderkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS c FROM {orders}) WHERE c = 1)")
+        return spark.sql(re.sub(r"(?<!\{)\{(\w+)\}(?!\})", lambda m: views[m[1]], _said(sql, 0)))
+
+    run.__name__ = name
+    return run
+
+
+def _duck_sql(name: str) -> str:
+    return _said(re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", SHARED[name]), 1)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources, a join and aggregate in SQL, run as a workflow graph."""
+    e = Engine(spark)
+    e.add("orders", "source", {"path": f"{sf_dir}/orders.parquet"})
+    e.add("lines", "source", {"path": f"{sf_dir}/lineitem.parquet"})
+    e.add("revenue", "sql", {"sql_query": "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM port_0 JOIN port_1 ON o_orderkey = l_orderkey GROUP BY o_orderpriority"})
+    e.add("out", "echo")
+    e.connect("orders", "revenue", 0, 0)
+    e.connect("lines", "revenue", 0, 1)
+    e.connect("revenue", "out")
+    report = e.run()
+    if bad := next((r for r in report.nodes.values() if r.error), None):
+        raise RuntimeError(f"{bad.id}: {bad.error['message']}")
+    return e.output("out")
+
+
+def describe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.round(stats.skewness_adjusted("l_extendedprice"), 6).alias("skew"), F.round(stats.kurtosis_adjusted("l_extendedprice"), 6).alias("kurt"),
+        F.round(stats.weighted_mean("l_extendedprice", "l_quantity"), 4).alias("wmean"),
+    )
+
+
+def rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return stats.average_ranks(p, "p_size").select("p_partkey", F.col("rank").alias("avg_rank"))
+
+
+def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted median by supplier, weights the quantities, from cumulative weight."""
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_extendedprice").alias("x")).agg(F.sum("l_quantity").alias("w"))
+    by = Window.partitionBy("l_suppkey")
+    li = li.withColumns({"c": F.sum("w").over(by.orderBy("x")), "all": F.sum("w").over(by)})
+    return li.filter("c >= all / 2").groupBy("l_suppkey").agg(F.min("x").alias("wmedian"))
+
+
+def ols_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.ols(_t(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return out.select("term", F.round("coefficient", 4).alias("coefficient"), F.round("r_squared", 8).alias("r_squared"), F.col("n_obs").cast("long").alias("n_obs"))
+
+
+def range_join_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' 30-price-unit intervals met by customers' balances, as closed overlaps within a nation."""
+    o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    start = F.floor(F.col("o_totalprice")).cast("long")
+    a = o.select("c_nationkey", "o_orderkey", start.alias("start"), (start + 30).alias("end"))
+    return intervals.overlap_join(a, a, ["c_nationkey"], 1000).filter("o_orderkey < o_orderkey_b").select("o_orderkey", "o_orderkey_b")
+
+
+def self_join_window_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return intervals.near_join(e, ["user_id"], "at", "event_id", 3600).select("event_id", "event_id_b")
+
+
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = _t(spark, sf_dir, "events").select("user_id", s.alias("start"), (s + 1800).alias("end"))
+    return intervals.merge_intervals(e, ["user_id"]).select("user_id", "start", "end", "n")
+
+
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with the value of the user's last other event."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
+    a = e.filter("event_id % 2 = 0").select("user_id", "event_id", "ts")
+    b = e.filter("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return intervals.as_of_join(a, b, ["user_id"], "ts", "value").select("event_id", "value")
+
+
+def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(
+        F.lit("e").alias("id_exposure"), F.col("l_returnflag").alias("id_outcome"), (F.col("l_quantity") / 50 - 0.4).alias("beta_exposure"),
+        (F.col("l_quantity") / 80 + F.col("l_discount") - 0.3).alias("beta_outcome"), (F.col("l_tax") + 0.05).alias("se_outcome"), F.lit(0.1).alias("se_exposure"),
+    )
+
+
+def mr_ivw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = mr.ivw(_effects(spark, sf_dir))
+    return e.select("id_outcome", "nsnp", F.round("b", 8).alias("b"), F.round("se", 8).alias("se"), F.round("q", 4).alias("q"))
+
+
+def mr_egger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = mr.egger(_effects(spark, sf_dir))
+    return e.select("id_outcome", "nsnp", F.round("b", 7).alias("b"), F.round("se", 7).alias("se"), F.round("intercept", 7).alias("intercept"))
+
+
+def harmonise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alleles and frequencies made from part keys by modulo."""
+    base = lambda n: F.substring(F.lit("ACGT"), (F.col("p_partkey") % n % 4 + 1).cast("int"), 1)
+
+    p = _t(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("snp"), base(7).alias("effect_allele_exposure"), F.substring(F.lit("CGTA"), (F.col("p_partkey") % 7 % 4 + 1).cast("int"), 1).alias("other_allele_exposure"),
+        base(5).alias("effect_allele_outcome"), F.substring(F.lit("CGTA"), (F.col("p_partkey") % 5 % 4 + 1).cast("int"), 1).alias("other_allele_outcome"),
+        (F.col("p_partkey") % 10 / 10.0).alias("eaf_exposure"), (F.col("p_partkey") % 9 / 10.0).alias("eaf_outcome"),
+        F.lit(0.1).alias("beta_exposure"), F.lit(0.2).alias("beta_outcome"), F.lit(0.05).alias("se_exposure"), F.lit(0.05).alias("se_outcome"),
+    )
+    return mr.harmonise(p).select("snp", "remove", "beta_outcome")
+
+
+def jackknife_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of 20 position blocks and the ratio without each."""
+    b = stats.position_blocks(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], 20)
+    s = b.groupBy("block").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("y"), F.sum("l_quantity").alias("x"))
+    whole = s.agg(F.sum("y").alias("ay"), F.sum("x").alias("ax"))
+    return s.crossJoin(F.broadcast(whole)).select("block", "n", F.round((F.col("ay") - F.col("y")) / (F.col("ax") - F.col("x")), 7).alias("left_out"))  # one row
+
+
+def liability_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.lit(stats.liability_factor(0.5, 0.01))
+    return _t(spark, sf_dir, "region").select("r_regionkey", F.round(F.col("r_regionkey") * f, 8).alias("h2_liab"))
+
+
+def partition_idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the partitions that a target (flags A and N) doesn't hold yet, by anti-join on the partition key."""
+    li = _t(spark, sf_dir, "lineitem")
+    held = li.filter("l_returnflag in ('A', 'N')").select("l_returnflag").distinct()
+    return li.join(held, "l_returnflag", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
+
+
+_EFF = "(SELECT l_returnflag AS id_outcome, l_quantity / 50 - 0.4 AS x0, l_quantity / 80 + l_discount - 0.3 AS y0, l_tax + 0.05 AS se FROM lineitem)"
+_ORD = "(SELECT c_nationkey, o_orderkey, floor(o_totalprice)::BIGINT AS s, floor(o_totalprice)::BIGINT + 30 AS e FROM orders JOIN customer ON o_custkey = c_custkey)"
+_EV = "(SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS sec FROM events)"
+ORACLES = {
+    "flagship": "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
+    "describe_stats": "SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS skew, round(kurtosis(l_extendedprice), 6) AS kurt, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS wmean FROM lineitem GROUP BY 1",
+    "rank_average": "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS avg_rank FROM part",
+    "weighted_quantile": "SELECT l_suppkey, min(x) AS wmedian FROM (SELECT l_suppkey, l_extendedprice AS x, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS a FROM lineitem) WHERE c >= a / 2 GROUP BY 1",
+    "ols_multi": "SELECT term, round(CASE term WHEN 'intercept' THEN i ELSE s END, 4) AS coefficient, round(r, 8) AS r_squared, n AS n_obs FROM (SELECT regr_intercept(l_extendedprice, l_quantity) AS i, regr_slope(l_extendedprice, l_quantity) AS s, regr_r2(l_extendedprice, l_quantity) AS r, count(*) AS n FROM lineitem), (VALUES ('intercept'), ('x1')) AS t(term)",
+    "range_join_binned": f"SELECT a.o_orderkey, b.o_orderkey AS o_orderkey_b FROM {_ORD} a JOIN {_ORD} b ON a.c_nationkey = b.c_nationkey AND a.s <= b.e AND b.s <= a.e AND a.o_orderkey < b.o_orderkey",
+    "self_join_window_distance": f"SELECT a.event_id, b.event_id AS event_id_b FROM {_EV} a JOIN {_EV} b ON a.user_id = b.user_id AND b.sec - a.sec BETWEEN 0 AND 3600 AND (b.sec > a.sec OR a.event_id < b.event_id)",
+    "interval_merge": f"SELECT user_id, min(s) AS start, max(e) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN s <= m + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, sec AS s, sec + 1800 AS e, max(sec + 1800) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {_EV})) GROUP BY user_id, g",
+    "as_of_join": "WITH b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT a.event_id, b.value FROM (SELECT * FROM events WHERE event_id % 2 = 0) a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts",
+    "mr_ivw": f"SELECT id_outcome, n AS nsnp, round(b, 8) AS b, round(sqrt(s2 / xx) / least(1, sqrt(s2)), 8) AS se, round(s2 * (n - 1), 4) AS q FROM (SELECT *, xy / xx AS b, (yy - xy * xy / xx) / (n - 1) AS s2 FROM (SELECT id_outcome, count(*) AS n, sum(x0 * x0 / (se * se)) AS xx, sum(x0 * y0 / (se * se)) AS xy, sum(y0 * y0 / (se * se)) AS yy FROM {_EFF} GROUP BY 1))",
+    "mr_egger": f"SELECT id_outcome, n AS nsnp, round(b, 7) AS b, round(sqrt(sw / det) * greatest(1, sqrt(s2)), 7) AS se, round(a, 7) AS intercept FROM (SELECT *, (syy - a * sy - b * sxy) / (n - 2) AS s2 FROM (SELECT *, sw * sxx - sx * sx AS det, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) AS a FROM (SELECT id_outcome, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM (SELECT id_outcome, 1 / (se * se) AS w, abs(x0) AS x, CASE WHEN x0 < 0 THEN -y0 ELSE y0 END AS y FROM {_EFF}) GROUP BY 1)))",
+    "harmonise_rows": "SELECT snp, NOT (same OR swap OR fsame OR fswap) AS remove, CASE WHEN pal AND NOT amb AND (eo < 0.5) <> (ex < 0.5) THEN -b ELSE b END AS beta_outcome FROM (SELECT *, CASE WHEN turn THEN -0.2 ELSE 0.2 END::DOUBLE AS b, CASE WHEN turn THEN 1 - eo0 ELSE eo0 END AS eo, pal AND ((ex > 0.42 AND ex < 0.58) OR (CASE WHEN turn THEN 1 - eo0 ELSE eo0 END > 0.42 AND CASE WHEN turn THEN 1 - eo0 ELSE eo0 END < 0.58)) AS amb FROM (SELECT *, CASE WHEN same THEN false WHEN swap THEN true WHEN fsame THEN false ELSE fswap END AS turn FROM (SELECT *, a1 = b1 AND a2 = b2 AS same, a1 = b2 AND a2 = b1 AS swap, a1 = translate(b1, 'ACGT', 'TGCA') AND a2 = translate(b2, 'ACGT', 'TGCA') AS fsame, a1 = translate(b2, 'ACGT', 'TGCA') AND a2 = translate(b1, 'ACGT', 'TGCA') AS fswap, translate(a1, 'ACGT', 'TGCA') = a2 AS pal FROM (SELECT p_partkey AS snp, substr('ACGT', (p_partkey % 7 % 4 + 1)::INT, 1) AS a1, substr('CGTA', (p_partkey % 7 % 4 + 1)::INT, 1) AS a2, substr('ACGT', (p_partkey % 5 % 4 + 1)::INT, 1) AS b1, substr('CGTA', (p_partkey % 5 % 4 + 1)::INT, 1) AS b2, (p_partkey % 10)::DOUBLE / 10 AS ex, (p_partkey % 9)::DOUBLE / 10 AS eo0 FROM part))))",
+    "jackknife_blocks": "SELECT block, n, round((ay - y) / (ax - x), 7) AS left_out FROM (SELECT *, sum(y) OVER () AS ay, sum(x) OVER () AS ax FROM (SELECT block, count(*) AS n, sum(l_extendedprice) AS y, sum(l_quantity) AS x FROM (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) * 20 - 1) // (count(*) OVER ()) AS block FROM lineitem) GROUP BY 1))",
+    "liability_scale": "SELECT r_regionkey, round(r_regionkey * 0.551907298063::DOUBLE, 8) AS h2_liab FROM region",
+    "partition_idempotent_load": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 1",
+}
+FUNCTIONS = [
+    flagship, describe_stats, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
+    mr_ivw, mr_egger, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _spark_query(name) for name in SHARED} | {f.__name__: f for f in FUNCTIONS}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: _duck_sql(name) for name in SHARED} | ORACLES
