@@ -11,9 +11,11 @@ sum over a tree node's largest counts for all points of the node.
    prefixes (the first n - ceil(t n) + 1 members in any one global order).  The
    order takes members of frequent sketch cells last; the sketch counts all
    documents, has a fixed size (``CELLS``), and affects the cost only.
-3. Star round: in every prefix-token group the smallest class is paired with the
-   others; surviving pairs (size, point bound) are verified on the sets, and the
-   links give components.
+3. Star rounds: in every prefix-token group a few classes (the smallest; in later
+   rounds ``STARS`` picked by hashes of their ids) are paired with the others of
+   other components; surviving pairs (size, point bound) are verified on the
+   sets, and the links give components.  Later rounds take only groups that
+   still hold several components.
 4. Tree round: token groups that still hold several components are dealt into
    bounded blocks; in each pair of blocks R-trees over the points are joined,
    skipping pairs of one component.  What survives meets the same bound once
@@ -55,6 +57,7 @@ CELLS, MOST_BLOOM, PARTS = 1 << 21, 1 << 28, 128
 TILE, LEAF, FAN = 1024, 32, 8
 #: Bounds of a verification tile: set members and documents of a block, pairs of a salt.
 MASS, PER_BLOCK, PER_SALT = 1_000_000, 1024, 256
+ROUNDS, STARS = 3, 4
 
 
 def prefix_length(n: int) -> int:
@@ -344,6 +347,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.spark = docs.sparkSession
         self.ws = Workspace(self.spark)
+        self.made = 0
         self.src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def verified(self, pairs: DataFrame, cls: DataFrame, tag: str) -> DataFrame:
@@ -391,28 +395,50 @@ class JaccardJoin:
         only = self.spark.sparkContext.broadcast(bloom(shared))
         multi = post(only).join(shared.hint("shuffle_hash"), "token").distinct()
         multi = ws.put(multi.join(cls.select("k1", "id", "n"), "k1").select("token", "id", "n"), "multi")
-        hubs = multi.groupBy("token").agg(F.min(F.struct("n", "id")).alias("h"))
-        star = multi.join(hubs, "token").filter(f"id <> h.id and {NUM} * n <= {DEN} * h.n").select(F.col("h.id").alias("x"), F.col("id").alias("y")).distinct()
-        star = ws.put(self._bounded(star, cls), "star")
-        links1 = self.verified(star, cls, "star")
-        comp = components(ws, links1, "cc1")
-        left = multi.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        several = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+        found, tried = [], []
+        left = multi.withColumn("comp", F.col("id"))
+        for k in range(ROUNDS):
+            seeds = [F.lit(0)] if k == 0 else [F.xxhash64("id", F.lit(STARS * k + j)) for j in range(STARS)]
+            order = [F.min(F.struct((F.col("n") if k == 0 else seed).alias("u"), "id", "n", "comp")) for seed in seeds]
+            hubs = left.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(o["id"].alias("id"), o["n"].alias("n"), o["comp"].alias("comp")) for o in order])).alias("hubs"))
+            star = left.join(hubs, "token").select("id", "n", "comp", F.explode("hubs").alias("h"))
+            star = star.filter(f"comp <> h.comp and {NUM} * n <= {DEN} * h.n and {NUM} * h.n <= {DEN} * n")
+            star = star.select(F.least("h.id", "id").alias("x"), F.greatest("h.id", "id").alias("y")).distinct()
+            star = ws.put(self._bounded(star, cls), f"star-{k}")
+            found.append(self.verified(star, cls, f"star-{k}"))
+            tried.append(star)
+            left, several = self._apart(multi, components(ws, self._all(found), f"cc-{k}"))
         left = left.join(several.select("token", F.ceil(F.col("m") / TILE).cast("long").alias("q")), "token")
         left = left.withColumn("side", F.pmod(F.xxhash64("id"), F.col("q")))
         left = left.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("o"))
         left = left.join(cls.select("id", "n", "vec"), ["id", "n"]).select("token", F.least("side", "o").alias("a"), F.greatest("side", "o").alias("b"), "side", "id", "n", "comp", "vec")
         pairs = left.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_tiles, "x long, y long").distinct()
-        tried = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = ws.put(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-        pairs = ws.put(self._bounded(pairs, cls), "bounded")
-        links2 = self.verified(pairs, cls, "tree")
-        final = ws.put(components(ws, links1.union(links2), "cc2"), "components")
+        pairs = ws.put(self._bounded(ws.put(pairs, "pairs"), cls), "bounded")
+        pairs = ws.put(pairs.join(self._all(tried), ["x", "y"], "left_anti"), "untried")
+        found.append(self.verified(pairs, cls, "tree"))
+        final = ws.put(components(ws, self._all(found), "cc"), "components")
         whole = cls.select("k1", "k2", "n", "id").join(final, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
         return members.join(whole, ["k1", "k2", "n"], "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
         )
 
+    @staticmethod
+    def _all(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for df in parts[1:]:
+            out = out.union(df)
+        return out
+
+    def _apart(self, multi: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the token groups that hold several components, and those groups with their sizes."""
+        rows = multi.join(comp, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
+        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+        several = several.select("token", "m")
+        self.made += 1
+        left = self.ws.put(rows.join(several, "token"), f"left-{self.made}")
+        self.ws.drop(f"left-{self.made - 1}")
+        return left.drop("m"), left.select("token", "m").distinct()
+
     @staticmethod
     def _bounded(pairs: DataFrame, cls: DataFrame) -> DataFrame:
         """The pairs whose finer counts allow a link."""
