@@ -19,7 +19,7 @@ sum over a tree node's largest counts for all points of the node.
 4. Tree round: token groups that still hold several components are dealt into
    bounded blocks; in each pair of blocks R-trees over the points are joined,
    skipping pairs of one component.  What survives meets the same bound once
-   more with finer counts (about four members to a group), then verification.
+   more with finer counts (two groups to a member or more), then verification.
 5. Components over the verified links of both rounds.
 
 A pair that links is either joined by a path of links already found or is met in
@@ -40,6 +40,7 @@ with other texts count as one document; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,7 @@ CELLS, MOST_BLOOM, PARTS = 1 << 21, 1 << 28, 128
 TILE, LEAF, FAN = 1024, 32, 8
 #: Bounds of a verification tile: set members and documents of a block, pairs of a salt.
 MASS, PER_BLOCK, PER_SALT = 1_000_000, 1024, 256
-ROUNDS, STARS = 3, 4
+ROUNDS, STARS = 2, 6
 
 
 def prefix_length(n: int) -> int:
@@ -77,8 +78,12 @@ def point(s: np.ndarray, groups: int = GROUPS) -> bytes:
 
 
 def fine_groups(n: int) -> int:
-    """Groups of the finer counts of n members: the power of 2 from n / 4, within 64 and 2 ** 20."""
-    return min(1 << 20, max(GROUPS, 1 << max(0, (n - 1) // 4).bit_length()))
+    """Groups of the finer counts of n members: the power of 2 from 2 n, within 256 and 2 ** 20."""
+    return min(1 << 20, max(256, 1 << (2 * n - 1).bit_length()))
+
+
+def fine_point(s: np.ndarray) -> bytes:
+    return zlib.compress(point(s, fine_groups(len(s))), 1)
 
 
 def counts(x: bytes) -> np.ndarray:
@@ -87,7 +92,7 @@ def counts(x: bytes) -> np.ndarray:
 
 def fine_overlap(x: bytes, y: bytes) -> int:
     """Sum of the smaller counts; the longer vector is folded onto the shorter one's groups."""
-    a, b = counts(x), counts(y)
+    a, b = counts(zlib.decompress(x)), counts(zlib.decompress(y))
     k = min(len(a), len(b))
     return int(np.minimum(a.reshape(-1, k).sum(axis=0), b.reshape(-1, k).sum(axis=0)).sum())
 
@@ -165,7 +170,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()),
                 pa.array([point(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([point(s, fine_groups(len(s))) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                pa.array([fine_point(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
             ],
             names=names,
         )
