@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import Workspace, arrow_rows, components
 from .shingles import chunks, mix, shingle_sets
 
 NUM, DEN = 80, 100
@@ -59,6 +59,8 @@ TILE, LEAF, FAN = 1024, 32, 8
 #: Bounds of a verification tile: set members and documents of a block, pairs of a salt.
 MASS, PER_BLOCK, PER_SALT = 1_000_000, 1024, 256
 ROUNDS, STARS = 2, 6
+#: Rows of an Arrow batch.
+ROWS = 1000
 
 
 def prefix_length(n: int) -> int:
@@ -467,7 +469,8 @@ class JaccardJoin:
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    return JaccardJoin(docs, id_col, text_col).run()
+    with arrow_rows(docs.sparkSession, ROWS):
+        return JaccardJoin(docs, id_col, text_col).run()
 
 
 def oracle() -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 M = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 _BREAK = np.zeros(256, bool)
@@ -96,3 +96,4 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
                 ids, raws, size = [], [], 0
         if ids:
             yield ids, raws
+    pa.default_memory_pool().release_unused()
