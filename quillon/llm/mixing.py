@@ -11,7 +11,7 @@ the id, so it repeats exactly and needs no state.
 Targets: a mapping value -> share, or an exponent e (share proportional to
 natural share ** e).  Values outside a mapping get share 0 and are not kept.
 
-Only cell totals are shuffled (map-side sums first); each round is stored in the
+Only cell totals are shuffled (map-side sums first); each step is stored in the
 shared folder.  The cells are broadcast to the documents only after a count of
 at most ``SMALL`` rows, else joined.
 
@@ -67,25 +67,26 @@ def raked_cells(ws: Workspace, rows: DataFrame, targets: dict[str, dict | float]
             share = F.pow("t", F.lit(float(t)))
         nat = nat.select(d, share.alias("x"))
         whole = nat.agg(F.sum("x").alias("all"))
-        shares[d] = nat.crossJoin(F.broadcast(whole)).select(d, (F.col("x") / F.col("all")).alias("share"))  # one row
+        shares[d] = ws.put(nat.crossJoin(F.broadcast(whole)).select(d, (F.col("x") / F.col("all")).alias("share")), f"shares-{d}")  # one row
     for k in range(rounds):
         for d in DIMS:
             now = cells.groupBy(d).agg(F.sum("w").alias("now")).join(shares[d], d).select(
                 d, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("f")
             )
-            cells = cells.join(now, d).select(*DIMS, "tok", (F.col("w") * F.col("f")).alias("w"))
-        cells = ws.put(cells, f"cells-{k}")
+            # every step reads its cells twice: stored, the plans stay small and alike from round to round
+            cells = ws.put(cells.join(now, d).select(*DIMS, "tok", (F.col("w") * F.col("f")).alias("w")), f"cells-{k}-{d}")
     return cells
 
 
-def cell_probabilities(cells: DataFrame, budget: float) -> DataFrame:
+def cell_probabilities(ws: Workspace, cells: DataFrame, budget: float) -> DataFrame:
     """Cells with rate, and p = min(1, c * rate)."""
     whole = cells.agg(F.sum("tok").cast("double").alias("all"))
     out = cells.crossJoin(F.broadcast(whole)).select(*DIMS, "tok", "all", (F.col("w") * F.col("all") / F.col("tok")).alias("rate"), F.lit(float(budget)).alias("c"))
-    for _ in range(CAPS):
+    for k in range(CAPS):
+        out = ws.put(out, f"caps-{k}")
         full = F.col("c") * F.col("rate") >= 1
         s = out.agg(F.sum(F.when(full, F.col("tok"))).cast("double").alias("at1"), F.sum(F.when(~full, F.col("tok") * F.col("rate"))).alias("rest"))
-        out = out.drop("_c").crossJoin(F.broadcast(s)).select(  # one row
+        out = out.crossJoin(F.broadcast(s)).select(  # one row
             *DIMS, "tok", "all", "rate",
             F.when(F.col("rest") > 0, F.greatest("c", (F.lit(float(budget)) * F.col("all") - F.coalesce("at1", F.lit(0.0))) / F.col("rest"))).otherwise(F.col("c")).alias("c"),
         )
@@ -105,7 +106,7 @@ def mix(
     ws = Workspace(docs.sparkSession)
     dims = {"_source": F.coalesce(docs["source"], F.lit(NONE)), "_lang": F.coalesce(docs["lang"], F.lit(NONE)), "_topic": topic_of(docs[text_col])}
     rows = docs.select(*[c.alias(n[1:]) for n, c in dims.items()], n_tokens(docs[text_col]).alias("tokens"))
-    cells = ws.put(cell_probabilities(raked_cells(ws, rows, targets, rounds), budget), "rates")
+    cells = ws.put(cell_probabilities(ws, raked_cells(ws, rows, targets, rounds), budget), "rates")
     small = cells.count() <= SMALL
     cells = cells.select(*[F.col(d).alias("_" + d) for d in DIMS], F.col("rate").alias("_rate"), F.col("p").alias("_p"))
     out = docs.withColumns(dims).join(F.broadcast(cells) if small else cells, list(dims), "left")
