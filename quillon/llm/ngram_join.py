@@ -269,16 +269,16 @@ def tree_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.nda
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile (token, a, b): the pairs of every tile by tree_pairs; tiles may span batches.
 
-    A pair is named in the tile of the first token that its two documents share (tokens: a
-    document's tokens in order, rank: the 1-based place of the tile's), and in no other."""
+    A pair is named in the tile of the first token that its two documents share (before: a
+    document's tokens that precede the tile's), and in no other."""
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
         ids, size, comp, side = (t[x].to_numpy() for x in ("id", "n", "comp", "side"))
         key = np.stack([t[x].to_numpy() for x in ("token", "a", "b")])
         vec = points(t["vec"].to_pylist())
-        lists = t["tokens"].combine_chunks()
-        rank, token, length = t["rank"].to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        lists = t["before"].combine_chunks()
+        token, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
         offset = np.cumsum(length) - length
         cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
         one, two = [], []
@@ -286,7 +286,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             across = key[1, lo] != key[2, lo]
             i, j = tree_pairs(vec[lo:hi], size[lo:hi], comp[lo:hi], side[lo:hi] if across else None)
             if len(i):
-                before = {k: set(token[offset[lo + k] : offset[lo + k] + rank[lo + k] - 1].tolist()) for k in {*i.tolist(), *j.tolist()}}
+                before = {k: set(token[offset[lo + k] : offset[lo + k] + length[lo + k]].tolist()) for k in {*i.tolist(), *j.tolist()}}
                 own = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
                 i, j = i[own], j[own]
             one.append(ids[lo:hi][i])
@@ -429,8 +429,9 @@ class JaccardJoin:
         left = left.withColumn("side", F.pmod(F.xxhash64("id"), F.col("q")))
         left = left.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("o"))
         tokens = multi.join(several.select("token"), "token").groupBy("id", "n").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-        left = left.join(cls.select("id", "n", "vec"), ["id", "n"]).join(tokens, ["id", "n"]).withColumn("rank", F.array_position("tokens", F.col("token")))
-        left = left.select("token", F.least("side", "o").alias("a"), F.greatest("side", "o").alias("b"), "side", "id", "n", "comp", "vec", "tokens", "rank")
+        left = left.join(cls.select("id", "n", "vec"), ["id", "n"]).join(tokens, ["id", "n"])
+        left = left.withColumn("before", F.slice("tokens", F.lit(1), (F.array_position("tokens", F.col("token")) - 1).cast("int")))
+        left = left.select("token", F.least("side", "o").alias("a"), F.greatest("side", "o").alias("b"), "side", "id", "n", "comp", "vec", "before")
         pairs = left.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_tiles, "x long, y long").distinct()
         pairs = ws.put(self._bounded(ws.put(pairs, "pairs"), cls), "bounded")
         pairs = ws.put(pairs.join(self._all(tried), ["x", "y"], "left_anti"), "untried")
