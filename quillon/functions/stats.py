@@ -77,8 +77,8 @@ def liability_factor(sample: float, population: float) -> float:
     return population**2 * (1 - population) ** 2 / (sample * (1 - sample) * z * z)
 
 
-def position_blocks(df: DataFrame, order: list[str], blocks: int) -> DataFrame:
-    """``block`` of every row in a global order: 0-based row i of n goes to ((i + 1) * blocks - 1) div n.
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """_i (1-based within a partition), _offset and _total of every row in a global order.
 
     Rows are range-partitioned; only one count per partition is windowed over."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
@@ -86,8 +86,17 @@ def position_blocks(df: DataFrame, order: list[str], blocks: int) -> DataFrame:
     w = Window.orderBy("_part")
     offsets = sizes.select("_part", (F.sum("_size").over(w) - F.col("_size")).alias("_offset"), F.sum("_size").over(Window.partitionBy()).alias("_total"))
     here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    rows = ranged.withColumn("_i", here).join(offsets, "_part")
-    return rows.withColumn("block", F.expr(f"((_i + _offset) * {blocks} - 1) div _total")).drop("_part", "_size", "_offset", "_total", "_i")
+    return ranged.withColumn("_i", here).join(offsets, "_part").drop("_part")
+
+
+def position_blocks(df: DataFrame, order: list[str], blocks: int) -> DataFrame:
+    """``block`` of every row in a global order: 0-based row i of n goes to ((i + 1) * blocks - 1) div n."""
+    return _placed(df, order).withColumn("block", F.expr(f"((_i + _offset) * {blocks} - 1) div _total")).drop("_offset", "_total", "_i")
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``index``: 0-based place of every row in a global order."""
+    return _placed(df, order).withColumn("index", (F.col("_i") + F.col("_offset") - 1).cast("long")).drop("_offset", "_total", "_i")
 
 
 def ratio_jackknife(block_sums: list[tuple[float, float]]) -> tuple[float, float]:

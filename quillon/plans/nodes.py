@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import mr, stats
+from ..functions import ldsc, mr, mr_robust, stats
 from ..sources import formats, sinks
 from .dag import Node, Ports
 from .registry import Registry
@@ -113,7 +113,40 @@ class MendelianRandomisation(Node):
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
         kept = mr.harmonise(inputs[0], self.action, self.tolerance).filter("mr_keep")
-        return {0: mr.estimates(kept, self.methods)}
+        return {0: mr_robust.estimates(kept, self.methods)}
+
+
+class LdScore(Node):
+    """Heritability of summary statistics (rsid, z, n) on port 0 by a panel (rsid, contig, position, ld_score, af) on port 1."""
+
+    kind = "ldsc"
+
+    def __init__(self, spark: SparkSession, intercept: float | None = None, n_blocks: int = ldsc.BLOCKS):
+        self.intercept, self.blocks = intercept, n_blocks
+
+    def ports(self) -> Ports:
+        return Ports(inputs={0: None, 1: None})
+
+    def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
+        panel = inputs[1]
+        rows = ldsc.on_panel([inputs[0]], panel).cache()
+        return {0: ldsc.h2_frame(rows, ldsc.common(panel), blocks=self.blocks, intercept=self.intercept)}
+
+
+class GeneticCorrelation(Node):
+    """Two summary statistics on ports 0 and 1, the panel on port 2; M counts all its rows."""
+
+    kind = "ldsc_rg"
+
+    def __init__(self, spark: SparkSession, intercepts: list[float] | None = None, n_blocks: int = ldsc.BLOCKS):
+        self.intercepts, self.blocks = tuple(intercepts or (None, None, None)), n_blocks
+
+    def ports(self) -> Ports:
+        return Ports(inputs={0: None, 1: None, 2: None})
+
+    def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
+        rows = ldsc.on_panel([inputs[0], inputs[1]], inputs[2]).cache()
+        return {0: ldsc.rg_frame(rows, inputs[2].count(), blocks=self.blocks, intercepts=self.intercepts)}
 
 
 class Liability(Node):
@@ -143,6 +176,8 @@ def default_registry() -> Registry:
     r.register("sink_table", SinkTable, {"properties": {"ident": text, "mode": text}, "required": ["ident"]})
     r.register("linear_regression", LinearRegression, {"properties": {"x_columns": texts, "y_column": text, "intercept": flag}, "required": ["x_columns", "y_column"]})
     r.register("mr", MendelianRandomisation, {"properties": {"method_list": texts, "action": {"type": "integer"}, "tolerance": number}})
+    r.register("ldsc", LdScore, {"properties": {"intercept": number, "n_blocks": {"type": "integer"}}})
+    r.register("ldsc_rg", GeneticCorrelation, {"properties": {"intercepts": {"type": "array", "items": number}, "n_blocks": {"type": "integer"}}})
     r.register("liability", Liability, {"properties": {"sample_prevalence": number, "population_prevalence": number}, "required": ["sample_prevalence", "population_prevalence"]})
     return r
 
