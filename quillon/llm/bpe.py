@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 WIDTH = 64
 CHUNK_BYTES = 1_000_000
 MOST_CACHED = 300_000
@@ -356,6 +358,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
                 ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
+    give_back()
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 HIDDEN = 8
 SEGMENT, BATCH = 128, 1024
 PER_LANG, MOST_LANGS, WINDOW = 240, 64, 160
@@ -257,6 +259,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 if size >= CHUNK_BYTES or i == len(texts) - 1:
                     yield judged(reader, batch.slice(start, i + 1 - start))
                     start, size = i + 1, 0
+        give_back()
 
     def judged(reader: Reader | None, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()

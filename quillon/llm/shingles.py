@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back
+
 WORDS = 5
 CHUNK_BYTES = 500_000
 M = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -96,4 +98,4 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
                 ids, raws, size = [], [], 0
         if ids:
             yield ids, raws
-    pa.default_memory_pool().release_unused()
+    give_back()
