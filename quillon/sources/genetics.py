@@ -159,8 +159,8 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 def read_genotypes(spark: SparkSession, prefix: str, maf: float = 0.0) -> DataFrame:
     """One row per SNP: the columns of .bim, n (genotypes seen), freq (of the first allele) and genotypes (counts, -1 missing).
 
-    SNPs of one genotype only and those with a minor frequency up to ``maf`` are left out.  The file is read
-    as fixed-length records, so it splits over tasks; it must not be compressed."""
+    SNPs of one genotype only and those with a minor frequency up to ``maf`` are left out.  A file
+    is read whole by one task (a chromosome a file keeps that bounded) and must not be compressed."""
     people = read_fam(spark, f"{prefix}.fam").count()
     width = -(-people // 4)
     bim = numbered(
