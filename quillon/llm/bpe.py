@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import give_back
 
 WIDTH = 64
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 MOST_CACHED = 300_000
 LONG_PIECE = 24
 

@@ -47,6 +47,11 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def few_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """As ``arrow_rows``, for the rest of the session: for frames that the caller runs after the operator's return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Workspace:
     """Intermediate tables in the folder that all executors share.
 
