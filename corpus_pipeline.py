@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, langid, lines, mixing, ngram_join
-from quillon.llm.common import Workspace, table
+from quillon.llm.common import Workspace, few_rows, table
 
 #: Documents whose best language is less probable than this are rejected, as are those without letters.
 LEAST_SCORE = 0.35
@@ -24,6 +24,7 @@ BUDGET = 0.9
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: rejects documents without a letter or without a likely language."""
+    few_rows(spark)
     keep = tuple(c for c in docs.columns)
     renamed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)])
     at = {c: f"c{i}" for i, c in enumerate(keep)}
@@ -60,6 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: token counts and digests of ids and decoded bytes."""
     import public_tokenizers
 
+    few_rows(spark)
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
