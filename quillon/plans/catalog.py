@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import mr, stats
+from ..functions import ldsc, mr, odds, partitioned, stats
 from ..operators import intervals
 from .registry import Engine
 
@@ -226,6 +226,36 @@ def partition_idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(held, "l_returnflag", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
+def _snp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as SNPs: chi-square from the quantity, LD scores from discount and tax."""
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_quantity") / 10).alias("z"), (F.col("l_quantity") * F.col("l_quantity") / 100).alias("y"),
+        (1000.0 + 10 * F.col("l_linenumber")).alias("n"), (F.col("l_discount") * 100 + 1).alias("a"), (F.col("l_tax") * 100 + 1).alias("b"), (F.col("l_linenumber") + 1.0).alias("wld"),
+    )
+
+
+_SNP_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+
+
+def h2_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heritability of two annotations, the intercept fixed at 1."""
+    out = partitioned.partitioned_frame(_snp_rows(spark, sf_dir), ["a", "b"], [1000.0, 200.0], _SNP_ORDER, intercept=1.0)
+    return out.select("annotation", F.round("cat", 8).alias("cat"), F.round("enrichment", 8).alias("enrichment"))
+
+
+def h2_fixed_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heritability of one LD score, the intercept fixed at 1, after two reweighting passes."""
+    rows = ldsc.place(_snp_rows(spark, sf_dir).withColumn("ld", F.col("a")), _SNP_ORDER)
+    return ldsc.h2_frame(rows, 1000.0, intercept=1.0).select(F.round("h2", 8).alias("h2"), F.round("mean_chisq", 8).alias("mean_chisq"), "n_snps")
+
+
+def odds_population_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    af, prop, ratio = F.col("p_size") / 60.0, F.col("p_partkey") % 7 / 10.0 + 0.1, F.col("p_partkey") % 5 / 2.0 + 0.25
+    pop = odds.population_frequency(af, prop, ratio, F.lit(0.01))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(pop, 8).alias("population_af"))
+
+
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
 
@@ -250,7 +280,22 @@ ORACLES = {
     "liability_scale": "SELECT r_regionkey, round(r_regionkey * 0.551907298063::DOUBLE, 8) AS h2_liab FROM region",
     "partition_idempotent_load": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 1",
 }
+_SNPS = "(SELECT l_quantity * l_quantity / 100 AS y, 1000.0::DOUBLE + 10 * l_linenumber AS n, l_discount * 100 + 1 AS a, l_tax * 100 + 1 AS b, l_linenumber + 1.0::DOUBLE AS wld FROM lineitem)"
+
+
+def _pass(k: int) -> str:
+    """One reweighted regression through the fixed intercept, from the estimate of the pass before."""
+    w = "1 / (2 * pow(1 + least(1, greatest(0, h)) / 1000 * n * greatest(a, 1), 2)) / greatest(wld, 1)"
+    return f"e{k} AS (SELECT 1000 * (sum({w} * n * a / nbar * (y - 1)) / sum({w} * (n * a / nbar) * (n * a / nbar))) / any_value(nbar) AS h FROM d, e{k - 1})"
+
+
+ORACLES |= {
+    "h2_partitioned": f"WITH d AS (SELECT *, a + b AS t, avg(n) OVER () AS nbar FROM {_SNPS}), s AS (SELECT 1200 * (avg(y) - 1) / avg(t * n) AS h FROM d), w AS (SELECT y - 1 AS y, n * a / nbar AS x, n * b / nbar AS z, nbar, 1 / (2 * pow(1 + least(1, greatest(0, h)) / 1200 * n * greatest(t, 1), 2)) / greatest(wld, 1) AS w FROM d, s), g AS (SELECT sum(w * x * x) AS xx, sum(w * x * z) AS xz, sum(w * z * z) AS zz, sum(w * x * y) AS xy, sum(w * z * y) AS zy, any_value(nbar) AS nbar FROM w), c AS (SELECT 1000 * (zz * xy - xz * zy) / (xx * zz - xz * xz) / nbar AS ca, 200 * (xx * zy - xz * xy) / (xx * zz - xz * xz) / nbar AS cb FROM g) SELECT annotation, round(CASE annotation WHEN 'a' THEN ca ELSE cb END, 8) AS cat, round(CASE annotation WHEN 'a' THEN ca / 1000 ELSE cb / 200 END / ((ca + cb) / 1200), 8) AS enrichment FROM c, (VALUES ('a'), ('b')) AS v(annotation)",
+    "h2_fixed_intercept": f"WITH d AS (SELECT *, avg(n) OVER () AS nbar FROM {_SNPS}), e0 AS (SELECT 1000 * (avg(y) - 1) / avg(a * n) AS h FROM d), {_pass(1)}, {_pass(2)}, {_pass(3)} SELECT round(h, 8) AS h2, round((SELECT avg(y) FROM d), 8) AS mean_chisq, (SELECT count(*) FROM d) AS n_snps FROM e3",
+    "odds_population_frequency": "SELECT p_partkey, round((af - z) / (1 - p) * 0.99 + z / p * 0.01, 8) AS population_af FROM (SELECT *, CASE WHEN o = 1 THEN af * p ELSE (1 + (af + p) * (o - 1) - sqrt(pow(1 + (af + p) * (o - 1), 2) - 4 * o * (o - 1) * af * p)) / (2 * (o - 1)) END AS z FROM (SELECT p_partkey, p_size / 60.0::DOUBLE AS af, p_partkey % 7 / 10.0::DOUBLE + 0.1::DOUBLE AS p, p_partkey % 5 / 2.0::DOUBLE + 0.25::DOUBLE AS o FROM part))",
+}
 FUNCTIONS = [
+    h2_partitioned, h2_fixed_intercept, odds_population_frequency,
     flagship, describe_stats, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
     mr_ivw, mr_egger, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,
 ]
