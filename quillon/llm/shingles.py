@@ -60,9 +60,10 @@ def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
     """Per text the sorted distinct shingle hashes; fewer words than WORDS: the whole sequence as one."""
     h, n = word_hashes(raws)
     weights = [np.uint64(pow(int(M), 2 * j + 3, 2**64)) for j in range(WORDS)]
-    g = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
+    most = max(0, len(h) - WORDS + 1)
+    g = np.zeros(most, np.uint64)
     for j, w in enumerate(weights):
-        g += h[j : len(h) - WORDS + 1 + j] * w
+        g += h[j : j + most] * w
     g = mix(g)
     out, at = [], 0
     for k in n.tolist():

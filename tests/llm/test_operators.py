@@ -109,6 +109,18 @@ def test_shingles_of_many_texts():
     assert [len(x) for x in shingles.shingle_sets([(t or "").encode() for t in TEXTS])] == [len(x) for x in sets(TEXTS)]
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_shingles_of_few_words_in_a_chunk(n):
+    words = [f"w{i}" for i in range(n)]
+    alone = " ".join(words)
+    whole = shingles.shingle_sets([alone.encode(), LONG.encode()])[0]
+    for texts in ([alone], ["", alone], [alone, "  "]):
+        got = shingles.shingle_sets([t.encode() for t in texts])
+        assert [len(x) for x in got] == [len(x) for x in sets(texts)] and np.array_equal(got[texts.index(alone)], whole)
+    split = shingles.shingle_sets([w.encode() for w in words])  # as many words, one to a text
+    assert [len(x) for x in split] == [1] * n
+
+
 def lines_by_hand(texts, least):
     keys = [[re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")] for t in texts]
     seen = {}
