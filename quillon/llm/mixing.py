@@ -2,11 +2,14 @@
 
 Tokens (words between blanks) are summed in cells of source, language and topic.
 The cells' weights are raked: for each dimension in turn they are multiplied by
-target share / present share, for a fixed number of rounds.  A cell's rate is its
-raked share over its natural share; documents are kept with probability
-``min(1, c * rate)``, where c is recomputed so that the expected tokens come to
-``budget`` of all tokens as far as the cap at 1 allows.  The draw is a hash of
-the id, so it repeats exactly and needs no state.
+target share / present share, for ``rounds`` rounds at least and until every
+value's share is within ``TOLERANCE`` of its target (relative).  Targets that no
+weights of the present cells can meet are reported by a ``RuntimeWarning`` with
+the error that is left.  A cell's rate is its raked share over its natural share;
+documents are kept with probability ``min(1, c * rate)``, where c is recomputed
+until no further cell reaches 1, so that the expected tokens come to ``budget`` of
+all tokens as far as the cap at 1 allows.  The draw is a hash of the id, so it
+repeats exactly and needs no state.
 
 Targets: a mapping value -> share, or an exponent e (share proportional to
 natural share ** e).  Values outside a mapping get share 0 and are not kept.
@@ -22,6 +25,8 @@ rows with the same id share their fate; an empty table stays empty.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ DIMS = ("source", "lang", "topic")
 #: Exponents of the query: natural shares are evened out by source and topic, less by language.
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 ROUNDS, CAPS, BUDGET, SMALL = 5, 3, 0.75, 100_000
+#: Largest relative error of a marginal share; rounds after which raking is given up, at once if the error no longer falls over STALL rounds.
+TOLERANCE, MOST_ROUNDS, STALL = 1e-6, 500, 10
 NONE = "\x00"
 
 
@@ -56,7 +63,7 @@ def draw(id_col: Column, seed: int) -> Column:
 def raked_cells(ws: Workspace, rows: DataFrame, targets: dict[str, dict | float], rounds: int = ROUNDS) -> DataFrame:
     """Cells (source, lang, topic, tok, w): natural tokens, and shares that fit the targets."""
     cells = rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tok")).filter("tok > 0")
-    cells = ws.put(cells.withColumn("w", F.col("tok").cast("double")), "cells")
+    cells, last = ws.put(cells.withColumn("w", F.col("tok").cast("double")), "cells"), "cells"
     shares = {}
     for d in DIMS:
         nat = cells.groupBy(d).agg(F.sum("tok").cast("double").alias("t"))
@@ -68,29 +75,51 @@ def raked_cells(ws: Workspace, rows: DataFrame, targets: dict[str, dict | float]
         nat = nat.select(d, share.alias("x"))
         whole = nat.agg(F.sum("x").alias("all"))
         shares[d] = ws.put(nat.crossJoin(F.broadcast(whole)).select(d, (F.col("x") / F.col("all")).alias("share")), f"shares-{d}")  # one row
-    for k in range(rounds):
+    errors: list[float] = []
+    for k in range(MOST_ROUNDS):
         for d in DIMS:
             now = cells.groupBy(d).agg(F.sum("w").alias("now")).join(shares[d], d).select(
                 d, F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("f")
             )
             # every step reads its cells twice: stored, the plans stay small and alike from round to round
-            cells = ws.put(cells.join(now, d).select(*DIMS, "tok", (F.col("w") * F.col("f")).alias("w")), f"cells-{k}-{d}")
+            cells, last, old = ws.put(cells.join(now, d).select(*DIMS, "tok", (F.col("w") * F.col("f")).alias("w")), f"cells-{k}-{d}"), f"cells-{k}-{d}", last
+            ws.drop(old)
+        if k + 1 < rounds:
+            continue
+        errors.append(marginal_error(cells, shares))
+        if errors[-1] <= TOLERANCE:
+            return cells
+        if len(errors) > STALL and errors[-1] > 0.9999 * errors[-1 - STALL]:
+            break
+    warnings.warn(f"raking: after {k + 1} rounds a share is still {errors[-1]:.3g} (relative) off its target", RuntimeWarning, stacklevel=2)
     return cells
 
 
+def marginal_error(cells: DataFrame, shares: dict[str, DataFrame]) -> float:
+    """The largest relative difference of a value's share from its target."""
+    off = None
+    for d in DIMS:
+        now = cells.groupBy(d).agg(F.sum("w").alias("now")).join(shares[d], d)
+        now = now.select(F.when(F.col("share") > 0, F.abs(F.col("now") - F.col("share")) / F.col("share")).otherwise(F.col("now")).alias("e"))
+        off = now if off is None else off.union(now)
+    return off.agg(F.coalesce(F.max("e"), F.lit(0.0))).first()[0]
+
+
 def cell_probabilities(ws: Workspace, cells: DataFrame, budget: float) -> DataFrame:
     """Cells with rate, and p = min(1, c * rate)."""
     whole = cells.agg(F.sum("tok").cast("double").alias("all"))
-    out = cells.crossJoin(F.broadcast(whole)).select(*DIMS, "tok", "all", (F.col("w") * F.col("all") / F.col("tok")).alias("rate"), F.lit(float(budget)).alias("c"))
-    for k in range(CAPS):
-        out = ws.put(out, f"caps-{k}")
-        full = F.col("c") * F.col("rate") >= 1
-        s = out.agg(F.sum(F.when(full, F.col("tok"))).cast("double").alias("at1"), F.sum(F.when(~full, F.col("tok") * F.col("rate"))).alias("rest"))
-        out = out.crossJoin(F.broadcast(s)).select(  # one row
-            *DIMS, "tok", "all", "rate",
-            F.when(F.col("rest") > 0, F.greatest("c", (F.lit(float(budget)) * F.col("all") - F.coalesce("at1", F.lit(0.0))) / F.col("rest"))).otherwise(F.col("c")).alias("c"),
-        )
-    return out.select(*DIMS, "rate", F.least(F.lit(1.0), F.col("c") * F.col("rate")).alias("p"))
+    out = cells.crossJoin(F.broadcast(whole)).select(*DIMS, "tok", "all", (F.col("w") * F.col("all") / F.col("tok")).alias("rate"))
+    out, c, at_cap = ws.put(out, "caps"), float(budget), -1
+    while True:  # c only grows: each pass caps at least one more cell or is the last
+        full = F.lit(c) * F.col("rate") >= 1
+        s = out.agg(
+            F.count(F.when(full, 1)).alias("n"), F.max("all").alias("all"),
+            F.coalesce(F.sum(F.when(full, F.col("tok"))).cast("double"), F.lit(0.0)).alias("at1"), F.sum(F.when(~full, F.col("tok") * F.col("rate"))).alias("rest"),
+        ).first()
+        if s["n"] == at_cap or not s["rest"]:
+            break
+        at_cap, c = s["n"], max(c, (budget * s["all"] - s["at1"]) / s["rest"])
+    return out.select(*DIMS, "rate", F.least(F.lit(1.0), F.lit(c) * F.col("rate")).alias("p"))
 
 
 def mix(

@@ -328,3 +328,52 @@ def test_mixing(spark, docs):
     n = got.count()
     share = {c: got.filter(c).count() / n for c in ("source = 'x'", "lang = 'a'")}
     assert all(abs(x - 0.5) < 0.06 for x in share.values()) and abs(n / 2000 - 0.4) < 0.05
+
+
+def fitted(tok, ix, shares):
+    """Weights of the form tok * exp(sum of one term per value) that meet the shares, by Newton's method on the terms."""
+    at = np.concatenate([np.eye(len(s))[i] for i, s in zip(ix, shares, strict=True)], axis=1)
+    want, u = np.concatenate(shares), np.zeros(at.shape[1])
+    value = lambda u: (tok / tok.sum() * np.exp(at @ u)).sum() - want @ u
+    for _ in range(200):
+        w = tok / tok.sum() * np.exp(at @ u)
+        g = at.T @ w - want
+        if np.abs(g).max() < 1e-13:
+            break
+        step, size = np.linalg.lstsq(at.T @ (at * w[:, None]), -g, rcond=1e-12)[0], 1.0
+        while value(u + size * step) > value(u) + 1e-4 * size * (g @ step) and size > 1e-6:
+            size /= 2
+        u = u + size * step
+    return tok / tok.sum() * np.exp(at @ u)
+
+
+def test_mixing_meets_associated_marginals(spark):
+    """Every source is nearly of one language: a few rounds of raking don't meet the sources' targets."""
+    n = {(s, l): 200 * (s + 1) ** 2 if s == l else 2 for s in range(4) for l in range(4)}
+    rows = [("word " * 10, f"l{l}", f"s{s}") for (s, l), k in n.items() for _ in range(k)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {f"s{s}": 0.25 for s in range(4)}, "lang": {f"l{l}": x for l, x in enumerate((0.3, 0.2, 0.4, 0.1))}, "topic": 1.0}
+    got = {(r.source, r.lang): (r.rate, r.p) for r in mixing.mix(df, targets, budget=0.5).select("source", "lang", "rate", "p").distinct().collect()}
+    tok = np.array([10.0 * k for k in n.values()])
+    ix = [np.array([s for s, _ in n]), np.array([l for _, l in n])]
+    w = fitted(tok, ix, [np.full(4, 0.25), np.array([0.3, 0.2, 0.4, 0.1])])
+    rate = w * tok.sum() / tok
+    have = np.array([got[f"s{s}", f"l{l}"][0] for s, l in n])
+    assert have == pytest.approx(rate, rel=2e-5, abs=1e-6)  # rates have six decimals
+    assert np.bincount(ix[0], have * tok) / tok.sum() == pytest.approx(np.full(4, 0.25), rel=1e-5)
+
+
+def test_mixing_cap_until_no_further_cell(spark):
+    """Each pass lifts c so that one more cell reaches 1: the budget is met only after all of them."""
+    rate = [2.0**k for k in range(10)]
+    rows = [(f"s{k}", "l", "prose", 1000, r / sum(rate)) for k, r in enumerate(rate)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tok long, w double")
+    p = {r.source: r.p for r in mixing.cell_probabilities(Workspace(spark), cells, 0.9).collect()}
+    assert sum(p.values()) == pytest.approx(9, rel=1e-9) and sum(x == 1 for x in p.values()) == 8
+
+
+def test_mixing_reports_targets_that_cannot_be_met(spark):
+    rows = [(i, "word " * 10, "ab"[i % 2], "xy"[i % 2]) for i in range(20)]  # x is always a, y always b
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.warns(RuntimeWarning, match="off its target"):
+        assert mixing.mix(df, {"source": {"x": 0.5, "y": 0.5}, "lang": {"a": 0.9, "b": 0.1}, "topic": 1.0}).count() == 20
