@@ -15,8 +15,8 @@ Originals are reduced to one row per (hash, conversation) and one per hash befor
 any join, so a line that everyone quotes joins one row.  Depths come from pointer
 doubling over the shared folder, in log2(longest chain) rounds.
 
-Cases: a null text is empty; lines of fewer than ``LEAST`` code points link to
-nothing; a message is named by (conv_id, turn), repeated rows share one parent;
+Cases: a null text is empty; empty lines link to nothing, and lines of fewer than
+``LEAST`` code points link within their own conversation only; a message is named by (conv_id, turn), repeated rows share one parent;
 a null conv_id or turn has no parent; a link to another conversation is recorded
 but the depth counts within the own conversation only.
 """
@@ -30,7 +30,7 @@ from .common import BLANKS, Workspace, lower_ascii
 from .lines import split_lines
 
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
-#: Fewest code points of a line that is linked.
+#: Fewest code points of a line that is linked to another conversation.
 LEAST = 8
 
 
@@ -44,10 +44,10 @@ def _bare(line: Column) -> Column:
 
 
 def parsed_lines(messages: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, pos, level, h) of the lines that are long enough to link."""
+    """Rows (conv_id, turn, pos, level, h, long) of the lines that aren't empty; long: may link to another conversation."""
     x = messages.select("conv_id", "turn", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     x = x.select("conv_id", "turn", "pos", _level(F.col("line")).alias("level"), _bare(F.col("line")).alias("bare"))
-    return x.filter(F.char_length("bare") >= LEAST).select("conv_id", "turn", "pos", "level", F.sha2("bare", 256).alias("h"))
+    return x.filter("bare <> ''").select("conv_id", "turn", "pos", "level", F.sha2("bare", 256).alias("h"), (F.char_length("bare") >= LEAST).alias("long"))
 
 
 def without_quotes(text: Column) -> Column:
@@ -58,8 +58,9 @@ def without_quotes(text: Column) -> Column:
 def quote_links(messages: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, pos, level, to_conv, to_turn): every quoted line that has an original."""
     lines = parsed_lines(messages).filter("conv_id is not null and turn is not null")
-    own = lines.filter("level = 0").groupBy("h", "conv_id").agg(F.min("turn").alias("first"))
-    anywhere = own.groupBy("h").agg(F.min(F.struct("conv_id", "first")).alias("any"))
+    own = lines.filter("level = 0").groupBy("h", "conv_id", "long").agg(F.min("turn").alias("first"))
+    anywhere = own.filter("long").groupBy("h").agg(F.min(F.struct("conv_id", "first")).alias("any"))
+    own = own.select("h", "conv_id", "first")
     quoted = lines.filter("level > 0").join(own, ["h", "conv_id"], "left").join(anywhere, "h", "left")
     near = F.col("first") < F.col("turn")
     far = (F.col("any.conv_id") != F.col("conv_id"))
