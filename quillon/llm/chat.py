@@ -5,7 +5,7 @@ is the nesting level.  A quoted line is normalised (marks and blanks stripped,
 runs of blanks made one, A-Z in lower case), hashed, and joined to the messages
 that hold a line of that hash as their own.  A quote is linked to the earliest
 earlier message of its conversation with that line, else to the earliest message
-of any conversation with it.  A message's parent is the message that most of its
+of any other conversation with it (the smallest conv_id).  A message's parent is the message that most of its
 level-1 lines (else all quoted lines) are linked to, the earliest one on ties;
 without a link it is the message of the turn before.  The reply-ordered
 conversation sorts by (depth below the first message, turn), so a reply always
@@ -55,25 +55,30 @@ def without_quotes(text: Column) -> Column:
     return F.array_join(F.filter(split_lines(text), lambda s: ~s.rlike(MARKS)), "\n")
 
 
-def quote_links(messages: DataFrame) -> DataFrame:
+def quote_links(messages: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """Rows (conv_id, turn, pos, level, to_conv, to_turn): every quoted line that has an original."""
     lines = parsed_lines(messages).filter("conv_id is not null and turn is not null")
+    lines = (ws or Workspace(messages.sparkSession)).put(lines, "lines")  # read by each join below
     own = lines.filter("level = 0").groupBy("h", "conv_id", "long").agg(F.min("turn").alias("first"))
     anywhere = own.filter("long").groupBy("h").agg(F.min(F.struct("conv_id", "first")).alias("any"))
     own = own.select("h", "conv_id", "first")
     quoted = lines.filter("level > 0").join(own, ["h", "conv_id"], "left").join(anywhere, "h", "left")
     near = F.col("first") < F.col("turn")
-    far = (F.col("any.conv_id") != F.col("conv_id"))
+    far = F.col("any.conv_id") != F.col("conv_id")
+    # the smallest conversation with the line is the quoting one: its next one, one row per hash
+    stuck = quoted.filter((F.col("first") >= F.col("turn")) & (F.col("any.conv_id") == F.col("conv_id"))).select("h", F.col("conv_id").alias("not")).distinct()
+    later = own.join(stuck, "h").filter(F.col("conv_id") != F.col("not")).groupBy("h").agg(F.min(F.struct("conv_id", "first")).alias("next"))
+    quoted = quoted.join(later, "h", "left")
     return quoted.select(
         "conv_id", "turn", "pos", "level",
-        F.when(near, F.col("conv_id")).when(far, F.col("any.conv_id")).alias("to_conv"),
-        F.when(near, F.col("first")).when(far, F.col("any.first")).alias("to_turn"),
+        F.when(near, F.col("conv_id")).when(far, F.col("any.conv_id")).otherwise(F.col("next.conv_id")).alias("to_conv"),
+        F.when(near, F.col("first")).when(far, F.col("any.first")).otherwise(F.col("next.first")).alias("to_turn"),
     ).filter("to_turn is not null")
 
 
-def parents(messages: DataFrame) -> DataFrame:
+def parents(messages: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """One row per (conv_id, turn) with a linked quote: n_linked, parent_conv, parent_turn."""
-    votes = quote_links(messages).groupBy("conv_id", "turn", "to_conv", "to_turn").agg(
+    votes = quote_links(messages, ws).groupBy("conv_id", "turn", "to_conv", "to_turn").agg(
         F.count("*").alias("n"), F.sum((F.col("level") == 1).cast("long")).alias("n1")
     )
     best = F.min(F.struct(-F.col("n1"), -F.col("n"), F.col("to_conv") != F.col("conv_id"), "to_conv", "to_turn"))
@@ -102,7 +107,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     Needs columns conv_id, turn, role, text.  Sort by (conv_id, depth, turn) for the reply order."""
     ws = Workspace(messages.sparkSession)
     base = messages.select("conv_id", "turn", "role", "text")
-    linked = ws.put(parents(base), "parents")
+    linked = ws.put(parents(base, ws), "parents")
+    ws.drop("lines")
     have = base.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
     before = have.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("before"))
     tree = have.join(before, ["conv_id", "turn"], "left").join(linked, ["conv_id", "turn"], "left")

@@ -304,6 +304,17 @@ def test_chat_links_short_lines_of_the_own_conversation(spark):
     assert got[2, 0] == (0, None, None, 0) and got[2, 1] == (1, 1, 4, 1)
 
 
+def test_chat_links_past_the_quoting_conversation(spark):
+    line = "The moon pulls water."
+    rows = [
+        (1, 0, "user", f"> {line}\nIs it so?"), (1, 1, "assistant", line), (1, 2, "user", f"> {line}"), (7, 3, "user", line), (8, 0, "user", line),
+        (9, 0, "user", f"> {line}\n{line}"), (1, 5, "user", "> only once here"), (1, 6, "user", "only once here"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.to_conv, r.to_turn) for r in chat.quote_links(df).collect()}
+    assert got == {(1, 0): (7, 3), (1, 2): (1, 1), (9, 0): (1, 1)}
+
+
 @pytest.mark.parametrize("raw", [b"", b"a", bytes(range(256)) * 3, b"\xff" * 130, "é日🙂".encode() * 900])
 def test_media_round_trip(raw):
     payload = media.pad(raw)
