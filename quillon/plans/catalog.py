@@ -136,7 +136,7 @@ def rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted median by supplier, weights the quantities, from cumulative weight."""
+    """Weighted step median by supplier (no interpolation), weights the quantities, from cumulative weight."""
     li = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_extendedprice").alias("x")).agg(F.sum("l_quantity").alias("w"))
     by = Window.partitionBy("l_suppkey")
     li = li.withColumns({"c": F.sum("w").over(by.orderBy("x")), "all": F.sum("w").over(by)})
@@ -168,7 +168,7 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every purchase with the value of the user's last other event."""
+    """Every event with an even id with the value of the user's last event with an odd id."""
     e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
     a = e.filter("event_id % 2 = 0").select("user_id", "event_id", "ts")
     b = e.filter("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
