@@ -107,18 +107,10 @@ def components(ws: Workspace, edges: DataFrame, tag: str = "cc", most_rounds: in
     for k in range(most_rounds):
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select("b", "a"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u").select("u", "v", F.least("u", "m").alias("m")).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        )
-        large = large.distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low2, "a")
-            .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-            .select("x.a", "x.b")
-            .filter("a <> b")
-            .distinct()
-        )
+        small = large.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        small = small.select("x.a", "x.b").filter("a <> b").distinct()
         name = f"{tag}-{k}"
         cur = ws.put(small, name)
         ws.drop(last)

@@ -1,40 +1,46 @@
 """N-gram Jaccard join through count-vector R-trees.
 
 A document is the set of its hashed word shingles.  Its point is the vector of
-counts of the set's members in ``GROUPS`` hash groups; the sum of the smaller
-counts of two points bounds the overlap of two sets from above, and so does the
-sum over a tree node's largest counts for all points of the node.
+counts of the set's members in hash groups (the power of 2 from the set's size
+on); points of other lengths are folded onto the shorter one.  The sum of the
+smaller counts of two points bounds the overlap of two sets from above, and so
+does the sum over a tree node's largest counts for all points of the node.
 
 1. One pass makes per document the set's size, a 128-bit digest and the point;
    equal sets become one class (the smallest id stands for it).
 2. Who can meet at all: sets of Jaccard similarity >= t share a member of their
    prefixes (the first n - ceil(t n) + 1 members in any one global order).  The
    order takes members of frequent sketch cells last; the sketch counts all
-   documents, has a fixed size (``CELLS``), and affects the cost only.
-3. Star rounds: in every prefix-token group a few classes (the smallest; in later
-   rounds ``STARS`` picked by hashes of their ids) are paired with the others of
-   other components; surviving pairs (size, point bound) are verified on the
-   sets, and the links give components.  Later rounds take only groups that
-   still hold several components.
-4. Tree round: token groups that still hold several components are dealt into
-   bounded blocks; in each pair of blocks R-trees over the points are joined,
-   skipping pairs of one component.  What survives meets the same bound once
-   more with finer counts (two groups to a member or more), then verification.
+   documents, has a fixed size (``CELLS``), and affects the cost only.  Token
+   groups of the same members (told by their count, smallest id and two 64-bit
+   sums of id hashes) would give the same pairs: one of them stays.
+3. Star round: in every group ``HUBS`` classes at most (the smallest, others by
+   hashes of their ids) are compared by points with all members of the group.
+   Pairs of hubs that may link, and each other member's best hub, are verified on
+   the sets; the links give components.  Groups of ``HUBS`` members or fewer are
+   done with this: all their members are hubs.
+4. Tree round: larger groups that still hold several components are dealt into
+   blocks of bounded size, by size class (steps of 1 / t) and hash where a group
+   is larger than ``TILE``; only blocks of the same or of neighbouring size
+   classes meet.  In each such tile R-trees over the points are joined, skipping
+   pairs of one component; what survives meets the same bound once more with the
+   whole points, then verification.
 5. Components over the verified links of both rounds.
 
 A pair that links is either joined by a path of links already found or is met in
-step 4, so the components are exact; large groups of near copies cost about one
-verification per document.  Verification brings a set once to each of the tiles
-that need it: pairs go by the component of the candidate pairs, large components
-by pairs of bounded blocks and salts of about ``PER_SALT`` pairs.  Bloom filters
-(two bits a key, of at most ``MOST_BLOOM`` bits) keep tokens of a single class and
-sets of documents without a candidate from being shuffled; a full filter would
-only cost time.
+step 4, so the components are exact, up to collisions of 64-bit shingle hashes
+and 128-bit digests; large groups of near copies cost about one verification per
+document.  A verification brings the set of each document with a candidate to its
+pairs by two equi-joins (a hub of many pairs is a skewed join, which is split).
+Bloom filters (two bits a key, of at most ``MOST_BLOOM`` bits) keep tokens of a
+single class and sets of documents without a candidate from being shuffled; a full
+filter would only cost time.
 
 Cases: null or wordless texts have an empty set, link with nothing and are their
 own component; fewer words than a shingle make one short shingle; ids must be
-whole numbers, rows with a null id get null components, rows repeating an id
-with other texts count as one document; extra columns are ignored.
+whole numbers, rows with a null id get null components, rows that repeat an id
+with other texts are judged by their own sets, which meet where both go by that id; very long texts are whole sets with
+longer points; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,13 +58,14 @@ from .common import Workspace, arrow_rows, components
 from .shingles import chunks, mix, shingle_sets
 
 NUM, DEN = 80, 100
-GROUPS = 64
+#: Least and most groups of a point; groups of the points in a tree.
+GROUPS, MOST_GROUPS, TREE_GROUPS = 64, 1 << 20, 512
 #: Cells of the frequency sketch, and most bits of a Bloom filter (32 MB).
 CELLS, MOST_BLOOM, PARTS = 1 << 21, 1 << 28, 128
 TILE, LEAF, FAN = 1024, 32, 8
-#: Bounds of a verification tile: set members and documents of a block, pairs of a salt.
-MASS, PER_BLOCK, PER_SALT = 1_000_000, 1024, 256
-ROUNDS, STARS = 2, 6
+HUBS = 6
+#: Bytes of points that a task holds before it joins the tiles at hand.
+TILE_BYTES = 16_000_000
 #: Rows of an Arrow batch.
 ROWS = 1000
 
@@ -72,35 +79,31 @@ def links(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DEN * inter >= NUM * (a + b - inter)
 
 
-def point(s: np.ndarray, groups: int = GROUPS) -> bytes:
-    """Counts in hash groups (a power of 2), as the item size and then the items."""
-    c = np.bincount((s & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
-    size = 1 if c.max() < 256 else 2 if c.max() < 65536 else 4
-    return bytes([size]) + c.astype(f"<u{size}").tobytes()
-
-
-def fine_groups(n: int) -> int:
-    """Groups of the finer counts of n members: the power of 2 from 2 n, within 256 and 2 ** 20."""
-    return min(1 << 20, max(256, 1 << (2 * n - 1).bit_length()))
+def groups_of(n: int) -> int:
+    """Groups of the point of n members: the power of 2 from n on, within bounds."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << (n - 1).bit_length()))
 
 
-def fine_point(s: np.ndarray) -> bytes:
-    return zlib.compress(point(s, fine_groups(len(s))), 1)
+def point(s: np.ndarray) -> bytes:
+    """Counts in hash groups: the item's size, then the items compressed."""
+    k = groups_of(len(s))
+    c = np.bincount((s & np.uint64(k - 1)).astype(np.intp), minlength=k)
+    size = 1 if c.max() < 256 else 2 if c.max() < 65536 else 4
+    return bytes([size]) + zlib.compress(c.astype(f"<u{size}").tobytes(), 1)
 
 
 def counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1)
+    return np.frombuffer(zlib.decompress(x[1:]), f"<u{x[0]}")
 
 
-def fine_overlap(x: bytes, y: bytes) -> int:
-    """Sum of the smaller counts; the longer vector is folded onto the shorter one's groups."""
-    a, b = counts(zlib.decompress(x)), counts(zlib.decompress(y))
-    k = min(len(a), len(b))
-    return int(np.minimum(a.reshape(-1, k).sum(axis=0), b.reshape(-1, k).sum(axis=0)).sum())
+def folded(c: np.ndarray, k: int) -> np.ndarray:
+    return c if len(c) == k else c.reshape(-1, k).sum(axis=0, dtype=np.int64)
 
 
-def points(col: list[bytes]) -> np.ndarray:
-    return np.stack([counts(x).astype(np.int64) for x in col])
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Sum of the smaller counts of two points."""
+    k = min(len(a), len(b))
+    return int(np.minimum(folded(a, k), folded(b, k)).sum(dtype=np.int64))
 
 
 def _dense(a: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,7 @@ def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & (bits[q >> 3] >> (7 - (q & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-FIRST = "doc_id long, n long, k1 long, k2 long, vec binary, fine binary, part int, bytes binary"
+FIRST = "doc_id long, n long, k1 long, k2 long, vec binary, part int, bytes binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +174,13 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()),
-                pa.array([point(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([fine_point(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                pa.array([point(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
             ],
             names=names,
         )
         sketch += np.bincount((np.concatenate(sets) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
     for b in _dense(np.minimum(sketch, 65535).astype("<u2")):
-        empty = [pa.nulls(PARTS, pa.int64())] * 4 + [pa.nulls(PARTS, pa.binary())] * 2
+        empty = [*[pa.nulls(PARTS, pa.int64())] * 4, pa.nulls(PARTS, pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, b.column(0), b.column(1)], names=names)
 
 
@@ -266,50 +268,88 @@ def tree_pairs(vec: np.ndarray, size: np.ndarray, comp: np.ndarray, side: np.nda
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile (token, a, b): the pairs of every tile by tree_pairs; tiles may span batches.
-
-    A pair is named in the tile of the first token that its two documents share (before: a
-    document's tokens that precede the tile's), and in no other."""
-
-    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows)
-        ids, size, comp, side = (t[x].to_numpy() for x in ("id", "n", "comp", "side"))
-        key = np.stack([t[x].to_numpy() for x in ("token", "a", "b")])
-        vec = points(t["vec"].to_pylist())
-        lists = t["before"].combine_chunks()
-        token, length = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        offset = np.cumsum(length) - length
-        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
-        one, two = [], []
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            across = key[1, lo] != key[2, lo]
-            i, j = tree_pairs(vec[lo:hi], size[lo:hi], comp[lo:hi], side[lo:hi] if across else None)
-            if len(i):
-                before = {k: set(token[offset[lo + k] : offset[lo + k] + length[lo + k]].tolist()) for k in {*i.tolist(), *j.tolist()}}
-                own = np.fromiter((before[a].isdisjoint(before[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-                i, j = i[own], j[own]
-            one.append(ids[lo:hi][i])
-            two.append(ids[lo:hi][j])
-        one, two = np.concatenate(one), np.concatenate(two)
-        got = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["x", "y"]) if len(got) else None
+def _by_tile(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple[int, int, pa.Table]]]:
+    """Rows sorted by their first ``keys`` columns, whole tiles at a time, some megabytes: (first row, end, table)."""
+
+    def cuts(t: pa.Table) -> list[int]:
+        k = np.stack([t.column(c).to_numpy() for c in range(keys)])
+        return [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
 
     held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        last = [batch.column(k)[batch.num_rows - 1].as_py() for k in (0, 1, 2)]
-        k = batch.num_rows - 1  # rows of the last tile stay for the next batch
-        while k > 0 and [batch.column(c)[k - 1].as_py() for c in (0, 1, 2)] == last:
-            k -= 1
-        if k == 0 and held and [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in (0, 1, 2)] == last:
-            held.append(batch)
+        held.append(batch)
+        size += batch.nbytes
+        if size < TILE_BYTES:
             continue
-        ready = [*held, batch.slice(0, k)] if k else held
-        if ready and (out := flush(ready)) is not None:
-            yield out
-        held = [batch.slice(k)]
-    if held and (out := flush(held)) is not None:
-        yield out
+        t = pa.Table.from_batches(held)
+        at = cuts(t)
+        if len(at) > 2:  # the last tile may go on in the next batch
+            yield [(lo, hi, t) for lo, hi in zip(at[:-2], at[1:-1], strict=True)]
+            held = t.slice(at[-2]).to_batches()
+        size = sum(b.nbytes for b in held)
+        if len(at) <= 2:
+            size -= TILE_BYTES  # one tile alone: wait for as much again before looking anew
+    if held:
+        t = pa.Table.from_batches(held)
+        at = cuts(t)
+        yield [(lo, hi, t) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, side, id, n, hub, vec): pairs (y, x, bound of the similarity) of hubs, and of each other row with its best hub."""
+    for tiles in _by_tile(batches, 2):
+        best: dict[int, tuple[float, int]] = {}
+        both: dict[tuple[int, int], float] = {}
+        for lo, hi, t in tiles:
+            part = t.slice(lo, hi - lo)
+            ids, n, hub = (part[c].to_numpy() for c in ("id", "n", "hub"))
+            raw, seen = part["vec"], {}
+
+            def at(i: int, raw=raw, seen=seen) -> np.ndarray:
+                if i not in seen:
+                    seen[i] = counts(raw[i].as_py())
+                return seen[i]
+
+            for h in np.flatnonzero(hub).tolist():
+                near = (NUM * n <= DEN * n[h]) & (NUM * n[h] <= DEN * n) & (ids != ids[h]) & ((hub == 0) | (ids < ids[h]))
+                for i in np.flatnonzero(near).tolist():
+                    y, x = int(ids[i]), int(ids[h])
+                    common = overlap(at(h), at(i))
+                    if not links(common, n[h], n[i]):
+                        continue
+                    score = float(common / (n[h] + n[i] - common))
+                    if hub[i]:
+                        both[(y, x)] = score
+                    elif (score, -x) > best.get(y, (-1.0, 0)):
+                        best[y] = (score, -x)
+        out = [(y, -x, s, False) for y, (s, x) in best.items()] + [(y, x, s, True) for (y, x), s in both.items()]
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["y", "x", "score", "hubs"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, ca, a, cb, b, second, id, n, comp, vec), sorted by tile: pairs whose points allow a link; a tile of two blocks pairs rows of different ones."""
+    for tiles in _by_tile(batches, 5):
+        got: set[tuple[int, int]] = set()
+        for lo, hi, t in tiles:
+            part = t.slice(lo, hi - lo)
+            ids, n, comp, side = (part[c].to_numpy() for c in ("id", "n", "comp", "second"))
+            across = part["ca"][0] != part["cb"][0] or part["a"][0] != part["b"][0]
+            if (comp == comp[0]).all() or (across and (side == side[0]).all()):
+                continue
+            vec = [counts(x) for x in part["vec"].to_pylist()]
+            k = max(GROUPS, min(TREE_GROUPS, min(map(len, vec)) // 8))
+            i, j = tree_pairs(np.stack([folded(c, k) for c in vec]).astype(np.int64), n, comp, side if across else None)
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = int(ids[p]), int(ids[q])
+                pair = (x, y) if x < y else (y, x)
+                if pair not in got and links(overlap(vec[p], vec[q]), n[p], n[q]):
+                    got.add(pair)
+        if got:
+            pairs = np.array(sorted(got))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
 
 def _sets_of(wanted):
@@ -326,21 +366,13 @@ def _sets_of(wanted):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, lo, hi, salt, x, y, set), sorted so that a tile's sets (y null) precede its pairs: the pairs that link."""
-    key: tuple | None = None
-    sets: dict[int, list[np.ndarray]] = {}
+    """Rows (x, y, sets of x, sets of y): the pairs that link."""
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(6)]
-        got = []
-        for k, (*tile, x, y) in enumerate(zip(*cols, strict=True)):
-            if tile != key:
-                key, sets = tile, {}
-            if y is None:
-                sets.setdefault(x, []).append(np.frombuffer(batch.column(6)[k].as_py(), np.uint64))
-            elif any(_link(a, b) for a in sets.get(x, ()) for b in sets.get(y, ())):
-                got.append((x, y))
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+        fits = []
+        for sx, sy in zip(batch.column(2), batch.column(3), strict=True):
+            a, b = ([np.frombuffer(v.as_buffer(), np.uint64) for v in s.values] for s in (sx, sy))
+            fits.append(any(_link(p, q) for p in a for q in b))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
 def _link(a: np.ndarray, b: np.ndarray) -> bool:
@@ -350,14 +382,6 @@ def _link(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(links(int((a[np.minimum(at, len(a) - 1)] == b).sum()), len(a), len(b)))
 
 
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (x, y, nx, ny, fine counts of both): the pairs that the finer counts allow."""
-    for batch in batches:
-        nx, ny = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        fits = [bool(links(fine_overlap(a, b), p, q)) for a, b, p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), nx, ny, strict=True)]
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(fits, pa.bool_()))
-
-
 class JaccardJoin:
     """The join's steps over one table (doc_id, text)."""
 
@@ -367,29 +391,89 @@ class JaccardJoin:
         self.made = 0
         self.src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
-    def verified(self, pairs: DataFrame, cls: DataFrame, tag: str) -> DataFrame:
+    def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Links (a, b) among stored pairs (x, y) of ids."""
         ws = self.ws
-        cluster = ws.put(components(ws, pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), f"cc-{tag}"), f"clusters-{tag}")
-        node = cluster.join(cls.groupBy("id").agg(F.max("n").alias("n")), "id")
-        size = node.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / MASS, F.count("*") / PER_BLOCK)).cast("long").alias("q"))
-        node = node.join(size, "component").select("id", F.col("component").alias("cluster"), F.pmod(F.xxhash64("id"), F.col("q")).alias("sub"))
-        node = ws.put(node, f"nodes-{tag}")
-        tiled = pairs.join(node.select(F.col("id").alias("x"), "cluster", F.col("sub").alias("sx")), "x").join(
-            node.select(F.col("id").alias("y"), F.col("sub").alias("sy")), "y"
-        )
-        tiled = tiled.select("cluster", F.least("sx", "sy").alias("lo"), F.greatest("sx", "sy").alias("hi"), "x", "y")
-        salts = tiled.groupBy("cluster", "lo", "hi").agg(F.ceil(F.count("*") / PER_SALT).cast("long").alias("k"))
-        tiled = tiled.join(salts, ["cluster", "lo", "hi"]).select("cluster", "lo", "hi", F.pmod(F.xxhash64("x"), F.col("k")).alias("salt"), "x", "y")
-        tiled = ws.put(tiled, f"tiled-{tag}")
-        tile = ["cluster", "lo", "hi", "salt"]
-        need = tiled.select(*tile, F.explode(F.array("x", "y")).alias("id")).distinct()
-        wanted = self.spark.sparkContext.broadcast(bloom(node.select("id")))
-        sets = self.src.mapInArrow(_sets_of(wanted), "id long, set binary")
-        sent = need.join(sets, "id").select(*tile, F.col("id").alias("x"), F.lit(None).cast("long").alias("y"), "set")
-        rows = sent.union(tiled.select(*tile, "x", "y", F.lit(None).cast("binary").alias("set")))
-        rows = rows.repartition(*tile).sortWithinPartitions(*tile, F.asc_nulls_first("y"))
-        return ws.put(rows.mapInArrow(_verify, "a long, b long"), f"links-{tag}")
+        wanted = self.spark.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("x", "y"))).distinct()))
+        sets = self.src.mapInArrow(_sets_of(wanted), "id long, set binary").groupBy("id").agg(F.collect_set("set").alias("sets"))
+        sets = ws.put(sets, f"sets-{tag}")
+        rows = pairs.join(sets.select(F.col("id").alias("y"), F.col("sets").alias("sy")), "y")
+        rows = rows.join(sets.select(F.col("id").alias("x"), F.col("sets").alias("sx")), "x").select("x", "y", "sx", "sy")
+        out = ws.put(rows.mapInArrow(_verify, "a long, b long"), f"links-{tag}")
+        ws.drop(f"sets-{tag}")
+        wanted.destroy()
+        return out
+
+    def groups(self, late, cls: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows (token, id, n) of the token groups, and the groups (token, m, hubs), one of those with the same members."""
+        ws = self.ws
+
+        def post(only=None) -> DataFrame:
+            return self.src.mapInArrow(_prefixes(late, only), "token long, k1 long")
+
+        shared = post().groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("token")
+        shared = ws.put(shared, "tokens")
+        only = self.spark.sparkContext.broadcast(bloom(shared))
+        rows = post(only).join(shared.hint("shuffle_hash"), "token").distinct()
+        rows = ws.put(rows.join(cls.select("k1", "id", "n"), "k1").select("token", "id", "n"), "rows")
+        only.destroy()
+        ws.drop("tokens")
+        seeds = [F.col("n"), *[F.xxhash64("id", F.lit(j)) for j in range(1, HUBS)]]
+        hubs = F.array_distinct(F.array(*[F.min(F.struct(seed.alias("u"), "id"))["id"] for seed in seeds]))
+        each = rows.groupBy("token").agg(
+            F.count("*").alias("m"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("member"), "id")).alias("s2"), hubs.alias("hubs")
+        )
+        each = each.filter("m > 1").groupBy("m", "lo", "s1", "s2").agg(F.min(F.struct("token", "hubs")).alias("t"))
+        each = ws.put(each.select("t.token", "m", "t.hubs"), "groups")
+        rows = ws.put(rows.join(each.select("token"), "token"), "members")
+        ws.drop("rows")
+        return rows, each
+
+    def star_links(self, rows: DataFrame, groups: DataFrame, cls: DataFrame) -> DataFrame:
+        """Links (a, b) of the star round."""
+        ws = self.ws
+        q = F.ceil(F.col("m") / TILE).cast("long")
+        r = rows.join(groups.select("token", q.alias("q"), "hubs"), "token")
+        r = r.withColumn("hub", F.array_contains("hubs", F.col("id")).cast("int"))
+        one = F.array(F.pmod(F.xxhash64("id"), F.col("q")))
+        r = r.select("token", F.explode(F.when(F.col("hub") == 1, F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(one)).alias("side"), "id", "n", "hub")
+        r = r.join(cls.select("id", "vec"), "id").select("token", "side", "id", "n", "hub", "vec")
+        p = r.repartition("token", "side").sortWithinPartitions("token", "side").mapInArrow(_stars, "y long, x long, score double, hubs boolean")
+        # one row for each document and kind: its best hub; pairs of hubs stand for themselves
+        p = p.groupBy("y", F.when(F.col("hubs"), F.col("x")).alias("own")).agg(F.max(F.struct("score", (-F.col("x")).alias("x"))).alias("b"))
+        pairs = ws.put(p.select((-F.col("b.x")).alias("x"), "y"), "star-pairs")
+        out = self.verified(pairs, "star")
+        ws.drop("star-pairs")
+        return out
+
+    def tree_links(self, rows: DataFrame, groups: DataFrame, cls: DataFrame, comp: DataFrame) -> DataFrame:
+        """Links (a, b) of the tree round: between components within groups of more than HUBS members."""
+        ws = self.ws
+        r = rows.join(groups.filter(F.col("m") > HUBS).select("token", "m"), "token").join(comp, "id", "left")
+        r = ws.put(r.select("token", "m", "id", "n", F.coalesce("component", "id").alias("comp")), "apart")
+        step = F.floor(F.log(DEN / NUM, F.col("n").cast("double"))).cast("long")
+        r = r.withColumn("c", F.when(F.col("m") > TILE, step).otherwise(F.lit(-1).cast("long")))
+        per = r.groupBy("token", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
+        per = per.groupBy("token").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("k") / TILE).cast("long")))).alias("q")
+        ).filter("lo < hi").select("token", "q")
+        r = r.join(per, "token")
+        blocks = lambda c: F.coalesce(F.element_at("q", c), F.lit(0).cast("long"))
+        upto = lambda k: F.filter(F.sequence(F.lit(0).cast("long"), k), lambda j: j < k)
+        r = r.withColumns({"i": F.pmod(F.xxhash64("id"), blocks(F.col("c"))), "up": F.col("c") + 1, "down": F.col("c") - 1})
+        tile = lambda ca, a, cb, b, second: F.struct(ca.alias("ca"), a.alias("a"), cb.alias("cb"), b.alias("b"), second.cast("int").alias("second"))
+        c, i = F.col("c"), F.col("i")
+        own = F.transform(upto(blocks(c)), lambda j: tile(c, F.least(i, j), c, F.greatest(i, j), i > j))
+        above = F.transform(upto(F.when(c >= 0, blocks(F.col("up"))).otherwise(0)), lambda j: tile(c, i, F.col("up"), j, F.lit(0)))
+        below = F.transform(upto(F.when(c > 0, blocks(F.col("down"))).otherwise(0)), lambda j: tile(F.col("down"), j, c, i, F.lit(1)))
+        r = r.select("token", F.explode(F.concat(own, above, below)).alias("t"), "id", "n", "comp")
+        r = r.join(cls.select("id", "vec"), "id").select("token", "t.ca", "t.a", "t.cb", "t.b", "t.second", "id", "n", "comp", "vec")
+        key = ["token", "ca", "a", "cb", "b"]
+        pairs = ws.put(r.repartition(*key).sortWithinPartitions(*key).mapInArrow(_trees, "x long, y long").distinct(), "tree-pairs")
+        ws.drop("apart")
+        out = self.verified(pairs, "tree")
+        ws.drop("tree-pairs")
+        return out
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id."""
@@ -399,74 +483,21 @@ class JaccardJoin:
         usual = 4 * count.mean() + 64
         late = np.where(count > usual, 1 + np.log2(np.maximum(count, 1) / usual), 0).astype(np.uint8)
         late = self.spark.sparkContext.broadcast(late)
-        members = first.filter("part is null").select("doc_id", "n", "k1", "k2", "vec", "fine")
+        members = first.filter("part is null").select("doc_id", "n", "k1", "k2")
         # the point goes by its class's smallest id, so one of equal sets carries it
-        cls = members.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("vec").alias("vec"), F.min("fine").alias("fine"))
+        cls = first.filter("part is null and n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("vec").alias("vec"))
         cls = ws.put(cls, "classes")
-
-        def post(only=None) -> DataFrame:
-            return self.src.mapInArrow(_prefixes(late, only), "token long, k1 long")
-
-        shared = post().groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("token")
-        shared = ws.put(shared, "tokens")
-        only = self.spark.sparkContext.broadcast(bloom(shared))
-        multi = post(only).join(shared.hint("shuffle_hash"), "token").distinct()
-        multi = ws.put(multi.join(cls.select("k1", "id", "n"), "k1").select("token", "id", "n"), "multi")
-        found, tried = [], []
-        left = multi.withColumn("comp", F.col("id"))
-        for k in range(ROUNDS):
-            seeds = [F.lit(0)] if k == 0 else [F.xxhash64("id", F.lit(STARS * k + j)) for j in range(STARS)]
-            order = [F.min(F.struct((F.col("n") if k == 0 else seed).alias("u"), "id", "n", "comp")) for seed in seeds]
-            hubs = left.groupBy("token").agg(F.array_distinct(F.array(*[F.struct(o["id"].alias("id"), o["n"].alias("n"), o["comp"].alias("comp")) for o in order])).alias("hubs"))
-            star = left.join(hubs, "token").select("id", "n", "comp", F.explode("hubs").alias("h"))
-            star = star.filter(f"comp <> h.comp and {NUM} * n <= {DEN} * h.n and {NUM} * h.n <= {DEN} * n")
-            star = star.select(F.least("h.id", "id").alias("x"), F.greatest("h.id", "id").alias("y")).distinct()
-            star = ws.put(self._bounded(star, cls), f"star-{k}")
-            found.append(self.verified(star, cls, f"star-{k}"))
-            tried.append(star)
-            left, several = self._apart(multi, components(ws, self._all(found), f"cc-{k}"))
-        left = left.join(several.select("token", F.ceil(F.col("m") / TILE).cast("long").alias("q")), "token")
-        left = left.withColumn("side", F.pmod(F.xxhash64("id"), F.col("q")))
-        left = left.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("o"))
-        tokens = multi.join(several.select("token"), "token").groupBy("id", "n").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-        left = left.join(cls.select("id", "n", "vec"), ["id", "n"]).join(tokens, ["id", "n"])
-        left = left.withColumn("before", F.slice("tokens", F.lit(1), (F.array_position("tokens", F.col("token")) - 1).cast("int")))
-        left = left.select("token", F.least("side", "o").alias("a"), F.greatest("side", "o").alias("b"), "side", "id", "n", "comp", "vec", "before")
-        pairs = left.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_tiles, "x long, y long").distinct()
-        pairs = ws.put(self._bounded(ws.put(pairs, "pairs"), cls), "bounded")
-        pairs = ws.put(pairs.join(self._all(tried), ["x", "y"], "left_anti"), "untried")
-        found.append(self.verified(pairs, cls, "tree"))
-        final = ws.put(components(ws, self._all(found), "cc"), "components")
+        rows, groups = self.groups(late, cls)
+        found = self.star_links(rows, groups, cls)
+        comp = ws.put(components(ws, found, "cc-star"), "star-components")
+        more = self.tree_links(rows, groups, cls, comp)
+        ws.drop("members", "groups")
+        final = comp if more.isEmpty() else ws.put(components(ws, found.union(more), "cc"), "components")
         whole = cls.select("k1", "k2", "n", "id").join(final, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
         return members.join(whole, ["k1", "k2", "n"], "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
         )
 
-    @staticmethod
-    def _all(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for df in parts[1:]:
-            out = out.union(df)
-        return out
-
-    def _apart(self, multi: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of the token groups that hold several components, and those groups with their sizes."""
-        rows = multi.join(comp, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
-        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
-        several = several.select("token", "m")
-        self.made += 1
-        left = self.ws.put(rows.join(several, "token"), f"left-{self.made}")
-        self.ws.drop(f"left-{self.made - 1}")
-        return left.drop("m"), left.select("token", "m").distinct()
-
-    @staticmethod
-    def _bounded(pairs: DataFrame, cls: DataFrame) -> DataFrame:
-        """The pairs whose finer counts allow a link."""
-        x = cls.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("fine").alias("vx"))
-        y = cls.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("fine").alias("vy"))
-        rows = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "vx", "vy")
-        return rows.mapInArrow(_bound, "x long, y long").distinct()
-
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""

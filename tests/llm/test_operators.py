@@ -71,6 +71,24 @@ def test_jaccard_join_random_near_copies(spark):
     assert got == dict(enumerate(low))
 
 
+def test_jaccard_join_blocks_and_few_hubs(spark, monkeypatch):
+    """Many members to a token, blocks of a few rows, one hub: most links are left to the trees."""
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    rng = np.random.default_rng(8)
+    passage = [f"p{x}" for x in range(30)]
+    texts = []
+    for k in range(5):
+        own = [f"w{k}-{x}" for x in range(18 + 3 * k)]
+        for _ in range(7):
+            t = passage + own + [f"x{v}" for v in rng.integers(0, 9999, rng.integers(0, 12))]
+            texts.append(" ".join(t))
+    s = sets(texts)
+    low = reach(len(s), [(i, j) for i, j in itertools.combinations(range(len(s)), 2) if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])])
+    got = {r.doc_id: r.component_id for r in ngram_join.near_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(low)) and 1 < len(set(low)) < len(low)
+
+
 def test_jaccard_join_empty_and_null_ids(spark, docs):
     assert ngram_join.near_documents(docs.limit(0)).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (5, None)], "doc_id long, text string")
@@ -94,9 +112,9 @@ def test_bounds_are_bounds():
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)]))
         inter = len(np.intersect1d(a, b))
-        assert ngram_join.fine_overlap(ngram_join.fine_point(a), ngram_join.fine_point(b)) >= inter
-        x, y = ngram_join.points([ngram_join.point(a), ngram_join.point(b)])
-        assert np.minimum(x, y).sum() >= inter
+        x, y = (ngram_join.counts(ngram_join.point(v)) for v in (a, b))
+        assert x.sum() == len(a) and ngram_join.overlap(x, y) >= inter
+        assert np.minimum(ngram_join.folded(x, 64), ngram_join.folded(y, 64)).sum() >= ngram_join.overlap(x, y)
 
 
 def test_components(spark):
