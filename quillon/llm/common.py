@@ -52,11 +52,20 @@ def few_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front while a column of that name is there (names differ by more than case)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 class Workspace:
     """Intermediate tables in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) is a temporary one made.  A table that is written here cuts the
+    The folder is ``spark.checkpoint.dir``.  Where that is unset and Spark runs in one
+    process (tests), a temporary one is made; on a cluster that is an error, because
+    executors could not see each other's files.  A table that is written here cuts the
     lineage and outlives any executor.
     """
 
@@ -64,6 +73,8 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="quillon-")
             spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         self.root = f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
@@ -82,6 +93,30 @@ class Workspace:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    @contextlib.contextmanager
+    def in_order(self) -> Iterator[None]:
+        """Within the block, scans of bucketed tables with one file a bucket count as sorted."""
+        key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
+    def put_sorted(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """As ``put``, bucketed and sorted by ``keys``: as many buckets as shuffles have partitions, one file each, so joins and sums by the keys need no shuffle."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        title = f"{self.root.rsplit('/', 1)[1]}_{name}".replace("-", "_")
+        writer = df.repartition(buckets, *keys).write.mode("overwrite").option("compression", "zstd").option("path", self.path(name))
+        writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(title)
+        return self.spark.table(title)
+
+    def drop_sorted(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.root.rsplit('/', 1)[1]}_{name}".replace("-", "_"))
+        self.drop(*names)
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
@@ -97,6 +132,8 @@ def components(ws: Workspace, edges: DataFrame, tag: str = "cc", most_rounds: in
     the larger and one by the smaller end, partial minima first, and is written
     to the shared folder; nothing but two counters reaches the driver.  Ids
     without an edge to another id are absent.  component is the smallest id.
+    Rounds grow as the logarithm of the longest path; should ``most_rounds`` not
+    do, that is an error and never a partial result.
     """
     e = edges.filter("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")

@@ -14,18 +14,21 @@ does the sum over a tree node's largest counts for all points of the node.
    documents, has a fixed size (``CELLS``), and affects the cost only.  Token
    groups of the same members (told by their count, smallest id and two 64-bit
    sums of id hashes) would give the same pairs: one of them stays.
-3. Star round: in every group ``HUBS`` classes at most (the smallest, others by
-   hashes of their ids) are compared by points with all members of the group.
-   Pairs of hubs that may link, and each other member's best hub, are verified on
-   the sets; the links give components.  Groups of ``HUBS`` members or fewer are
+3. Star round: in every group ``HUBS`` classes at most (by hashes of their ids)
+   are compared by points with all members of the group.  Pairs of hubs that may
+   link, and each other member's best hub, are verified on the sets; the links
+   give components.  Groups of ``HUBS`` members or fewer are
    done with this: all their members are hubs.
-4. Tree round: larger groups that still hold several components are dealt into
+4. Tree rounds: larger groups that still hold several components are dealt into
    blocks of bounded size, by size class (steps of 1 / t) and hash where a group
    is larger than ``TILE``; only blocks of the same or of neighbouring size
    classes meet.  In each such tile R-trees over the points are joined, skipping
    pairs of one component; what survives meets the same bound once more with the
-   whole points, then verification.
-5. Components over the verified links of both rounds.
+   whole points, then verification.  A row first tries its best pairs with each
+   other component, ``FIRST_TRIES`` of them; groups of which pairs were left have
+   further rounds with ``MORE_TRIES`` times as many between components that are
+   still apart, until none is left.
+5. Components over the verified links of all rounds.
 
 A pair that links is either joined by a path of links already found or is met in
 step 4, so the components are exact, up to collisions of 64-bit shingle hashes
@@ -51,10 +54,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_rows, components
+from .lines import row_key
 from .shingles import chunks, mix, shingle_sets
 
 NUM, DEN = 80, 100
@@ -64,6 +68,8 @@ GROUPS, MOST_GROUPS, TREE_GROUPS = 64, 1 << 20, 512
 CELLS, MOST_BLOOM, PARTS = 1 << 21, 1 << 28, 128
 TILE, LEAF, FAN = 1024, 32, 8
 HUBS = 6
+#: Pairs of a row with another component that the first tree pass verifies; the factor of each further pass.
+FIRST_TRIES, MORE_TRIES = 2, 8
 #: Bytes of points that a task holds before it joins the tiles at hand.
 TILE_BYTES = 16_000_000
 #: Rows of an Arrow batch.
@@ -160,13 +166,33 @@ def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & (bits[q >> 3] >> (7 - (q & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-FIRST = "doc_id long, n long, k1 long, k2 long, vec binary, part int, bytes binary"
+FIRST = "doc_id long, n long, k1 long, k2 long, vec binary, r1 long, r2 long, part int, bytes binary"
+
+
+def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], pa.RecordBatch]]:
+    """As ``chunks``, with the further columns of the rows."""
+    held: list[pa.RecordBatch] = []
+
+    def noted() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held.append(batch)
+            yield batch
+
+    at = 0
+    for ids, raws in chunks(noted()):
+        if at == held[0].num_rows:
+            held.pop(0)
+            at = 0
+        while held[0].num_rows == 0:
+            held.pop(0)
+        yield ids, raws, held[0].slice(at, len(ids)).select(list(range(2, held[0].num_columns)))
+        at += len(ids)
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(CELLS, np.int64)
     names = [f.strip().split()[0] for f in FIRST.split(",")]
-    for ids, raws in chunks(batches):
+    for ids, raws, keys in with_keys(batches):
         sets = shingle_sets(raws)
         digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets]
         n = len(ids)
@@ -174,13 +200,13 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([int(d[0]) for d in digest], pa.int64()), pa.array([int(d[1]) for d in digest], pa.int64()),
-                pa.array([point(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                pa.array([point(s) if len(s) else None for s in sets], pa.binary()), *keys.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
             ],
             names=names,
         )
         sketch += np.bincount((np.concatenate(sets) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
     for b in _dense(np.minimum(sketch, 65535).astype("<u2")):
-        empty = [*[pa.nulls(PARTS, pa.int64())] * 4, pa.nulls(PARTS, pa.binary())]
+        empty = [*[pa.nulls(PARTS, pa.int64())] * 4, pa.nulls(PARTS, pa.binary()), *[pa.nulls(PARTS, pa.int64())] * 2]
         yield pa.RecordBatch.from_arrays([*empty, b.column(0), b.column(1)], names=names)
 
 
@@ -316,40 +342,64 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in np.flatnonzero(near).tolist():
                     y, x = int(ids[i]), int(ids[h])
                     common = overlap(at(h), at(i))
-                    if not links(common, n[h], n[i]):
-                        continue
-                    score = float(common / (n[h] + n[i] - common))
-                    if hub[i]:
-                        both[(y, x)] = score
-                    elif (score, -x) > best.get(y, (-1.0, 0)):
-                        best[y] = (score, -x)
+                    if links(common, n[h], n[i]):
+                        score = float(common / (n[h] + n[i] - common))
+                        if hub[i]:
+                            both[y, x] = score
+                        elif (score, -x) > best.get(y, (-1.0, 0)):
+                            best[y] = (score, -x)
         out = [(y, -x, s, False) for y, (s, x) in best.items()] + [(y, x, s, True) for (y, x), s in both.items()]
         if out:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["y", "x", "score", "hubs"])
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, ca, a, cb, b, second, id, n, comp, vec), sorted by tile: pairs whose points allow a link; a tile of two blocks pairs rows of different ones."""
-    for tiles in _by_tile(batches, 5):
-        got: set[tuple[int, int]] = set()
-        for lo, hi, t in tiles:
-            part = t.slice(lo, hi - lo)
-            ids, n, comp, side = (part[c].to_numpy() for c in ("id", "n", "comp", "second"))
-            across = part["ca"][0] != part["cb"][0] or part["a"][0] != part["b"][0]
-            if (comp == comp[0]).all() or (across and (side == side[0]).all()):
-                continue
-            vec = [counts(x) for x in part["vec"].to_pylist()]
-            k = max(GROUPS, min(TREE_GROUPS, min(map(len, vec)) // 8))
-            i, j = tree_pairs(np.stack([folded(c, k) for c in vec]).astype(np.int64), n, comp, side if across else None)
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                x, y = int(ids[p]), int(ids[q])
-                pair = (x, y) if x < y else (y, x)
-                if pair not in got and links(overlap(vec[p], vec[q]), n[p], n[q]):
-                    got.add(pair)
-        if got:
-            pairs = np.array(sorted(got))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
+def best_of_rows(i: np.ndarray, j: np.ndarray, score: np.ndarray, comp: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs (i, j) to take: of a row of the component with fewer rows, the ``most`` best towards each other component."""
+    _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+    mine, theirs = size[at[i]], size[at[j]]
+    swap = (mine > theirs) | ((mine == theirs) & (comp[i] < comp[j]))
+    leaf, other = np.where(swap, j, i), np.where(swap, comp[i], comp[j])
+    order = np.lexsort((-score, other, leaf))
+    new = np.ones(len(order), bool)
+    new[1:] = (leaf[order][1:] != leaf[order][:-1]) | (other[order][1:] != other[order][:-1])
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    take = np.zeros(len(order), bool)
+    take[order] = rank < most
+    return take
+
+
+def _trees(most: int):
+    """Rows (token, ca, a, cb, b, second, id, n, comp, vec), sorted by tile: pairs whose points allow a link, best_of_rows
+    of them; a row with a token tells that pairs of its group are left.  A tile of two blocks pairs rows of different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tiles in _by_tile(batches, 5):
+            got: set[tuple[int, int]] = set()
+            more: set[int] = set()
+            for lo, hi, t in tiles:
+                part = t.slice(lo, hi - lo)
+                ids, n, comp, side = (part[c].to_numpy() for c in ("id", "n", "comp", "second"))
+                across = part["ca"][0] != part["cb"][0] or part["a"][0] != part["b"][0]
+                if (comp == comp[0]).all() or (across and (side == side[0]).all()):
+                    continue
+                vec = [counts(x) for x in part["vec"].to_pylist()]
+                k = max(GROUPS, min(TREE_GROUPS, min(map(len, vec)) // 8))
+                i, j = tree_pairs(np.stack([folded(c, k) for c in vec]).astype(np.int64), n, comp, side if across else None)
+                common = np.array([overlap(vec[p], vec[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+                fits = links(common, n[i], n[j]) if len(i) else np.zeros(0, bool)
+                i, j, common = i[fits], j[fits], common[fits]
+                if not len(i):
+                    continue
+                take = best_of_rows(i, j, common / (n[i] + n[j] - common), comp, most)
+                if not take.all():
+                    more.add(part["token"][0].as_py())
+                got.update((min(x, y), max(x, y)) for x, y in zip(ids[i[take]].tolist(), ids[j[take]].tolist(), strict=True))
+            if got or more:
+                x, y = [p[0] for p in got] + [None] * len(more), [p[1] for p in got] + [None] * len(more)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([None] * len(got) + list(more), pa.int64())], names=["x", "y", "token"])
+
+    return run
 
 
 def _sets_of(wanted):
@@ -382,6 +432,13 @@ def _link(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(links(int((a[np.minimum(at, len(a) - 1)] == b).sum()), len(a), len(b)))
 
 
+def with_hubs(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows (token, hubs): of every group the HUBS members (id, n) of the smallest hashes; rank limits work before the shuffle, so a large group sends a few rows a task."""
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    first = rows.select("token", "id", "n").withColumn("k", rank).filter(F.col("k") <= HUBS)
+    return first.groupBy("token").agg(F.collect_list(F.struct("id", "n")).alias("hubs"))
+
+
 class JaccardJoin:
     """The join's steps over one table (doc_id, text)."""
 
@@ -389,7 +446,9 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         self.ws = Workspace(self.spark)
         self.made = 0
-        self.src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+        r1, r2 = row_key(docs[id_col], docs[text_col])
+        self.keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), r1.alias("r1"), r2.alias("r2"))
+        self.src = self.keyed.select("doc_id", "text")
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Links (a, b) among stored pairs (x, y) of ids."""
@@ -418,93 +477,112 @@ class JaccardJoin:
         rows = ws.put(rows.join(cls.select("k1", "id", "n"), "k1").select("token", "id", "n"), "rows")
         only.destroy()
         ws.drop("tokens")
-        seeds = [F.col("n"), *[F.xxhash64("id", F.lit(j)) for j in range(1, HUBS)]]
-        hubs = F.array_distinct(F.array(*[F.min(F.struct(seed.alias("u"), "id"))["id"] for seed in seeds]))
         each = rows.groupBy("token").agg(
-            F.count("*").alias("m"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("member"), "id")).alias("s2"), hubs.alias("hubs")
+            F.count("*").alias("m"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("member"), "id")).alias("s2")
         )
-        each = each.filter("m > 1").groupBy("m", "lo", "s1", "s2").agg(F.min(F.struct("token", "hubs")).alias("t"))
-        each = ws.put(each.select("t.token", "m", "t.hubs"), "groups")
+        each = each.filter("m > 1").groupBy("m", "lo", "s1", "s2").agg(F.min("token").alias("token"))
+        each = ws.put(each.select("token", "m"), "sizes")
         rows = ws.put(rows.join(each.select("token"), "token"), "members")
-        ws.drop("rows")
+        each = ws.put(each.join(with_hubs(rows, 1), "token"), "groups")
+        ws.drop("rows", "sizes")
         return rows, each
 
     def star_links(self, rows: DataFrame, groups: DataFrame, cls: DataFrame) -> DataFrame:
-        """Links (a, b) of the star round."""
+        """Links (a, b) of the star round over rows (token, id, n) and groups (token, m, hubs): of pairs of hubs, and of the others with their best hubs."""
         ws = self.ws
         q = F.ceil(F.col("m") / TILE).cast("long")
-        r = rows.join(groups.select("token", q.alias("q"), "hubs"), "token")
-        r = r.withColumn("hub", F.array_contains("hubs", F.col("id")).cast("int"))
+        r = rows.join(groups.select("token", "m", q.alias("q"), "hubs"), "token")
+        r = r.withColumn("hub", F.exists("hubs", lambda h: h["id"] == F.col("id")).cast("int"))
+        fits = F.exists("hubs", lambda h: (h["id"] != F.col("id")) & (NUM * F.col("n") <= DEN * h["n"]) & (NUM * h["n"] <= DEN * F.col("n")))
+        r = r.filter(fits | ((F.col("hub") == 1) & (F.col("m") > HUBS)))
         one = F.array(F.pmod(F.xxhash64("id"), F.col("q")))
-        r = r.select("token", F.explode(F.when(F.col("hub") == 1, F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(one)).alias("side"), "id", "n", "hub")
+        sides = F.when(F.col("hub") == 1, F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(one)
+        r = r.select("token", F.explode(sides).alias("side"), "id", "n", "hub")
         r = r.join(cls.select("id", "vec"), "id").select("token", "side", "id", "n", "hub", "vec")
         p = r.repartition("token", "side").sortWithinPartitions("token", "side").mapInArrow(_stars, "y long, x long, score double, hubs boolean")
-        # one row for each document and kind: its best hub; pairs of hubs stand for themselves
+        # one row for each document: its best hub; pairs of hubs stand for themselves
         p = p.groupBy("y", F.when(F.col("hubs"), F.col("x")).alias("own")).agg(F.max(F.struct("score", (-F.col("x")).alias("x"))).alias("b"))
-        pairs = ws.put(p.select((-F.col("b.x")).alias("x"), "y"), "star-pairs")
+        pairs = ws.put(p.select((-F.col("b.x")).alias("x"), "y").distinct(), "star-pairs")
         out = self.verified(pairs, "star")
         ws.drop("star-pairs")
         return out
 
-    def tree_links(self, rows: DataFrame, groups: DataFrame, cls: DataFrame, comp: DataFrame) -> DataFrame:
-        """Links (a, b) of the tree round: between components within groups of more than HUBS members."""
+    def tree_links(self, rows: DataFrame, cls: DataFrame, comp: DataFrame, most: int, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) between components within the groups of rows (token, m, id, n), and the tokens of groups of which pairs are left."""
         ws = self.ws
-        r = rows.join(groups.filter(F.col("m") > HUBS).select("token", "m"), "token").join(comp, "id", "left")
-        r = ws.put(r.select("token", "m", "id", "n", F.coalesce("component", "id").alias("comp")), "apart")
+        rows = ws.put(rows.join(comp, "id", "left").select("token", "m", "id", "n", F.coalesce("component", "id").alias("comp")), f"apart-{tag}")
         step = F.floor(F.log(DEN / NUM, F.col("n").cast("double"))).cast("long")
-        r = r.withColumn("c", F.when(F.col("m") > TILE, step).otherwise(F.lit(-1).cast("long")))
+        r = rows.withColumn("c", step)
         per = r.groupBy("token", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-        per = per.groupBy("token").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("k") / TILE).cast("long")))).alias("q")
-        ).filter("lo < hi").select("token", "q")
-        r = r.join(per, "token")
-        blocks = lambda c: F.coalesce(F.element_at("q", c), F.lit(0).cast("long"))
+        per = per.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("k"))
+        r = r.join(per.filter("lo < hi").select("token", "k"), "token")
+        count = lambda c: F.coalesce(F.element_at("k", c), F.lit(0).cast("long"))
+        c = F.col("c")
+        r = r.withColumns({"up": c + 1, "down": c - 1})
+        r = r.filter(count(c) + count(F.col("up")) + count(F.col("down")) > 1)  # else no member of a size that may link
+        blocks = lambda c: F.ceil(count(c) / TILE).cast("long")
         upto = lambda k: F.filter(F.sequence(F.lit(0).cast("long"), k), lambda j: j < k)
-        r = r.withColumns({"i": F.pmod(F.xxhash64("id"), blocks(F.col("c"))), "up": F.col("c") + 1, "down": F.col("c") - 1})
+        r = r.withColumn("i", F.pmod(F.xxhash64("id"), blocks(c)))
+        zero, i = F.lit(0).cast("long"), F.col("i")
         tile = lambda ca, a, cb, b, second: F.struct(ca.alias("ca"), a.alias("a"), cb.alias("cb"), b.alias("b"), second.cast("int").alias("second"))
-        c, i = F.col("c"), F.col("i")
         own = F.transform(upto(blocks(c)), lambda j: tile(c, F.least(i, j), c, F.greatest(i, j), i > j))
-        above = F.transform(upto(F.when(c >= 0, blocks(F.col("up"))).otherwise(0)), lambda j: tile(c, i, F.col("up"), j, F.lit(0)))
-        below = F.transform(upto(F.when(c > 0, blocks(F.col("down"))).otherwise(0)), lambda j: tile(F.col("down"), j, c, i, F.lit(1)))
-        r = r.select("token", F.explode(F.concat(own, above, below)).alias("t"), "id", "n", "comp")
+        above = F.transform(upto(blocks(F.col("up"))), lambda j: tile(c, i, F.col("up"), j, F.lit(0)))
+        below = F.transform(upto(blocks(F.col("down"))), lambda j: tile(F.col("down"), j, c, i, F.lit(1)))
+        whole = F.array(tile(F.lit(-1).cast("long"), zero, F.lit(-1).cast("long"), zero, F.lit(0)))
+        tiles = F.when(F.col("m") > TILE, F.concat(own, above, below)).otherwise(whole)
+        r = r.select("token", F.explode(tiles).alias("t"), "id", "n", "comp")
         r = r.join(cls.select("id", "vec"), "id").select("token", "t.ca", "t.a", "t.cb", "t.b", "t.second", "id", "n", "comp", "vec")
         key = ["token", "ca", "a", "cb", "b"]
-        pairs = ws.put(r.repartition(*key).sortWithinPartitions(*key).mapInArrow(_trees, "x long, y long").distinct(), "tree-pairs")
-        ws.drop("apart")
-        out = self.verified(pairs, "tree")
-        ws.drop("tree-pairs")
-        return out
+        found = r.repartition(*key).sortWithinPartitions(*key).mapInArrow(_trees(most), "x long, y long, token long").distinct()
+        found = ws.put(found, f"found-{tag}")
+        out = self.verified(found.filter("token is null").select("x", "y"), tag)
+        ws.drop(f"apart-{tag}")
+        return out, found.filter("token is not null").select("token")
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id."""
+        """doc_id, n_shingles, component_id, and r1, r2: the row's key (``lines.row_key``)."""
         ws = self.ws
-        first = ws.put(self.src.mapInArrow(_first_pass, FIRST), "first")
+        first = ws.put(self.keyed.mapInArrow(_first_pass, FIRST), "first")
         count = summed(first.filter("part is not null").select("part", "bytes")).astype(np.float64)
         usual = 4 * count.mean() + 64
         late = np.where(count > usual, 1 + np.log2(np.maximum(count, 1) / usual), 0).astype(np.uint8)
         late = self.spark.sparkContext.broadcast(late)
-        members = first.filter("part is null").select("doc_id", "n", "k1", "k2")
+        members = first.filter("part is null").select("doc_id", "n", "k1", "k2", "r1", "r2")
         # the point goes by its class's smallest id, so one of equal sets carries it
         cls = first.filter("part is null and n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("vec").alias("vec"))
         cls = ws.put(cls, "classes")
         rows, groups = self.groups(late, cls)
         found = self.star_links(rows, groups, cls)
-        comp = ws.put(components(ws, found, "cc-star"), "star-components")
-        more = self.tree_links(rows, groups, cls, comp)
+        comp = ws.put(components(ws, found, "cc-star"), "components-star")
+        left = rows.join(groups.filter(F.col("m") > HUBS).select("token", "m"), "token")
+        most, k = FIRST_TRIES, 0
+        while True:
+            more, open_ = self.tree_links(left, cls, comp, most, f"tree-{k}")
+            if not more.isEmpty():
+                found = found.union(more)
+                comp = ws.put(components(ws, found, f"cc-{k}"), f"components-{k}")
+            if open_.isEmpty():
+                break
+            left, most, k = left.join(open_, "token"), most * MORE_TRIES, k + 1
         ws.drop("members", "groups")
-        final = comp if more.isEmpty() else ws.put(components(ws, found.union(more), "cc"), "components")
+        final = comp
         whole = cls.select("k1", "k2", "n", "id").join(final, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
         return members.join(whole, ["k1", "k2", "n"], "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "r1", "r2"
         )
 
 
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_documents``, with the rows' keys r1 and r2 (``lines.row_key`` of id and text)."""
     with arrow_rows(docs.sparkSession, ROWS):
         return JaccardJoin(docs, id_col, text_col).run()
 
 
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    return near_rows(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
 def oracle() -> str:
     """DuckDB: sets of word 5-grams, pairs by shared shingles, components by recursion."""
     return r"""

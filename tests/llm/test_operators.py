@@ -170,7 +170,13 @@ def test_line_runs_compact_and_anti_join(spark):
     repeated = df.filter("doc_id = 0").union(df.filter("doc_id = 0"))
     one = lines.LineRuns(spark)
     one.add(lines.hashed_lines(repeated))
-    assert one.common(2).count() == 0
+    assert one.common(2).count() == 2  # every row is a document
+    # keys stand in one run only, whatever was added before
+    two = lines.LineRuns(spark, fanout=9)
+    for i in range(3):
+        two.add(lines.hashed_lines(df.filter(F.col("doc_id") == i)))
+    keys = [{(r.h1, r.h2) for r in run.collect()} for _, run in two.runs()]
+    assert [len(k) for k in keys] == [2, 1, 1] and len(set.union(*keys)) == 4 and two.common(3).count() == 1
 
 
 def test_urls(spark):
