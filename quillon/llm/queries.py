@@ -21,15 +21,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are keyed by the page's id; a page is bad if it is toxic or of low quality."""
-    lab = table(spark, sf_dir, "labels")
-    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNull() & F.col("toxic").isNull(), None).otherwise(0)
-    return urls.filter_urls(table(spark, sf_dir, "pages"), lab.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    """A page's outcome is its own text: bad if symbols make up more than a share of it (``urls.symbol_outcomes``)."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.symbol_outcomes(pages))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owner: the source; repository: source and language."""
-    docs = table(spark, sf_dir, "documents").withColumn("_repo", F.concat_ws("/", "source", "lang"))
+    """Owner: the source; repository: the document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.col("doc_id").alias("_repo"))
     return secrets.digests(secrets.scan_secrets(docs, "source", "_repo"))
 
 
@@ -57,7 +56,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "topic", "rate", "p", "kept")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,8 +13,9 @@ made unique, so a host with a third of all pages is summed map-side first.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no
 rule, and takes the verdict of the empty host; null outcomes count as
-unlabelled; repeated rows count each; without any label the rate is 1/2 and the
-prior is weakest, so nothing is blocked.
+unlabelled, rows with a null id have no outcome; repeated rows count each; without
+any label the rate is 1/2 and the prior is weakest, so nothing is blocked; very long
+urls are taken apart in one pass, by splitting at dots; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +23,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import Workspace, lower_ascii
 
 #: (action, host/path) of the query's contract.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: Second labels that make a public suffix of two labels under a country code.
-SECOND = "co|com|org|net|gov|ac|edu"
-MAX_BAD, Z = 0.5, 1.645
+SECOND = ("co", "com", "org", "net", "gov", "ac", "edu")
+#: A host is blocked when more than this share of its pages is bad, at a posterior certainty of 95 %.
+MAX_BAD, Z = 0.05, 1.645
 RHO_LEAST, RHO_MOST = 0.001, 0.9
+#: A page is bad when these symbols are more than BAD_SHARE of its text without tags; pages of fewer than LEAST_TEXT code points have no outcome.
+SYMBOLS, BAD_SHARE, LEAST_TEXT = "*%#$~^|{}=", 0.04, 200
+
+
+def symbol_outcomes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Rows (id, bad) from the pages' own html: 1 where its text is strewn with symbols, 0 where not, null for short or null pages."""
+    text = F.regexp_replace(html := F.col(html_col), "<[^>]*>", "")
+    n = F.char_length(text)
+    symbols = n - F.char_length(F.translate(text, SYMBOLS, ""))
+    return pages.select(F.col(id_col), F.when(html.isNull() | (n < LEAST_TEXT), None).otherwise((symbols > n * BAD_SHARE).cast("int")).alias("bad"))
 
 
 def host_of(url: Column) -> Column:
@@ -42,12 +54,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _labels(host: Column) -> tuple[Column, Column, Column]:
+    """The host's last three labels, last first; null where there are fewer."""
+    parts = F.split(host, "[.]", -1)
+    return tuple(F.try_element_at(parts, F.lit(-k)) for k in (1, 2, 3))
+
+
+def _two(last: Column, second: Column) -> Column:
+    return F.coalesce(last.rlike("^[a-z][a-z]$") & second.isin(*SECOND), F.lit(False))
+
+
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, rf"((?:(?:{SECOND})\.[a-z][a-z]|[^.]*))$", 1)
+    """The last label, or the last two where they form a public suffix."""
+    last, second, _ = _labels(host)
+    return F.when(_two(last, second), F.concat_ws(".", second, last)).otherwise(last)
 
 
 def domain_of(host: Column) -> Column:
-    return F.regexp_extract(host, rf"([^.]*\.(?:(?:{SECOND})\.[a-z][a-z]|[^.]*)|[^.]*)$", 1)
+    """The suffix with the label before it."""
+    last, second, third = _labels(host)
+    return F.when(_two(last, second), F.concat_ws(".", third, second, last)).otherwise(F.concat_ws(".", second, last))
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -91,9 +117,12 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
     """
     seen = pages.select(F.col(id_col).alias("_id"), host_of(F.col("url")).alias("host"))
     lab = outcomes.select(F.col(id_col).alias("_id"), F.col("bad").cast("long").alias("bad")).filter("bad is not null")
-    got = seen.join(lab, "_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    # an id's outcomes count for every host that it stands with, each once
+    lab = lab.groupBy("_id").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    got = seen.distinct().join(lab, "_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     hosts = seen.select("host").distinct().join(got, "host", "left").na.fill(0, ["n", "k"])
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = Workspace(pages.sparkSession).put(hosts, "hosts")  # read at each level
     total = lambda keys: hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pn"), F.coalesce(F.sum("k"), F.lit(0)).alias("pk"))
     whole = whole.withColumn("pm", (F.col("pk") + 0.5) / (F.col("pn") + 1.0))
@@ -138,13 +167,14 @@ def oracle() -> str:
 {name}_t AS (SELECT 1 / greatest({RHO_LEAST}, least({RHO_MOST}, coalesce(CASE WHEN sn2 > sn THEN (s - sn) / (sn2 - sn) ELSE {RHO_MOST} END, {RHO_MOST}))) - 1 AS strength FROM {name}_s),
 {name} AS (SELECT {keys}, n AS pn, k AS pk, (k + strength * pm) / (n + strength) AS pm, n + strength AS mass FROM {name}_j CROSS JOIN {name}_t)"""
 
-    pub = f"(?:(?:{SECOND})\\.[a-z][a-z]|[^.]*)"
+    two = "(regexp_full_match(p[-1], '[a-z][a-z]') AND p[-2] IN (" + ", ".join(f"'{x}'" for x in SECOND) + "))"
+    text = "regexp_replace(html, '<[^>]*>', '', 'g')"
     return f"""
 WITH pg AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
-lab AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE 0 END AS bad FROM labels),
-got AS (SELECT host, count(*) AS n, sum(bad) AS k FROM pg JOIN lab USING (page_id) WHERE bad IS NOT NULL GROUP BY host),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\\.{pub}|[^.]*)$', 1) AS domain, regexp_extract(host, '({pub})$', 1) AS suffix,
-  coalesce(n, 0)::DOUBLE AS n, coalesce(k, 0)::DOUBLE AS k FROM (SELECT DISTINCT host FROM pg) LEFT JOIN got USING (host)),
+lab AS (SELECT page_id, CASE WHEN html IS NULL OR length({text}) < {LEAST_TEXT} THEN NULL WHEN length({text}) - length(translate({text}, '{SYMBOLS}', '')) > length({text}) * {BAD_SHARE} THEN 1 ELSE 0 END AS bad FROM pages),
+got AS (SELECT host, sum(n) AS n, sum(k) AS k FROM (SELECT DISTINCT page_id, host FROM pg) JOIN (SELECT page_id, count(*) AS n, sum(bad) AS k FROM lab WHERE bad IS NOT NULL GROUP BY 1) USING (page_id) GROUP BY host),
+hosts AS (SELECT host, n, k, CASE WHEN {two} THEN concat_ws('.', p[-3], p[-2], p[-1]) ELSE concat_ws('.', p[-2], p[-1]) END AS domain, CASE WHEN {two} THEN concat_ws('.', p[-2], p[-1]) ELSE p[-1] END AS suffix
+  FROM (SELECT host, string_split(host, '.') AS p, coalesce(n, 0)::DOUBLE AS n, coalesce(k, 0)::DOUBLE AS k FROM (SELECT DISTINCT host FROM pg) LEFT JOIN got USING (host))),
 w AS (SELECT coalesce(sum(n), 0) AS pn, coalesce(sum(k), 0) AS pk, (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS pm FROM hosts),
 sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1),
 dm AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
