@@ -6,21 +6,26 @@ base span.  All candidate values are hashed and counted by distinct repositories
 and owners over the whole corpus.  A candidate that at most ``most_owners``
 owners hold looks live and is added as a span of kind ``live``; a value that
 ``copied_owners`` owners or more share is a widely copied example.  Base spans
-always stay; ``n_copied`` counts those whose value is a copied example.
+always stay; ``n_copied`` counts those whose value is a copied example, ``n_live``
+those of at most ``most_owners`` owners.
 
-One pass over the texts writes (row key, owner, repository, spans) to the shared
-folder; the rest works on that small table.  Counting goes value and owner and
-repository -> value and owner -> value, each summed map-side, so a value held by
-a third of all documents never meets in one task.
+One pass over the texts writes the matches (lengths and values) to the shared
+folder; the rest works on that small table: offsets are running sums of lengths in
+a window over a text's matches, and a candidate's distance to the base spans is
+told by a running maximum and minimum, so work grows as n log n in the matches of
+a text.  Counting goes value and owner and repository -> value and owner -> value,
+each summed map-side, so a value held by a third of all documents never meets in
+one task.
 
 Cases: a null text counts as empty; null owners and repositories are one owner
-and repository each; identical rows get identical results; offsets are code
-points, end exclusive.
+and repository each; identical rows get identical results; very long texts are
+searched whole; ties (spans with one start) are ordered by kind; extra columns are
+ignored; offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -39,27 +44,28 @@ KINDS = [("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 TOKEN = r"[A-Za-z0-9_-]{24,}"
 NAMES = [k[0] for k in KINDS] + ["live"]
 MOST_OWNERS, COPIED_OWNERS = 1, 3
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_MATCHES = "array<struct<gap:int,size:int,value:string>>"
 
 
-def spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Left to right matches as structs (start, kind, end, value), those with short values left out.
-
-    The parts between matches and the matches are summed up in one fold."""
-    parts = F.split(text, pattern, -1)
+def matches(text: Column, pattern: str, group: int) -> Column:
+    """Left to right matches as structs: code points since the match before, code points of the match, value."""
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("m"), values.alias("value"))
+    out = F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), lambda x: F.struct(x["gap"].alias("gap"), F.char_length(x["m"]).alias("size"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(_MATCHES))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(F.coalesce(x["m"], F.lit("")))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        fits = x["m"].isNotNull() & (F.char_length(x["v"]) >= least)
-        return F.struct(end.alias("at"), F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def spans(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (r1, r2, start, kind, end, value) of the match columns of ``found``, one for each kind; equal rows once."""
+    def numbered(k: int, c: str) -> Column:
+        return F.transform(c, lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size"), m["value"].alias("value")))
 
-    folded = F.aggregate(F.arrays_zip(parts.alias("p"), found.alias("m"), values.alias("v")), zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(_SPAN))
+    each = F.concat(*[numbered(k, c) for k, c in enumerate(columns)])
+    rows = found.select("r1", "r2", F.explode(each).alias("x")).select("r1", "r2", "x.*").distinct()
+    so_far = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("r1", "r2", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return rows.withColumn("end", so_far).select("r1", "r2", (F.col("end") - F.col("size")).alias("start"), "kind", "end", "value")
 
 
 def _joined(arr: Column) -> Column:
@@ -76,39 +82,49 @@ def scan_secrets(
     most_owners: int = MOST_OWNERS,
     copied_owners: int = COPIED_OWNERS,
 ) -> DataFrame:
-    """One row per document: (id, base, live) with spans (start, kind, end, value, owners, repos)."""
+    """One row per document: (id, base, live, n_copied, n_live), spans as (start, kind, end, value, owners, repos)."""
     ws = Workspace(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     r1, r2 = row_key(docs[id_col], docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), r1.alias("r1"), r2.alias("r2"), docs[owner_col].alias("owner"), docs[repo_col].alias("repo"), text.alias("text"))
-    base = F.concat(*[spans(F.col("text"), p, g, least, i) for i, (_, p, g, least) in enumerate(KINDS)])
-    other = F.filter(
-        spans(F.col("text"), TOKEN, 0, 24, len(KINDS)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-    )
-    found = rows.select("id", "r1", "r2", "owner", "repo", base.alias("base"), other.alias("other"))
-    apart = F.filter("other", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    found = ws.put(found.select("id", "r1", "r2", "owner", "repo", "base", apart.alias("other")), "found")
-    held = found.filter("size(base) + size(other) > 0")
-    each = held.select("r1", "r2", "owner", "repo", F.explode(F.concat("base", "other")).alias("s"))
+    n = len(KINDS)
+    patterns = [*[(p, g) for _, p, g, _ in KINDS], (TOKEN, 0)]
+    found = rows.select("id", "r1", "r2", "owner", "repo", *[matches(F.col("text"), p, g).alias(f"m{i}") for i, (p, g) in enumerate(patterns)])
+    found = ws.put(found, "found")
+    names = [f"m{i}" for i in range(n + 1)]
+    kind, value = F.col("kind"), F.col("value")
+    least = F.get(F.array(*[F.lit(x) for *_, x in KINDS], F.lit(0)), kind)
+    some = spans(found.filter(" or ".join(f"size({c}) > 0" for c in names)), names).filter(F.char_length("value") >= least)
+    some = some.filter((kind < n) | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))
+    text_of = Window.partitionBy("r1", "r2")
+    base = kind < n
+    # both frames only grow: one pass each
+    behind = F.max(F.when(base, F.col("end"))).over(text_of.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.min(F.when(base, F.col("start"))).over(text_of.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumns({"behind": behind, "ahead": ahead})
+    touches = (F.coalesce("behind", F.lit(0)) > F.col("start")) | (F.coalesce("ahead", F.col("end")) < F.col("end"))
+    some = ws.put(some.filter(base | ~touches).drop("behind", "ahead"), "spans")
+    owners = found.select("r1", "r2", "owner", "repo").distinct()
+    each = some.join(owners, ["r1", "r2"]).select("r1", "r2", "owner", "repo", F.struct("start", "kind", "end", "value").alias("s"))
     each = each.withColumns({"v1": F.xxhash64("s.value"), "v2": F.xxhash64(F.lit("value"), "s.value")})
     count = (
         each.select("v1", "v2", "owner", "repo").distinct()
         .groupBy("v1", "v2", "owner").agg(F.count("*").alias("repos"))
         .groupBy("v1", "v2").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     )
-    judged = each.join(count, ["v1", "v2"]).select(
-        "r1", "r2", F.struct("s.start", "s.kind", "s.end", "s.value", "owners", "repos").alias("s")
-    )
-    # a row's spans: its own, once, whatever the number of identical rows
-    by_row = judged.groupBy("r1", "r2").agg(F.collect_set("s").alias("all"))
-    n = len(KINDS)
+    count = ws.put(count, "owned")
+    own = some.withColumns({"v1": F.xxhash64("value"), "v2": F.xxhash64(F.lit("value"), "value")})
+    judged = own.join(count, ["v1", "v2"]).select("r1", "r2", F.struct("start", "kind", "end", "value", "owners", "repos").alias("s"))
+    by_row = ws.put(judged.groupBy("r1", "r2").agg(F.collect_list("s").alias("all")), "by-row")
     empty = "array<struct<start:int,kind:int,end:int,value:string,owners:bigint,repos:bigint>>"
     every = F.coalesce("all", F.array().cast(empty))
-    return found.join(by_row, ["r1", "r2"], "left").select(
+    number = lambda test: F.size(F.filter(every, lambda s: (s["kind"] < n) & test(s["owners"]))).cast("long")
+    return found.select("id", "r1", "r2").join(by_row, ["r1", "r2"], "left").select(
         F.col("id").alias(id_col),
         F.filter(every, lambda s: s["kind"] < n).alias("base"),
         F.filter(every, lambda s: (s["kind"] == n) & (s["owners"] <= most_owners)).alias("live"),
-        F.size(F.filter(every, lambda s: (s["kind"] < n) & (s["owners"] >= copied_owners))).cast("long").alias("n_copied"),
+        number(lambda x: x >= copied_owners).alias("n_copied"),
+        number(lambda x: x <= most_owners).alias("n_live"),
     )
 
 
@@ -121,11 +137,12 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "live")).alias("spans"),
         "n_copied",
+        "n_live",
     )
 
 
 def oracle() -> str:
-    """DuckDB, for owner = source and repository = source and lang."""
+    """DuckDB, for owner = source and repository = doc_id."""
     q = lambda p: p.replace("'", "''")
 
     def kind(i: int, p: str, group: int, least: int) -> str:
@@ -149,5 +166,5 @@ everything AS (SELECT * FROM base UNION ALL SELECT * FROM other),
 owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM everything JOIN d USING (rid) GROUP BY value),
 spans AS (SELECT e.*, owners FROM everything e JOIN owned USING (value) WHERE kind < {n} OR owners <= {MOST_OWNERS}),
 g AS (SELECT rid, {counts}, string_agg({label}, ',' ORDER BY st, kind, en) FILTER (WHERE kind < {n}) AS b, string_agg({label}, ',' ORDER BY st, kind, en) AS s,
-  count(*) FILTER (WHERE kind < {n} AND owners >= {COPIED_OWNERS}) AS n_copied FROM spans GROUP BY rid)
-SELECT doc_id, {out}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN g USING (rid)"""
+  count(*) FILTER (WHERE kind < {n} AND owners >= {COPIED_OWNERS}) AS n_copied, count(*) FILTER (WHERE kind < {n} AND owners <= {MOST_OWNERS}) AS n_live FROM spans GROUP BY rid)
+SELECT doc_id, {out}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live FROM d LEFT JOIN g USING (rid)"""
