@@ -8,12 +8,14 @@ into segments of ``SEGMENT`` bytes so that many run side by side; every byte of
 every text is read.
 
 The network is trained here, by backpropagation through time in numpy with Adam,
-on a bounded sample: about ``PER_LANG`` hashed-out rows for each of at most
-``MOST_LANGS`` languages, one window of ``WINDOW`` characters at a hashed place
-of each.  Rows whose crc32(id) mod 3 is 1 are never learned from.  The sample is
-the only thing that reaches the driver.
-
-Cases: null text, or text without a letter: ``und`` with score 0; null ids are
+on a bounded sample of labelled rows: every language has its share of ``SAMPLE``
+hashed-out rows, ``PER_LANG`` at most and ``LEAST_ROWS`` at least, one window of
+``WINDOW`` characters at a hashed place of each.  No language is left out, however
+many there are.  Rows whose crc32(id) mod 3 is 1 are never learned from.  The
+sample, and a count for each label, are all that reaches the driver.
+
+Cases: very long texts are read whole, in segments; ties of the score go to the label
+that sorts first; null text, or text without a letter: ``und`` with score 0; null ids are
 not held out; without a labelled row every text is ``und``; equal texts get
 equal labels; columns of other names are ignored.
 """
@@ -31,7 +33,7 @@ from .common import give_back
 
 HIDDEN = 8
 SEGMENT, BATCH = 128, 1024
-PER_LANG, MOST_LANGS, WINDOW = 240, 64, 160
+SAMPLE, PER_LANG, LEAST_ROWS, WINDOW = 15_360, 240, 20, 160
 STEPS, RATE, TRAIN_LEN, TRAIN_BATCH = 180, 0.02, 48, 256
 UND = "und"
 CHUNK_BYTES = 500_000
@@ -47,14 +49,15 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(
         ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
+    each = max(LEAST_ROWS, min(PER_LANG, SAMPLE // len(counts)))
     u = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000_000))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000_000, PER_LANG * 1_000_000_000 // r["count"]))])
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000_000, each * 1_000_000_000 // r["count"] + 1))])
     place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.char_length("text") - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
     picked = rows.withColumn("u", u).filter(F.col("u") < F.element_at(rate, F.col("lang")))
-    got = picked.select("lang", "u", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("part")).orderBy("u", "lang", "part").limit(2 * PER_LANG * len(counts))
+    got = picked.select("lang", "u", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("part")).orderBy("u", "lang", "part").limit(2 * each * len(counts))
     return [(r["lang"], r["part"]) for r in got.collect()]
 
 
@@ -133,7 +136,7 @@ class Network:
         for step in range(1, STEPS + 1):
             data, label = [], []
             for i in range(TRAIN_BATCH):
-                lang = names[i % len(names)]
+                lang = names[(step * TRAIN_BATCH + i) % len(names)]
                 x = raw[lang][rng.integers(len(raw[lang]))]
                 at = rng.integers(len(x) - TRAIN_LEN + 1)
                 data.append(x[at : at + TRAIN_LEN])
