@@ -8,8 +8,18 @@ after every 8x8 block (which resets the DC predictor), a block of 64 payload
 bytes becomes 64 pairs (code byte, payload byte) and a marker.  The stream is
 plain baseline JPEG, and coding and decoding are array operations.
 
-Cases: a null text counts as empty; an empty text is one block of zeros; texts
-of any length become more frames; the result depends on the text alone.
+Reading starts from the file alone: RIFF lists and the idx1 index lead to the
+images, whose quantisation, Huffman, frame and scan headers and restart intervals
+are parsed (``parse_jpeg``).  Images whose tables make every coefficient one code
+byte and one magnitude byte are decoded as arrays, all other baseline images
+bit by bit (``decode_scan``), with any number of components and sampling factors;
+other coding processes and missing tables are errors.  ``movie_clips`` detects
+shots in any motion-JPEG AVI of such images.
+
+Cases: a null text counts as empty; an empty text is one block of zeros; very long
+texts become more frames (RIFF sizes are 32-bit: a text above about 1.9 GB, which no
+Arrow string column holds either, is an error); equal rows get equal results; extra
+columns are ignored; the result depends on the text alone.
 """
 
 from __future__ import annotations
@@ -18,6 +28,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -80,18 +91,168 @@ def encode_frames(payload: bytes) -> list[bytes]:
     return out
 
 
+@dataclass
+class Jpeg:
+    """Headers of a baseline image, and where its scan starts.
+
+    parts: (id, across, down, quantiser) per component; scan: (component, DC table, AC table)."""
+
+    width: int = 0
+    height: int = 0
+    restart: int = 0
+    quantisers: dict[int, np.ndarray] = field(default_factory=dict)
+    codes: dict[tuple[int, int], dict[tuple[int, int], int]] = field(default_factory=dict)
+    parts: list[tuple[int, int, int, int]] = field(default_factory=list)
+    scan: list[tuple[int, int, int]] = field(default_factory=list)
+    start: int = 0
+
+
+def parse_jpeg(image: bytes) -> Jpeg:
+    if image[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG image")
+    out, at = Jpeg(), 2
+    while True:
+        if at + 4 > len(image) or image[at] != 0xFF:
+            raise ValueError("a JPEG header is cut short")
+        marker, n = image[at + 1], struct.unpack_from(">H", image, at + 2)[0]
+        body = image[at + 4 : at + 2 + n]
+        at += 2 + n
+        if marker == 0xDB:
+            while body:
+                wide, k = body[0] >> 4, body[0] & 15
+                size = 128 if wide else 64
+                out.quantisers[k] = np.frombuffer(body[1 : 1 + size], ">u2" if wide else np.uint8).astype(np.int64)
+                body = body[1 + size :]
+        elif marker == 0xC4:
+            while body:
+                count, code, place, table = list(body[1:17]), 0, 17, {}
+                for length, m in enumerate(count, 1):
+                    for _ in range(m):
+                        table[length, code] = body[place]
+                        code, place = code + 1, place + 1
+                    code <<= 1
+                out.codes[body[0] >> 4, body[0] & 15] = table
+                body = body[place:]
+        elif marker == 0xC0:
+            if body[0] != 8:
+                raise ValueError("samples of more than 8 bits")
+            out.height, out.width = struct.unpack_from(">HH", body, 1)
+            out.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+        elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
+            raise ValueError("not a baseline image")
+        elif marker == 0xDD:
+            out.restart = struct.unpack(">H", body)[0]
+        elif marker == 0xDA:
+            ids = [p[0] for p in out.parts]
+            out.scan = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            if any((0, d) not in out.codes or (1, a) not in out.codes for _, d, a in out.scan):
+                raise ValueError("a Huffman table is missing")
+            out.start = at
+            return out
+
+
+def _is_bytewise(j: Jpeg) -> bool:
+    """Whether every coefficient is an eight-bit code and an eight-bit magnitude, every block with a restart marker behind it."""
+    one = {(8, 0): 8}
+    return len(j.scan) == 1 and j.restart == 1 and all(j.codes[0, d] == one and j.codes[1, a] == one for _, d, a in j.scan)
+
+
+def _intervals(body: bytes) -> list[bytes]:
+    """The entropy-coded bytes between restart markers, without stuffing, up to the end marker."""
+    data = np.frombuffer(body, np.uint8)
+    marks = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] != 0) & (data[1:] != 0xFF))
+    out, at = [], 0
+    for m in marks.tolist():
+        out.append(body[at:m].replace(b"\xff\x00", b"\xff"))
+        at = m + 2
+        if not 0xD0 <= data[m + 1] <= 0xD7:
+            break
+    return out
+
+
+def decode_scan(image: bytes, j: Jpeg) -> list[np.ndarray]:
+    """Quantised coefficients (blocks down x blocks across x 64, in scan order) of every component."""
+    if len(j.scan) != len(j.parts):
+        raise ValueError("components in several scans")
+    across, down = max(p[1] for p in j.parts), max(p[2] for p in j.parts)
+    if len(j.parts) == 1:
+        wide, high, units = -(-j.width // 8), -(-j.height // 8), [(0, 1, 1)]
+    else:
+        wide, high, units = -(-j.width // (8 * across)), -(-j.height // (8 * down)), [(k, p[1], p[2]) for k, p in enumerate(j.parts)]
+    out = [np.zeros((high * v, wide * h, BLOCK), np.int64) for _, h, v in units]
+    mcu, per = 0, j.restart or wide * high
+    for raw in _intervals(image[j.start :]):
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).tolist()
+        at, last = 0, [0] * len(units)
+
+        def code(table: dict[tuple[int, int], int], bits=bits) -> int:
+            nonlocal at
+            value = 0
+            for length in range(1, 17):
+                value = value << 1 | bits[at]
+                at += 1
+                if (length, value) in table:
+                    return table[length, value]
+            raise ValueError("no such Huffman code")
+
+        def number(size: int, bits=bits) -> int:
+            nonlocal at
+            value = 0
+            for b in bits[at : at + size]:
+                value = value << 1 | b
+            at += size
+            return value if not size or value >> (size - 1) else value - (1 << size) + 1
+
+        for _ in range(min(per, wide * high - mcu)):
+            row, col = divmod(mcu, wide)
+            for part, dc, ac in j.scan:
+                _, h, v = units[part]
+                for y in range(v):
+                    for x in range(h):
+                        block = out[part][row * v + y, col * h + x]
+                        last[part] += number(code(j.codes[0, dc]))
+                        block[0], k = last[part], 1
+                        while k < BLOCK:
+                            run, size = divmod(code(j.codes[1, ac]), 16)
+                            if not size and run < 15:
+                                break
+                            k += run
+                            if size:
+                                block[k] = number(size)
+                            k += 1
+            mcu += 1
+    if mcu < wide * high:
+        raise ValueError("the scan is cut short")
+    return out
+
+
 def decode_coefficients(image: bytes) -> np.ndarray:
-    """The magnitude bytes of one image, blocks x 64."""
-    if not image.startswith(HEAD):
-        raise ValueError("not an image of this writer")
-    body = image[len(HEAD) :]
-    size = BLOCK * 2 + 2
-    if len(body) != PER_FRAME * size:
+    """The magnitude bytes of one bytewise image, blocks x 64."""
+    j = parse_jpeg(image)
+    if not _is_bytewise(j):
+        raise ValueError("not an image of bytes")
+    body = image[j.start :]
+    blocks, size = -(-j.width // 8) * -(-j.height // 8), BLOCK * 2 + 2
+    if len(body) != blocks * size:
         pairs = np.frombuffer(body, np.uint8)
         keep = np.ones(len(pairs), bool)
         keep[1:] = ~((pairs[:-1] == 0xFF) & (pairs[1:] == 0))
         body = pairs[keep].tobytes()
-    return np.frombuffer(body, np.uint8).reshape(PER_FRAME, size)[:, 1 : 2 * BLOCK : 2]
+    return np.frombuffer(body, np.uint8).reshape(blocks, size)[:, 1 : 2 * BLOCK : 2]
+
+
+def decode_luma(image: bytes) -> np.ndarray:
+    """Samples (height x width) of the first component of any baseline image."""
+    j = parse_jpeg(image)
+    q = j.quantisers[j.parts[0][3]]
+    if _is_bytewise(j):
+        v = decode_coefficients(image).astype(np.int64)
+        coef = np.where(v < 128, v - 255, v).reshape(-(-j.height // 8), -(-j.width // 8), BLOCK)
+    else:
+        coef = decode_scan(image, j)[0]
+    x = np.clip(np.rint((coef * q).astype(np.float32) @ _TRANSFORM + 128), 0, 255).astype(np.uint8)
+    x = x.reshape(*x.shape[:2], 8, 8).transpose(0, 2, 1, 3)
+    return x.reshape(x.shape[0] * 8, -1)[: j.height, : j.width]
 
 
 def _chunk(tag: bytes, body: bytes) -> bytes:
@@ -125,27 +286,51 @@ def _chunks(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, i
         at += 8 + n + n % 2
 
 
-def read_avi(avi: bytes) -> tuple[np.ndarray, int]:
-    """Blocks (n x 64) of all frames by way of idx1, and the payload's length."""
+def images_of(avi: bytes) -> tuple[list[bytes], int | None, int]:
+    """The images by way of idx1, the payload's length where LIST INFO has it, and the microseconds of a frame."""
     data = memoryview(avi)
     if bytes(data[:4]) != b"RIFF" or bytes(data[8:12]) != b"AVI ":
         raise ValueError("not an AVI file")
     movi = length = None
-    entries: list[tuple[int, int]] = []
+    per_frame = 1_000_000 // FPS
+    entries: list[tuple[bytes, int, int]] = []
     for tag, at, n in _chunks(data, 12, len(data)):
         kind = bytes(data[at : at + 4]) if tag == b"LIST" else b""
         if kind == b"movi":
             movi = at
+        elif kind == b"hdrl":
+            per_frame = next((struct.unpack_from("<I", data, a)[0] for t, a, _ in _chunks(data, at + 4, at + n) if t == b"avih"), per_frame)
         elif kind == b"INFO":
             for t, a, m in _chunks(data, at + 4, at + n):
                 if t == b"ISBJ":
                     length = int(bytes(data[a : a + m]).rstrip(b"\x00"))
         elif tag == b"idx1":
-            entries = [struct.unpack_from("<II", data, at + 16 * i + 8) for i in range(n // 16)]
-    if movi is None or length is None:
-        raise ValueError("AVI without movie data or length")
-    frames = [decode_coefficients(bytes(data[movi + o + 8 : movi + o + 8 + n])) for o, n in entries]
-    return np.concatenate(frames), length
+            entries = [struct.unpack_from("<4s4xII", data, at + 16 * i) for i in range(n // 16)]
+    if movi is None:
+        raise ValueError("AVI without movie data")
+    video = [(o, n) for tag, o, n in entries if tag[2:] in (b"dc", b"db")]
+    # offsets count from the list's type or, with some writers, from the file's start
+    base = movi if not video or bytes(data[movi + video[0][0] + 2 : movi + video[0][0] + 4]) in (b"dc", b"db") else 0
+    return [bytes(data[base + o + 8 : base + o + 8 + n]) for o, n in video], length, per_frame
+
+
+def read_avi(avi: bytes) -> tuple[np.ndarray, int]:
+    """Blocks (n x 64) of all frames by way of idx1, and the payload's length."""
+    images, length, _ = images_of(avi)
+    if length is None:
+        raise ValueError("AVI without a payload's length")
+    return np.concatenate([decode_coefficients(x) for x in images]), length
+
+
+def movie_clips(avi: bytes) -> list[tuple[int, int, int]]:
+    """Timed clips (start ms, end ms, frames) of any AVI of baseline JPEG images."""
+    images, _, per_frame = images_of(avi)
+    if not images:
+        return []
+    frames = [decode_luma(x) for x in images]
+    hist = np.stack([np.bincount(f.ravel() >> 4, minlength=BINS) for f in frames])
+    starts = shots(hist, pixels=frames[0].size)
+    return [(a * per_frame // 1000, b * per_frame // 1000, b - a) for a, b in zip(starts, [*starts[1:], len(frames)], strict=True)]
 
 
 def _basis() -> np.ndarray:
@@ -175,7 +360,7 @@ def luma(blocks: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 255, out=x).astype(np.uint8)
 
 
-def shots(histograms: np.ndarray, window: int = 8, factor: int = 2) -> list[int]:
+def shots(histograms: np.ndarray, window: int = 8, factor: int = 2, pixels: int = 64 * PER_FRAME) -> list[int]:
     """First frames of the clips: a cut stands where the histogram difference
     exceeds ``factor`` times the mean of the ``window`` differences before it
     (integer arithmetic; the first difference is compared with half a frame)."""
@@ -184,7 +369,7 @@ def shots(histograms: np.ndarray, window: int = 8, factor: int = 2) -> list[int]
     i = np.arange(len(d))
     lo = np.maximum(0, i - window)
     n, s = i - lo, total[i] - total[lo]
-    cut = np.where(n > 0, d * n > factor * s, 2 * d > 64 * PER_FRAME)
+    cut = np.where(n > 0, d * n > factor * s, 2 * d > pixels)
     return [0, *(np.flatnonzero(cut) + 1).tolist()]
 
 
