@@ -42,19 +42,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of every group of linked documents the one with the smallest id stays."""
-    groups = Workspace(spark).put(ngram_join.near_documents(docs), "groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        named = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        out = named.union(out.filter("doc_id is null"))
-    return out
+    """N-gram Jaccard join: of every group of linked documents the one with the smallest id stays.
+
+    Rows of equal id and text are one document: of these the row with the smallest hash of all its columns
+    stays.  Rows that share an id but not the text are documents of their own.  Rows without an id all stay."""
+    ws = Workspace(spark)
+    groups = ws.put(ngram_join.near_rows(docs), "groups").filter("doc_id is not null")
+    gone = groups.filter("doc_id <> component_id").select("r1", "r2").distinct()
+    r1, r2 = lines.row_key(docs["doc_id"], docs["text"])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], r1.alias("r1"), r2.alias("r2"))
+    rows = rows.join(gone, ["r1", "r2"], "left_anti")
+    again = ws.put(groups.filter("doc_id = component_id").groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1").select("r1", "r2"), "again")
+    if not again.isEmpty():
+        one = rows.join(again, ["r1", "r2"]).groupBy("r1", "r2").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("x")).select("x.*")
+        rows = rows.join(again, ["r1", "r2"], "left_anti").select(*names).union(one)
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: documents are drawn by probabilities that fit the target weights."""
-    return mixing.mix(docs, budget=BUDGET).filter("kept").select(*docs.columns)
+    out = mixing.mix(docs, budget=BUDGET)
+    return out.filter(out.columns[-1]).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: The first stage's network and the tokenizer are beyond SQL; tests hold run() against brute force.
+#: The first stage's network and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
