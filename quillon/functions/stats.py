@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 import numpy as np
@@ -26,8 +25,61 @@ def kurtosis_adjusted(x: str) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def _weights_of(w: str) -> Column:
+    """The total weight; an error for null or negative weights and for a total that isn't positive."""
+    bad = F.max((F.col(w).isNull() | (F.col(w) < 0) | F.isnan(F.col(w).cast("double"))).cast("int")) == 1
+    return F.when(bad | (F.sum(w) <= 0), F.raise_error(F.lit(f"weights in {w} must be known, at least 0, and not all 0")).cast("double")).otherwise(F.sum(w))
+
+
 def weighted_mean(x: str, w: str) -> Column:
-    return F.sum(F.col(x) * F.col(w)) / F.sum(w)
+    return F.sum(F.col(x) * F.col(w)) / _weights_of(w)
+
+
+def _weighted_product(x: str, y: str, w: str) -> Column:
+    """Weighted sum of the products of deviations, from sums about the origin."""
+    cx, cy, cw = (F.col(c).cast("double") for c in (x, y, w))
+    return F.sum(cw * cx * cy) - F.sum(cw * cx) * F.sum(cw * cy) / _weights_of(w)
+
+
+def weighted_covariance(x: str, y: str, w: str) -> Column:
+    """Sample form (total weight - 1 below); null where the total weight is 1 or less."""
+    return F.when(F.sum(w) > 1, _weighted_product(x, y, w) / (F.sum(w) - 1))
+
+
+def weighted_variance(x: str, w: str, population: bool = False) -> Column:
+    return _weighted_product(x, x, w) / _weights_of(w) if population else weighted_covariance(x, x, w)
+
+
+def weighted_correlation(x: str, y: str, w: str) -> Column:
+    """Null where either side is constant."""
+    under = F.sqrt(F.greatest(_weighted_product(x, x, w) * _weighted_product(y, y, w), F.lit(0.0)))
+    return F.when(under > 0, _weighted_product(x, y, w) / under)
+
+
+def weighted_quantile(df: DataFrame, x: str, w: str, q: float, *by: str) -> DataFrame:
+    """Rows (by..., quantile): where the cumulative weight of the sorted values reaches q of the total, interpolated between neighbours.
+
+    Of equal values the one of the smallest weight comes first, and only that one is interpolated to.
+    Equal rows are counted first; the window sees distinct pairs of value and weight only."""
+    if not 0 <= q <= 1:
+        raise ValueError("a quantile lies between 0 and 1")
+    g = df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(w).cast("double").alias("_w")).agg(F.count("*").alias("_n")).filter("_x is not null")
+    order = Window.partitionBy(*by).orderBy("_x", "_w")
+    mass = F.col("_w") * F.col("_n")
+    g = g.withColumns({"_c": F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(mass).over(Window.partitionBy(*by)), "_p": F.lag("_x", 1).over(order)})
+    target, start = F.lit(float(q)) * F.col("_all"), F.col("_c") - mass
+    ramp = F.col("_p") + F.try_divide(target - start, F.col("_w")) * (F.col("_x") - F.col("_p"))
+    at = g.filter(target <= F.col("_c")).withColumn("_v", F.when((F.col("_p") < F.col("_x")) & (F.col("_w") > 0) & (target <= start + F.col("_w")), ramp).otherwise(F.col("_x")))
+    return at.groupBy(*by).agg(F.min_by("_v", F.struct("_x", "_w")).alias("quantile"))
+
+
+def order_statistic(df: DataFrame, x: str, k: int, *by: str) -> DataFrame:
+    """Rows (by..., value): the k-th smallest value, from counts of distinct values; groups with fewer rows give nothing."""
+    if k < 1:
+        raise ValueError("order statistics count from 1")
+    g = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+    g = g.withColumn("_c", F.sum("_n").over(Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    return g.filter(F.col("_c") >= k).groupBy(*by).agg(F.min("_x").alias("value")).filter("value is not null")
 
 
 def average_ranks(df: DataFrame, x: str, *by: str) -> DataFrame:
@@ -77,16 +129,50 @@ def liability_factor(sample: float, population: float) -> float:
     return population**2 * (1 - population) ** 2 / (sample * (1 - sample) * z * z)
 
 
-def _placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """_i (1-based within a partition), _offset and _total of every row in a global order.
+#: Rows of the sample that the part bounds of a global order come from, for each part; it affects the balance only.
+PER_PART, MOST_PARTS = 20, 512
+
 
-    Rows are range-partitioned; only one count per partition is windowed over."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    w = Window.orderBy("_part")
-    offsets = sizes.select("_part", (F.sum("_size").over(w) - F.col("_size")).alias("_offset"), F.sum("_size").over(Window.partitionBy()).alias("_total"))
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_i", here).join(offsets, "_part").drop("_part")
+def _order_key(df: DataFrame, order: list[str]) -> Column:
+    """The order columns, then a hash of the other columns that are neither floating-point nor maps: ties of the order spread over parts."""
+    loose = ("float", "double", "map", "variant")
+    rest = [c for c, kind in df.dtypes if c not in order and not any(x in kind for x in loose)]
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], (F.xxhash64(*rest) if rest else F.lit(0)).alias("tie"))
+
+
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """_i (1-based within a part), _offset and _total of every row in a global order.
+
+    A row's part is a function of its own key: literal bounds, taken once from a hashed sample, are
+    searched by an expression.  However often the plan runs anew and however its shuffles are dealt, counts
+    and places agree, provided that ``df`` gives the same rows each time.  Nulls come first."""
+    spark = df.sparkSession
+    parts = max(1, min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    key = _order_key(df, order)
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    at = df.select(key.alias("k")).withColumn("u", F.xxhash64("k"))
+    picked = at.orderBy("u", "k").limit(PER_PART * parts)  # a bounded top-k: one short list a task
+    cuts = [r["k"] for r in picked.select("k").distinct().orderBy("k").collect()]
+    cuts = cuts[:: max(1, len(cuts) // parts)][1:]
+
+    def literal(k) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, kind.fields, strict=True)])
+
+    def part(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("_key") < literal(cuts[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
+
+    rows = df.withColumn("_key", key).withColumn("_part", part(0, len(cuts)))
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    offsets, total = [], 0
+    for k in range(len(cuts) + 1):
+        offsets.append(total)
+        total += sizes.get(k, 0)
+    offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_part"))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    return rows.withColumns({"_i": here, "_offset": offset, "_total": F.lit(total).cast("long")}).drop("_part", "_key")
 
 
 def position_blocks(df: DataFrame, order: list[str], blocks: int) -> DataFrame:
@@ -97,12 +183,3 @@ def position_blocks(df: DataFrame, order: list[str], blocks: int) -> DataFrame:
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """``index``: 0-based place of every row in a global order."""
     return _placed(df, order).withColumn("index", (F.col("_i") + F.col("_offset") - 1).cast("long")).drop("_offset", "_total", "_i")
-
-
-def ratio_jackknife(block_sums: list[tuple[float, float]]) -> tuple[float, float]:
-    """Estimate sum(a) / sum(b) and its block jackknife standard error."""
-    a, b = np.array(block_sums).T
-    n = len(a)
-    whole = a.sum() / b.sum()
-    pseudo = n * whole - (n - 1) * (a.sum() - a) / (b.sum() - b)
-    return float(whole), float(math.sqrt(pseudo.var(ddof=1) / n))
