@@ -10,14 +10,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from . import mr
-from .special import beta_inc, normal_two_sided, p_normal, p_student, t_two_sided
+from .special import f_sf, normal_two_sided, of_column, p_chisq, p_normal, p_student, t_two_sided
 
 RESULT = "id_exposure string, id_outcome string, method string, nsnp long, b double, se double, pval double"
 GRID, CUT = 512, 3
@@ -25,14 +23,45 @@ GRID, CUT = 512, 3
 
 @dataclass(frozen=True)
 class Parameters:
-    """Replicates, penalty of outlying ratios, bandwidth factor of the modes, and the seed."""
+    """Replicates, penalty of outlying ratios, bandwidth factor of the modes, and the seed; the others are those of methods that raise."""
 
+    test_dist: str = "z"
     nboot: int = 1000
+    cov: float = 0.0
     penk: float = 20.0
     phi: float = 1.0
+    alpha: float = 0.05
+    qthresh: float = 0.05
+    over_dispersion: bool = True
+    loss_function: str = "huber"
+    shrinkage: bool = False
     seed: int = 1
 
 
+# The methods by name and their titles.
+METHODS = {
+    "mr_wald_ratio": "Wald ratio",
+    "mr_two_sample_ml": "Maximum likelihood",
+    "mr_egger_regression": "MR Egger",
+    "mr_egger_regression_bootstrap": "MR Egger (bootstrap)",
+    "mr_simple_median": "Simple median",
+    "mr_weighted_median": "Weighted median",
+    "mr_penalised_weighted_median": "Penalised weighted median",
+    "mr_ivw": "Inverse variance weighted",
+    "mr_ivw_radial": "IVW radial",
+    "mr_ivw_mre": "Inverse variance weighted (multiplicative random effects)",
+    "mr_ivw_fe": "Inverse variance weighted (fixed effects)",
+    "mr_simple_mode": "Simple mode",
+    "mr_weighted_mode": "Weighted mode",
+    "mr_weighted_mode_nome": "Weighted mode (NOME)",
+    "mr_simple_mode_nome": "Simple mode (NOME)",
+    "mr_raps": "Robust adjusted profile score (RAPS)",
+    "mr_sign": "Sign concordance test",
+    "mr_uwr": "Unweighted regression",
+    "mr_grip": "MR GRIP",
+}
+
+
 def weighted_median(ratio: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ratios (rows are replicates) interpolated where the centred cumulative weight reaches one half."""
     ratio, weight = np.atleast_2d(ratio), np.broadcast_to(weight, np.atleast_2d(ratio).shape)
@@ -137,6 +166,8 @@ DEFAULT = ["mr_wald_ratio", "mr_egger_regression", "mr_weighted_median", "mr_ivw
 def estimates(kept: DataFrame, methods: list[str] | None = None, parameters: Parameters = Parameters()) -> DataFrame:  # noqa: B008
     """Rows of all the methods asked for, closed forms and bootstrap ones; an unknown one is an error for the whole run."""
     names = methods or DEFAULT
+    if unknown := [m for m in names if m not in METHODS]:
+        raise ValueError(f"unknown methods: {', '.join(unknown)}")
     closed = [m for m in names if m not in MEDIANS + MODES]
     parts = ([mr.estimates(kept, closed)] if closed else []) + [robust(kept, m, parameters) for m in names if m in MEDIANS + MODES]
     out = parts[0]
@@ -158,43 +189,6 @@ def pleiotropy(kept: DataFrame) -> DataFrame:
     return e.select(*mr.KEYS, "nsnp", "intercept", "intercept_se", p_student(F.try_divide("intercept", "intercept_se"), (F.col("nsnp") - 2).cast("double")).alias("pval"))
 
 
-def chisq_sf(x: float, df: float) -> float:
-    """Upper tail of chi-square: series of the lower tail below df + 2, continued fraction above."""
-    a, x = df / 2, x / 2
-    if x <= 0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        k = a
-        while term > total * 1e-16:
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1 - front * total)
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 1000):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b)
-        c = b + an / c
-        h *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * h
-
-
-@F.pandas_udf(DoubleType())
-def p_chisq(q: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([chisq_sf(x, n) if pd.notna(x) and pd.notna(n) and n > 0 else None for x, n in zip(q, df, strict=True)], dtype="float64")
-
-
-def f_sf(f: float, d1: float, d2: float) -> float:
-    return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
-
-
 def r_from_b(b: Column, se: Column, n: Column) -> Column:
     """Correlation that an effect, its error and the sample size stand for."""
     f = b * b / (se * se)
@@ -217,10 +211,58 @@ def effective_n(cases: Column, controls: Column) -> Column:
     return 2 / (1 / cases + 1 / controls)
 
 
-def steiger(r_exposure: float, r_outcome: float, n_exposure: float, n_outcome: float) -> tuple[bool, float]:
-    """Whether the exposure is explained better than the outcome, and the p-value of the difference of Fisher's z."""
-    z = (math.atanh(r_exposure) - math.atanh(r_outcome)) / math.sqrt(1 / (n_exposure - 3) + 1 / (n_outcome - 3))
-    return r_exposure > r_outcome, normal_two_sided(z)
+def i_squared(y: Column, se: Column) -> Column:
+    """Aggregate: share of the spread of estimates that their errors don't explain, at least 0."""
+    w = 1 / (se * se)
+    q = F.sum(w * y * y) - F.sum(w * y) * F.sum(w * y) / F.sum(w)
+    return F.greatest(F.lit(0.0), (q - (F.count(y) - 1)) / q)
+
+
+def se_from_p(b: Column, p: Column) -> Column:
+    """Error of an effect with that two-sided normal p-value."""
+    return F.abs(b) / of_column("normal", "isf", p / 2)
+
+
+def r_test(n1: float, n2: float, r1: float, r2: float) -> tuple[float, float]:
+    """Fisher's z of the difference of two independent correlations, and its two-sided p-value."""
+    z = (math.atanh(r1) - math.atanh(r2)) / math.sqrt(1 / (n1 - 3) + 1 / (n2 - 3))
+    return z, normal_two_sided(z)
+
+
+def steiger_sensitivity(r_exposure: float, r_outcome: float) -> float:
+    """Ratio of the volumes of measurement error in which the inferred direction holds and in which it does not."""
+    a, b = max(r_exposure, r_outcome), min(r_exposure, r_outcome)
+    la, lb = math.log(a), math.log(b)
+    whole = a * la - b * lb + a * b * (lb - la)
+    against = 2 * a * b - 2 * b - b * la - a * b * la
+    return abs(whole - against) / against
+
+
+@dataclass(frozen=True)
+class Steiger:
+    r2_exposure: float
+    r2_outcome: float
+    correct_direction: bool
+    pval: float
+    correct_direction_adjusted: bool
+    pval_adjusted: float
+    sensitivity_ratio: float
+
+
+def steiger(r_exposure: float, r_outcome: float, n_exposure: float, n_outcome: float, reliability_exposure: float = 1.0, reliability_outcome: float = 1.0) -> Steiger:
+    """Whether the exposure is explained better than the outcome; adjusted for the measurements' reliability."""
+    if not (0 <= reliability_exposure <= 1 and 0 <= reliability_outcome <= 1):
+        raise ValueError("a reliability lies between 0 and 1")
+    x, y = abs(r_exposure), abs(r_outcome)
+    ax, ay = x / reliability_exposure, y / reliability_outcome
+    return Steiger(x * x, y * y, x > y, r_test(n_exposure, n_outcome, x, y)[1], ax > ay, r_test(n_exposure, n_outcome, ax, ay)[1], steiger_sensitivity(x, y))
+
+
+def steiger_of_pn(rows: list[tuple[float, float, float, float]], reliability_exposure: float = 1.0, reliability_outcome: float = 1.0) -> Steiger:
+    """From the p-values and sample sizes (p of exposure, p of outcome, n of exposure, n of outcome) of a group's instruments."""
+    total = lambda p, n: math.sqrt(sum(r_from_p(r[p], r[n]) ** 2 for r in rows))
+    mean = lambda n: sum(r[n] for r in rows) / len(rows)
+    return steiger(total(0, 2), total(1, 3), mean(2), mean(3), reliability_exposure, reliability_outcome)
 
 
 def directionality(kept: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -39,6 +40,183 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_inc(df / 2, 0.5, df / (df + t * t)) if df > 0 and math.isfinite(t) else float("nan")
 
 
+def gamma_inc(a: float, x: float) -> tuple[float, float]:
+    """Regularised incomplete gamma functions, lower and upper: a series below a + 1, a continued fraction above."""
+    if x <= 0:
+        return 0.0, 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return front * total, max(0.0, 1 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 1000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b)
+        c = b + an / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return max(0.0, 1 - front * h), front * h
+
+
+def chisq_sf(x: float, df: float) -> float:
+    return gamma_inc(df / 2, x / 2)[1]
+
+
+def f_sf(f: float, d1: float, d2: float) -> float:
+    return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+class Distribution:
+    """Density, lower and upper tail, and quantile (bisection on the tail that is smaller, in doubles' resolution)."""
+
+    low, high = -math.inf, math.inf
+
+    def pdf(self, x: float) -> float:
+        raise NotImplementedError
+
+    def cdf(self, x: float) -> float:
+        raise NotImplementedError
+
+    def sf(self, x: float) -> float:
+        return 1 - self.cdf(x)
+
+    def ppf(self, p: float) -> float:
+        return self._solve(p, 1 - p)
+
+    def isf(self, p: float) -> float:
+        return self._solve(1 - p, p)
+
+    def _solve(self, p: float, q: float) -> float:
+        if not (0 <= p <= 1 and 0 <= q <= 1):
+            return math.nan
+        if p == 0 or q == 0:
+            return self.low if p == 0 else self.high
+        above = (lambda x: self.cdf(x) < p) if p <= q else (lambda x: self.sf(x) > q)  # the quantile lies above x
+        lo, hi, step = max(self.low, -1.0), min(self.high, 1.0), 1.0
+        while above(hi) and hi < self.high:
+            lo, step = hi, 2 * step
+            hi = min(self.high, hi + step)
+        step = 1.0
+        while not above(lo) and lo > self.low:
+            hi, step = lo, 2 * step
+            lo = max(self.low, lo - step)
+        for _ in range(2000):
+            mid = (lo + hi) / 2
+            if mid in (lo, hi):
+                break
+            lo, hi = (mid, hi) if above(mid) else (lo, mid)
+        return hi
+
+
+class Normal(Distribution):
+    def __init__(self, mean: float = 0.0, sd: float = 1.0):
+        self.mean, self.sd = mean, sd
+
+    def pdf(self, x: float) -> float:
+        return math.exp(-0.5 * ((x - self.mean) / self.sd) ** 2) / (self.sd * math.sqrt(2 * math.pi))
+
+    def cdf(self, x: float) -> float:
+        return math.erfc((self.mean - x) / self.sd / math.sqrt(2)) / 2
+
+    def sf(self, x: float) -> float:
+        return math.erfc((x - self.mean) / self.sd / math.sqrt(2)) / 2
+
+
+class Student(Distribution):
+    def __init__(self, df: float):
+        self.df = df
+
+    def pdf(self, x: float) -> float:
+        d = self.df
+        return math.exp(math.lgamma((d + 1) / 2) - math.lgamma(d / 2) - (d + 1) / 2 * math.log1p(x * x / d)) / math.sqrt(d * math.pi)
+
+    def sf(self, x: float) -> float:
+        tail = beta_inc(self.df / 2, 0.5, self.df / (self.df + x * x)) / 2
+        return tail if x > 0 else 1 - tail
+
+    def cdf(self, x: float) -> float:
+        return self.sf(-x)
+
+
+class ChiSquared(Distribution):
+    low = 0.0
+
+    def __init__(self, df: float):
+        self.df = df
+
+    def pdf(self, x: float) -> float:
+        k = self.df / 2
+        return 0.0 if x <= 0 else math.exp((k - 1) * math.log(x) - x / 2 - k * math.log(2) - math.lgamma(k))
+
+    def cdf(self, x: float) -> float:
+        return gamma_inc(self.df / 2, x / 2)[0]
+
+    def sf(self, x: float) -> float:
+        return chisq_sf(x, self.df)
+
+
+class Fisher(Distribution):
+    low = 0.0
+
+    def __init__(self, d1: float, d2: float):
+        self.d1, self.d2 = d1, d2
+
+    def pdf(self, x: float) -> float:
+        if x <= 0:
+            return 0.0
+        a, b = self.d1 / 2, self.d2 / 2
+        front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(self.d1 / self.d2)
+        return math.exp(front + (a - 1) * math.log(x) - (a + b) * math.log1p(self.d1 * x / self.d2))
+
+    def cdf(self, x: float) -> float:
+        return beta_inc(self.d1 / 2, self.d2 / 2, self.d1 * x / (self.d2 + self.d1 * x)) if x > 0 else 0.0
+
+    def sf(self, x: float) -> float:
+        return f_sf(x, self.d1, self.d2)
+
+
+class Beta(Distribution):
+    low, high = 0.0, 1.0
+
+    def __init__(self, a: float, b: float):
+        self.a, self.b = a, b
+
+    def pdf(self, x: float) -> float:
+        if not 0 < x < 1:
+            return 0.0
+        front = math.lgamma(self.a + self.b) - math.lgamma(self.a) - math.lgamma(self.b)
+        return math.exp(front + (self.a - 1) * math.log(x) + (self.b - 1) * math.log1p(-x))
+
+    def cdf(self, x: float) -> float:
+        return beta_inc(self.a, self.b, x)
+
+    def sf(self, x: float) -> float:
+        return beta_inc(self.b, self.a, 1 - x)
+
+
+FAMILIES = {"normal": Normal, "t": Student, "chi2": ChiSquared, "f": Fisher, "beta": Beta}
+
+
+def of_column(family: str, what: str, x: Column, *parameters: float) -> Column:
+    """pdf, cdf, sf, ppf or isf of a column under a distribution with fixed parameters; null stays null."""
+    call = getattr(FAMILIES[family](*parameters), what)
+
+    @F.pandas_udf(DoubleType())
+    def apply(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: call(x) if pd.notna(x) else None).astype("float64")
+
+    return apply(x.cast("double"))
+
+
 @F.pandas_udf(DoubleType())
 def p_normal(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value; null stays null."""
@@ -49,3 +227,9 @@ def p_normal(z: pd.Series) -> pd.Series:
 def p_student(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student p-value; null stays null."""
     return pd.Series([t_two_sided(x, n) if pd.notna(x) and pd.notna(n) else None for x, n in zip(t, df, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def p_chisq(q: pd.Series, df: pd.Series) -> pd.Series:
+    """Upper tail of chi-square; null where q, df or both are, or df isn't positive."""
+    return pd.Series([chisq_sf(x, n) if pd.notna(x) and pd.notna(n) and n > 0 else None for x, n in zip(q, df, strict=True)], dtype="float64")
