@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stats import numbered
+
 # Suffixes and their formats, in the order they are tried.
 SUFFIXES = [
     (".csv", "csv"), (".parquet", "parquet"), (".vcf", "vcf"), (".bed", "bed"), (".gtf", "gtf"), (".gff3", "gff"), (".gff", "gff"),
@@ -28,6 +30,13 @@ def infer(path: str) -> str | None:
     return None
 
 
+def normalise_path(path: str) -> str:
+    """A path from the root: slashes at both ends and a leading ./ or . go, one slash comes in front."""
+    p = path.strip("/")
+    p = p[2:] if p.startswith("./") else p[1:] if p.startswith(".") else p
+    return "/" + p.lstrip("/")
+
+
 def _cells(df: DataFrame, ddl: str, sep: str = "\t") -> DataFrame:
     parts = F.split("value", sep, -1)
     cols: list[Column] = []
@@ -38,6 +47,12 @@ def _cells(df: DataFrame, ddl: str, sep: str = "\t") -> DataFrame:
     return df.select(*cols)
 
 
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None, header: bool = False) -> DataFrame:
+    """Tab-separated text; with a schema its columns are taken by position."""
+    reader = spark.read.option("sep", "\t").option("header", header)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
 def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     fmt = fmt or infer(path)
     if fmt == "csv":
@@ -75,15 +90,18 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, description, sequence, quality; whole files are framed by their four-line records."""
-    lines = F.split(F.regexp_replace(F.col("value"), r"\n+$", ""), "\n", -1)
-    files = spark.read.text(path, wholetext=True).select(lines.alias("l"))
-    at = files.filter("size(l) >= 4").select("l", F.explode(F.sequence(F.lit(0), F.size("l") - 4, F.lit(4))).alias("i"))
-    line = lambda k: F.get("l", F.col("i") + k)
-    return at.select(
-        F.regexp_extract(line(0), r"^@(\S*)", 1).alias("name"), F.regexp_extract(line(0), r"^@\S*\s*(.*)$", 1).alias("description"),
-        line(1).alias("sequence"), line(3).alias("quality"),
-    )
+    """name, description, sequence, quality of four-line records; plain files are read in pieces by many tasks.
+
+    Lines are numbered in the order of the file (by the split and the line in it), and every four make a record."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = text.withColumn("at", F.monotonically_increasing_id()).filter("value <> ''")
+    order = numbered(lines, ["file", "block", "at"])
+    first = order.groupBy("file").agg(F.min("index").alias("start"))
+    d = order.join(F.broadcast(first), "file").withColumn("k", F.col("index") - F.col("start"))  # a row a file
+    d = d.groupBy("file", F.floor(F.col("k") / 4).alias("record")).agg(*[F.max(F.when(F.col("k") % 4 == j, F.col("value"))).alias(f"l{j}") for j in range(4)])
+    return d.filter("l3 is not null").select(
+        F.regexp_extract("l0", r"^@(\S*)", 1).alias("name"), F.regexp_extract("l0", r"^@\S*\s*(.*)$", 1).alias("description"), F.col("l1").alias("sequence"), F.col("l3").alias("quality")
+    )
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
