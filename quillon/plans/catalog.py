@@ -7,13 +7,16 @@ DataFrame operators of this package and are held against SQL in ``ORACLES``.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ldsc, mr, odds, partitioned, stats
-from ..operators import intervals
+from ..functions import ldsc, mr, mr_robust, munge, odds, partitioned, stats
+from ..operators import intervals, ld
+from ..sources import formats, sinks, store
+from ..sources.lake import Lake
 from .registry import Engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -136,11 +139,21 @@ def rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted step median by supplier (no interpolation), weights the quantities, from cumulative weight."""
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_extendedprice").alias("x")).agg(F.sum("l_quantity").alias("w"))
-    by = Window.partitionBy("l_suppkey")
-    li = li.withColumns({"c": F.sum("w").over(by.orderBy("x")), "all": F.sum("w").over(by)})
-    return li.filter("c >= all / 2").groupBy("l_suppkey").agg(F.min("x").alias("wmedian"))
+    """Median price by supplier under the quantities, interpolated between neighbours."""
+    return stats.weighted_quantile(_t(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 0.5, "l_suppkey").select("l_suppkey", F.round("quantile", 6).alias("wmedian"))
+
+
+def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, w = "l_extendedprice", "l_discount", "l_quantity"
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.round(stats.weighted_variance(x, w) / 1e6, 6).alias("v"), F.round(stats.weighted_variance(x, w, True) / 1e6, 6).alias("pv"),
+        F.round(stats.weighted_covariance(x, y, w), 5).alias("c"), F.round(stats.weighted_correlation(x, y, w), 8).alias("r"),
+    )
+
+
+def order_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenth smallest price of every supplier."""
+    return stats.order_statistic(_t(spark, sf_dir, "lineitem"), "l_extendedprice", 10, "l_suppkey").select("l_suppkey", "value")
 
 
 def ols_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +181,10 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event with an even id with the value of the user's last event with an odd id."""
+    """Every purchase with the value of the user's last other event at or before it."""
     e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
-    a = e.filter("event_id % 2 = 0").select("user_id", "event_id", "ts")
-    b = e.filter("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    a = e.filter("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    b = e.filter("event_type <> 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     return intervals.as_of_join(a, b, ["user_id"], "ts", "value").select("event_id", "value")
 
 
@@ -188,6 +201,38 @@ def mr_ivw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id_outcome", "nsnp", F.round("b", 8).alias("b"), F.round("se", 8).alias("se"), F.round("q", 4).alias("q"))
 
 
+def mr_ivw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed and multiplicative random effects, and the unweighted regression."""
+    parts = [mr.ivw(_effects(spark, sf_dir), m).select("id_outcome", "method", F.round("b", 8).alias("b"), F.round("se", 8).alias("se")) for m in ("mr_ivw_fe", "mr_ivw_mre", "mr_uwr")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def mr_weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point estimates of the three medians, a nation's customers as instruments."""
+    d = _instruments(spark, sf_dir)
+    parts = [mr_robust.robust(d, m, mr_robust.Parameters(nboot=50)) for m in ("mr_simple_median", "mr_weighted_median")]
+    return parts[0].unionByName(parts[1]).select("id_outcome", "method", "nsnp", F.round("b", 7).alias("b"))
+
+
+def mr_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = mr_robust.heterogeneity(_instruments(spark, sf_dir))
+    return h.select("id_outcome", "method", F.round("q", 5).alias("q"), F.col("q_df").cast("long").alias("q_df"), F.col("q_pval").between(0, 1).alias("p_fits"))
+
+
+def meta_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mr.meta_ivw(_instruments(spark, sf_dir), True)
+    return m.select("id_outcome", "nsnp", F.round("b", 7).alias("b"), F.round("q", 5).alias("q"), F.round("i2", 5).alias("i2"), F.round("tau2", 7).alias("tau2"))
+
+
+def _instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as instruments, nations as outcomes: effects from balances and keys."""
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.select(
+        F.lit("e").alias("id_exposure"), F.col("c_nationkey").cast("string").alias("id_outcome"), (F.col("c_acctbal") / 20000 + 0.6).alias("beta_exposure"),
+        ((F.col("c_acctbal") / 30000 + 0.3) + k % 11 / 50.0).alias("beta_outcome"), (k % 7 / 100.0 + 0.02).alias("se_outcome"), (k % 5 / 100.0 + 0.02).alias("se_exposure"),
+    )
+
+
 def mr_egger(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = mr.egger(_effects(spark, sf_dir))
     return e.select("id_outcome", "nsnp", F.round("b", 7).alias("b"), F.round("se", 7).alias("se"), F.round("intercept", 7).alias("intercept"))
@@ -257,7 +302,102 @@ def odds_population_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
+    """Whether the estimates keep their bounds: distinct users within 10 % of the exact count, the median's rank within 1 %."""
+    e = _t(spark, sf_dir, "events")
+    got = e.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"), F.percentile_approx("value", 0.5, 1000).alias("m"), F.count("value").alias("all")
+    )
+    below = e.join(F.broadcast(got.select("event_type", "m")), "event_type").groupBy("event_type").agg(F.count(F.when(F.col("value") <= F.col("m"), 1)).alias("below"), F.count(F.when(F.col("value") < F.col("m"), 1)).alias("under"))  # one row a type
+    rank = (F.col("below") >= 0.49 * F.col("all")) & (F.col("under") <= 0.51 * F.col("all"))
+    return got.join(below, "event_type").select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("users_fit"), rank.alias("median_fits"))
+
+
+def _bases(column: str, shift: int) -> Column:
+    return F.substring(F.lit("ACGT"), (F.col(column) % 4 + 1 + shift).cast("int") % 4 + 1, 1)
+
+
+def munge_sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as summary statistics: munged by the package."""
+    li = _t(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("rs"), F.col("l_partkey")).alias("rsid"), _bases("l_orderkey", 0).alias("effect_allele"), _bases("l_suppkey", 1).alias("other_allele"),
+        (F.col("l_discount") - 0.05).alias("BETA"), F.lit(1.0).alias("P"), (F.col("l_tax") + 0.93).alias("INFO"), (F.col("l_quantity") / 100).alias("EAF"),
+        (F.col("l_linenumber") * 100 + 1000.0).alias("N"), "l_orderkey", "l_linenumber",
+    )
+    out = munge.munge(li, order=["l_orderkey", "l_linenumber"], n_min=1200.0)
+    return out.select("SNP", "A1", "A2", F.abs("Z").alias("z"), "N")
+
+
+def align_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as variants; the second pair of alleles is turned for odd sizes and on the other strand for every third key."""
+    k, one, two = F.col("p_partkey"), _bases("p_partkey", 0), _bases("p_partkey", 1)
+    strand = lambda c: F.when(k % 3 == 0, F.translate(c, "ACGT", "TGCA")).otherwise(c)
+    odd = F.col("p_size") % 2 == 1
+    p = _t(spark, sf_dir, "part").select(
+        "p_partkey", one.alias("A1"), two.alias("A2"), strand(F.when(odd, two).otherwise(one)).alias("A1x"), strand(F.when(odd, one).otherwise(two)).alias("A2x"), F.col("p_retailprice").alias("Z2")
+    )
+    return munge.align(p).select("p_partkey", "Z2")
+
+
+def ld_score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LD scores of parts as SNPs with 24 genotypes each, in windows of 12 places."""
+    places = F.sequence(F.lit(0), F.lit(23))
+    p = _t(spark, sf_dir, "part").select(
+        F.col("p_size").cast("string").alias("CHR"), F.col("p_partkey").alias("BP"), F.col("p_partkey").alias("SNP"),
+        F.transform(places, lambda j: ((F.col("p_partkey") * (j + 3) + j * j) % 7 % 3).cast("int")).alias("genotypes"),
+    )
+    return ld.ld_scores(p, 400, kind="r2").select("SNP", F.round("L2", 6).alias("l2"))
+
+
+def annotate_snps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a customer's balance, as a place, lies in an interval that the nation's suppliers span."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("CHR"), F.floor("s_acctbal").cast("long").alias("start"), (F.floor("s_acctbal") + 300).cast("long").alias("end"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("CHR"), F.floor("c_acctbal").cast("long").alias("BP"), F.col("c_custkey").alias("SNP"))
+    return ld.annotate(c, s, bin_size=1000).select("SNP", F.col("annot").cast("long").alias("annot"))
+
+
+def genetic_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-squares exactly on the line of h2 one half: the correlation of a trait with its opposite is -1."""
+    rows = _snp_rows(spark, sf_dir).withColumn("z", F.sqrt(1 + F.col("n") * F.col("a") * 0.5 / 1000))
+    rows = rows.select(*_SNP_ORDER, F.col("z").alias("z1"), (-F.col("z")).alias("z2"), F.col("n").alias("n1"), F.col("n").alias("n2"), F.col("a").alias("ld"), "wld")
+    out = ldsc.rg_frame(ldsc.place(rows, _SNP_ORDER), 1000.0, blocks=20, intercepts=(1.0, 1.0, -1.0))
+    return out.select(F.round("rg", 6).alias("rg"), F.round("h2_1", 6).alias("h2_1"), F.round("h2_2", 6).alias("h2_2"), F.round("gencov", 6).alias("gencov"))
+
+
+def liability_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow of a source, SQL and the liability node, after edges and nodes were removed and replaced."""
+    e = Engine(spark)
+    e.add("in", "source", {"path": f"{sf_dir}/region.parquet"})
+    e.add("h2", "sql", {"sql_query": "SELECT 1 AS nothing FROM port_0"})
+    e.add("liab", "liability", {"sample_prevalence": "0.5", "population_prevalence": 0.01})
+    e.add("spare", "echo")
+    e.connect("in", "h2")
+    e.connect("in", "spare")
+    e.dag.delete_edge("in", "spare")
+    e.dag.delete_node("spare")
+    e.update("h2", "sql", {"sql_query": "SELECT r_regionkey, CAST(r_regionkey AS DOUBLE) AS h2, 0.5D AS h2_se FROM port_0"})
+    e.connect("h2", "liab")
+    report = e.run()
+    if report.summary()["failed"]:
+        raise RuntimeError(str(report))
+    return e.output("liab").select("r_regionkey", F.round("h2_liab", 8).alias("h2_liab"), F.round("h2_se_liab", 8).alias("h2_se_liab"))
+
+
+def append_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written to one file and appended to, with a cast of the old rows to the new schema, then read back."""
+    path = f"{store.shared_folder(spark)}/append-{uuid.uuid4().hex}.parquet"
+    n = _t(spark, sf_dir, "nation")
+    sinks.write_file(n.filter("n_nationkey < 10").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_name").alias("name")), path)
+    sinks.write_file(n.filter("n_nationkey >= 10").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name")), path, mode="append")
+    return formats.read(spark, path)
+
+
+def lake_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions loaded into a table once each: the second load of one adds nothing."""
+    lake = Lake(spark, f"quillon_{uuid.uuid4().hex[:8]}")
+    lines = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
+    for flags in (["A"], ["A", "N"], ["N", "R"]):
+        lake.load_partitions(lines.filter(F.col("l_returnflag").isin(flags)), "lines", "l_returnflag")
+    return lake.table("lines").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
 
 
 _EFF = "(SELECT l_returnflag AS id_outcome, l_quantity / 50 - 0.4 AS x0, l_quantity / 80 + l_discount - 0.3 AS y0, l_tax + 0.05 AS se FROM lineitem)"
@@ -267,19 +407,49 @@ ORACLES = {
     "flagship": "SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority",
     "describe_stats": "SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS skew, round(kurtosis(l_extendedprice), 6) AS kurt, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS wmean FROM lineitem GROUP BY 1",
     "rank_average": "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS avg_rank FROM part",
-    "weighted_quantile": "SELECT l_suppkey, min(x) AS wmedian FROM (SELECT l_suppkey, l_extendedprice AS x, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS a FROM lineitem) WHERE c >= a / 2 GROUP BY 1",
+    "weighted_quantile": "WITH t AS (SELECT l_suppkey AS k, l_extendedprice AS x, l_quantity AS w, sum(l_quantity) OVER o AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS a, lag(l_extendedprice) OVER o AS p, row_number() OVER o AS i FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)) SELECT k AS l_suppkey, round(CASE WHEN p IS NULL THEN x ELSE p + (a / 2 - (c - w)) / w * (x - p) END, 6) AS wmedian FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM t WHERE c >= a / 2) WHERE r = 1",
+    "weighted_moments": "WITH m AS (SELECT l_returnflag AS f, sum(l_quantity) AS w, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS mx, sum(l_quantity * l_discount) / sum(l_quantity) AS my FROM lineitem GROUP BY 1), d AS (SELECT f, any_value(w) AS w, sum(l_quantity * (l_extendedprice - mx) * (l_extendedprice - mx)) AS xx, sum(l_quantity * (l_extendedprice - mx) * (l_discount - my)) AS xy, sum(l_quantity * (l_discount - my) * (l_discount - my)) AS yy FROM lineitem JOIN m ON l_returnflag = f GROUP BY f) SELECT f AS l_returnflag, round(xx / (w - 1) / 1e6, 6) AS v, round(xx / w / 1e6, 6) AS pv, round(xy / (w - 1), 5) AS c, round(xy / sqrt(xx * yy), 8) AS r FROM d",
+    "order_statistic": "SELECT l_suppkey, l_extendedprice AS value FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i FROM lineitem) WHERE i = 10",
+    "munge_sumstats": "WITH d AS (SELECT 'rs' || l_partkey AS SNP, substr('ACGT', ((l_orderkey % 4 + 1) % 4 + 1)::INT, 1) AS A1, substr('ACGT', ((l_suppkey % 4 + 2) % 4 + 1)::INT, 1) AS A2, l_quantity / 100 AS f, l_tax + 0.93 AS info, l_linenumber * 100 + 1000.0::DOUBLE AS N, l_orderkey, l_linenumber FROM lineitem) SELECT SNP, A1, A2, 0.0::DOUBLE AS z, N FROM (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY l_orderkey, l_linenumber) AS k FROM d WHERE info BETWEEN 0.9 AND 2 AND f BETWEEN 0 AND 1 AND least(f, 1 - f) > 0.01 AND A1 <> A2 AND A1 <> translate(A2, 'ACGT', 'TGCA')) WHERE k = 1 AND N >= 1200",
+    "align_alleles": "SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN -p_retailprice ELSE p_retailprice END AS Z2 FROM part WHERE (p_partkey % 4 + 1) % 4 IN (0, 2)",
+    "ld_score_windows": "WITH g AS (SELECT p_partkey AS k, p_size AS c, j, ((p_partkey * (j + 3) + j * j) % 7 % 3)::DOUBLE AS g FROM part, range(24) AS t(j)), s AS (SELECT k, c, j, (g - avg(g) OVER w) / stddev_pop(g) OVER w AS x, stddev_pop(g) OVER w AS sd FROM g WINDOW w AS (PARTITION BY k)), v AS (SELECT * FROM s WHERE sd > 0), r AS (SELECT a.k, b.k AS o, sum(a.x * b.x) / 24 AS r FROM v a JOIN v b ON a.c = b.c AND a.j = b.j AND abs(a.k - b.k) <= 400 AND a.k <> b.k GROUP BY 1, 2) SELECT k AS SNP, round(1 + coalesce(sum(r * r), 0), 6) AS l2 FROM (SELECT DISTINCT k FROM v) LEFT JOIN r USING (k) GROUP BY k",
+    "annotate_snps": "SELECT c_custkey AS SNP, (EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND floor(c_acctbal) BETWEEN floor(s_acctbal) AND floor(s_acctbal) + 300))::BIGINT AS annot FROM customer",
+    "genetic_correlation": "SELECT -1.0::DOUBLE AS rg, 0.5::DOUBLE AS h2_1, 0.5::DOUBLE AS h2_2, -0.5::DOUBLE AS gencov FROM (SELECT count(*) FROM lineitem)",
+    "liability_node": "SELECT r_regionkey, round(r_regionkey * 0.551907298063::DOUBLE, 8) AS h2_liab, round(0.5 * 0.551907298063::DOUBLE, 8) AS h2_se_liab FROM region",
+    "append_sink": "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation",
+    "lake_load": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1",
+    "approx_distinct": "SELECT event_type, true AS users_fit, true AS median_fits FROM events GROUP BY 1",
     "ols_multi": "SELECT term, round(CASE term WHEN 'intercept' THEN i ELSE s END, 4) AS coefficient, round(r, 8) AS r_squared, n AS n_obs FROM (SELECT regr_intercept(l_extendedprice, l_quantity) AS i, regr_slope(l_extendedprice, l_quantity) AS s, regr_r2(l_extendedprice, l_quantity) AS r, count(*) AS n FROM lineitem), (VALUES ('intercept'), ('x1')) AS t(term)",
     "range_join_binned": f"SELECT a.o_orderkey, b.o_orderkey AS o_orderkey_b FROM {_ORD} a JOIN {_ORD} b ON a.c_nationkey = b.c_nationkey AND a.s <= b.e AND b.s <= a.e AND a.o_orderkey < b.o_orderkey",
     "self_join_window_distance": f"SELECT a.event_id, b.event_id AS event_id_b FROM {_EV} a JOIN {_EV} b ON a.user_id = b.user_id AND b.sec - a.sec BETWEEN 0 AND 3600 AND (b.sec > a.sec OR a.event_id < b.event_id)",
     "interval_merge": f"SELECT user_id, min(s) AS start, max(e) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN s <= m + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, sec AS s, sec + 1800 AS e, max(sec + 1800) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {_EV})) GROUP BY user_id, g",
-    "as_of_join": "WITH b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT a.event_id, b.value FROM (SELECT * FROM events WHERE event_id % 2 = 0) a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts",
+    "as_of_join": "WITH b AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type <> 'purchase' GROUP BY ALL) SELECT a.event_id, b.value FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts",
     "mr_ivw": f"SELECT id_outcome, n AS nsnp, round(b, 8) AS b, round(sqrt(s2 / xx) / least(1, sqrt(s2)), 8) AS se, round(s2 * (n - 1), 4) AS q FROM (SELECT *, xy / xx AS b, (yy - xy * xy / xx) / (n - 1) AS s2 FROM (SELECT id_outcome, count(*) AS n, sum(x0 * x0 / (se * se)) AS xx, sum(x0 * y0 / (se * se)) AS xy, sum(y0 * y0 / (se * se)) AS yy FROM {_EFF} GROUP BY 1))",
     "mr_egger": f"SELECT id_outcome, n AS nsnp, round(b, 7) AS b, round(sqrt(sw / det) * greatest(1, sqrt(s2)), 7) AS se, round(a, 7) AS intercept FROM (SELECT *, (syy - a * sy - b * sxy) / (n - 2) AS s2 FROM (SELECT *, sw * sxx - sx * sx AS det, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) AS a FROM (SELECT id_outcome, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM (SELECT id_outcome, 1 / (se * se) AS w, abs(x0) AS x, CASE WHEN x0 < 0 THEN -y0 ELSE y0 END AS y FROM {_EFF}) GROUP BY 1)))",
-    "harmonise_rows": "SELECT snp, NOT (same OR swap OR fsame OR fswap) AS remove, CASE WHEN pal AND NOT amb AND (eo < 0.5) <> (ex < 0.5) THEN -b ELSE b END AS beta_outcome FROM (SELECT *, CASE WHEN turn THEN -0.2 ELSE 0.2 END::DOUBLE AS b, CASE WHEN turn THEN 1 - eo0 ELSE eo0 END AS eo, pal AND ((ex > 0.42 AND ex < 0.58) OR (CASE WHEN turn THEN 1 - eo0 ELSE eo0 END > 0.42 AND CASE WHEN turn THEN 1 - eo0 ELSE eo0 END < 0.58)) AS amb FROM (SELECT *, CASE WHEN same THEN false WHEN swap THEN true WHEN fsame THEN false ELSE fswap END AS turn FROM (SELECT *, a1 = b1 AND a2 = b2 AS same, a1 = b2 AND a2 = b1 AS swap, a1 = translate(b1, 'ACGT', 'TGCA') AND a2 = translate(b2, 'ACGT', 'TGCA') AS fsame, a1 = translate(b2, 'ACGT', 'TGCA') AND a2 = translate(b1, 'ACGT', 'TGCA') AS fswap, translate(a1, 'ACGT', 'TGCA') = a2 AS pal FROM (SELECT p_partkey AS snp, substr('ACGT', (p_partkey % 7 % 4 + 1)::INT, 1) AS a1, substr('CGTA', (p_partkey % 7 % 4 + 1)::INT, 1) AS a2, substr('ACGT', (p_partkey % 5 % 4 + 1)::INT, 1) AS b1, substr('CGTA', (p_partkey % 5 % 4 + 1)::INT, 1) AS b2, (p_partkey % 10)::DOUBLE / 10 AS ex, (p_partkey % 9)::DOUBLE / 10 AS eo0 FROM part))))",
+    "harmonise_rows": "SELECT snp, NOT (same OR swap OR fsame OR fswap) AS remove, CASE WHEN pal AND (same OR swap OR fsame OR fswap) AND ((ex < 0.5 AND eo > 0.5) OR (ex > 0.5 AND eo < 0.5)) THEN -b ELSE b END AS beta_outcome FROM (SELECT *, CASE WHEN turn THEN -0.2 ELSE 0.2 END::DOUBLE AS b, CASE WHEN turn THEN 1 - eo0 ELSE eo0 END AS eo, pal AND ((ex > 0.42 AND ex < 0.58) OR (CASE WHEN turn THEN 1 - eo0 ELSE eo0 END > 0.42 AND CASE WHEN turn THEN 1 - eo0 ELSE eo0 END < 0.58)) AS amb FROM (SELECT *, CASE WHEN same THEN false WHEN swap THEN true WHEN fsame THEN false ELSE fswap END AS turn FROM (SELECT *, a1 = b1 AND a2 = b2 AS same, a1 = b2 AND a2 = b1 AS swap, a1 = translate(b1, 'ACGT', 'TGCA') AND a2 = translate(b2, 'ACGT', 'TGCA') AS fsame, a1 = translate(b2, 'ACGT', 'TGCA') AND a2 = translate(b1, 'ACGT', 'TGCA') AS fswap, translate(a1, 'ACGT', 'TGCA') = a2 AS pal FROM (SELECT p_partkey AS snp, substr('ACGT', (p_partkey % 7 % 4 + 1)::INT, 1) AS a1, substr('CGTA', (p_partkey % 7 % 4 + 1)::INT, 1) AS a2, substr('ACGT', (p_partkey % 5 % 4 + 1)::INT, 1) AS b1, substr('CGTA', (p_partkey % 5 % 4 + 1)::INT, 1) AS b2, (p_partkey % 10)::DOUBLE / 10 AS ex, (p_partkey % 9)::DOUBLE / 10 AS eo0 FROM part))))",
     "jackknife_blocks": "SELECT block, n, round((ay - y) / (ax - x), 7) AS left_out FROM (SELECT *, sum(y) OVER () AS ay, sum(x) OVER () AS ax FROM (SELECT block, count(*) AS n, sum(l_extendedprice) AS y, sum(l_quantity) AS x FROM (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) * 20 - 1) // (count(*) OVER ()) AS block FROM lineitem) GROUP BY 1))",
     "liability_scale": "SELECT r_regionkey, round(r_regionkey * 0.551907298063::DOUBLE, 8) AS h2_liab FROM region",
     "partition_idempotent_load": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 1",
 }
+_INS = "(SELECT c_nationkey::VARCHAR AS id_outcome, c_acctbal / 20000 + 0.6 AS x, c_acctbal / 30000 + 0.3 + c_custkey % 11 / 50.0::DOUBLE AS y, c_custkey % 7 / 100.0::DOUBLE + 0.02 AS se, c_custkey % 5 / 100.0::DOUBLE + 0.02 AS sx FROM customer)"
+
+
+def _median(method: str, weight: str) -> str:
+    """The ratio where the centred cumulative weight of the sorted ratios reaches one half."""
+    order = "PARTITION BY id_outcome ORDER BY r"
+    return (
+        f"SELECT id_outcome, '{method}' AS method, n AS nsnp, round(r + (r2 - r) * (0.5 - c) / (c2 - c), 7) AS b FROM (SELECT *, lead(r) OVER ({order}) AS r2, lead(c) OVER ({order}) AS c2 FROM "
+        f"(SELECT *, (sum(w) OVER ({order} ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY id_outcome) AS c, count(*) OVER (PARTITION BY id_outcome) AS n FROM (SELECT id_outcome, y / x AS r, {weight} AS w FROM {_INS}))) WHERE c < 0.5 AND c2 >= 0.5"
+    )
+
+
+_IVW = "SELECT id_outcome, count(*) AS n, sum(x * x / (se * se)) AS xx, sum(x * y / (se * se)) AS xy, sum(y * y / (se * se)) AS yy, sum(1 / (se * se)) AS sw, sum(1 / (se * se * se * se)) AS sww"
+ORACLES |= {
+    "mr_ivw_variants": f"WITH s AS (SELECT *, xy / xx AS b, (yy - xy * xy / xx) / (n - 1) AS s2 FROM (SELECT id_outcome, count(*) AS n, sum(x0 * x0 / (se * se)) AS xx, sum(x0 * y0 / (se * se)) AS xy, sum(y0 * y0 / (se * se)) AS yy FROM {_EFF} GROUP BY 1)), u AS (SELECT *, xy / xx AS b, (yy - xy * xy / xx) / (n - 1) AS s2 FROM (SELECT id_outcome, count(*) AS n, sum(x0 * x0) AS xx, sum(x0 * y0) AS xy, sum(y0 * y0) AS yy FROM {_EFF} GROUP BY 1)) SELECT id_outcome, 'mr_ivw_fe' AS method, round(b, 8) AS b, round(sqrt(1 / xx), 8) AS se FROM s UNION ALL SELECT id_outcome, 'mr_ivw_mre', round(b, 8), round(sqrt(s2 / xx), 8) FROM s UNION ALL SELECT id_outcome, 'mr_uwr', round(b, 8), round(sqrt(s2 / xx) / least(1, sqrt(s2)), 8) FROM u",
+    "mr_weighted_median": _median("mr_simple_median", "1.0::DOUBLE") + " UNION ALL " + _median("mr_weighted_median", "1 / (se * se / (x * x) + y * y * sx * sx / (x * x * x * x))"),
+    "mr_heterogeneity": f"WITH s AS ({_IVW}, sum(x / (se * se)) AS sx, sum(y / (se * se)) AS sy FROM {_INS} GROUP BY 1), e AS (SELECT *, (sw * xy - sx * sy) / (sw * xx - sx * sx) AS b, (xx * sy - sx * xy) / (sw * xx - sx * sx) AS a FROM s) SELECT id_outcome, 'mr_ivw' AS method, round(yy - xy * xy / xx, 5) AS q, n - 1 AS q_df, true AS p_fits FROM s UNION ALL SELECT id_outcome, 'mr_egger_regression', round(yy - a * sy - b * xy, 5), n - 2, true FROM e",
+    "meta_analysis": f"WITH s AS (SELECT *, yy - xy * xy / xx AS q FROM ({_IVW} FROM {_INS} GROUP BY 1)), t AS (SELECT *, CASE WHEN q > n - 1 THEN (q - (n - 1)) / (sw - sww / sw) ELSE 0 END AS tau2 FROM s) SELECT t.id_outcome, any_value(n) AS nsnp, round(sum(x * y / (se * se + tau2)) / sum(x * x / (se * se + tau2)), 7) AS b, round(any_value(q), 5) AS q, round(any_value(CASE WHEN q > n - 1 THEN (q - (n - 1)) / q * 100 ELSE 0 END), 5) AS i2, round(any_value(tau2), 7) AS tau2 FROM t JOIN {_INS} i ON i.id_outcome = t.id_outcome GROUP BY 1",
+}
 _SNPS = "(SELECT l_quantity * l_quantity / 100 AS y, 1000.0::DOUBLE + 10 * l_linenumber AS n, l_discount * 100 + 1 AS a, l_tax * 100 + 1 AS b, l_linenumber + 1.0::DOUBLE AS wld FROM lineitem)"
 
 
@@ -297,7 +467,8 @@ ORACLES |= {
 FUNCTIONS = [
     h2_partitioned, h2_fixed_intercept, odds_population_frequency,
     flagship, describe_stats, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
-    mr_ivw, mr_egger, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,
+    mr_ivw, mr_ivw_variants, mr_egger, mr_weighted_median, mr_heterogeneity, meta_analysis, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,
+    weighted_moments, order_statistic, munge_sumstats, align_alleles, ld_score_windows, annotate_snps, genetic_correlation, liability_node, append_sink, lake_load,
 ]
 
 

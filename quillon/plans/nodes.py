@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ldsc, mr, mr_robust, stats
-from ..sources import formats, sinks
+from ..functions import ldsc, mr, mr_robust, partitioned, stats
+from ..sources import formats, sinks, store
+from ..sources.lake import Lake, free_of_reserved
 from .dag import Node, Ports
 from .registry import Registry
 
@@ -29,7 +29,7 @@ class Source(Node):
 
 
 class Sql(Node):
-    """Spark SQL over the inputs as views port_0, port_1, ..."""
+    """Spark SQL over the inputs as views port_0, port_1, ...; names may stand in double quotes."""
 
     kind = "sql"
 
@@ -42,10 +42,16 @@ class Sql(Node):
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
         if not inputs:
             raise ValueError("sql needs an input")
-        with _VIEWS:  # analysis is eager, so the views are free again afterwards
+        key = "spark.sql.ansi.doubleQuotedIdentifiers"
+        with _VIEWS:  # analysis is eager, so the views and the setting are free again afterwards
+            before = self.spark.conf.get(key, "false")
             for p, df in inputs.items():
                 df.createOrReplaceTempView(f"port_{p}")
-            return {0: self.spark.sql(self.query)}
+            try:
+                self.spark.conf.set(key, "true")
+                return {0: self.spark.sql(self.query)}
+            finally:
+                self.spark.conf.set(key, before)
 
 
 class Echo(Node):
@@ -79,14 +85,45 @@ class SinkFile(Node):
 class SinkTable(SinkFile):
     kind = "sink_table"
 
-    def __init__(self, spark: SparkSession, ident: str, mode: str = "overwrite"):
+    def __init__(self, spark: SparkSession, ident: str, mode: str = "overwrite", rename_reserved: bool = False):
         super().__init__(spark, ident, "table", mode)
+        self.rename = rename_reserved
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
-        inputs[0].write.mode(self.mode).saveAsTable(self.path)
+        *space, name = self.path.split(".")
+        Lake(self.spark, ".".join(space) or "default").write(free_of_reserved(inputs[0]) if self.rename else inputs[0], name, self.mode)
+        self.written = self.path
         return {}
 
 
+class PartitionedHeritability(Node):
+    """Heritability by annotation: rows (CHR, BP, SNP, z, n, wld, annotations) on port 0."""
+
+    kind = "ldsc_partitioned"
+
+    def __init__(self, spark: SparkSession, annotations: list[str], m: list[float], intercept: float | None = None, n_blocks: int = ldsc.BLOCKS):
+        self.names, self.m, self.intercept, self.blocks = annotations, m, intercept, n_blocks
+
+    def ports(self) -> Ports:
+        return Ports(inputs={0: None})
+
+    def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
+        rows = store.stored(inputs[0].withColumn("y", F.col("z") * F.col("z")), "partitioned")
+        return {0: partitioned.partitioned_frame(rows, self.names, self.m, ["CHR", "BP", "SNP"], blocks=self.blocks, intercept=self.intercept)}
+
+
+class QueryTable(Node):
+    """A query over the lake's tables."""
+
+    kind = "query_table"
+
+    def __init__(self, spark: SparkSession, query: str):
+        self.spark, self.query = spark, query
+
+    def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
+        return {0: self.spark.sql(self.query)}
+
+
 class LinearRegression(Node):
     """Ordinary least squares; terms are named intercept, x1, x2, ..."""
 
@@ -105,15 +142,15 @@ class LinearRegression(Node):
 class MendelianRandomisation(Node):
     kind = "mr"
 
-    def __init__(self, spark: SparkSession, method_list: list[str] | None = None, action: int = 2, tolerance: float = 0.08):
-        self.methods, self.action, self.tolerance = method_list or [], action, tolerance
+    def __init__(self, spark: SparkSession, method_list: list[str] | None = None, action: int = 2, tolerance: float = 0.08, parameters: dict | None = None):
+        self.methods, self.action, self.tolerance, self.parameters = method_list or [], action, tolerance, mr_robust.Parameters(**(parameters or {}))
 
     def ports(self) -> Ports:
         return Ports(inputs={0: None})
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
         kept = mr.harmonise(inputs[0], self.action, self.tolerance).filter("mr_keep")
-        return {0: mr_robust.estimates(kept, self.methods)}
+        return {0: mr_robust.estimates(kept, self.methods, self.parameters)}
 
 
 class LdScore(Node):
@@ -129,7 +166,7 @@ class LdScore(Node):
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
         panel = inputs[1]
-        rows = ldsc.on_panel([inputs[0]], panel).cache()
+        rows = store.stored(ldsc.on_panel([inputs[0]], panel), "ldsc")
         return {0: ldsc.h2_frame(rows, ldsc.common(panel), blocks=self.blocks, intercept=self.intercept)}
 
 
@@ -145,7 +182,7 @@ class GeneticCorrelation(Node):
         return Ports(inputs={0: None, 1: None, 2: None})
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
-        rows = ldsc.on_panel([inputs[0], inputs[1]], inputs[2]).cache()
+        rows = store.stored(ldsc.on_panel([inputs[0], inputs[1]], inputs[2]), "ldsc_rg")
         return {0: ldsc.rg_frame(rows, inputs[2].count(), blocks=self.blocks, intercepts=self.intercepts)}
 
 
@@ -173,14 +210,15 @@ def default_registry() -> Registry:
     r.register("sql", Sql, {"properties": {"sql_query": text}, "required": ["sql_query"]})
     r.register("echo", Echo, {"properties": {}})
     r.register("sink_file", SinkFile, {"properties": {"path": text, "format": text, "mode": text}, "required": ["path"]})
-    r.register("sink_table", SinkTable, {"properties": {"ident": text, "mode": text}, "required": ["ident"]})
+    r.register("sink_table", SinkTable, {"properties": {"ident": text, "mode": text, "rename_reserved": flag}, "required": ["ident"]})
+    r.register("query_table", QueryTable, {"properties": {"query": text}, "required": ["query"]})
     r.register("linear_regression", LinearRegression, {"properties": {"x_columns": texts, "y_column": text, "intercept": flag}, "required": ["x_columns", "y_column"]})
-    r.register("mr", MendelianRandomisation, {"properties": {"method_list": texts, "action": {"type": "integer"}, "tolerance": number}})
+    whole = {"type": "integer"}
+    mr_parameters = {"test_dist": text, "nboot": whole, "cov": number, "penk": number, "phi": number, "alpha": number, "qthresh": number, "over_dispersion": flag, "loss_function": text, "shrinkage": flag, "seed": whole}
+    r.register("mr", MendelianRandomisation, {"properties": {"method_list": texts, "action": whole, "tolerance": number, "parameters": {"type": "object", "properties": mr_parameters}}})
+    r.register("ldsc_partitioned", PartitionedHeritability, {"properties": {"annotations": texts, "m": {"type": "array", "items": number}, "intercept": number, "n_blocks": whole}, "required": ["annotations", "m"]})
     r.register("ldsc", LdScore, {"properties": {"intercept": number, "n_blocks": {"type": "integer"}}})
     r.register("ldsc_rg", GeneticCorrelation, {"properties": {"intercepts": {"type": "array", "items": number}, "n_blocks": {"type": "integer"}}})
     r.register("liability", Liability, {"properties": {"sample_prevalence": number, "population_prevalence": number}, "required": ["sample_prevalence", "population_prevalence"]})
     return r
 
-
-def temp_name(prefix: str) -> str:
-    return f"{prefix}-{uuid.uuid4().hex}"

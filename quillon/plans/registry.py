@@ -13,11 +13,17 @@ from .dag import Dag, Node, RunReport
 from .errors import SpecError, UnknownNode
 
 
-def normalise(value: Any, schema: dict) -> Any:
+def normalise(value: Any, schema: dict, root: dict | None = None) -> Any:
     """Repair common slips of a spec against a small JSON schema.
 
     {"item": x} and numeric-keyed objects become arrays, numeric strings numbers,
     "true" and "false" booleans; null passes where anyOf allows it."""
+    root = schema if root is None else root
+    if "$ref" in schema:
+        at: Any = root
+        for step in schema["$ref"].removeprefix("#/").split("/"):
+            at = at[step]
+        schema = at
     if "anyOf" in schema:
         if value is None:
             return None
@@ -28,10 +34,10 @@ def normalise(value: Any, schema: dict) -> Any:
             value = value["item"] if isinstance(value["item"], list) else [value["item"]]
         elif isinstance(value, dict) and value and all(re.fullmatch(r"\d+", k) for k in value):
             value = [value[k] for k in sorted(value, key=int)]
-        return [normalise(v, schema.get("items", {})) for v in value] if isinstance(value, list) else value
+        return [normalise(v, schema.get("items", {}), root) for v in value] if isinstance(value, list) else value
     if kind == "object" and isinstance(value, dict):
         props = schema.get("properties", {})
-        return {k: normalise(v, props.get(k, {})) for k, v in value.items()}
+        return {k: normalise(v, props.get(k, {}), root) for k, v in value.items()}
     if isinstance(value, str):
         if kind == "integer" and re.fullmatch(r"[+-]?\d+", value):
             return int(value)
@@ -52,6 +58,16 @@ class Registry:
     def register(self, kind: str, build: Callable[..., Node], schema: dict) -> None:
         self.kinds[kind] = (build, {"type": "object", **schema})
 
+    def info(self, kind: str) -> dict[str, Any]:
+        """A kind's documentation and spec schema, as JSON values."""
+        if kind not in self.kinds:
+            raise UnknownNode(f"no node kind {kind!r}")
+        build, schema = self.kinds[kind]
+        return {"kind": kind, "doc": (build.__doc__ or "").strip(), "spec": schema}
+
+    def catalogue(self) -> list[dict[str, Any]]:
+        return [self.info(k) for k in sorted(self.kinds)]
+
     def build(self, spark: SparkSession, kind: str, spec: dict) -> Node:
         if kind not in self.kinds:
             raise UnknownNode(f"no node kind {kind!r}")
@@ -78,6 +94,12 @@ class Engine:
     def update(self, node_id: str, kind: str, spec: dict) -> None:
         self.dag.replace_node(node_id, self.registry.build(self.spark, kind, spec))
 
+    def ports(self, node_id: str) -> dict[str, Any]:
+        """A node's input and output ports with their schemas; inputs are null where any number may be connected."""
+        p = self.dag.nodes[node_id].ports()
+        show = lambda ports: None if ports is None else {k: v.simpleString() if v is not None else None for k, v in ports.items()}
+        return {"inputs": show(p.inputs), "outputs": show(p.outputs)}
+
     def connect(self, src: str, dst: str, from_port: int = 0, to_port: int = 0) -> None:
         self.dag.add_edge(src, dst, from_port, to_port)
 
