@@ -436,10 +436,11 @@ _INS = "(SELECT c_nationkey::VARCHAR AS id_outcome, c_acctbal / 20000 + 0.6 AS x
 
 def _median(method: str, weight: str) -> str:
     """The ratio where the centred cumulative weight of the sorted ratios reaches one half."""
-    order = "PARTITION BY id_outcome ORDER BY r"
+    order = "PARTITION BY id_outcome ORDER BY i"
     return (
         f"SELECT id_outcome, '{method}' AS method, n AS nsnp, round(r + (r2 - r) * (0.5 - c) / (c2 - c), 7) AS b FROM (SELECT *, lead(r) OVER ({order}) AS r2, lead(c) OVER ({order}) AS c2 FROM "
-        f"(SELECT *, (sum(w) OVER ({order} ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY id_outcome) AS c, count(*) OVER (PARTITION BY id_outcome) AS n FROM (SELECT id_outcome, y / x AS r, {weight} AS w FROM {_INS}))) WHERE c < 0.5 AND c2 >= 0.5"
+        f"(SELECT *, (sum(w) OVER ({order} ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY id_outcome) AS c, count(*) OVER (PARTITION BY id_outcome) AS n FROM "
+        f"(SELECT id_outcome, y / x AS r, {weight} AS w, row_number() OVER (PARTITION BY id_outcome ORDER BY y / x, x, y, sx, se) AS i FROM {_INS}))) WHERE c < 0.5 AND c2 >= 0.5"
     )
 
 
