@@ -164,13 +164,17 @@ class Reader:
         self.out = [np.ascontiguousarray(p["out"][d * h : (d + 1) * h].T, np.float32) for d in range(2)]
         self.bias = p["bias"].astype(np.float32)[:, None]
 
-    def logits(self, data: np.ndarray) -> np.ndarray:
-        """data: length x segments of bytes; returns length x languages x segments."""
+    def logits(self, data: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """data: length x segments of bytes; returns length x languages x segments.
+
+        ends: where each segment ends.  The way back starts there, so what stands behind it, and how long the other
+        segments are, makes no difference."""
         h = HIDDEN
         n, b = data.shape
         out = np.empty((n, len(self.bias), b), np.float32)
         part = np.empty(out.shape[1:], np.float32)
         g, a = np.empty((3 * h, b), np.float32), np.empty((3 * h, b), np.float32)
+        least = n if ends is None else int(ends.min())
         for d in range(2):
             s = np.zeros((h, b), np.float32)
             for t in range(n) if d == 0 else range(n - 1, -1, -1):
@@ -188,6 +192,8 @@ class Reader:
                 s *= a[:h]
                 s *= 0.5
                 s += c
+                if d == 1 and t >= least:
+                    s *= t < ends
                 if d == 0:
                     np.matmul(self.out[0], s, out=out[t])
                 else:
@@ -196,8 +202,8 @@ class Reader:
         out += self.bias
         return out
 
-    def probabilities(self, data: np.ndarray) -> np.ndarray:
-        q = self.logits(data)
+    def probabilities(self, data: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        q = self.logits(data, ends)
         q -= q.max(axis=1, keepdims=True)
         np.exp(q, out=q)
         q /= q.sum(axis=1, keepdims=True)
@@ -219,7 +225,7 @@ class Reader:
             seg = order[i : i + BATCH]
             n = length[seg]
             data = whole[at[seg][None, :] + np.arange(int(n[0]))[:, None]].astype(np.intp)
-            q = self.probabilities_ending(data, n)
+            q = self.probabilities(data, n)
             live = np.arange(len(data))[:, None] < n[None, :]
             best = q.argmax(axis=1)
             q *= live[:, None, :]
@@ -229,10 +235,6 @@ class Reader:
                 votes[:, j] += np.bincount(owner[seg], ((best == j) & live).sum(axis=0), len(raws)).astype(np.int64)
         return total / np.maximum(size, 1)[:, None], votes
 
-    def probabilities_ending(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Probabilities of segments that end at ``n``: what stands behind an end is read as zero bytes."""
-        return self.probabilities(np.where(np.arange(len(data))[:, None] < n[None, :], data, 0) if (n < len(data)).any() else data)
-
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
