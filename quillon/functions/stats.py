@@ -82,14 +82,46 @@ def order_statistic(df: DataFrame, x: str, k: int, *by: str) -> DataFrame:
     return g.filter(F.col("_c") >= k).groupBy(*by).agg(F.min("_x").alias("value")).filter("value is not null")
 
 
-def average_ranks(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """``rank``: ties get the mean of their ranks.  Values are counted before the window, which sees distinct values only."""
+def _ranked(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
+    """Distinct values (by..., x) with _n, the rows that hold each, and _upto, the rows of the group up to and with it.
+
+    One global order over groups and values: a group of any size is spread over parts."""
     counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*by, x, (below + (F.col("_n") + 1) / 2).alias("rank"))
+    placed = _placed(counts, [*by, x], "_n").withColumn("_at", F.col("_i") + F.col("_offset")).drop("_i", "_offset", "_total")
+    if not by:
+        return placed.withColumnRenamed("_at", "_upto")
+    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    first = placed.groupBy(*by).agg(F.min(F.col("_at") - F.col("_n")).alias("_before")).select(*keys, "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    return placed.join(first, same).withColumn("_upto", F.col("_at") - F.col("_before")).select(*by, x, "_n", "_upto")
+
+
+def average_ranks(df: DataFrame, x: str, *by: str) -> DataFrame:
+    """``rank``: ties get the mean of their ranks.  Only distinct values are put in order."""
+    ranks = _ranked(df, x, by).select(*by, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
     return df.join(ranks, [*by, x])
 
 
+def quantiles(df: DataFrame, x: str, shares: list[float], *by: str) -> DataFrame:
+    """Rows (by..., q0, q1, ...): type-7 quantiles, interpolated between neighbours, from counts of distinct values; no group is held in one buffer."""
+    if any(not 0 <= q <= 1 for q in shares):
+        raise ValueError("a quantile lies between 0 and 1")
+    r = _ranked(df.filter(F.col(x).isNotNull()), x, by)
+    size = r.groupBy(*by).agg(F.max("_upto").alias("_all"))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    same = [r[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    r = r.join(size.select(*keys, "_all"), same) if by else r.crossJoin(F.broadcast(size))  # one row
+    place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    at = lambda k: (F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))
+    found = []
+    for i, q in enumerate(shares):
+        found.append(F.max(F.when(at(F.floor(place(q)) + 1), F.col(x))).alias(f"lo{i}"))
+        found.append(F.max(F.when(at(F.ceil(place(q)) + 1), F.col(x))).alias(f"hi{i}"))
+    out = r.groupBy(*by).agg(F.max("_all").alias("_all"), *found).filter(F.col("_all").isNotNull())
+    between = lambda i, q: F.col(f"lo{i}") + (place(q) - F.floor(place(q))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
+    return out.select(*by, *[between(i, q).alias(f"q{i}") for i, q in enumerate(shares)])
+
+
 def ols(df: DataFrame, x_columns: list[str], y_column: str, intercept: bool = True) -> DataFrame:
     """Least squares from one aggregation of products, and a second for the residuals.
 
@@ -140,8 +172,8 @@ def _order_key(df: DataFrame, order: list[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], (F.xxhash64(*rest) if rest else F.lit(0)).alias("tie"))
 
 
-def _placed(df: DataFrame, order: list[str]) -> DataFrame:
-    """_i (1-based within a part), _offset and _total of every row in a global order.
+def _placed(df: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
+    """_i (1-based within a part), _offset and _total of every row in a global order; with a weight, sums of it up to and with the row.
 
     A row's part is a function of its own key: literal bounds, taken once from a hashed sample, are
     searched by an expression.  However often the plan runs anew and however its shuffles are dealt, counts
@@ -165,13 +197,14 @@ def _placed(df: DataFrame, order: list[str]) -> DataFrame:
         return F.when(F.col("_key") < literal(cuts[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
 
     rows = df.withColumn("_key", key).withColumn("_part", part(0, len(cuts)))
-    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a part
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg((F.sum(weight) if weight else F.count("*")).alias("n")).collect()}  # a row a part
     offsets, total = [], 0
     for k in range(len(cuts) + 1):
         offsets.append(total)
         total += sizes.get(k, 0)
     offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_part"))
-    here = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    w = Window.partitionBy("_part").orderBy("_key")
+    here = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(w)
     return rows.withColumns({"_i": here, "_offset": offset, "_total": F.lit(total).cast("long")}).drop("_part", "_key")
 
 

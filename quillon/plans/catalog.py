@@ -63,7 +63,6 @@ SHARED = {
     "lambda_gc": "SELECT round(median(l_quantity * l_quantity / 100) / 0.4549, 9) AS lambda_gc, round(avg(l_quantity * l_quantity / 100), 9) AS mean_chisq FROM {lineitem}",
     "munge_filter": "SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {documents} WHERE n_chars BETWEEN 200 AND 20000) WHERE rn = 1",
     "struct_access": "SELECT s.k AS k, s.name AS name FROM (SELECT {{struct}} AS s FROM {nation})",
-    "quantiles_type7": "SELECT l_returnflag, {{q25}} AS q25, {{q50}} AS q50, {{q90}} AS q90 FROM {lineitem} GROUP BY l_returnflag",
     "date_functions": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mon FROM {orders}",
     "array_unnest": "SELECT vec_id, {{explode}} FROM {embeddings}",
     "regex_functions": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, {{rlike}} AS is_html FROM {pages}",
@@ -72,9 +71,6 @@ SHARED = {
 #: What differs between the dialects: (Spark, DuckDB).
 DIALECT = {
     "struct": ("named_struct('k', n_nationkey, 'name', n_name)", "{'k': n_nationkey, 'name': n_name}"),
-    "q25": ("round(percentile(l_extendedprice, 0.25), 6)", "round(quantile_cont(l_extendedprice, 0.25), 6)"),
-    "q50": ("round(percentile(l_extendedprice, 0.5), 6)", "round(quantile_cont(l_extendedprice, 0.5), 6)"),
-    "q90": ("round(percentile(l_extendedprice, 0.9), 6)", "round(quantile_cont(l_extendedprice, 0.9), 6)"),
     "explode": ("posexplode(embedding) AS (pos, x)", "unnest(range(0, len(embedding)))::INT AS pos, unnest(embedding) AS x"),
     "rlike": ("url RLIKE '[.]html'", "regexp_matches(url, '[.]html')"),
     "json": ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
@@ -138,6 +134,11 @@ def rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.average_ranks(p, "p_size").select("p_partkey", F.col("rank").alias("avg_rank"))
 
 
+def quantiles_type7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = stats.quantiles(_t(spark, sf_dir, "lineitem"), "l_extendedprice", [0.25, 0.5, 0.9], "l_returnflag")
+    return q.select("l_returnflag", *[F.round(f"q{i}", 6).alias(name) for i, name in enumerate(("q25", "q50", "q90"))])
+
+
 def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median price by supplier under the quantities, interpolated between neighbours."""
     return stats.weighted_quantile(_t(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 0.5, "l_suppkey").select("l_suppkey", F.round("quantile", 6).alias("wmedian"))
@@ -408,6 +409,7 @@ ORACLES = {
     "describe_stats": "SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS skew, round(kurtosis(l_extendedprice), 6) AS kurt, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS wmean FROM lineitem GROUP BY 1",
     "rank_average": "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::DOUBLE AS avg_rank FROM part",
     "weighted_quantile": "WITH t AS (SELECT l_suppkey AS k, l_extendedprice AS x, l_quantity AS w, sum(l_quantity) OVER o AS c, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS a, lag(l_extendedprice) OVER o AS p, row_number() OVER o AS i FROM lineitem WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)) SELECT k AS l_suppkey, round(CASE WHEN p IS NULL THEN x ELSE p + (a / 2 - (c - w)) / w * (x - p) END, 6) AS wmedian FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS r FROM t WHERE c >= a / 2) WHERE r = 1",
+    "quantiles_type7": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY l_returnflag",
     "weighted_moments": "WITH m AS (SELECT l_returnflag AS f, sum(l_quantity) AS w, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS mx, sum(l_quantity * l_discount) / sum(l_quantity) AS my FROM lineitem GROUP BY 1), d AS (SELECT f, any_value(w) AS w, sum(l_quantity * (l_extendedprice - mx) * (l_extendedprice - mx)) AS xx, sum(l_quantity * (l_extendedprice - mx) * (l_discount - my)) AS xy, sum(l_quantity * (l_discount - my) * (l_discount - my)) AS yy FROM lineitem JOIN m ON l_returnflag = f GROUP BY f) SELECT f AS l_returnflag, round(xx / (w - 1) / 1e6, 6) AS v, round(xx / w / 1e6, 6) AS pv, round(xy / (w - 1), 5) AS c, round(xy / sqrt(xx * yy), 8) AS r FROM d",
     "order_statistic": "SELECT l_suppkey, l_extendedprice AS value FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i FROM lineitem) WHERE i = 10",
     "munge_sumstats": "WITH d AS (SELECT 'rs' || l_partkey AS SNP, substr('ACGT', ((l_orderkey % 4 + 1) % 4 + 1)::INT, 1) AS A1, substr('ACGT', ((l_suppkey % 4 + 2) % 4 + 1)::INT, 1) AS A2, l_quantity / 100 AS f, l_tax + 0.93 AS info, l_linenumber * 100 + 1000.0::DOUBLE AS N, l_orderkey, l_linenumber FROM lineitem) SELECT SNP, A1, A2, 0.0::DOUBLE AS z, N FROM (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY l_orderkey, l_linenumber) AS k FROM d WHERE info BETWEEN 0.9 AND 2 AND f BETWEEN 0 AND 1 AND least(f, 1 - f) > 0.01 AND A1 <> A2 AND A1 <> translate(A2, 'ACGT', 'TGCA')) WHERE k = 1 AND N >= 1200",
@@ -467,7 +469,7 @@ ORACLES |= {
 }
 FUNCTIONS = [
     h2_partitioned, h2_fixed_intercept, odds_population_frequency,
-    flagship, describe_stats, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
+    flagship, describe_stats, quantiles_type7, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
     mr_ivw, mr_ivw_variants, mr_egger, mr_weighted_median, mr_heterogeneity, meta_analysis, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,
     weighted_moments, order_statistic, munge_sumstats, align_alleles, ld_score_windows, annotate_snps, genetic_correlation, liability_node, append_sink, lake_load,
 ]

@@ -43,14 +43,18 @@ def _typed(df: DataFrame, names: list[str], types: dict[str, str]) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
-    """The first line that isn't blank is the header; it is taken from the first file and left out of every file."""
+    """The first line of a file that isn't blank is its header; all files must have the same one."""
     files = paths_of(path)
     text = spark.read.text(files)
-    top = spark.read.text(files[0]).filter(F.trim("value") != "").first()
-    if top is None:
+    line = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", F.monotonically_increasing_id())
+    heads = line.filter(F.trim("value") != "").groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("head"))
+    tops = [r["head"] for r in heads.select("head").distinct().collect()]
+    if not tops:
         raise FormatError(f"{path!r} is empty")
-    head = top[0]
-    return _typed(text.filter(F.col("value") != head), head.split(), NUMBERS if types is None else types)
+    if len({" ".join(t.split()) for t in tops}) > 1:
+        raise FormatError(f"the files of {path!r} have different headers")
+    head = tops[0]
+    return _typed(text.filter(~F.col("value").isin(*tops)), head.split(), NUMBERS if types is None else types)
 
 
 def read_plain(spark: SparkSession, path: str, names: list[str], types: dict[str, str] | None = None) -> DataFrame:

@@ -69,6 +69,20 @@ def test_weighted_quantile_and_order_statistics(spark):
         bad.agg(stats.weighted_mean("x", "w")).collect()
 
 
+def test_quantiles_and_ranks_of_groups(spark):
+    rng = np.random.default_rng(6)
+    x, g = rng.integers(0, 40, 300) / 4, rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(float(a), int(b) if b else None) for a, b in zip(x, g, strict=True)] + [(None, 1)], "x double, g int")
+    shares = [0.0, 0.31, 0.5, 1.0]
+    got = {r.g or 0: [r.q0, r.q1, r.q2, r.q3] for r in stats.quantiles(df, "x", shares, "g").collect()}
+    assert all(got[k] == pytest.approx(np.quantile(x[g == k], shares)) for k in range(3))
+    assert [r.q0 for r in stats.quantiles(df, "x", [0.25]).collect()] == pytest.approx([np.quantile(x, 0.25)]) and stats.quantiles(df.limit(0), "x", [0.5]).count() == 0
+    ranks = {(r.g, r.x): r["rank"] for r in stats.average_ranks(df.filter("g is not null and x is not null"), "x", "g").collect()}
+    for (k, v), r in ranks.items():
+        own = x[g == k]
+        assert r == pytest.approx((own < v).sum() + ((own == v).sum() + 1) / 2)
+
+
 def test_ols_of_three_with_errors(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(80, 3))
