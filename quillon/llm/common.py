@@ -73,7 +73,7 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not spark.sparkContext.master.startswith("local["):
+            if not (spark.sparkContext.master + "[").startswith("local["):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="quillon-")
             spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
