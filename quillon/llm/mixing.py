@@ -271,5 +271,5 @@ def oracle(seed: int = 7) -> str:
         ctes.append(f"p{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tok, total, rate, CASE WHEN {rest} > 0 THEN greatest(c, ({BUDGET} * total - {at1}) / {rest}) ELSE c END AS c FROM p{i})")
     u = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}'), 1, 8))::BIGINT / 4294967296.0"
     return f"""WITH {", ".join(ctes)}
-SELECT doc_id, tokens::BIGINT AS n_tokens, f.topic, round(coalesce(rate, 0), 6) AS rate, round(coalesce(least(1.0, c * rate), 0), 6) AS p, {u} < coalesce(least(1.0, c * rate), 0) AS kept
+SELECT doc_id, tokens::BIGINT AS n_tokens, f.topic, round(coalesce(rate, 0), 6) AS rate, round(least(1.0, coalesce(c * rate, 0)), 6) AS p, {u} < least(1.0, coalesce(c * rate, 0)) AS kept
 FROM f LEFT JOIN p{SQL_CAPS} p ON p.source = f.source AND p.lang = f.lang AND p.topic = f.topic"""
