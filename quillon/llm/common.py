@@ -93,6 +93,11 @@ class Workspace:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def size(self, name: str) -> int:
+        """Bytes of a stored table's files."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
     @contextlib.contextmanager
     def in_order(self) -> Iterator[None]:
         """Within the block, scans of bucketed tables with one file a bucket count as sorted."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lines, media, mixing, ngram_join, secrets, urls, vectors
+from . import bpe, chat, clusters, decontam, langid, lines, media, mixing, ngram_join, secrets, trie, urls, vectors
 from .common import table
 
 
@@ -59,8 +59,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.shared_heads(trie.turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_url_filter, op4_secret_scan, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_url_filter, op4_secret_scan, op5_language_id, op6_embedding_dedup, op7_byte_bpe, op8_chat_quotes, op9_media, op10_mixing, op11_clusters, op12_decontamination, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -72,4 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": vectors.oracle(),
         "op8_chat_quotes": chat.oracle(),
         "op10_mixing": mixing.oracle(),
+        "op11_clusters": clusters.oracle(),
+        "op12_decontamination": decontam.oracle(),
+        "op13_prefix_trie": trie.oracle(),
     }

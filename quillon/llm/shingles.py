@@ -11,12 +11,14 @@ from .common import give_back
 
 WORDS = 5
 CHUNK_BYTES = 500_000
-M = np.uint64(0x9E3779B97F4A7C15 | 1)
+M = np.array(0x9E3779B97F4A7C15, np.uint64)
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 11, 12, 13]] = True
-_FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_FOLD[65:91] += np.uint64(32)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The first k bytes of a lane of 8 (little-endian).
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,32 +30,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+def word_spans(raws: list[bytes], breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts with A-Z in lower case (a blank after each), starts and ends of the words, and the number of words per text.
 
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M ** i and M ** -i modulo 2 ** 64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        back = np.uint64(pow(int(M), -1, 2**64))
-        for name, base in (("up", M), ("down", back)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
+    breaks: of each byte (A-Z in lower case) whether it parts words; the blank does."""
+    folded = _FOLD[np.frombuffer(b" ".join(raws) + b" ", np.uint8)]
+    edge = np.diff(np.concatenate(([1], breaks[folded].astype(np.int8))))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    at = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raws]))
+    return folded, start, end, np.diff(np.concatenate(([0], at)))
+
+
+def span_hashes(whole: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of bytes [start, end), none of them empty.
+
+    A span is cut into lanes of 8 bytes; each lane goes through the mixer together with its number, and the
+    sum of its lanes is mixed with its length.  No span is a polynomial in a base, so texts that repeat
+    a pattern (such as Thue-Morse words) don't cancel."""
+    lanes = np.ndarray(len(whole) + 1, "<u8", np.concatenate((whole, np.zeros(8, np.uint8))), strides=(1,))
+    size = end - start
+    total = mix((lanes[start] & _FIRST[np.minimum(size, 8)]) + mix(M[None])[0])
+    longer = np.flatnonzero(size > 8)
+    if len(longer):
+        more = (size[longer] - 1) // 8
+        first = np.cumsum(more) - more
+        lane = np.arange(more.sum()) - np.repeat(first, more) + 1
+        at = np.repeat(start[longer], more) + 8 * lane
+        part = lanes[at] & _FIRST[np.minimum(np.repeat(end[longer], more) - at, 8)]
+        total[longer] += np.add.reduceat(mix(part + mix((lane + 1).astype(np.uint64) * M)), first)
+    return mix(total + size.astype(np.uint64) * M)
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts (A-Z in lower case), and the number of words per text."""
-    whole = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-    edge = np.diff(np.concatenate(([1], _BREAK[whole].astype(np.int8))))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _powers(len(whole) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_FOLD[whole] * up[: len(whole)])))
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    text_end = np.cumsum([len(r) + 1 for r in raws])
-    at = np.searchsorted(start, text_end)
-    return h, np.diff(np.concatenate(([0], at)))
+    whole, start, end, n = word_spans(raws)
+    return span_hashes(whole, start, end), n
 
 
 def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
