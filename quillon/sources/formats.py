@@ -10,17 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import numbered
+from .bam import read_bam
+from .blocks import FormatError
 
 # Suffixes and their formats, in the order they are tried.
 SUFFIXES = [
     (".csv", "csv"), (".parquet", "parquet"), (".vcf", "vcf"), (".bed", "bed"), (".gtf", "gtf"), (".gff3", "gff"), (".gff", "gff"),
-    (".sam", "sam"), (".fasta", "fasta"), (".fa", "fasta"), (".fastq", "fastq"), (".fq", "fastq"),
+    (".sam", "sam"), (".bam", "bam"), (".cram", "cram"), (".fasta", "fasta"), (".fa", "fasta"), (".fastq", "fastq"), (".fq", "fastq"),
 ]
-BARE = ("csv", "parquet")
+BARE = ("csv", "parquet", "bam", "cram")
 GENE = "seqid string, source string, type string, start long, end long, score double, strand string, frame string"
 READS = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
 
 
+class UnsupportedFormat(ValueError):
+    """A format that is known and can't be read here."""
+
+    kind = "unsupported_format"
+
+
 def infer(path: str) -> str | None:
     """The format of a path, case-insensitive; .gz counts for the text formats only."""
     low = path.lower()
@@ -61,7 +69,9 @@ def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
         return spark.read.option("header", True).option("inferSchema", True).option("sep", "\t").csv(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = {"vcf": read_vcf, "bed": read_bed, "gtf": read_genes, "gff": read_genes, "sam": read_sam, "fasta": read_fasta, "fastq": read_fastq}.get(fmt or "")
+    if fmt == "cram":
+        raise UnsupportedFormat(f"{path!r}: CRAM can't be read, as no decoder is available; convert it to BAM")
+    reader = {"bam": read_bam, "vcf": read_vcf, "bed": read_bed, "gtf": read_genes, "gff": read_genes, "sam": read_sam, "fasta": read_fasta, "fastq": read_fastq}.get(fmt or "")
     if reader is None:
         raise ValueError(f"unknown format of {path!r}")
     return reader(spark, path)
