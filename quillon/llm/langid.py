@@ -9,15 +9,16 @@ every text is read.
 
 The network is trained here, by backpropagation through time in numpy with Adam,
 on a bounded sample of labelled rows: every language has its share of ``SAMPLE``
-hashed-out rows, ``PER_LANG`` at most and ``LEAST_ROWS`` at least, one window of
-``WINDOW`` characters at a hashed place of each.  No language is left out, however
+rows with the smallest hashes of id and text, ``PER_LANG`` at most and ``LEAST_ROWS`` at least where it has
+as many different ones, one window of ``WINDOW`` characters at a hashed place of each.  No language is left out, however
 many there are.  Rows whose crc32(id) mod 3 is 1 are never learned from.  The
 sample, and a count for each label, are all that reaches the driver.
 
 Cases: very long texts are read whole, in segments; ties of the score go to the label
 that sorts first; null text, or text without a letter: ``und`` with score 0; null ids are
-not held out; without a labelled row every text is ``und``; equal texts get
-equal labels; columns of other names are ignored.
+not held out; an empty text teaches nothing, so a language of which all labelled texts are empty is not learned;
+without a labelled text every text is ``und``; rows that repeat are learned from once; equal texts get
+equal labels; columns of other names are ignored.  The driver holds the sample: its size grows with the number of languages only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back
@@ -47,17 +48,20 @@ def held_out(id_col: Column) -> Column:
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """(language, window of text) of the bounded training sample, in a fixed order."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(
-        ~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+        ~held_out(F.col("id")) & F.col("lang").isNotNull() & (F.coalesce("text", F.lit("")) != "")
     )
-    counts = rows.groupBy("lang").count().orderBy("lang").collect()
+    u = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1_000_000_000))
+    rows = rows.withColumn("u", u)
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("u").alias("n")).orderBy("lang").collect()  # a row a language
     if not counts:
         return []
     each = max(LEAST_ROWS, min(PER_LANG, SAMPLE // len(counts)))
-    u = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000_000))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000_000, each * 1_000_000_000 // r["count"] + 1))])
-    place = F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.char_length("text") - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
-    picked = rows.withColumn("u", u).filter(F.col("u") < F.element_at(rate, F.col("lang")))
-    got = picked.select("lang", "u", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("part")).orderBy("u", "lang", "part").limit(2 * each * len(counts))
+    # half as many again as are wanted: the count is approximate
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1_000_000_000, 3 * each * 1_000_000_000 // (2 * max(1, r["n"])) + 1))])
+    place = F.pmod(F.xxhash64("id", "text", F.lit("place")), F.greatest(F.char_length("text") - WINDOW, F.lit(1)).cast("long")).cast("int") + 1
+    picked = rows.filter(F.col("u") < F.element_at(rate, F.col("lang"))).select("lang", "u", F.substring(F.col("text"), place, F.lit(WINDOW)).alias("part")).distinct()
+    picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "part"))).filter(F.col("k") <= each)
+    got = picked.select("lang", "u", "part").orderBy("u", "lang", "part").limit(each * len(counts))
     return [(r["lang"], r["part"]) for r in got.collect()]
 
 

@@ -270,3 +270,39 @@ def test_thue_morse_documents_are_no_copies(spark):
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
     docs = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.near_documents(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+# language ID
+
+
+def languages(spark, rows):
+    from quillon.llm import langid
+
+    return {(r.doc_id, r.lang_pred): r.score for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")).collect()}
+
+
+def test_language_id_without_texts_to_learn_from(spark):
+    assert languages(spark, [(i, "" if i % 2 else None, "en", "x") for i in range(10)] + [(99, "some words", None, "x")]) == {**{(i, "und"): 0.0 for i in range(10)}, (99, "und"): 0.0}
+    assert languages(spark, []) == {}
+
+
+def test_language_id_of_null_and_repeated_ids(spark):
+    a, b = "the quick brown fox and the lazy dog of that thing number", "ñandú llegó mañana señor con el niño pequeño y la número"
+    rows = [(None, f"{a} {i}", "en", "x") for i in range(150)] + [(None, f"{b} {i}", "es", "x") for i in range(150)] + [(7, a, "en", "x")] * 300 + [(8, None, "fr", "x")]
+    got = languages(spark, rows)
+    assert {k[1] for k in got if k[0] is None} == {"en", "es"} and (7, "en") in got and (8, "und") in got
+
+
+def test_language_id_accuracy_on_held_out_documents(spark):
+    import os
+
+    from quillon.llm import langid
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path)
+    out = langid.identify(docs).filter("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang").filter("lang is not null"), "doc_id")
+    right, all_ = out.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    print("held-out accuracy", right, all_, right / all_)
+    assert all_ > 2000 and right / all_ >= 0.95
