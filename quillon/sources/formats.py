@@ -6,12 +6,15 @@ and filters run right after the split; plain and block gzip both decode.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import numbered
 from .bam import read_bam
-from .blocks import FormatError
+from .blocks import ByteFile, bgzf_size, read_block_text
 
 # Suffixes and their formats, in the order they are tried.
 SUFFIXES = [
@@ -45,6 +48,20 @@ def normalise_path(path: str) -> str:
     return "/" + p.lstrip("/")
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) of a text file; one in block gzip, where Arrow reaches it, is read in pieces by many tasks."""
+    if path.lower().endswith((".gz", ".bgz")):
+        try:
+            f = ByteFile(path)
+            blocked = bgzf_size(f, 0) is not None
+            f.close()
+        except (OSError, pa.ArrowException):
+            blocked = False
+        if blocked:
+            return read_block_text(spark, path)
+    return spark.read.text(path)
+
+
 def _cells(df: DataFrame, ddl: str, sep: str = "\t") -> DataFrame:
     parts = F.split("value", sep, -1)
     cols: list[Column] = []
@@ -79,16 +96,16 @@ def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """Intervals, 0-based half-open: chrom, start, end; further columns are dropped."""
-    return _cells(spark.read.text(path).filter(~F.col("value").rlike(r"^(#|track|browser|\s*$)")), "chrom string, start long, end long")
+    return _cells(text_lines(spark, path).filter(~F.col("value").rlike(r"^(#|track|browser|\s*$)")), "chrom string, start long, end long")
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
     """GTF and GFF: the eight standard columns, 1-based closed."""
-    return _cells(spark.read.text(path).filter(~F.col("value").rlike(r"^(#|\s*$)")), GENE)
+    return _cells(text_lines(spark, path).filter(~F.col("value").rlike(r"^(#|\s*$)")), GENE)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    return _cells(spark.read.text(path).filter(~F.col("value").rlike(r"^(@[A-Z][A-Z](\t|$)|\s*$)")), READS)
+    return _cells(text_lines(spark, path).filter(~F.col("value").rlike(r"^(@[A-Z][A-Z](\t|$)|\s*$)")), READS)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -102,28 +119,97 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, description, sequence, quality of four-line records; plain files are read in pieces by many tasks.
 
-    Lines are numbered in the order of the file (by the split and the line in it), and every four make a record."""
+    Lines are numbered in the order of the file (by the split and the line in it), and every four make a record, also one of an empty
+    read.  Blank lines at a file's end are no record; a record without its marks (@ and +), cut off, or with a quality of another length is an error."""
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = text.withColumn("at", F.monotonically_increasing_id()).filter("value <> ''")
-    order = numbered(lines, ["file", "block", "at"])
-    first = order.groupBy("file").agg(F.min("index").alias("start"))
+    order = numbered(text.withColumn("at", F.monotonically_increasing_id()), ["file", "block", "at"])
+    first = order.groupBy("file").agg(F.min("index").alias("start"), F.max(F.when(F.trim("value") != "", F.col("index"))).alias("end"))
+    # an empty read's last line may be blank
     d = order.join(F.broadcast(first), "file").withColumn("k", F.col("index") - F.col("start"))  # a row a file
+    d = d.filter(F.floor(F.col("k") / 4) <= F.floor((F.col("end") - F.col("start")) / 4))
     d = d.groupBy("file", F.floor(F.col("k") / 4).alias("record")).agg(*[F.max(F.when(F.col("k") % 4 == j, F.col("value"))).alias(f"l{j}") for j in range(4)])
-    return d.filter("l3 is not null").select(
+    quality = F.coalesce("l3", F.when(F.col("l1") == "", F.lit("")))  # cut off behind the last line end
+    fine = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length(quality) == F.length("l1"))
+    told = F.concat(F.lit("FormatError: "), F.col("file"), F.lit(": record "), F.col("record").cast("string"), F.lit(" is no FASTQ record"))
+    checked = F.when(F.coalesce(fine, F.lit(False)), F.col("l0")).otherwise(F.raise_error(told).cast("string"))
+    return d.select(checked.alias("l0"), "l1", quality.alias("l3")).select(
         F.regexp_extract("l0", r"^@(\S*)", 1).alias("name"), F.regexp_extract("l0", r"^@\S*\s*(.*)$", 1).alias("description"), F.col("l1").alias("sequence"), F.col("l3").alias("quality")
     )
 
 
+VCF_KINDS = {"Integer": "int", "Float": "double", "Flag": "boolean", "String": "string", "Character": "string"}
+
+
+def vcf_header(text: DataFrame) -> tuple[list[str], dict[str, tuple[str, str]], dict[str, tuple[str, str]]]:
+    """Sample names, and by key the number and type of INFO and FORMAT fields; reads the first lines only."""
+    n = 200
+    while True:
+        head = [r[0] for r in text.take(n)]
+        if len(head) < n or any(not x.startswith("#") for x in head):
+            break
+        n *= 10
+    names: list[str] = []
+    fields: dict[str, dict[str, tuple[str, str]]] = {"INFO": {}, "FORMAT": {}}
+    for line in head:
+        if not line.startswith("#"):
+            break
+        if line.startswith("#CHROM"):
+            names = line.split("\t")[9:]
+        elif m := re.match(r"##(INFO|FORMAT)=<(?:.*,)?ID=([^,>]+),(?:.*,)?Number=([^,>]+),(?:.*,)?Type=([^,>]+)", line):
+            fields[m[1]].setdefault(m[2], (m[3], VCF_KINDS.get(m[4], "string")))
+    return names, fields["INFO"], fields["FORMAT"]
+
+
+def _typed(x: Column, number: str, kind: str) -> Column:
+    """A text value by its header: one value for number 1, else a list; a dot is null."""
+    plain = F.when(x != ".", x)
+    if number == "1":
+        return plain.try_cast(kind) if kind != "string" else plain
+    parts = F.split(plain, ",")
+    return F.transform(parts, lambda v: F.when(v != ".", v).try_cast(kind) if kind != "string" else F.when(v != ".", v))
+
+
+def _first_of_key(pairs: Column) -> Column:
+    """A map of structs (key, value), of which the first of a key counts."""
+    keys = F.transform(pairs, lambda x: x["key"])
+    return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos, id, ref, alt, qual, filter, info (map), and one map per sample."""
-    text = spark.read.text(path)
-    head = text.filter(F.col("value").startswith("#CHROM")).first()
-    names = head[0].split("\t")[9:] if head else []
+    """chrom, pos, id, ref, alt, qual, filter, info, and one column per sample.
+
+    INFO and FORMAT fields that the header declares make structs with values of the declared type (number 1: one value, flag: true or
+    false, else a list); a field that is not asked for is not parsed.  Of a key that repeats the first counts.  Where the
+    header declares none the columns are maps of texts."""
+    return vcf_columns(text_lines(spark, path))
+
+
+def vcf_columns(text: DataFrame, header: tuple | None = None) -> DataFrame:
+    names, info_keys, format_keys = header or vcf_header(text)
     p = F.split("value", "\t", -1)
-    pairs = F.transform(F.split(F.get(p, 7), ";"), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", ""))))
-    info = F.when(F.get(p, 7) != ".", F.map_from_entries(pairs))
+    body = F.when(F.get(p, 7) != ".", F.get(p, 7))
+    quoted = lambda k: "\\Q" + k + "\\E"
+
+    def info_field(key: str, number: str, kind: str) -> Column:
+        if kind == "boolean":
+            return F.coalesce(F.concat(F.lit(";"), body, F.lit(";")).rlike(f";{quoted(key)}[;=]"), F.lit(False))
+        padded = F.concat(F.lit(";"), body)
+        found = F.when(padded.rlike(f";{quoted(key)}="), F.regexp_extract(padded, f";{quoted(key)}=([^;]*)", 1))
+        return _typed(found, number, kind)
+
+    if info_keys:
+        info = F.struct(*[info_field(k, *v).alias(k) for k, v in info_keys.items()])
+    else:
+        pairs = F.transform(F.split(body, ";"), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("key"), F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
+        info = _first_of_key(pairs)
     keys = F.split(F.get(p, 8), ":")
-    sample = lambda i: F.map_from_arrays(keys, F.transform(keys, lambda _, k: F.get(F.split(F.get(p, i), ":"), k)))
+
+    def sample(i: int) -> Column:
+        parts = F.split(F.get(p, i), ":")
+        if format_keys:
+            return F.struct(*[_typed(F.get(parts, F.nullif(F.array_position(keys, k), F.lit(0)).cast("int") - 1), *v).alias(k) for k, v in format_keys.items()])
+        return _first_of_key(F.transform(keys, lambda key, k: F.struct(key.alias("key"), F.get(parts, k).alias("value"))))
+
     dotted = lambda i: F.when(F.get(p, i) != ".", F.get(p, i))
     return text.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
         F.get(p, 0).alias("chrom"), F.get(p, 1).cast("long").alias("pos"), dotted(2).alias("id"), F.get(p, 3).alias("ref"),

@@ -102,3 +102,51 @@ def test_block_text_by_ranges(spark, tmp_path):
     (tmp_path / "bad.gz").write_bytes(zlib.compress(b"x"))
     with pytest.raises(Exception, match="does not start with a bgzf block"):
         blocks.read_block_text(spark, str(tmp_path / "bad.gz")).count()
+
+
+def test_fastq_keeps_empty_reads_and_refuses_other_lines(spark, tmp_path):
+    p = tmp_path / "a.fastq"
+    p.write_text("@r1 d\nAC\n+\nII\n@r2\n\n+\n\n@r3\nG\n+r3\n@\n@r4\n\n+\n\n\n\n")
+    got = sorted(map(tuple, formats.read(spark, str(p)).collect()))
+    assert got == [("r1", "d", "AC", "II"), ("r2", "", "", ""), ("r3", "", "G", "@"), ("r4", "", "", "")]
+    for bad in ("@r1\nAC\n+\nI\n", "r1\nAC\n+\nII\n", "@r1\nAC\nII\n", "@r1\nAC\n+\nII\n@r2\nA\n", "\n@r1\nAC\n+\nII\n"):
+        p.write_text(bad)
+        with pytest.raises(Exception, match="is no FASTQ record"):
+            formats.read(spark, str(p)).collect()
+
+
+VCF = """##fileformat=VCFv4.1
+##INFO=<ID=AF,Number=A,Type=Float,Description="frequency, by allele">
+##INFO=<ID=DP,Number=1,Type=Integer,Description="depth">
+##INFO=<ID=DB,Number=0,Type=Flag,Description="in a data base">
+##INFO=<ID=A.F,Number=.,Type=String,Description="a key with a dot">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="genotype">
+##FORMAT=<ID=AD,Number=R,Type=Integer,Description="depth by allele">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2
+1\t10\trs1\tA\tC,G\t5.5\tPASS\tAF=0.5,.;AF=0.6;DB;DP=7\tGT:AD\t0/1:3,4,.\t.:.
+1\t20\t.\tAT\tC\t.\tq10;s50\tDP=x;A.F=u,v;AXF=w\tGT\t1/1\t0/0
+X\t5\t.\tA\t.\t.\t.\t.\tAD:GT\t1,2:0|1\t.
+"""
+
+
+def test_vcf_has_the_header_s_types(spark, tmp_path):
+    for name in ("a.vcf", "b.vcf.gz"):
+        (tmp_path / name).write_bytes(VCF.encode() if name == "a.vcf" else b"".join(blocks.bgzf_compress(VCF.encode()[k : k + 100]) for k in range(0, len(VCF), 100)) + blocks.BGZF_END)
+        df = formats.read(spark, str(tmp_path / name))
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema["info"].dataType} | {f.name: f.dataType.simpleString() for f in df.schema["S1"].dataType}
+        assert kinds == {"AF": "array<double>", "DP": "int", "DB": "boolean", "A.F": "array<string>", "GT": "string", "AD": "array<int>"}
+        a, b, c = df.orderBy("chrom", "pos").collect()
+        assert a.info.asDict() == {"AF": [0.5, None], "DP": 7, "DB": True, "A.F": None} and a.S1.asDict() == {"GT": "0/1", "AD": [3, 4, None]} and a.S2.asDict() == {"GT": None, "AD": None}
+        assert b.info.asDict() == {"AF": None, "DP": None, "DB": False, "A.F": ["u", "v"]} and b["filter"] == ["q10", "s50"] and b.S1.AD is None
+        assert c.alt is None and c.info.DB is False and c.S1.asDict() == {"GT": "0|1", "AD": [1, 2]}
+    plan = formats.read(spark, str(tmp_path / "a.vcf")).select("chrom")._jdf.queryExecution().executedPlan().toString()
+    assert "AF" not in plan and "regexp" not in plan
+    plan = formats.read(spark, str(tmp_path / "a.vcf")).select("info.AF")._jdf.queryExecution().optimizedPlan().toString()
+    assert "DP" not in plan
+    (tmp_path / "plain.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t1\t.\tA\tC\t.\t.\tAF=0.5;AF=0.6;DB\n")
+    assert formats.read(spark, str(tmp_path / "plain.vcf")).first().info == {"AF": "0.5", "DB": None}
+
+
+def test_cram_is_a_named_error(spark):
+    with pytest.raises(formats.UnsupportedFormat, match="CRAM"):
+        formats.read(spark, "/nowhere/a.cram")

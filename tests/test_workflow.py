@@ -102,3 +102,48 @@ def test_unknown_kind_and_spec(spark):
         e.add("x", "nothing")
     with pytest.raises(errors.SpecError):
         e.add("x", "sql", {})
+
+
+def test_long_chains_and_locked_runs(spark):
+    import threading
+    import time
+
+    from quillon.plans.dag import Dag, Node, Ports, Status
+    from quillon.plans.errors import CycleError
+
+    class Step(Node):
+        kind = "step"
+
+        def ports(self):
+            return Ports(inputs=None)
+
+        def execute(self, inputs):
+            time.sleep(0.0005)
+            return {0: None}
+
+    d = Dag()
+    for k in range(1500):
+        d.nodes[f"n{k}"], d.status[f"n{k}"] = Step(), Status.PENDING
+    d.edges = [(f"n{k}", f"n{k + 1}", 0, 0) for k in range(1499)]
+    assert d.topo_order() == [f"n{k}" for k in range(1500)]
+    with pytest.raises(CycleError, match="n0 → n1 → n2"):
+        d.add_edge("n1499", "n0")
+    Step.execute = lambda self, inputs: time.sleep(0.0005) or {}
+    d.edges = [("n0", "n1", 0, 0)]
+    d.nodes = {k: d.nodes[k] for k in ("n0", "n1", "n2")}
+    began = threading.Event()
+
+    class Slow(Step):
+        def execute(self, inputs):
+            began.set()
+            time.sleep(0.5)
+            return {}
+
+    d.nodes["n2"] = Slow()
+    changed = []
+    other = threading.Thread(target=lambda: (began.wait(), d.add_node("late", Step()), changed.append(time.monotonic())))
+    other.start()
+    report = d.run()
+    done = time.monotonic()
+    other.join()
+    assert "late" not in report.nodes and changed[0] >= done - 0.01 and "late" in d.nodes
