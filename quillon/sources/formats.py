@@ -148,6 +148,11 @@ def vcf_header(text: DataFrame) -> tuple[list[str], dict[str, tuple[str, str]],
         if len(head) < n or any(not x.startswith("#") for x in head):
             break
         n *= 10
+    return header_fields(head)
+
+
+def header_fields(head: list[str]) -> tuple[list[str], dict[str, tuple[str, str]], dict[str, tuple[str, str]]]:
+    """``vcf_header`` of lines, up to the first that is no header."""
     names: list[str] = []
     fields: dict[str, dict[str, tuple[str, str]]] = {"INFO": {}, "FORMAT": {}}
     for line in head:

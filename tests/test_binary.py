@@ -150,3 +150,78 @@ def test_vcf_has_the_header_s_types(spark, tmp_path):
 def test_cram_is_a_named_error(spark):
     with pytest.raises(formats.UnsupportedFormat, match="CRAM"):
         formats.read(spark, "/nowhere/a.cram")
+
+
+def test_bins():
+    from quillon.sources import tabix
+
+    assert tabix.bins(0, 1)[:3] == [0, 1, 9] and tabix.bin_of(0, 1) == 4681 and tabix.bin_of(0, 1 << 29) == 0
+    rng = random.Random(1)
+    for _ in range(500):
+        a = rng.randrange(1 << 20)
+        b = a + rng.randrange(1, 1 << rng.randrange(1, 20))
+        c = rng.randrange(1 << 20)
+        d = c + rng.randrange(1, 1 << 18)
+        if a < d and c < b:
+            assert tabix.bin_of(a, b) in tabix.bins(c, d)
+    assert tabix.parse_region("chr1:1,000-2,000") == ("chr1", 1000, 2000) and tabix.parse_region("HLA:01:5") == ("HLA:01", 5, None) and tabix.parse_region("X") == ("X", 1, None)
+    assert tabix.parse_region("1:[0,10)") == ("1", 1, 10)
+    with pytest.raises(ValueError, match="no region"):
+        tabix.parse_region("1:9-3")
+
+
+def test_vcf_regions_read_their_blocks_only(spark, tmp_path):
+    from quillon.sources import tabix
+
+    rng = random.Random(5)
+    rows, pos = [], 0
+    for c in ("1", "2", "X"):
+        pos = 0
+        for _ in range(4000):
+            pos += rng.choice([0, 1, 50, 3000])
+            ref = "A" * rng.choice([1, 1, 1, 40, 30_000 if rng.random() < 0.002 else 2])
+            rows.append((c, max(1, pos), f"{c}\t{max(1, pos)}\t.\t{ref}\tC\t.\tPASS\tDP={rng.randrange(100)}" + (f";END={max(1, pos) + 20_000}" if rng.random() < 0.001 else "")))
+    head = '##INFO=<ID=DP,Number=1,Type=Integer,Description="d">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO'
+    df = spark.createDataFrame(rows, "chrom string, pos long, value string")
+    tabix.write_indexed_vcf(tabix.sorted_lines(df, parts=3), str(tmp_path / "v"), head)
+    assert len([n for n in os.listdir(tmp_path / "v") if n.endswith(".gz")]) == 3
+    whole = [(c, p, len(v.split("\t")[3]), int(v.split("DP=")[1].split(";")[0]), int(v.split("END=")[1]) if "END=" in v else p + len(v.split("\t")[3]) - 1) for c, p, v in rows]
+    for region in ("1", "2:1-1", "X:500000", "2:40000-90000", "1:[100000,100001)", "2:1,000,000-1,050,000", "nowhere:1-10", "X:999999999-1000000000"):
+        c, a, b = tabix.parse_region(region)
+        want = sorted((x, p, n, d) for x, p, n, d, e in whole if x == c and p <= (b or 1 << 60) and max(p, e) >= a)
+        got = sorted((r.chrom, r.pos, len(r.ref), r.info.DP) for r in tabix.read_vcf_region(spark, str(tmp_path / "v"), region).collect())
+        assert got == want
+    file = str(tmp_path / "v" / "part-00000.vcf.gz")
+    index = tabix.read_index(file)
+    (begin, end), *_ = index.chunks("1", 1_000_000, 1_010_000)
+    f = blocks.ByteFile(file)
+    assert (end >> 16) - (begin >> 16) < f.size / 10
+    assert formats.read(spark, file).count() == sum(r.chrom is not None for r in formats.read(spark, file).select("chrom").collect())
+    os.rename(file + ".tbi", file + ".away")
+    with pytest.raises(tabix.NoIndex, match="no .tbi or .csi"):
+        tabix.read_vcf_region(spark, file, "1:1-10")
+
+
+def test_csi_index(spark, tmp_path):
+    from quillon.sources import tabix
+
+    text = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    lines_ = [f"c\t{p}\t.\tA\tC\t.\t.\t." for p in range(1, 200_000, 500)]
+    data, at, places = b"", 0, {}
+    for k in range(0, len(lines_), 40):
+        part = (text.encode() if k == 0 else b"") + "".join(x + "\n" for x in lines_[k : k + 40]).encode()
+        raw = blocks.bgzf_compress(part)
+        for x in lines_[k : k + 40]:
+            places.setdefault(tabix.bin_of(int(x.split("\t")[1]) - 1, int(x.split("\t")[1])), []).append(((at << 16) | part.index(x.encode() + b"\n"), (at + len(raw)) << 16))
+        data, at = data + raw, at + len(raw)
+    (tmp_path / "c.vcf.gz").write_bytes(data + blocks.BGZF_END)
+    aux = struct.pack("<7i", 2, 1, 2, 0, 35, 0, 2) + b"c\0"
+    body = b"CSI\x01" + struct.pack("<3i", 14, 5, len(aux)) + aux + struct.pack("<ii", 1, len(places))
+    for b, c in places.items():
+        body += struct.pack("<IQi2Q", b, c[0][0], 1, c[0][0], c[-1][1])
+    (tmp_path / "c.vcf.gz.csi").write_bytes(blocks.bgzf_compress(body) + blocks.BGZF_END)
+    got = sorted(r.pos for r in tabix.read_vcf_region(spark, str(tmp_path / "c.vcf.gz"), "c:50000-60000").collect())
+    assert got == [p for p in range(1, 200_000, 500) if 50_000 <= p <= 60_000]
+    (tmp_path / "c.vcf.gz.csi").write_bytes(blocks.bgzf_compress(body[:-9]))
+    with pytest.raises(blocks.FormatError, match="cut off"):
+        tabix.read_vcf_region(spark, str(tmp_path / "c.vcf.gz"), "c")
