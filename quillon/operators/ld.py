@@ -1,11 +1,16 @@
-"""LD scores from genotypes by a binned self-join within a distance, and annotations from intervals."""
+"""LD scores from genotypes by banded block products, and annotations from intervals."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import merge_intervals, near_join
+from .bands import MISSING, Block, banded, imputed_r, packed, unpack
+from .intervals import merge_intervals
 
 
 def standardised(df: DataFrame, genotypes: str = "genotypes", minor_ref: bool = False) -> DataFrame:
@@ -21,30 +26,55 @@ def standardised(df: DataFrame, genotypes: str = "genotypes", minor_ref: bool =
     return d.filter("_sd > 0").withColumn("x", x).drop("_mean", "_sd")
 
 
-def pair_correlations(df: DataFrame, window: int, by: list[str], at: str = "BP", key: str = "SNP") -> DataFrame:
-    """r of every two SNPs up to ``window`` apart on one chromosome (each pair once), from standardised x."""
-    pairs = near_join(df.select(*by, at, key, "x"), by, at, key, window)
-    dot = F.aggregate(F.zip_with("x", "x_b", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    return pairs.select(F.col(key), F.col(f"{key}_b"), (dot / F.size("x")).alias("r"), F.size("x").alias("n"))
-
-
-def unbiased(r: Column, n: Column) -> Column:
+def unbiased(r, n):
     """r squared, less what chance adds to it."""
     return r * r - (1 - r * r) / (n - 2)
 
 
+KINDS = {"unbiased": unbiased, "r2": lambda r, n: r * r, "r": lambda r, n: r}
+
+
 def ld_scores(df: DataFrame, window: int, annotations: list[str] | None = None, by: tuple[str, ...] = ("CHR",), at: str = "BP", key: str = "SNP", kind: str = "unbiased") -> DataFrame:
-    """Sum over the window of annotation times f(r), the SNP itself included; kind: unbiased, r2 or r."""
-    f = {"unbiased": unbiased, "r2": lambda r, n: r * r, "r": lambda r, n: r}[kind]
+    """Sum over the window of annotation times f(r), the SNP itself included; kind: unbiased, r2 or r.
+
+    Block products return each block's sums (``bands``); no row stands for a pair.  SNPs that don't vary are left out, missing
+    genotypes count as the mean."""
+    f = KINDS[kind]
     names = annotations or []
-    d = standardised(df)
-    p = pair_correlations(d, window, list(by), at, key).withColumn("f", f(F.col("r"), F.col("n")))
-    own = d.select(F.col(key), F.col(key).alias("other"), f(F.lit(1.0), F.size("x")).alias("f"))
-    both = p.select(F.col(key), F.col(f"{key}_b").alias("other"), "f").union(p.select(F.col(f"{key}_b"), F.col(key), "f")).union(own)
-    if not names:
-        return both.groupBy(key).agg(F.sum("f").alias("L2"))
-    a = df.select(F.col(key).alias("other"), *names)
-    return both.join(a, "other").groupBy(key).agg(*[F.sum(F.col("f") * F.col(c)).alias(f"{c}L2") for c in names])
+    out_names = [f"{c}L2" for c in names] or ["L2"]
+    src = packed(df)
+    fields = {c.name: c.dataType.simpleString() for c in src.schema}
+    weights = [F.col(c).cast("double").alias(f"_w{k}") for k, c in enumerate(names)] or [F.lit(1.0).alias("_w0")]
+    src = src.select("_people", "_packed", *by, at, F.col(key).alias("_key"), *weights)
+    width = len(weights)
+
+    def sums(block: Block, value: np.ndarray, of: Block) -> pa.RecordBatch:
+        """Rows (key, sums) of a block's SNPs: values times the annotations of the others."""
+        w = np.stack([of.rows.column(1 + k).to_numpy() for k in range(width)], axis=1)
+        return pa.RecordBatch.from_arrays([block.rows.column(0).combine_chunks(), *[pa.array(c) for c in (value @ w).T]], names=["k", *[f"s{k}" for k in range(width)]])
+
+    def emit(a: Block, b: Block, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        r, n = imputed_r(a, b)
+        value = np.where(near & ~np.isnan(r), f(np.nan_to_num(r), n), 0.0)
+        yield sums(a, value, b)
+        yield sums(b, value.T, a)
+
+    others = banded(src, window, list(by), at, ["_key", *[f"_w{k}" for k in range(width)]], emit, f"k {fields[key]}, " + ", ".join(f"s{k} double" for k in range(width)))
+    own_schema = f"k {fields[key]}, people int, varies boolean, " + ", ".join(f"w{k} double" for k in range(width))
+
+    def varies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for people, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                g = unpack([raw], people)
+                keep.append(len(np.unique(g[g != MISSING])) > 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_()), *b.columns[3:]], names=["k", "people", "varies", *[f"w{k}" for k in range(width)]])
+
+    own = src.select("_key", "_people", "_packed", *[f"_w{k}" for k in range(width)]).mapInArrow(varies, own_schema).filter("varies")
+    itself = f(F.lit(1.0), F.col("people"))
+    rows = own.select("k", *[(itself * F.col(f"w{k}")).alias(f"s{k}") for k in range(width)], F.lit(1).alias("there")).union(others.withColumn("there", F.lit(0)))
+    total = rows.groupBy("k").agg(*[F.sum(f"s{k}").alias(out_names[k]) for k in range(width)], F.max("there").alias("_there"))
+    return total.filter("_there = 1").select(F.col("k").alias(key), *out_names)
 
 
 def annotation_sizes(df: DataFrame, annotations: list[str], freq: str = "freq") -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions import ldsc, mr, mr_robust, munge, odds, partitioned, stats
 from ..operators import intervals, ld
 from ..sources import formats, sinks, store
 from ..sources.lake import Lake
+from . import catalog_files
 from .registry import Engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -476,8 +477,8 @@ FUNCTIONS = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _spark_query(name) for name in SHARED} | {f.__name__: f for f in FUNCTIONS}
+    return {name: _spark_query(name) for name in SHARED} | {f.__name__: f for f in [*FUNCTIONS, *catalog_files.FUNCTIONS]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _duck_sql(name) for name in SHARED} | ORACLES
+    return {name: _duck_sql(name) for name in SHARED} | ORACLES | catalog_files.ORACLES

@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
-from .blocks import BGZF_END, PART_BYTES, ByteFile, FormatError, Range, bgzf_compress, blocks, files_of, filesystem, ranges
+from .blocks import BGZF_END, PART_BYTES, ByteFile, FormatError, Range, Written, bgzf_compress, blocks, files_of, filesystem, ranges
 
 READS = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
 # The letters of operations and of bases by code.
@@ -226,11 +226,6 @@ def encode(batch: pa.RecordBatch, refs: dict[str, int]) -> bytes:
     return b"".join(out)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    path: str
-
-
 class BamSource(DataSource):
     """Options: path (a file or folder), part_bytes; for writing also references, names joined by commas."""
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Compressed bytes of a partition, and of one read.
 PART_BYTES, READ_BYTES = 64 << 20, 4 << 20
@@ -272,6 +272,9 @@ class BlockText(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return BlockTextReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return BlockTextWriter(self.options)
+
 
 class BlockTextReader(DataSourceReader):
     def __init__(self, options: dict):
@@ -292,6 +295,56 @@ class BlockTextReader(DataSourceReader):
             f.close()
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    path: str
+
+
+class BlockTextWriter(DataSourceArrowWriter):
+    """A file for each task, under its name only when the job commits; a zstd frame, or some BGZF blocks, for each batch of lines."""
+
+    def __init__(self, options: dict):
+        self.codec, self.path = options.get("codec", "bgzf"), options["path"].rstrip("/")
+        self.suffix = options.get("suffix", ".txt") + {"bgzf": ".gz", "zstd": ".zst"}[self.codec]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        system, folder = filesystem(self.path)
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        with system.open_output_stream(name, compression=None) as out:
+            for batch in iterator:
+                data = "".join(f"{x}\n" for x in batch.column(0).to_pylist()).encode()
+                if self.codec == "bgzf":
+                    out.write(bgzf_compress(data))
+                elif data:
+                    import zstandard
+
+                    out.write(zstandard.ZstdCompressor().compress(data))
+            if self.codec == "bgzf":
+                out.write(BGZF_END)
+        return Written(name)
+
+    def commit(self, messages: list[Written]) -> None:
+        system, folder = filesystem(self.path)
+        for k, m in enumerate(x for x in messages if x):
+            system.move(m.path, f"{folder}/part-{k:05d}{self.suffix}")
+
+    def abort(self, messages: list[Written]) -> None:
+        system, _ = filesystem(self.path)
+        for m in messages:
+            if m:
+                system.delete_file(m.path)
+
+
+def write_block_text(lines: DataFrame, path: str, codec: str = "bgzf", suffix: str = ".txt") -> None:
+    """Lines (value) as a folder of block-compressed files, one for each task."""
+    lines.sparkSession.dataSource.register(BlockText)
+    lines.select("value").write.format("block_text").option("codec", codec).option("suffix", suffix).mode("append").save(path)
+
+
 def read_block_text(spark: SparkSession, path: str, codec: str = "bgzf", part_bytes: int = PART_BYTES) -> DataFrame:
     """Lines (value) of a block-compressed file or of a folder of such, read in byte ranges by many tasks."""
     spark.dataSource.register(BlockText)

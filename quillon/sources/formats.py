@@ -73,8 +73,16 @@ def _cells(df: DataFrame, ddl: str, sep: str = "\t") -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None, header: bool = False) -> DataFrame:
-    """Tab-separated text; with a schema its columns are taken by position."""
+    """Tab-separated text; with a schema its columns are taken by position.  A .zst file (or a folder of such with codec zstd) is read frame by frame by many tasks."""
     reader = spark.read.option("sep", "\t").option("header", header)
+    if path.lower().endswith(".zst"):
+        if not schema:
+            raise ValueError("a compressed table needs a schema")
+        lines = read_block_text(spark, path, "zstd")
+        if header:
+            lines = lines.filter(F.col("value") != lines.first()[0])
+        struct = lines.select(F.from_csv("value", schema, {"sep": "\t", "mode": "PERMISSIVE"}).alias("r"))
+        return struct.select("r.*")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 

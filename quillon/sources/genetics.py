@@ -7,14 +7,18 @@ path, ``@`` stands for the chromosomes 1 to 22.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.stats import numbered
-from .blocks import FormatError
+from ..operators.bands import MISSING, pack, unpack, with_counts
+from .blocks import PART_BYTES, ByteFile, FormatError
 
 CHROMOSOMES = range(1, 23)
 BIM = ["CHR", "SNP", "CM", "BP", "A1", "A2"]
@@ -23,6 +27,8 @@ NUMBERS = {"BP": "long", "CM": "double", "MAF": "double", "FRQ": "double", "N":
 # The first bytes of a SNP-major genotype file, and the count of the first allele by a two-bit code (-1: missing).
 MAGIC = b"\x6c\x1b\x01"
 CODES = np.array([2, -1, 1, 0], np.int8)
+#: A byte of the file with its four codes as those of packed genotypes.
+RECODED = pack(CODES[np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3])[:, 0]
 
 
 def paths_of(path: str) -> list[str]:
@@ -157,38 +163,103 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     return d.select("chrom", (F.col("start") + 1).alias("start"), "end")
 
 
-def read_genotypes(spark: SparkSession, prefix: str, maf: float = 0.0) -> DataFrame:
+@dataclass
+class Snps(InputPartition):
+    """SNPs ``first`` to ``first + count`` of a file; ``before``: SNPs of the files in front of it."""
+
+    path: str
+    first: int
+    count: int
+    before: int
+
+
+class BedSource(DataSource):
+    """Rows (index, packed) of SNP-major genotype files, read by ranges of whole SNPs; options: path (@: the chromosomes), people, part_bytes.
+
+    Codes are those of ``operators.bands``: counts of the first allele, 3 where missing."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "plink_bed"
+
+    def schema(self) -> str:
+        return "index long, packed binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return BedReader(self.options)
+
+
+class BedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.width = -(-int(options["people"]) // 4)
+        self.people, self.bytes, self.paths = int(options["people"]), int(options.get("part_bytes", PART_BYTES)), paths_of(options["path"])
+
+    def partitions(self) -> list[Snps]:
+        out, before = [], 0
+        for path in self.paths:
+            f = ByteFile(path)
+            head, size = f.get(0, 3), f.size - 3
+            f.close()
+            if head != MAGIC:
+                raise FormatError(f"{path!r} is no SNP-major genotype file")
+            if size % self.width:
+                raise FormatError(f"the length of {path!r} doesn't fit the number of people")
+            snps, step = size // self.width, max(1, self.bytes // self.width)
+            out += [Snps(path, k, min(step, snps - k), before) for k in range(0, snps, step)]
+            before += snps
+        return out or [Snps("", 0, 0, 0)]
+
+    def read(self, part: Snps) -> Iterator[pa.RecordBatch]:
+        if not part.count:
+            return
+        f = ByteFile(part.path)
+        step = max(1, (1 << 20) // self.width)
+        try:
+            for k in range(part.first, part.first + part.count, step):
+                n = min(step, part.first + part.count - k)
+                raw = RECODED[np.frombuffer(f.need(3 + k * self.width, n * self.width), np.uint8)].reshape(n, self.width)
+                if self.people % 4:  # people that aren't there
+                    raw = raw.copy()
+                    raw[:, -1] |= (0xFF << 2 * (self.people % 4)) & 0xFF
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.width), n, [None, pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + n) + part.before), rows.cast(pa.binary())], names=["index", "packed"])
+        finally:
+            f.close()
+
+
+def read_packed(spark: SparkSession, prefix: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per SNP: the columns of .bim, place, _people and _packed (``operators.bands``).  Files may be of any size; @ stands for the chromosomes."""
+    people = read_fam(spark, f"{paths_of(prefix)[0]}.fam").count()
+    if not people:
+        raise FormatError(f"{prefix!r} has no people")
+    spark.dataSource.register(BedSource)
+    text = spark.read.text([f"{p}.bim" for p in paths_of(prefix)]).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    order = F.create_map(*[F.lit(x) for k, p in enumerate(paths_of(prefix)) for x in (f"{p}.bim".rsplit("/", 1)[-1], k)])
+    text = text.withColumn("file", F.element_at(order, F.url_decode(F.substring_index("file", "/", -1)))).withColumn("_at", F.monotonically_increasing_id())
+    bim = numbered(text, ["file", "block", "_at"])
+    cells = F.split(F.trim("value"), r"\s+")
+    bim = bim.select("index", *[F.get(cells, i).try_cast(NUMBERS.get(n, "string")).alias(n) for i, n in enumerate(BIM)])
+    g = spark.read.format("plink_bed").option("people", people).option("part_bytes", part_bytes).load(f"{prefix}.bed")
+    return bim.join(g, "index").select(F.col("index").alias("place"), *BIM, F.lit(people).alias("_people"), F.col("packed").alias("_packed"))
+
+
+def read_genotypes(spark: SparkSession, prefix: str, maf: float = 0.0, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per SNP: the columns of .bim, n (genotypes seen), freq (of the first allele) and genotypes (counts, -1 missing).
 
-    SNPs of one genotype only and those with a minor frequency up to ``maf`` are left out.  A file
-    is read whole by one task (a chromosome a file keeps that bounded) and must not be compressed."""
-    people = read_fam(spark, f"{prefix}.fam").count()
-    width = -(-people // 4)
-    bim = numbered(
-        spark.read.text(f"{prefix}.bim").filter(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("_at")), ["_at"]
-    )
-    bim = bim.select("index", *[c.try_cast(NUMBERS.get(n, "string")).alias(n) for n, c in zip(BIM, [F.get(F.split(F.trim("value"), r"\s+"), i) for i in range(6)], strict=True)])
-    blob = spark.read.format("binaryFile").load(f"{prefix}.bed").select("content")
+    SNPs of one genotype only and those with a minor frequency up to ``maf`` are left out.  Files are read by ranges of whole
+    SNPs and must not be compressed."""
+    d = with_counts(read_packed(spark, prefix, part_bytes)).drop("missing")
+    d = d.filter(F.least("freq", 1 - F.col("freq")) > maf)
+    names = [c for c in d.columns if c not in ("_people", "_packed")]
+    schema = T.StructType([*d.select(*names).schema.fields, T.StructField("genotypes", T.ArrayType(T.ByteType()))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                raw = value.as_buffer()
-                if bytes(raw[:3]) != MAGIC:
-                    raise FormatError("not a SNP-major genotype file")
-                body = np.frombuffer(raw, np.uint8, offset=3)
-                if len(body) % width:
-                    raise FormatError("the file's length doesn't fit the number of people")
-                rows = body.reshape(-1, width)
-                step = max(1, 1_000_000 // max(1, people))
-                for k in range(0, len(rows), step):
-                    g = CODES[(rows[k : k + step, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(-1, 4 * width)[:, :people]
-                    flat = pa.array(g.ravel().astype(np.int8), pa.int8())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, g.size + 1, people, dtype=np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(g), dtype=np.int64)), lists], names=["index", "genotypes"])
-
-    g = blob.mapInArrow(decode, "index long, genotypes array<tinyint>")
-    seen = F.filter("genotypes", lambda x: x >= 0)
-    d = g.withColumns({"n": F.size(seen), "_sum": F.aggregate(seen, F.lit(0), lambda a, x: a + x), "_kinds": F.size(F.array_distinct(seen))})
-    d = d.withColumn("freq", F.try_divide(F.col("_sum").cast("double"), 2 * F.col("n"))).filter((F.col("_kinds") > 1) & (F.least("freq", 1 - F.col("freq")) > maf))
-    return bim.join(d.drop("_sum", "_kinds"), "index").withColumnRenamed("index", "place")
+            people, raws = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
+            rows = [np.where((g := unpack([raw], n)[0]) == MISSING, -1, g).astype(np.int8) for raw, n in zip(raws, people, strict=True)]
+            varies = pa.array([len(np.unique(g[g >= 0])) > 1 for g in rows], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, pa.list_(pa.int8()))], names=[*names, "genotypes"])
+            yield out.filter(varies)
+
+    with_arrays = d.select(*names, "_people", "_packed").mapInArrow(decode, schema)
+    return with_arrays.select("place", *BIM, "n", "freq", "genotypes")

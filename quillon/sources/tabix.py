@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
-from .bam import Written
-from .blocks import BGZF_END, ByteFile, FormatError, bgzf_block, bgzf_compress, files_of, filesystem
+from .blocks import BGZF_END, ByteFile, FormatError, Written, bgzf_block, bgzf_compress, files_of, filesystem
 from .formats import vcf_columns
 
 # Smallest bins of 2 ^ 14 positions, five levels above them.
