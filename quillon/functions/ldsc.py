@@ -16,8 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .special import normal_two_sided
-from .stats import numbered
+from .stats import numbered, quantiles
 
 #: Median of a chi-square variable with one degree of freedom, as genomic control rounds it.
 MEDIAN_CHISQ = 0.4549
@@ -76,8 +77,8 @@ def p_of(est: float, se: float) -> tuple[float, float]:
 
 
 def place(df: DataFrame, order: list[str]) -> DataFrame:
-    """``i``: 0-based place of every row in the order of the genome."""
-    return numbered(df, order).withColumnRenamed("index", "i")
+    """``i``: 0-based place of every row in the order of the genome; stored, as fits read it again and again."""
+    return store.stored(numbered(df, order).withColumnRenamed("index", "i"), "placed")
 
 
 def block_of(i: Column, n: int, blocks: int) -> Column:
@@ -237,8 +238,8 @@ def heritability(rows: DataFrame, m: float, blocks: int = BLOCKS, intercept: flo
     d = rows.select(y.alias("y"), F.col(n).cast("double").alias("n"), "ld", "wld", "i")
     step = None if intercept is not None or two_step is None else F.col("y") < two_step
     fit = Regression(d, m, blocks, 1.0, h2_weights(m), intercept, step).fit()
-    s = d.agg(F.avg("y").alias("mean"), F.percentile("y", 0.5).alias("median")).first()
-    return Heritability(fit, s["mean"], s["median"] / MEDIAN_CHISQ)
+    mean = d.agg(F.avg("y").alias("mean")).first()["mean"]
+    return Heritability(fit, mean, quantiles(d.select("y"), "y", [0.5]).first()["q0"] / MEDIAN_CHISQ)
 
 
 @dataclass

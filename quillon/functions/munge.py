@@ -1,19 +1,19 @@
 """Summary statistics brought to one form: SNP, A1, A2, Z, N.
 
 Column names are cleaned and mapped on the driver; every filter is a column
-expression, and the sample-size cut is one percentile.
+expression (p to Z among them), and the sample-size cut is one percentile.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from .columns import z_of_p
+from .stats import quantiles
 
 # Usual names of the columns, and the value of a signed statistic without effect.
 NAMES = {
@@ -102,15 +102,10 @@ def z_size(p: float) -> float:
     return abs(_NORMAL.inv_cdf(p / 2)) if p < 1 else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def z_of_p(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for p in parts:
-        yield p.map(lambda x: z_size(x) if pd.notna(x) else None).astype("float64")
-
-
 def check_median(df: DataFrame, column: str, expected: float, tolerance: float = 0.1) -> float:
     """The column's median, which must lie within the tolerance of its value without effect."""
-    m = df.agg(F.percentile(column, 0.5).alias("m")).first()["m"]
+    r = quantiles(df, column, [0.5]).first()
+    m = r and r["q0"]
     if m is None or abs(m - expected) > tolerance:
         raise MungeError(f"the median of {column} is {m}, expected {expected}: the columns may be mislabelled")
     return m
@@ -155,7 +150,10 @@ def munge(
     if "N_CAS" in d.columns and "N_CON" in d.columns:
         d = d.withColumn("N", F.col("N_CAS") + F.col("N_CON"))
     if "N" in d.columns:
-        least = n_min if n_min is not None else d.agg((F.percentile("N", 0.9) / 1.5).alias("x")).first()["x"]
+        least = n_min
+        if n_min is None:
+            top = quantiles(d, "N", [0.9]).first()
+            least = top["q0"] / 1.5 if top else 0.0
         d = d.filter(F.col("N") >= F.lit(least))
     elif n:
         d = d.withColumn("N", F.lit(float(n)))

@@ -1,4 +1,4 @@
-"""Tail probabilities without further libraries, for scalars and for Arrow columns."""
+"""Tail probabilities and distributions without further libraries: of single values, and by ``columns`` of whole columns."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import columns
+
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
@@ -206,9 +208,18 @@ class Beta(Distribution):
 FAMILIES = {"normal": Normal, "t": Student, "chi2": ChiSquared, "f": Fisher, "beta": Beta}
 
 
-def of_column(family: str, what: str, x: Column, *parameters: float) -> Column:
-    """pdf, cdf, sf, ppf or isf of a column under a distribution with fixed parameters; null stays null."""
-    call = getattr(FAMILIES[family](*parameters), what)
+DEFAULTS = {"normal": (0.0, 1.0)}
+
+
+def of_column(family: str, what: str, x: Column, *parameters: float | Column) -> Column:
+    """pdf, cdf, sf, ppf or isf of a column under a distribution; null stays null.
+
+    Tails, and all of the normal distribution, are column expressions whose parameters may be columns; the quantiles of
+    the others are solved for, and densities computed, by a vectorised Python function with fixed parameters."""
+    given = parameters or DEFAULTS.get(family, ())
+    if f := columns.FUNCTIONS.get((family, what)):
+        return columns.once(lambda *a: f(*a), x, *[p if isinstance(p, Column) else F.lit(float(p)) for p in given])
+    call = getattr(FAMILIES[family](*given), what)
 
     @F.pandas_udf(DoubleType())
     def apply(v: pd.Series) -> pd.Series:
@@ -217,19 +228,16 @@ def of_column(family: str, what: str, x: Column, *parameters: float) -> Column:
     return apply(x.cast("double"))
 
 
-@F.pandas_udf(DoubleType())
-def p_normal(z: pd.Series) -> pd.Series:
+def p_normal(z: Column) -> Column:
     """Two-sided normal p-value; null stays null."""
-    return z.map(lambda x: normal_two_sided(x) if pd.notna(x) else None).astype("float64")
+    return columns.once(columns.p_normal, z)
 
 
-@F.pandas_udf(DoubleType())
-def p_student(t: pd.Series, df: pd.Series) -> pd.Series:
+def p_student(t: Column, df: Column | str) -> Column:
     """Two-sided Student p-value; null stays null."""
-    return pd.Series([t_two_sided(x, n) if pd.notna(x) and pd.notna(n) else None for x, n in zip(t, df, strict=True)], dtype="float64")
+    return columns.once(columns.p_student, t, df)
 
 
-@F.pandas_udf(DoubleType())
-def p_chisq(q: pd.Series, df: pd.Series) -> pd.Series:
+def p_chisq(q: Column | str, df: Column | str) -> Column:
     """Upper tail of chi-square; null where q, df or both are, or df isn't positive."""
-    return pd.Series([chisq_sf(x, n) if pd.notna(x) and pd.notna(n) and n > 0 else None for x, n in zip(q, df, strict=True)], dtype="float64")
+    return columns.once(lambda x, n: F.when(n > 0, F.when(x <= 0, F.lit(1.0)).otherwise(columns.p_chisq(x, n))), q, df)

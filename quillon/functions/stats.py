@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .special import t_two_sided
 
 OLS_SCHEMA = "term string, coefficient double, std_error double, t_stat double, p_value double, r_squared double, n_obs double"
@@ -86,7 +87,7 @@ def _ranked(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
     """Distinct values (by..., x) with _n, the rows that hold each, and _upto, the rows of the group up to and with it.
 
     One global order over groups and values: a group of any size is spread over parts."""
-    counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
+    counts = store.stored(df.groupBy(*by, x).agg(F.count("*").alias("_n")), "counts")  # read three times
     placed = _placed(counts, [*by, x], "_n").withColumn("_at", F.col("_i") + F.col("_offset")).drop("_i", "_offset", "_total")
     if not by:
         return placed.withColumnRenamed("_at", "_upto")
@@ -184,7 +185,7 @@ def _placed(df: DataFrame, order: list[str], weight: str | None = None) -> DataF
     kind = df.select(key.alias("k")).schema["k"].dataType
     at = df.select(key.alias("k")).withColumn("u", F.xxhash64("k"))
     picked = at.orderBy("u", "k").limit(PER_PART * parts)  # a bounded top-k: one short list a task
-    cuts = [r["k"] for r in picked.select("k").distinct().orderBy("k").collect()]
+    cuts = picked.agg(F.array_sort(F.collect_set("k")).alias("k")).first()["k"]  # PER_PART * parts keys at most
     cuts = cuts[:: max(1, len(cuts) // parts)][1:]
 
     def literal(k) -> Column:

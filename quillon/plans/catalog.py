@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ldsc, mr, mr_robust, munge, odds, partitioned, stats
-from ..operators import intervals, ld
+from ..operators import frames, intervals, ld
 from ..sources import formats, sinks, store
 from ..sources.lake import Lake
 from . import catalog_files
@@ -45,7 +45,7 @@ SHARED = {
     "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "rollup": "SELECT r_name, n_name, count(*) AS n FROM {nation} JOIN {region} ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
     "bool_bit_aggregates": "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS b_all, bool_or(o_totalprice > 400000) AS b_any, bit_xor(o_orderkey) AS x FROM {orders} GROUP BY o_orderstatus",
-    "first_last_by_order": "SELECT o_custkey, min_by(o_orderkey, o_orderdate) AS first_order, max_by(o_orderkey, o_orderdate) AS last_order FROM (SELECT o_custkey, o_orderkey, o_orderdate FROM {orders} QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate) = 1) GROUP BY o_custkey",
+    "first_last_by_order": "SELECT o_custkey, min_by(o_orderkey, o_orderdate) AS first_order, max_by(o_orderkey, o_orderdate) AS last_order FROM (SELECT o_custkey, o_orderkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS c FROM {orders}) WHERE c = 1 GROUP BY o_custkey",
     "window_rank": "SELECT o_orderkey, row_number() OVER w AS rn, CAST(rank() OVER w AS BIGINT) AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, ntile(4) OVER w AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)",
     "window_lag_lead": "SELECT event_id, lag(value) OVER w AS prev, lead(value, 2, 0.0) OVER w AS next2, first_value(value) OVER w AS f, nth_value(value, 2) OVER w AS n2 FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "window_rows_frame": "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS s FROM {events}",
@@ -67,6 +67,10 @@ SHARED = {
     "date_functions": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mon FROM {orders}",
     "array_unnest": "SELECT vec_id, {{explode}} FROM {embeddings}",
     "regex_functions": "SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, {{rlike}} AS is_html FROM {pages}",
+    "array_string_agg": "SELECT c_nationkey, {{keys}} AS keys, string_agg(c_mktsegment, '|' {{within}} AS segments FROM {customer} GROUP BY c_nationkey",
+    "lateral_top": "SELECT c_custkey, t.top AS top, t.n AS n FROM {customer}, LATERAL (SELECT max(o_totalprice) AS top, count(*) AS n FROM {orders} WHERE o_custkey = c_custkey) t",
+    "approx_percentile_names": "SELECT l_suppkey, {{approx}} AS med, {{var}} AS v FROM {lineitem} GROUP BY l_suppkey",
+    "field_and_place": "SELECT vec_id, {{field}} AS label, {{place}} AS first, {{length}} AS n FROM (SELECT vec_id, embedding, {{inner}} AS s FROM {embeddings})",
     "json_extract": "SELECT event_id, {{json}} AS v FROM {events}",
 }
 #: What differs between the dialects: (Spark, DuckDB).
@@ -74,33 +78,46 @@ DIALECT = {
     "struct": ("named_struct('k', n_nationkey, 'name', n_name)", "{'k': n_nationkey, 'name': n_name}"),
     "explode": ("posexplode(embedding) AS (pos, x)", "unnest(range(0, len(embedding)))::INT AS pos, unnest(embedding) AS x"),
     "rlike": ("url RLIKE '[.]html'", "regexp_matches(url, '[.]html')"),
+    "keys": ("array_join(array_sort(array_agg(c_custkey)), ',')", "array_to_string(list_sort(array_agg(c_custkey)), ',')"),
+    "within": (") WITHIN GROUP (ORDER BY c_custkey)", "ORDER BY c_custkey)"),
+    "approx": ("approx_percentile_cont(l_quantity, 0.5)", "quantile_disc(l_quantity, 0.5)"),
+    "var": ("round(var(l_quantity), 6)", "round(var_samp(l_quantity), 6)"),
+    "field": ("get_field(s, 'label')", "s.label"), "place": ("embedding[1]", "embedding[1]"), "length": ("array_length(embedding)", "len(embedding)::INT"),
+    "inner": ("named_struct('label', label)", "{'label': label}"),
     "json": ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
 }
 
 
+_TABLE = r"(?<!\{)\{(\w+)\}(?!\})"
+
+
 def _said(sql: str, engine: int) -> str:
     return re.sub(r"\{\{(\w+)\}\}", lambda m: DIALECT[m[1]][engine], sql)
 
 
 def _spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The statement as a workflow: a source node for each table, and one SQL node."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = SHARED[name]
-        used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql))}
-        views = {t: f"quillon_{t}" for t in used}
-        for t, df in used.items():
-            df.createOrReplaceTempView(views[t])  # analysis is eager: the views are free again after sql()
-        if name == "first_last_by_order":
-            sql = sql.replace("QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate) = 1", "{qualify}")
-            inner = "(SELECT o_custkey, o_orderkey, o_orderdate FROM {orders} {qualify})"
-            sql = sql.replace(inner, "(SELECT * FROM (SELECT o_custkey, o_orderkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS c FROM {orders}) WHERE c = 1)")
-        return spark.sql(re.sub(r"(?<!\{)\{(\w+)\}(?!\})", lambda m: views[m[1]], _said(sql, 0)))
+        sql = _said(SHARED[name], 0)
+        e = Engine(spark)
+        tables = sorted(set(re.findall(_TABLE, sql)))
+        for t in tables:
+            e.add(t, "source", {"path": f"{sf_dir}/{t}.parquet"})
+        e.add("out", "sql", {"sql_query": re.sub(_TABLE, lambda m: f"port_{tables.index(m[1])}", sql)})
+        for k, t in enumerate(tables):
+            e.connect(t, "out", 0, k)
+        report = e.run()
+        if bad := next((r for r in report.nodes.values() if r.error), None):
+            raise RuntimeError(f"{name}, {bad.id}: {bad.error['message']}")
+        return e.output("out")
 
     run.__name__ = name
     return run
 
 
 def _duck_sql(name: str) -> str:
-    return _said(re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", SHARED[name]), 1)
+    return _said(re.sub(_TABLE, r"\1", SHARED[name]), 1)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -159,7 +176,7 @@ def order_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ols_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stats.ols(_t(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice")
+    out = stats.ols(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice")
     return out.select("term", F.round("coefficient", 4).alias("coefficient"), F.round("r_squared", 8).alias("r_squared"), F.col("n_obs").cast("long").alias("n_obs"))
 
 
@@ -176,6 +193,12 @@ def self_join_window_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.near_join(e, ["user_id"], "at", "event_id", 3600).select("event_id", "event_id_b")
 
 
+def window_groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over the peers of a row and of the two values before its own."""
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.col("o_totalprice").alias("v"))
+    return frames.groups_frame(o, ["o_custkey"], "o_orderpriority", -2, 0, n=F.count("*"), s=F.sum("v")).select("o_orderkey", "n", F.round("s", 4).alias("s"))
+
+
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
     e = _t(spark, sf_dir, "events").select("user_id", s.alias("start"), (s + 1800).alias("end"))
@@ -218,7 +241,7 @@ def mr_weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mr_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = mr_robust.heterogeneity(_instruments(spark, sf_dir))
-    return h.select("id_outcome", "method", F.round("q", 5).alias("q"), F.col("q_df").cast("long").alias("q_df"), F.col("q_pval").between(0, 1).alias("p_fits"))
+    return h.select("id_outcome", "method", F.round("q", 5).alias("q"), F.col("q_df").cast("long").alias("q_df"), F.round("q_pval", 7).alias("q_pval"))
 
 
 def meta_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +317,7 @@ def h2_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h2_fixed_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heritability of one LD score, the intercept fixed at 1, after two reweighting passes."""
     rows = ldsc.place(_snp_rows(spark, sf_dir).withColumn("ld", F.col("a")), _SNP_ORDER)
-    return ldsc.h2_frame(rows, 1000.0, intercept=1.0).select(F.round("h2", 8).alias("h2"), F.round("mean_chisq", 8).alias("mean_chisq"), "n_snps")
+    return ldsc.h2_frame(rows, 1000.0, intercept=1.0).select(F.round("h2", 8).alias("h2"), F.round("h2_se", 8).alias("h2_se"), F.round("lambda_gc", 8).alias("lambda_gc"), F.round("mean_chisq", 8).alias("mean_chisq"), "n_snps")
 
 
 def odds_population_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,22 +334,26 @@ def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     below = e.join(F.broadcast(got.select("event_type", "m")), "event_type").groupBy("event_type").agg(F.count(F.when(F.col("value") <= F.col("m"), 1)).alias("below"), F.count(F.when(F.col("value") < F.col("m"), 1)).alias("under"))  # one row a type
     rank = (F.col("below") >= 0.49 * F.col("all")) & (F.col("under") <= 0.51 * F.col("all"))
-    return got.join(below, "event_type").select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("users_fit"), rank.alias("median_fits"))
+    return got.join(below, "event_type").select("event_type", F.col("n").alias("users"), F.col("all").alias("events"), (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("users_fit"), rank.alias("median_fits"))
 
 
 def _bases(column: str, shift: int) -> Column:
     return F.substring(F.lit("ACGT"), (F.col(column) % 4 + 1 + shift).cast("int") % 4 + 1, 1)
 
 
+# Two-sided p of the normal statistics 1, 2, 3 and 1.959963984540054.
+_P_OF = [0.31731050786291415, 0.04550026389635842, 0.0026997960632601866, 0.05]
+
+
 def munge_sumstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as summary statistics: munged by the package."""
     li = _t(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("rs"), F.col("l_partkey")).alias("rsid"), _bases("l_orderkey", 0).alias("effect_allele"), _bases("l_suppkey", 1).alias("other_allele"),
-        (F.col("l_discount") - 0.05).alias("BETA"), F.lit(1.0).alias("P"), (F.col("l_tax") + 0.93).alias("INFO"), (F.col("l_quantity") / 100).alias("EAF"),
-        (F.col("l_linenumber") * 100 + 1000.0).alias("N"), "l_orderkey", "l_linenumber",
+        (F.col("l_discount") - 0.05).alias("BETA"), F.element_at(F.array(*[F.lit(p) for p in _P_OF]), F.col("l_linenumber") % 4 + 1).alias("P"), (F.col("l_tax") + 0.93).alias("INFO"), (F.col("l_quantity") / 100).alias("EAF"),
+        (F.col("l_linenumber") * F.col("l_linenumber") * 100 + 400.0).alias("N"), "l_orderkey", "l_linenumber",
     )
-    out = munge.munge(li, order=["l_orderkey", "l_linenumber"], n_min=1200.0)
-    return out.select("SNP", "A1", "A2", F.abs("Z").alias("z"), "N")
+    out = munge.munge(li, order=["l_orderkey", "l_linenumber"])
+    return out.select("SNP", "A1", "A2", F.round("Z", 9).alias("z"), "N")
 
 
 def align_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,7 +440,7 @@ ORACLES = {
     "quantiles_type7": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY l_returnflag",
     "weighted_moments": "WITH m AS (SELECT l_returnflag AS f, sum(l_quantity) AS w, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS mx, sum(l_quantity * l_discount) / sum(l_quantity) AS my FROM lineitem GROUP BY 1), d AS (SELECT f, any_value(w) AS w, sum(l_quantity * (l_extendedprice - mx) * (l_extendedprice - mx)) AS xx, sum(l_quantity * (l_extendedprice - mx) * (l_discount - my)) AS xy, sum(l_quantity * (l_discount - my) * (l_discount - my)) AS yy FROM lineitem JOIN m ON l_returnflag = f GROUP BY f) SELECT f AS l_returnflag, round(xx / (w - 1) / 1e6, 6) AS v, round(xx / w / 1e6, 6) AS pv, round(xy / (w - 1), 5) AS c, round(xy / sqrt(xx * yy), 8) AS r FROM d",
     "order_statistic": "SELECT l_suppkey, l_extendedprice AS value FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i FROM lineitem) WHERE i = 10",
-    "munge_sumstats": "WITH d AS (SELECT 'rs' || l_partkey AS SNP, substr('ACGT', ((l_orderkey % 4 + 1) % 4 + 1)::INT, 1) AS A1, substr('ACGT', ((l_suppkey % 4 + 2) % 4 + 1)::INT, 1) AS A2, l_quantity / 100 AS f, l_tax + 0.93 AS info, l_linenumber * 100 + 1000.0::DOUBLE AS N, l_orderkey, l_linenumber FROM lineitem) SELECT SNP, A1, A2, 0.0::DOUBLE AS z, N FROM (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY l_orderkey, l_linenumber) AS k FROM d WHERE info BETWEEN 0.9 AND 2 AND f BETWEEN 0 AND 1 AND least(f, 1 - f) > 0.01 AND A1 <> A2 AND A1 <> translate(A2, 'ACGT', 'TGCA')) WHERE k = 1 AND N >= 1200",
+    "munge_sumstats": "WITH d AS (SELECT 'rs' || l_partkey AS SNP, substr('ACGT', ((l_orderkey % 4 + 1) % 4 + 1)::INT, 1) AS A1, substr('ACGT', ((l_suppkey % 4 + 2) % 4 + 1)::INT, 1) AS A2, l_quantity / 100 AS f, l_tax + 0.93 AS info, l_linenumber * l_linenumber * 100 + 400.0::DOUBLE AS N, CASE WHEN l_discount - 0.05 < 0 THEN -1 ELSE 1 END * ([1.0::DOUBLE, 2, 3, 1.959963984540054])[l_linenumber % 4 + 1] AS z, l_orderkey, l_linenumber FROM lineitem), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY SNP ORDER BY l_orderkey, l_linenumber) AS k FROM d WHERE info BETWEEN 0.9 AND 2 AND f BETWEEN 0 AND 1 AND least(f, 1 - f) > 0.01 AND A1 <> A2 AND A1 <> translate(A2, 'ACGT', 'TGCA')) WHERE k = 1) SELECT SNP, A1, A2, round(z, 9) AS z, N FROM k WHERE N >= (SELECT quantile_cont(N, 0.9) / 1.5 FROM k)",
     "align_alleles": "SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN -p_retailprice ELSE p_retailprice END AS Z2 FROM part WHERE (p_partkey % 4 + 1) % 4 IN (0, 2)",
     "ld_score_windows": "WITH g AS (SELECT p_partkey AS k, p_size AS c, j, ((p_partkey * (j + 3) + j * j) % 7 % 3)::DOUBLE AS g FROM part, range(24) AS t(j)), s AS (SELECT k, c, j, (g - avg(g) OVER w) / stddev_pop(g) OVER w AS x, stddev_pop(g) OVER w AS sd FROM g WINDOW w AS (PARTITION BY k)), v AS (SELECT * FROM s WHERE sd > 0), r AS (SELECT a.k, b.k AS o, sum(a.x * b.x) / 24 AS r FROM v a JOIN v b ON a.c = b.c AND a.j = b.j AND abs(a.k - b.k) <= 400 AND a.k <> b.k GROUP BY 1, 2) SELECT k AS SNP, round(1 + coalesce(sum(r * r), 0), 6) AS l2 FROM (SELECT DISTINCT k FROM v) LEFT JOIN r USING (k) GROUP BY k",
     "annotate_snps": "SELECT c_custkey AS SNP, (EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND floor(c_acctbal) BETWEEN floor(s_acctbal) AND floor(s_acctbal) + 300))::BIGINT AS annot FROM customer",
@@ -421,8 +448,8 @@ ORACLES = {
     "liability_node": "SELECT r_regionkey, round(r_regionkey * 0.551907298063::DOUBLE, 8) AS h2_liab, round(0.5 * 0.551907298063::DOUBLE, 8) AS h2_se_liab FROM region",
     "append_sink": "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation",
     "lake_load": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1",
-    "approx_distinct": "SELECT event_type, true AS users_fit, true AS median_fits FROM events GROUP BY 1",
-    "ols_multi": "SELECT term, round(CASE term WHEN 'intercept' THEN i ELSE s END, 4) AS coefficient, round(r, 8) AS r_squared, n AS n_obs FROM (SELECT regr_intercept(l_extendedprice, l_quantity) AS i, regr_slope(l_extendedprice, l_quantity) AS s, regr_r2(l_extendedprice, l_quantity) AS r, count(*) AS n FROM lineitem), (VALUES ('intercept'), ('x1')) AS t(term)",
+    "approx_distinct": "SELECT event_type, count(DISTINCT user_id) AS users, count(value) AS events, true AS users_fit, true AS median_fits FROM events GROUP BY 1",
+    "ols_multi": "WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_tax) AS mz, avg(l_extendedprice) AS my, var_pop(l_quantity) AS xx, var_pop(l_tax) AS zz, var_pop(l_extendedprice) AS yy, covar_pop(l_quantity, l_tax) AS xz, covar_pop(l_quantity, l_extendedprice) AS xy, covar_pop(l_tax, l_extendedprice) AS zy FROM lineitem), b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM s) SELECT term, round(CASE term WHEN 'intercept' THEN my - b1 * mx - b2 * mz WHEN 'x1' THEN b1 ELSE b2 END, 4) AS coefficient, round((b1 * xy + b2 * zy) / yy, 8) AS r_squared, n AS n_obs FROM b, (VALUES ('intercept'), ('x1'), ('x2')) AS t(term)",
     "range_join_binned": f"SELECT a.o_orderkey, b.o_orderkey AS o_orderkey_b FROM {_ORD} a JOIN {_ORD} b ON a.c_nationkey = b.c_nationkey AND a.s <= b.e AND b.s <= a.e AND a.o_orderkey < b.o_orderkey",
     "self_join_window_distance": f"SELECT a.event_id, b.event_id AS event_id_b FROM {_EV} a JOIN {_EV} b ON a.user_id = b.user_id AND b.sec - a.sec BETWEEN 0 AND 3600 AND (b.sec > a.sec OR a.event_id < b.event_id)",
     "interval_merge": f"SELECT user_id, min(s) AS start, max(e) AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN s <= m + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, sec AS s, sec + 1800 AS e, max(sec + 1800) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {_EV})) GROUP BY user_id, g",
@@ -431,6 +458,7 @@ ORACLES = {
     "mr_egger": f"SELECT id_outcome, n AS nsnp, round(b, 7) AS b, round(sqrt(sw / det) * greatest(1, sqrt(s2)), 7) AS se, round(a, 7) AS intercept FROM (SELECT *, (syy - a * sy - b * sxy) / (n - 2) AS s2 FROM (SELECT *, sw * sxx - sx * sx AS det, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b, (sxx * sy - sx * sxy) / (sw * sxx - sx * sx) AS a FROM (SELECT id_outcome, count(*) AS n, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, sum(w * y * y) AS syy FROM (SELECT id_outcome, 1 / (se * se) AS w, abs(x0) AS x, CASE WHEN x0 < 0 THEN -y0 ELSE y0 END AS y FROM {_EFF}) GROUP BY 1)))",
     "harmonise_rows": "SELECT snp, NOT (same OR swap OR fsame OR fswap) AS remove, CASE WHEN pal AND (same OR swap OR fsame OR fswap) AND ((ex < 0.5 AND eo > 0.5) OR (ex > 0.5 AND eo < 0.5)) THEN -b ELSE b END AS beta_outcome FROM (SELECT *, CASE WHEN turn THEN -0.2 ELSE 0.2 END::DOUBLE AS b, CASE WHEN turn THEN 1 - eo0 ELSE eo0 END AS eo, pal AND ((ex > 0.42 AND ex < 0.58) OR (CASE WHEN turn THEN 1 - eo0 ELSE eo0 END > 0.42 AND CASE WHEN turn THEN 1 - eo0 ELSE eo0 END < 0.58)) AS amb FROM (SELECT *, CASE WHEN same THEN false WHEN swap THEN true WHEN fsame THEN false ELSE fswap END AS turn FROM (SELECT *, a1 = b1 AND a2 = b2 AS same, a1 = b2 AND a2 = b1 AS swap, a1 = translate(b1, 'ACGT', 'TGCA') AND a2 = translate(b2, 'ACGT', 'TGCA') AS fsame, a1 = translate(b2, 'ACGT', 'TGCA') AND a2 = translate(b1, 'ACGT', 'TGCA') AS fswap, translate(a1, 'ACGT', 'TGCA') = a2 AS pal FROM (SELECT p_partkey AS snp, substr('ACGT', (p_partkey % 7 % 4 + 1)::INT, 1) AS a1, substr('CGTA', (p_partkey % 7 % 4 + 1)::INT, 1) AS a2, substr('ACGT', (p_partkey % 5 % 4 + 1)::INT, 1) AS b1, substr('CGTA', (p_partkey % 5 % 4 + 1)::INT, 1) AS b2, (p_partkey % 10)::DOUBLE / 10 AS ex, (p_partkey % 9)::DOUBLE / 10 AS eo0 FROM part))))",
     "jackknife_blocks": "SELECT block, n, round((ay - y) / (ax - x), 7) AS left_out FROM (SELECT *, sum(y) OVER () AS ay, sum(x) OVER () AS ax FROM (SELECT block, count(*) AS n, sum(l_extendedprice) AS y, sum(l_quantity) AS x FROM (SELECT *, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) * 20 - 1) // (count(*) OVER ()) AS block FROM lineitem) GROUP BY 1))",
+    "window_groups_frame": "SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 4) AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW)",
     "liability_scale": "SELECT r_regionkey, round(r_regionkey * 0.551907298063::DOUBLE, 8) AS h2_liab FROM region",
     "partition_idempotent_load": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 1",
 }
@@ -447,14 +475,22 @@ def _median(method: str, weight: str) -> str:
     )
 
 
+def _chi2(q: str, df: str) -> str:
+    """Upper tail for whole degrees of freedom, as a finite sum; with odd ones from the tail of the normal distribution on (for q above 20)."""
+    term = lambda j: f"exp(-({q}) / 2 + ({j}) * ln(({q}) / 2) - lgamma(({j}) + 1))"
+    even = f"list_sum(list_transform(range(0, ({df}) // 2), lambda k: {term('k')}))"
+    odd = f"list_sum(list_transform(range(1, ({df}) // 2 + 1), lambda k: {term('k - 0.5::DOUBLE')})) + exp(-({q}) / 2) / sqrt(pi() * ({q}) / 2) * (1 - 1 / ({q}) + 3 / pow({q}, 2) - 15 / pow({q}, 3))"
+    return f"round(CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END, 7)"
+
+
 _IVW = "SELECT id_outcome, count(*) AS n, sum(x * x / (se * se)) AS xx, sum(x * y / (se * se)) AS xy, sum(y * y / (se * se)) AS yy, sum(1 / (se * se)) AS sw, sum(1 / (se * se * se * se)) AS sww"
 ORACLES |= {
     "mr_ivw_variants": f"WITH s AS (SELECT *, xy / xx AS b, (yy - xy * xy / xx) / (n - 1) AS s2 FROM (SELECT id_outcome, count(*) AS n, sum(x0 * x0 / (se * se)) AS xx, sum(x0 * y0 / (se * se)) AS xy, sum(y0 * y0 / (se * se)) AS yy FROM {_EFF} GROUP BY 1)), u AS (SELECT *, xy / xx AS b, (yy - xy * xy / xx) / (n - 1) AS s2 FROM (SELECT id_outcome, count(*) AS n, sum(x0 * x0) AS xx, sum(x0 * y0) AS xy, sum(y0 * y0) AS yy FROM {_EFF} GROUP BY 1)) SELECT id_outcome, 'mr_ivw_fe' AS method, round(b, 8) AS b, round(sqrt(1 / xx), 8) AS se FROM s UNION ALL SELECT id_outcome, 'mr_ivw_mre', round(b, 8), round(sqrt(s2 / xx), 8) FROM s UNION ALL SELECT id_outcome, 'mr_uwr', round(b, 8), round(sqrt(s2 / xx) / least(1, sqrt(s2)), 8) FROM u",
     "mr_weighted_median": _median("mr_simple_median", "1.0::DOUBLE") + " UNION ALL " + _median("mr_weighted_median", "1 / (se * se / (x * x) + y * y * sx * sx / (x * x * x * x))"),
-    "mr_heterogeneity": f"WITH s AS ({_IVW}, sum(x / (se * se)) AS sx, sum(y / (se * se)) AS sy FROM {_INS} GROUP BY 1), e AS (SELECT *, (sw * xy - sx * sy) / (sw * xx - sx * sx) AS b, (xx * sy - sx * xy) / (sw * xx - sx * sx) AS a FROM s) SELECT id_outcome, 'mr_ivw' AS method, round(yy - xy * xy / xx, 5) AS q, n - 1 AS q_df, true AS p_fits FROM s UNION ALL SELECT id_outcome, 'mr_egger_regression', round(yy - a * sy - b * xy, 5), n - 2, true FROM e",
+    "mr_heterogeneity": f"WITH s AS ({_IVW}, sum(x / (se * se)) AS sx, sum(y / (se * se)) AS sy FROM {_INS} GROUP BY 1), e AS (SELECT *, (sw * xy - sx * sy) / (sw * xx - sx * sx) AS b, (xx * sy - sx * xy) / (sw * xx - sx * sx) AS a FROM s) SELECT id_outcome, 'mr_ivw' AS method, round(yy - xy * xy / xx, 5) AS q, n - 1 AS q_df, {_chi2('yy - xy * xy / xx', 'n - 1')} AS q_pval FROM s UNION ALL SELECT id_outcome, 'mr_egger_regression', round(yy - a * sy - b * xy, 5), n - 2, {_chi2('yy - a * sy - b * xy', 'n - 2')} FROM e",
     "meta_analysis": f"WITH s AS (SELECT *, yy - xy * xy / xx AS q FROM ({_IVW} FROM {_INS} GROUP BY 1)), t AS (SELECT *, CASE WHEN q > n - 1 THEN (q - (n - 1)) / (sw - sww / sw) ELSE 0 END AS tau2 FROM s) SELECT t.id_outcome, any_value(n) AS nsnp, round(sum(x * y / (se * se + tau2)) / sum(x * x / (se * se + tau2)), 7) AS b, round(any_value(q), 5) AS q, round(any_value(CASE WHEN q > n - 1 THEN (q - (n - 1)) / q * 100 ELSE 0 END), 5) AS i2, round(any_value(tau2), 7) AS tau2 FROM t JOIN {_INS} i ON i.id_outcome = t.id_outcome GROUP BY 1",
 }
-_SNPS = "(SELECT l_quantity * l_quantity / 100 AS y, 1000.0::DOUBLE + 10 * l_linenumber AS n, l_discount * 100 + 1 AS a, l_tax * 100 + 1 AS b, l_linenumber + 1.0::DOUBLE AS wld FROM lineitem)"
+_SNPS = "(SELECT l_quantity * l_quantity / 100 AS y, 1000.0::DOUBLE + 10 * l_linenumber AS n, l_discount * 100 + 1 AS a, l_tax * 100 + 1 AS b, l_linenumber + 1.0::DOUBLE AS wld, l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_extendedprice AS k4 FROM lineitem)"
 
 
 def _pass(k: int) -> str:
@@ -465,10 +501,14 @@ def _pass(k: int) -> str:
 
 ORACLES |= {
     "h2_partitioned": f"WITH d AS (SELECT *, a + b AS t, avg(n) OVER () AS nbar FROM {_SNPS}), s AS (SELECT 1200 * (avg(y) - 1) / avg(t * n) AS h FROM d), w AS (SELECT y - 1 AS y, n * a / nbar AS x, n * b / nbar AS z, nbar, 1 / (2 * pow(1 + least(1, greatest(0, h)) / 1200 * n * greatest(t, 1), 2)) / greatest(wld, 1) AS w FROM d, s), g AS (SELECT sum(w * x * x) AS xx, sum(w * x * z) AS xz, sum(w * z * z) AS zz, sum(w * x * y) AS xy, sum(w * z * y) AS zy, any_value(nbar) AS nbar FROM w), c AS (SELECT 1000 * (zz * xy - xz * zy) / (xx * zz - xz * xz) / nbar AS ca, 200 * (xx * zy - xz * xy) / (xx * zz - xz * xz) / nbar AS cb FROM g) SELECT annotation, round(CASE annotation WHEN 'a' THEN ca ELSE cb END, 8) AS cat, round(CASE annotation WHEN 'a' THEN ca / 1000 ELSE cb / 200 END / ((ca + cb) / 1200), 8) AS enrichment FROM c, (VALUES ('a'), ('b')) AS v(annotation)",
-    "h2_fixed_intercept": f"WITH d AS (SELECT *, avg(n) OVER () AS nbar FROM {_SNPS}), e0 AS (SELECT 1000 * (avg(y) - 1) / avg(a * n) AS h FROM d), {_pass(1)}, {_pass(2)}, {_pass(3)} SELECT round(h, 8) AS h2, round((SELECT avg(y) FROM d), 8) AS mean_chisq, (SELECT count(*) FROM d) AS n_snps FROM e3",
+    "h2_fixed_intercept": f"WITH d AS (SELECT *, avg(n) OVER () AS nbar, (row_number() OVER (ORDER BY k1, k2, k3, k4) * 200 - 1) // count(*) OVER () AS block FROM {_SNPS}), e0 AS (SELECT 1000 * (avg(y) - 1) / avg(a * n) AS h FROM d), {_pass(1)}, {_pass(2)}, {_pass(3)}, "
+    "j AS (SELECT block, any_value(nbar) AS nbar, sum(w * n * a / nbar * (y - 1)) AS xy, sum(w * (n * a / nbar) * (n * a / nbar)) AS xx FROM (SELECT d.*, 1 / (2 * pow(1 + least(1, greatest(0, h)) / 1000 * n * greatest(a, 1), 2)) / greatest(wld, 1) AS w FROM d, e2) GROUP BY block), "
+    "v AS (SELECT 200 * t.xy / t.xx - 199 * (t.xy - j.xy) / (t.xx - j.xx) AS pseudo, nbar FROM j, (SELECT sum(xy) AS xy, sum(xx) AS xx FROM j) t) "
+    "SELECT round(h, 8) AS h2, round((SELECT 1000 / any_value(nbar) * sqrt(var_samp(pseudo) / 200) FROM v), 8) AS h2_se, round((SELECT median(y) FROM d) / 0.4549, 8) AS lambda_gc, round((SELECT avg(y) FROM d), 8) AS mean_chisq, (SELECT count(*) FROM d) AS n_snps FROM e3",
     "odds_population_frequency": "SELECT p_partkey, round((af - z) / (1 - p) * 0.99 + z / p * 0.01, 8) AS population_af FROM (SELECT *, CASE WHEN o = 1 THEN af * p ELSE (1 + (af + p) * (o - 1) - sqrt(pow(1 + (af + p) * (o - 1), 2) - 4 * o * (o - 1) * af * p)) / (2 * (o - 1)) END AS z FROM (SELECT p_partkey, p_size / 60.0::DOUBLE AS af, p_partkey % 7 / 10.0::DOUBLE + 0.1::DOUBLE AS p, p_partkey % 5 / 2.0::DOUBLE + 0.25::DOUBLE AS o FROM part))",
 }
 FUNCTIONS = [
+    window_groups_frame,
     h2_partitioned, h2_fixed_intercept, odds_population_frequency,
     flagship, describe_stats, quantiles_type7, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
     mr_ivw, mr_ivw_variants, mr_egger, mr_weighted_median, mr_heterogeneity, meta_analysis, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,

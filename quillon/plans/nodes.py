@@ -11,6 +11,7 @@ from ..functions import ldsc, mr, mr_robust, partitioned, stats
 from ..sources import formats, sinks, store
 from ..sources.lake import Lake, free_of_reserved
 from .dag import Node, Ports
+from .dialect import to_spark
 from .registry import Registry
 
 _VIEWS = threading.Lock()
@@ -23,13 +24,13 @@ class Source(Node):
         self.spark, self.path, self.format, self.type, self.ident = spark, path, format, type, ident
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
-        if self.type == "table":
+        if self.type in ("table", "iceberg"):
             return {0: self.spark.table(self.ident)}
         return {0: formats.read(self.spark, self.path, self.format)}
 
 
 class Sql(Node):
-    """Spark SQL over the inputs as views port_0, port_1, ...; names may stand in double quotes."""
+    """SQL over the inputs as views port_0, port_1, ...; names may stand in double quotes, functions may have another dialect's names (``dialect``)."""
 
     kind = "sql"
 
@@ -49,7 +50,7 @@ class Sql(Node):
                 df.createOrReplaceTempView(f"port_{p}")
             try:
                 self.spark.conf.set(key, "true")
-                return {0: self.spark.sql(self.query)}
+                return {0: self.spark.sql(to_spark(self.query))}
             finally:
                 self.spark.conf.set(key, before)
 
@@ -166,7 +167,7 @@ class LdScore(Node):
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
         panel = inputs[1]
-        rows = store.stored(ldsc.on_panel([inputs[0]], panel), "ldsc")
+        rows = ldsc.on_panel([inputs[0]], panel)
         return {0: ldsc.h2_frame(rows, ldsc.common(panel), blocks=self.blocks, intercept=self.intercept)}
 
 
@@ -182,7 +183,7 @@ class GeneticCorrelation(Node):
         return Ports(inputs={0: None, 1: None, 2: None})
 
     def execute(self, inputs: dict[int, DataFrame]) -> dict[int, DataFrame]:
-        rows = store.stored(ldsc.on_panel([inputs[0], inputs[1]], inputs[2]), "ldsc_rg")
+        rows = ldsc.on_panel([inputs[0], inputs[1]], inputs[2])
         return {0: ldsc.rg_frame(rows, inputs[2].count(), blocks=self.blocks, intercepts=self.intercepts)}
 
 
@@ -211,6 +212,7 @@ def default_registry() -> Registry:
     r.register("echo", Echo, {"properties": {}})
     r.register("sink_file", SinkFile, {"properties": {"path": text, "format": text, "mode": text}, "required": ["path"]})
     r.register("sink_table", SinkTable, {"properties": {"ident": text, "mode": text, "rename_reserved": flag}, "required": ["ident"]})
+    r.register("sink_iceberg", SinkTable, {"properties": {"ident": text, "mode": text, "rename_reserved": flag}, "required": ["ident"]})
     r.register("query_table", QueryTable, {"properties": {"query": text}, "required": ["query"]})
     r.register("linear_regression", LinearRegression, {"properties": {"x_columns": texts, "y_column": text, "intercept": flag}, "required": ["x_columns", "y_column"]})
     whole = {"type": "integer"}
