@@ -21,8 +21,8 @@ Originals are reduced to one row per (hash, conversation) and one per hash, and
 stored, before any join, so a line that everyone quotes joins one row and a large
 partition of quotes can be split.
 
-Cases: a null text is empty; empty lines link to nothing, and lines of fewer than
-``LEAST`` code points link within their own conversation only; a message is named by (conv_id, turn), repeated rows share one parent
+Cases: a null text is empty; empty lines link to nothing; with ``least`` above 0, lines of fewer code
+points link within their own conversation only; a message is named by (conv_id, turn), repeated rows share one parent
 and one place; a null conv_id or turn has no parent, depth 0 and no place; a link to another conversation is recorded
 but depth and place count within the own conversation only; lines of any length and any number of marks are read by
 one pass without backtracking; extra columns are left out.
@@ -39,8 +39,8 @@ from .lines import split_lines
 
 #: What stands before a quoted line's words (possessive: nothing is tried again), and how such a line is told.
 MARKS, QUOTED = r"^[ \t>]*+", r"^[ \t]*+>"
-#: Fewest code points of a line that is linked to another conversation.
-LEAST = 8
+#: Fewest code points of a line that is linked to another conversation; 0: every line that isn't empty.
+LEAST = 0
 
 
 def _level(line: Column) -> Column:
@@ -51,11 +51,11 @@ def _bare(line: Column) -> Column:
     return F.btrim(F.regexp_replace(lower_ascii(F.regexp_replace(line, MARKS, "")), "[ \t\x0b\x0c\r]++", " "), F.lit(BLANKS))
 
 
-def parsed_lines(messages: DataFrame) -> DataFrame:
+def parsed_lines(messages: DataFrame, least: int = LEAST) -> DataFrame:
     """Rows (conv_id, turn, pos, level, h, long) of the lines that aren't empty; long: may link to another conversation."""
     x = messages.select("conv_id", "turn", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     x = x.select("conv_id", "turn", "pos", _level(F.col("line")).alias("level"), _bare(F.col("line")).alias("bare"))
-    return x.filter("bare <> ''").select("conv_id", "turn", "pos", "level", F.sha2("bare", 256).alias("h"), (F.char_length("bare") >= LEAST).alias("long"))
+    return x.filter("bare <> ''").select("conv_id", "turn", "pos", "level", F.sha2("bare", 256).alias("h"), (F.char_length("bare") >= least).alias("long"))
 
 
 def without_quotes(text: Column) -> Column:
@@ -63,9 +63,9 @@ def without_quotes(text: Column) -> Column:
     return F.array_join(F.filter(split_lines(text), lambda s: ~s.rlike(QUOTED)), "\n")
 
 
-def quote_links(messages: DataFrame, ws: Workspace | None = None) -> DataFrame:
+def quote_links(messages: DataFrame, ws: Workspace | None = None, least: int = LEAST) -> DataFrame:
     """Rows (conv_id, turn, pos, level, to_conv, to_turn): every quoted line that has an original."""
-    lines = parsed_lines(messages).filter("conv_id is not null and turn is not null")
+    lines = parsed_lines(messages, least).filter("conv_id is not null and turn is not null")
     ws = ws or Workspace(messages.sparkSession)
     lines = ws.put(lines, "lines")  # read by each join below
     own = ws.put(lines.filter("level = 0").groupBy("h", "conv_id", "long").agg(F.min("turn").alias("first")), "own")
@@ -85,9 +85,9 @@ def quote_links(messages: DataFrame, ws: Workspace | None = None) -> DataFrame:
     ).filter("to_turn is not null")
 
 
-def parents(messages: DataFrame, ws: Workspace | None = None) -> DataFrame:
+def parents(messages: DataFrame, ws: Workspace | None = None, least: int = LEAST) -> DataFrame:
     """One row per (conv_id, turn) with a linked quote: n_linked, parent_conv, parent_turn."""
-    votes = quote_links(messages, ws).groupBy("conv_id", "turn", "to_conv", "to_turn").agg(
+    votes = quote_links(messages, ws, least).groupBy("conv_id", "turn", "to_conv", "to_turn").agg(
         F.count("*").alias("n"), F.sum((F.col("level") == 1).cast("long")).alias("n1")
     )
     best = F.min(F.struct(-F.col("n1"), -F.col("n"), F.col("to_conv") != F.col("conv_id"), "to_conv", "to_turn"))
@@ -125,13 +125,13 @@ def reply_places(ws: Workspace, tree: DataFrame) -> DataFrame:
     return entered.join(count, "conv_id").select("conv_id", "turn", (-F.col("d")).alias("depth"), (F.col("all") - F.col("n")).alias("reply_pos"))
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
+def link_quotes(messages: DataFrame, least: int = LEAST) -> DataFrame:
     """Every message with its text without quotes, its parent, its depth and its place in the reply-ordered conversation.
 
     Needs columns conv_id, turn, role, text.  Sort by (conv_id, reply_pos) to read a conversation."""
     ws = Workspace(messages.sparkSession)
     base = messages.select("conv_id", "turn", "role", "text")
-    linked = ws.put(parents(base, ws), "parents")
+    linked = ws.put(parents(base, ws, least), "parents")
     ws.drop("lines", "own", "anywhere", "later")
     have = base.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
     before = have.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("before"))
@@ -158,18 +158,18 @@ def conversations(messages: DataFrame) -> DataFrame:
     return link_quotes(messages).filter("reply_pos is not null").select("conv_id", "reply_pos", "depth", "role", "text").orderBy("conv_id", "reply_pos")
 
 
-def oracle() -> str:
-    """DuckDB: link_quotes with the text as sha256."""
+def oracle(source: str = "conversations") -> str:
+    """DuckDB: link_quotes with the text as sha256, over the rows of ``source``."""
     marks = r"^[ \t>]*"
     return rf"""
-WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS ls FROM {source}),
 l AS (SELECT rid, conv_id, turn, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM m),
 p AS (SELECT *, length(regexp_extract(line, '{marks}')) - length(replace(regexp_extract(line, '{marks}'), '>', '')) AS level,
   trim(regexp_replace(translate(regexp_replace(line, '{marks}', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0b\x0c\r]+', ' ', 'g')) AS bare FROM l),
-k AS (SELECT * FROM p WHERE length(bare) >= {LEAST} AND conv_id IS NOT NULL AND turn IS NOT NULL),
+k AS (SELECT * FROM p WHERE length(bare) > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
 own AS (SELECT bare, conv_id, min(turn) AS f FROM k WHERE level = 0 GROUP BY ALL),
-anyw AS (SELECT bare, conv_id AS ac, f AS af FROM own QUALIFY row_number() OVER (PARTITION BY bare ORDER BY conv_id, f) = 1),
-q AS (SELECT k.conv_id, k.turn, level, CASE WHEN f < k.turn THEN k.conv_id WHEN ac <> k.conv_id THEN ac END AS tc, CASE WHEN f < k.turn THEN f WHEN ac <> k.conv_id THEN af END AS tt
+anyw AS (SELECT bare, conv_id AS ac, f AS af, lead(conv_id) OVER o AS nc, lead(f) OVER o AS nf FROM own WINDOW o AS (PARTITION BY bare ORDER BY conv_id, f) QUALIFY row_number() OVER o = 1),
+q AS (SELECT k.conv_id, k.turn, level, CASE WHEN f < k.turn THEN k.conv_id WHEN ac <> k.conv_id THEN ac ELSE nc END AS tc, CASE WHEN f < k.turn THEN f WHEN ac <> k.conv_id THEN af ELSE nf END AS tt
   FROM k LEFT JOIN own ON own.bare = k.bare AND own.conv_id = k.conv_id LEFT JOIN anyw ON anyw.bare = k.bare WHERE level > 0),
 v AS (SELECT conv_id, turn, tc, tt, count(*) AS n, count(*) FILTER (WHERE level = 1) AS n1 FROM q WHERE tt IS NOT NULL GROUP BY ALL),
 par AS (SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id, turn) AS n_linked, tc, tt FROM v

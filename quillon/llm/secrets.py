@@ -1,13 +1,14 @@
 """Secret scan: pattern spans, then corpus-wide ownership of the values (DataFrame functions only).
 
 Three base kinds are found in every whole text (``assign``, ``access``, ``hex``).
-Further candidates are long unbroken tokens with letters and digits that touch no
-base span.  All candidate values are hashed and counted by distinct repositories
-and owners over the whole corpus.  A candidate that at most ``most_owners``
-owners hold looks live and is added as a span of kind ``live``; a value that
-``copied_owners`` owners or more share is a widely copied example.  Base spans
-always stay; ``n_copied`` counts those whose value is a copied example, ``n_live``
-those of at most ``most_owners`` owners.
+Further candidates are long unbroken tokens with letters, digits and at least
+``VARIETY`` different characters that touch no base span.  All candidate values are hashed and counted by distinct repositories
+and owners over the whole corpus.  A value that ``copied_owners`` owners or more
+share, or ``copied_repos`` repositories or more of any owners, is a widely copied
+example; a candidate that at most ``most_owners`` owners hold and that is no such
+example looks live and is added as a span of kind ``live``.  Base spans always
+stay; ``n_copied`` counts those whose value is a copied example, ``n_live`` those
+that look live.
 
 One pass over the texts writes the matches (lengths and values) to the shared
 folder; the rest works on that small table: offsets are running sums of lengths in
@@ -43,7 +44,9 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = [("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32)]
 TOKEN = r"[A-Za-z0-9_-]{24,}"
 NAMES = [k[0] for k in KINDS] + ["live"]
-MOST_OWNERS, COPIED_OWNERS = 1, 3
+MOST_OWNERS, COPIED_OWNERS, COPIED_REPOS = 1, 3, 10
+#: Fewest different characters of a live-looking token: words and filler have few.
+VARIETY = 10
 _MATCHES = "array<struct<gap:int,size:int,value:string>>"
 
 
@@ -81,6 +84,7 @@ def scan_secrets(
     text_col: str = "text",
     most_owners: int = MOST_OWNERS,
     copied_owners: int = COPIED_OWNERS,
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
     """One row per document: (id, base, live, n_copied, n_live), spans as (start, kind, end, value, owners, repos)."""
     ws = Workspace(docs.sparkSession)
@@ -95,7 +99,7 @@ def scan_secrets(
     kind, value = F.col("kind"), F.col("value")
     least = F.get(F.array(*[F.lit(x) for *_, x in KINDS], F.lit(0)), kind)
     some = spans(found.filter(" or ".join(f"size({c}) > 0" for c in names)), names).filter(F.char_length("value") >= least)
-    some = some.filter((kind < n) | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))
+    some = some.filter((kind < n) | (value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= VARIETY)))
     text_of = Window.partitionBy("r1", "r2")
     base = kind < n
     # both frames only grow: one pass each
@@ -118,13 +122,15 @@ def scan_secrets(
     by_row = ws.put(judged.groupBy("r1", "r2").agg(F.collect_list("s").alias("all")), "by-row")
     empty = "array<struct<start:int,kind:int,end:int,value:string,owners:bigint,repos:bigint>>"
     every = F.coalesce("all", F.array().cast(empty))
-    number = lambda test: F.size(F.filter(every, lambda s: (s["kind"] < n) & test(s["owners"]))).cast("long")
+    copied = lambda s: (s["owners"] >= copied_owners) | (s["repos"] >= copied_repos)
+    live = lambda s: (s["owners"] <= most_owners) & ~copied(s)
+    number = lambda test: F.size(F.filter(every, lambda s: (s["kind"] < n) & test(s))).cast("long")
     return found.select("id", "r1", "r2").join(by_row, ["r1", "r2"], "left").select(
         F.col("id").alias(id_col),
         F.filter(every, lambda s: s["kind"] < n).alias("base"),
-        F.filter(every, lambda s: (s["kind"] == n) & (s["owners"] <= most_owners)).alias("live"),
-        number(lambda x: x >= copied_owners).alias("n_copied"),
-        number(lambda x: x <= most_owners).alias("n_live"),
+        F.filter(every, lambda s: (s["kind"] == n) & live(s)).alias("live"),
+        number(copied).alias("n_copied"),
+        number(live).alias("n_live"),
     )
 
 
@@ -160,11 +166,12 @@ s{i} AS (SELECT rid, {i} AS kind, st, st + length(m[i]) AS en, v[i] AS value FRO
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),{parts},
 base AS ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(n))}),
-other AS (SELECT * FROM s{n} g WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+other AS (SELECT * FROM s{n} g WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {VARIETY}
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = g.rid AND b.st < g.en AND b.en > g.st)),
 everything AS (SELECT * FROM base UNION ALL SELECT * FROM other),
-owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM everything JOIN d USING (rid) GROUP BY value),
-spans AS (SELECT e.*, owners FROM everything e JOIN owned USING (value) WHERE kind < {n} OR owners <= {MOST_OWNERS}),
+owned AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, chr(0)))) AS repos FROM everything JOIN d USING (rid) GROUP BY value),
+spans AS (SELECT e.*, owners >= {COPIED_OWNERS} OR repos >= {COPIED_REPOS} AS copied, owners <= {MOST_OWNERS} AND repos < {COPIED_REPOS} AND owners < {COPIED_OWNERS} AS live FROM everything e JOIN owned USING (value)),
+kept AS (SELECT * FROM spans WHERE kind < {n} OR live),
 g AS (SELECT rid, {counts}, string_agg({label}, ',' ORDER BY st, kind, en) FILTER (WHERE kind < {n}) AS b, string_agg({label}, ',' ORDER BY st, kind, en) AS s,
-  count(*) FILTER (WHERE kind < {n} AND owners >= {COPIED_OWNERS}) AS n_copied, count(*) FILTER (WHERE kind < {n} AND owners <= {MOST_OWNERS}) AS n_live FROM spans GROUP BY rid)
+  count(*) FILTER (WHERE kind < {n} AND copied) AS n_copied, count(*) FILTER (WHERE kind < {n} AND live) AS n_live FROM kept GROUP BY rid)
 SELECT doc_id, {out}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live FROM d LEFT JOIN g USING (rid)"""

@@ -15,7 +15,8 @@ Cases: a null url, or one without ``://``, has an empty host and path, fits no
 rule, and takes the verdict of the empty host; null outcomes count as
 unlabelled, rows with a null id have no outcome; repeated rows count each; without
 any label the rate is 1/2 and the prior is weakest, so nothing is blocked; very long
-urls are taken apart in one pass, by splitting at dots; extra columns are ignored.
+urls are taken apart in one pass, by splitting at dots; extra columns are ignored.  For domain and suffix a host's user
+and port are left out; an address (of four numbers, or in brackets) is its own domain and its own suffix.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ SECOND = ("co", "com", "org", "net", "gov", "ac", "edu")
 #: A host is blocked when more than this share of its pages is bad, at a posterior certainty of 95 %.
 MAX_BAD, Z = 0.05, 1.645
 RHO_LEAST, RHO_MOST = 0.001, 0.9
-#: A page is bad when these symbols are more than BAD_SHARE of its text without tags; pages of fewer than LEAST_TEXT code points have no outcome.
+#: A page is bad when these symbols are more than BAD_SHARE of its text without tags; pages of fewer than LEAST_TEXT code points (0: none) have no outcome.
 SYMBOLS, BAD_SHARE, LEAST_TEXT = "*%#$~^|{}=", 0.04, 200
 
 
-def symbol_outcomes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Rows (id, bad) from the pages' own html: 1 where its text is strewn with symbols, 0 where not, null for short or null pages."""
+def symbol_outcomes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", bad_share: float = BAD_SHARE, least_text: int = LEAST_TEXT) -> DataFrame:
+    """Rows (id, bad) from the pages' own html: 1 where its text is strewn with symbols, 0 where not, null for short or null pages.
+
+    A stand-in where nobody has labelled pages; ``filter_urls`` takes any labelled outcomes."""
     text = F.regexp_replace(html := F.col(html_col), "<[^>]*>", "")
     n = F.char_length(text)
     symbols = n - F.char_length(F.translate(text, SYMBOLS, ""))
-    return pages.select(F.col(id_col), F.when(html.isNull() | (n < LEAST_TEXT), None).otherwise((symbols > n * BAD_SHARE).cast("int")).alias("bad"))
+    return pages.select(F.col(id_col), F.when(html.isNull() | (n < least_text), None).otherwise((symbols > n * bad_share).cast("int")).alias("bad"))
 
 
 def host_of(url: Column) -> Column:
@@ -54,26 +57,38 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _labels(host: Column) -> tuple[Column, Column, Column]:
-    """The host's last three labels, last first; null where there are fewer."""
-    parts = F.split(host, "[.]", -1)
+def name_of(host: Column) -> Column:
+    """The host without its user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]+[.]){3}[0-9]+$") | name.startswith("[")
+
+
+def _labels(name: Column) -> tuple[Column, Column, Column]:
+    """The name's last three labels, last first; null where there are fewer."""
+    parts = F.split(name, "[.]", -1)
     return tuple(F.try_element_at(parts, F.lit(-k)) for k in (1, 2, 3))
 
 
-def _two(last: Column, second: Column) -> Column:
-    return F.coalesce(last.rlike("^[a-z][a-z]$") & second.isin(*SECOND), F.lit(False))
+def _two(last: Column, second: Column, suffixes: tuple[str, ...]) -> Column:
+    pair = last.rlike("^[a-z][a-z]$") & second.isin(*SECOND)
+    return F.coalesce(pair | F.concat_ws(".", second, last).isin(*suffixes) if suffixes else pair, F.lit(False))
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where they form a public suffix."""
-    last, second, _ = _labels(host)
-    return F.when(_two(last, second), F.concat_ws(".", second, last)).otherwise(last)
+def suffix_of(host: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """The last label, or the last two where they form a public suffix (by rule, or named in ``suffixes``, such as github.io); an address whole."""
+    name = name_of(host)
+    last, second, _ = _labels(name)
+    return F.when(_is_address(name), name).when(_two(last, second, suffixes), F.concat_ws(".", second, last)).otherwise(last)
 
 
-def domain_of(host: Column) -> Column:
-    """The suffix with the label before it."""
-    last, second, third = _labels(host)
-    return F.when(_two(last, second), F.concat_ws(".", third, second, last)).otherwise(F.concat_ws(".", second, last))
+def domain_of(host: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """The suffix with the label before it; an address whole."""
+    name = name_of(host)
+    last, second, third = _labels(name)
+    return F.when(_is_address(name), name).when(_two(last, second, suffixes), F.concat_ws(".", third, second, last)).otherwise(F.concat_ws(".", second, last))
 
 
 def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -110,7 +125,7 @@ def _level(children: DataFrame, keys: list[str], parents: DataFrame, parent_keys
     )
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """Every host of ``pages`` (id, url): posterior bad rate, its lower bound, and the verdict.
 
     ``outcomes`` has (id, bad): one labelled outcome a row, bad 0 or 1.
@@ -121,7 +136,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
     lab = lab.groupBy("_id").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
     got = seen.distinct().join(lab, "_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     hosts = seen.select("host").distinct().join(got, "host", "left").na.fill(0, ["n", "k"])
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     hosts = Workspace(pages.sparkSession).put(hosts, "hosts")  # read at each level
     total = lambda keys: hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pn"), F.coalesce(F.sum("k"), F.lit(0)).alias("pk"))
@@ -136,10 +151,10 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", max_bad: float = MAX_BAD, z: float = Z
+    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = ()
 ) -> DataFrame:
     """Rows (id, host, path, rule, verdict): the longest fitting rule decides, else the host's reputation."""
-    rep = host_reputation(pages, outcomes, id_col, max_bad, z).select("host", "host_verdict")
+    rep = host_reputation(pages, outcomes, id_col, max_bad, z, suffixes).select("host", "host_verdict")
     rows = pages.select(F.col(id_col), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
     return (
@@ -150,7 +165,7 @@ def filter_urls(
 
 
 def oracle() -> str:
-    """The same filter as one DuckDB statement over pages and labels."""
+    """The same filter, with ``symbol_outcomes``, as one DuckDB statement over pages."""
     host = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
     path = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
     rule = verdict = "NULL"
@@ -173,8 +188,9 @@ def oracle() -> str:
 WITH pg AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
 lab AS (SELECT page_id, CASE WHEN html IS NULL OR length({text}) < {LEAST_TEXT} THEN NULL WHEN length({text}) - length(translate({text}, '{SYMBOLS}', '')) > length({text}) * {BAD_SHARE} THEN 1 ELSE 0 END AS bad FROM pages),
 got AS (SELECT host, sum(n) AS n, sum(k) AS k FROM (SELECT DISTINCT page_id, host FROM pg) JOIN (SELECT page_id, count(*) AS n, sum(bad) AS k FROM lab WHERE bad IS NOT NULL GROUP BY 1) USING (page_id) GROUP BY host),
-hosts AS (SELECT host, n, k, CASE WHEN {two} THEN concat_ws('.', p[-3], p[-2], p[-1]) ELSE concat_ws('.', p[-2], p[-1]) END AS domain, CASE WHEN {two} THEN concat_ws('.', p[-2], p[-1]) ELSE p[-1] END AS suffix
-  FROM (SELECT host, string_split(host, '.') AS p, coalesce(n, 0)::DOUBLE AS n, coalesce(k, 0)::DOUBLE AS k FROM (SELECT DISTINCT host FROM pg) LEFT JOIN got USING (host))),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN name WHEN {two} THEN concat_ws('.', p[-3], p[-2], p[-1]) ELSE concat_ws('.', p[-2], p[-1]) END AS domain, CASE WHEN address THEN name WHEN {two} THEN concat_ws('.', p[-2], p[-1]) ELSE p[-1] END AS suffix
+  FROM (SELECT host, name, regexp_full_match(name, '([0-9]+[.]){{3}}[0-9]+') OR starts_with(name, '[') AS address, string_split(name, '.') AS p, coalesce(n, 0)::DOUBLE AS n, coalesce(k, 0)::DOUBLE AS k
+    FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM pg) LEFT JOIN got USING (host))),
 w AS (SELECT coalesce(sum(n), 0) AS pn, coalesce(sum(k), 0) AS pk, (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS pm FROM hosts),
 sx AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1),
 dm AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),

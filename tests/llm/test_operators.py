@@ -323,9 +323,11 @@ def test_chat_links_short_lines_of_the_own_conversation(spark):
         (1, 4, "user", "No matter"), (1, 5, "assistant", "> 好的好的好的。"), (2, 0, "user", "> Why?\nWell?"), (2, 1, "user", "> NO  matter"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_conv, r.parent_turn, r.depth) for r in chat.link_quotes(df).collect()}
+    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_conv, r.parent_turn, r.depth) for r in chat.link_quotes(df, least=8).collect()}
     assert got[1, 2] == (1, 1, 0, 1) and got[1, 5] == (1, 1, 3, 3) and got[1, 3] == (0, 1, 2, 2)
     assert got[2, 0] == (0, None, None, 0) and got[2, 1] == (1, 1, 4, 1)
+    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_conv, r.parent_turn, r.depth) for r in chat.link_quotes(df).collect()}  # by default lines of any length link
+    assert got[2, 0] == (1, 1, 0, 0) and got[1, 2] == (1, 1, 0, 1)
 
 
 def test_chat_links_past_the_quoting_conversation(spark):

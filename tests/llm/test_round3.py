@@ -306,3 +306,46 @@ def test_language_id_accuracy_on_held_out_documents(spark):
     right, all_ = out.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
     print("held-out accuracy", right, all_, right / all_)
     assert all_ > 2000 and right / all_ >= 0.95
+
+
+# hosts, quotes, secrets
+
+
+def test_hosts_with_ports_users_and_addresses(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.llm import urls
+
+    rows = ["example.com:8080", "user:pw@www.example.co.uk:1", "10.0.0.1", "10.0.0.1:80", "[::1]:443", "a.github.io", "b.github.io", "", "localhost", "1.2.3.example.de"]
+    df = spark.createDataFrame([(h,) for h in rows], "host string")
+    got = {r.host: (r.s, r.d) for r in df.select("host", urls.suffix_of(F.col("host")).alias("s"), urls.domain_of(F.col("host")).alias("d")).collect()}
+    assert got["example.com:8080"] == ("com", "example.com") and got["user:pw@www.example.co.uk:1"] == ("co.uk", "example.co.uk")
+    assert got["10.0.0.1"] == got["10.0.0.1:80"] == ("10.0.0.1", "10.0.0.1") and got["[::1]:443"] == ("[::1]", "[::1]")
+    assert got["a.github.io"] == ("io", "github.io") and got["1.2.3.example.de"] == ("de", "example.de")
+    named = df.filter("host like '%github%'").select(urls.suffix_of(F.col("host"), ("github.io",)).alias("s"), urls.domain_of(F.col("host"), ("github.io",)).alias("d"))
+    assert sorted(map(tuple, named.collect())) == [("github.io", "a.github.io"), ("github.io", "b.github.io")]
+    pages = spark.createDataFrame([(1, "http://h/", "short *"), (2, "http://h/", "*" * 300)], "page_id long, url string, html string")
+    assert [r.bad for r in urls.symbol_outcomes(pages).orderBy("page_id").collect()] == [None, 1]
+    assert [r.bad for r in urls.symbol_outcomes(pages, least_text=0).orderBy("page_id").collect()] == [1, 1]
+
+
+def test_short_quotes_link_to_other_conversations(spark):
+    from quillon.llm import chat
+
+    rows = [(1, 0, "u", "Yes."), (2, 0, "u", "> Yes.\nwhy"), (3, 0, "u", "no"), (3, 1, "u", ">> yes.\nYes."), (1, 1, "u", "> Yes.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    links = lambda **kw: {(r.conv_id, r.turn): (r.to_conv, r.to_turn) for r in chat.quote_links(df, **kw).collect()}
+    assert links() == {(2, 0): (1, 0), (3, 1): (1, 0), (1, 1): (1, 0)}
+    assert links(least=8) == {(1, 1): (1, 0)}
+
+
+def test_secrets_of_many_repositories_are_examples(spark):
+    from quillon.llm import secrets
+
+    token, plain = "aZ3dE6gH9jK2mN5pQ8sT1vW4", "aaaaaaaaaaaaaaaaaaaaaaa1aaa1"
+    rows = [(i, f"key {token} here {plain}" if i < 3 else f"note {token[::-1]} end", "owner", f"repo{i}", "x") for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string, live string")
+    got = {r.doc_id: [s.value for s in r.live] for r in secrets.scan_secrets(df, "owner", "repo").collect()}
+    assert got[0] == [token] and got[5] == []  # one owner, but eleven repositories; a token of two characters is none
+    got = {r.doc_id: [s.value for s in r.live] for r in secrets.scan_secrets(df, "owner", "repo", copied_repos=20).collect()}
+    assert got[5] == [token[::-1]]
