@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
-from .blocks import BGZF_END, PART_BYTES, ByteFile, FormatError, Range, Written, bgzf_compress, blocks, files_of, filesystem, ranges
+from .blocks import BGZF_END, MOST_AHEAD, PART_BYTES, ByteFile, FormatError, Range, Written, bgzf_compress, blocks, files_of, filesystem, ranges
 
 READS = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
 # The letters of operations and of bases by code.
@@ -145,7 +145,7 @@ def decode(raw: np.ndarray, at: np.ndarray, names: list[str]) -> pa.RecordBatch:
 
 def records(f: ByteFile, part: BamRange) -> Iterator[pa.RecordBatch]:
     """The records that start in the range's blocks."""
-    data, owned, found = b"", 0, part.begin <= part.first[0] < part.end
+    data, owned, tried, found = b"", 0, 0, part.begin <= part.first[0] < part.end
     if part.end <= part.first[0]:
         return
     begin = part.first[0] if found else part.begin
@@ -175,14 +175,14 @@ def records(f: ByteFile, part: BamRange) -> Iterator[pa.RecordBatch]:
         if skip:
             data, owned, skip = data[skip:], owned - skip, 0
         if not found:
-            enough = not inside or len(data) >= CHUNK
-            if not enough:
+            if len(data) < 2 * tried or (inside and len(data) < CHUNK):
                 continue
+            tried = len(data)
             raw = np.frombuffer(data, np.uint8)
             k = resync(raw, owned, len(part.names), False)
             if k is None:
-                if not inside and len(data) > owned + (1 << 20):
-                    return  # a megabyte further on no record of ours has shown up
+                if not inside and len(data) > owned + MOST_AHEAD:
+                    return  # so far on no record of ours has shown up
                 continue
             data, owned, found = data[k:], owned - k, True
         if len(data) >= CHUNK or not inside:

@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 #: Compressed bytes of a partition, and of one read.
 PART_BYTES, READ_BYTES = 64 << 20, 4 << 20
+#: How far behind its range a task looks for the first record that starts in it.
+MOST_AHEAD = 64 << 20
 #: Payload of a block that is written (a block holds less than 64 KB).
 BLOCK_BYTES = 65_280
 # The empty block that ends a BGZF file, and the first bytes of a zstd frame.

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import numbered
 from .bam import read_bam
+from .bigbin import read_bigbed, read_bigwig
 from .blocks import ByteFile, bgzf_size, read_block_text
 
 # Suffixes and their formats, in the order they are tried.
 SUFFIXES = [
     (".csv", "csv"), (".parquet", "parquet"), (".vcf", "vcf"), (".bed", "bed"), (".gtf", "gtf"), (".gff3", "gff"), (".gff", "gff"),
-    (".sam", "sam"), (".bam", "bam"), (".cram", "cram"), (".fasta", "fasta"), (".fa", "fasta"), (".fastq", "fastq"), (".fq", "fastq"),
+    (".sam", "sam"), (".bam", "bam"), (".cram", "cram"), (".bcf", "bcf"), (".bw", "bigwig"), (".bigwig", "bigwig"), (".bb", "bigbed"), (".bigbed", "bigbed"), (".fasta", "fasta"), (".fa", "fasta"), (".fastq", "fastq"), (".fq", "fastq"),
 ]
-BARE = ("csv", "parquet", "bam", "cram")
+BARE = ("csv", "parquet", "bam", "cram", "bcf", "bigwig", "bigbed")
 GENE = "seqid string, source string, type string, start long, end long, score double, strand string, frame string"
 READS = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string"
 
@@ -96,7 +97,9 @@ def read(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
         return spark.read.parquet(path)
     if fmt == "cram":
         raise UnsupportedFormat(f"{path!r}: CRAM can't be read, as no decoder is available; convert it to BAM")
-    reader = {"bam": read_bam, "vcf": read_vcf, "bed": read_bed, "gtf": read_genes, "gff": read_genes, "sam": read_sam, "fasta": read_fasta, "fastq": read_fastq}.get(fmt or "")
+    from .bcf import read_bcf
+
+    reader = {"bcf": read_bcf, "bigwig": read_bigwig, "bigbed": read_bigbed, "bam": read_bam, "vcf": read_vcf, "bed": read_bed, "gtf": read_genes, "gff": read_genes, "sam": read_sam, "fasta": read_fasta, "fastq": read_fastq}.get(fmt or "")
     if reader is None:
         raise ValueError(f"unknown format of {path!r}")
     return reader(spark, path)

@@ -225,3 +225,153 @@ def test_csi_index(spark, tmp_path):
     (tmp_path / "c.vcf.gz.csi").write_bytes(blocks.bgzf_compress(body[:-9]))
     with pytest.raises(blocks.FormatError, match="cut off"):
         tabix.read_vcf_region(spark, str(tmp_path / "c.vcf.gz"), "c")
+
+
+def big_file(path, rows, wig, order, packed=True, kinds=(1,), per=40):
+    """A BigWig (rows chrom, start, end, value) or BigBed file with data blocks of some rows and an R-tree of two levels."""
+    u = lambda k, *v: struct.pack(order + k, *v)
+    names = sorted({r[0] for r in rows})
+    number = {n: k for k, n in enumerate(names)}
+    key = max(map(len, names), default=1)
+    tree = u("IIIIQQ", 0x78CA8C91, 8, key, 8, len(names), 0)
+    half = names[: len(names) // 2], names[len(names) // 2 :]
+    chrom_at = 64
+    node = lambda part: u("BBH", 1, 0, len(part)) + b"".join(n.encode().ljust(key, b"\0") + u("II", number[n], 10**9) for n in part)
+    root = u("BBH", 0, 0, 2)
+    at = chrom_at + len(tree) + 4 + 2 * (key + 8)
+    leaves = b""
+    for part in half:
+        root += (part[0] if part else names[0] if names else "").encode().ljust(key, b"\0") + u("Q", at + len(leaves))
+        leaves += node(part)
+    body = tree + root + leaves
+    data_at = chrom_at + len(body)
+    out, index, k = b"", [], 0
+    for n in names:
+        own = [r for r in rows if r[0] == n]
+        for a in range(0, len(own), per):
+            part, kind = own[a : a + per], kinds[k % len(kinds)]
+            k += 1
+            if not wig:
+                raw = b"".join(u("III", number[n], r[1], r[2]) + b"name\t7\0" for r in part)
+            else:
+                span, step = part[0][2] - part[0][1], part[1][1] - part[0][1] if len(part) > 1 else 1
+                raw = u("IIIIIBBH", number[n], part[0][1], part[-1][2], step, span, kind, 0, len(part))
+                for r in part:
+                    raw += u("IIf", *r[1:]) if kind == 1 else u("If", r[1], r[3]) if kind == 2 else u("f", r[3])
+            raw = zlib.compress(raw) if packed else raw
+            index.append((number[n], part[0][1], number[n], part[-1][2], data_at + len(out), len(raw)))
+            out += raw
+    index_at = data_at + len(out)
+    tree = u("IIQIIIIQII", 0x2468ACE0, 16, len(index), 0, 0, len(names), 10**9, index_at, 1, 0)
+    groups = [index[a : a + 5] for a in range(0, len(index), 5)]
+    top = u("BBH", 0, 0, len(groups))
+    at = index_at + 48 + 4 + 24 * len(groups)
+    low = b""
+    for g in groups:
+        top += u("IIIIQ", *g[0][:2], *g[-1][2:4], at + len(low))
+        low += u("BBH", 1, 0, len(g)) + b"".join(u("IIIIQQ", *x) for x in g)
+    head = u("IHHQQQHHQQIQ", 0x888FFC26 if wig else 0x8789F2EB, 4, 0, chrom_at, data_at, index_at, 0 if wig else 3, 0 if wig else 3, 0, 0, 32768 if packed else 0, 0)
+    path.write_bytes(head.ljust(64, b"\0") + body + out + tree + top + low)
+
+
+@pytest.mark.parametrize(("order", "packed"), [("<", True), (">", True), ("<", False)])
+def test_bigwig_and_bigbed(spark, tmp_path, order, packed):
+    from quillon.sources import bigbin
+
+    rows = [(c, 10 * k, 10 * k + 4, float(k % 7) / 4) for c in ("chr1", "chr2", "chrX") for k in range(700)]
+    big_file(tmp_path / "a.bw", rows, True, order, packed, kinds=(1, 2, 3))
+    big_file(tmp_path / "a.bb", rows, False, order, packed)
+    for part_bytes in (1, 1000, 1 << 20):
+        assert sorted(map(tuple, bigbin.read_bigwig(spark, str(tmp_path / "a.bw"), part_bytes=part_bytes).collect())) == rows
+        assert sorted(map(tuple, bigbin.read_bigbed(spark, str(tmp_path / "a.bb"), part_bytes=part_bytes).collect())) == [r[:3] for r in rows]
+    assert formats.read(spark, str(tmp_path / "a.bw")).count() == formats.read(spark, str(tmp_path / "a.bb")).count() == 2100
+    want = [r for r in rows if r[0] == "chr2" and r[2] > 1003 and r[1] < 2001]
+    assert sorted(map(tuple, bigbin.read_bigwig(spark, str(tmp_path / "a.bw"), chrom="chr2", start=1003, end=2001).collect())) == want
+    big = bigbin.BigFile(str(tmp_path / "a.bw"))
+    assert len(big.leaves("chr2", 1003, 2001)) <= 4 < len(big.leaves()) and big.leaves("chr9") == []
+    assert bigbin.read_bigwig(spark, str(tmp_path / "a.bw"), chrom="chr9").count() == 0
+    raw = (tmp_path / "a.bw").read_bytes()
+    (tmp_path / "a.bw").write_bytes(b"abcd" + raw[4:])
+    with pytest.raises(Exception, match="neither BigWig nor BigBed"):
+        bigbin.read_bigwig(spark, str(tmp_path / "a.bw")).count()
+
+
+BCF_HEAD = VCF.split("#CHROM")[0].replace("##fileformat=VCFv4.1\n", '##fileformat=VCFv4.1\n##contig=<ID=1>\n##contig=<ID=X>\n##FILTER=<ID=q10,Description="x">\n##FILTER=<ID=s50,Description="x">\n')
+
+
+def bcf_bytes(lines_, samples=("S1", "S2")):
+    """BCF records of VCF lines; integers in the smallest type that holds them."""
+    from quillon.sources import bcf
+
+    head = BCF_HEAD + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(samples) + "\n"
+    strings, contigs = bcf.dictionaries(head)
+    number = {v: k for k, v in strings.items()}
+    kinds = {m[2]: m[3] for m in __import__("re").finditer(r"##(INFO|FORMAT)=<ID=([^,]+),Number=[^,]+,Type=(\w+)", head)}
+
+    def kind(code, n):
+        return bytes([n << 4 | code]) if n < 15 else bytes([15 << 4 | code]) + ints([n])
+
+    def ints(v, width=None, head=True):
+        some = [x for x in v if x is not None]
+        code = next(c for c in (1, 2, 3) if all(-(2 ** (8 * 2 ** (c - 1) - 1)) + 8 <= x < 2 ** (8 * 2 ** (c - 1) - 1) for x in some))
+        letter, _, missing, end = bcf.INTEGERS[code]
+        v = [missing if x is None else x for x in v] + [end] * ((width or len(v)) - len(v))
+        return (kind(code, len(v)) if head else b"") + struct.pack(f"<{len(v)}{letter}", *v)
+
+    def floats(v):
+        return kind(5, len(v)) + b"".join(struct.pack("<I", bcf.FLOAT_MISSING) if x is None else struct.pack("<f", x) for x in v)
+
+    text = lambda s: kind(7, len(s.encode())) + s.encode()
+    split = lambda s, conv: [None if x == "." else conv(x) for x in s.split(",")]
+    out = []
+    for li in lines_:
+        c, p, i, ref, alt, q, flt, info, fmt, *cells = li.split("\t")
+        alleles = [ref, *([] if alt == "." else alt.split(","))]
+        pairs = [] if info == "." else [x.split("=", 1) for x in info.split(";")]
+        keys = fmt.split(":")
+        shared = struct.pack("<iiiIHHI", {v: k for k, v in contigs.items()}[c], int(p) - 1, len(ref), bcf.FLOAT_MISSING if q == "." else struct.unpack("<I", struct.pack("<f", float(q)))[0], len(pairs), len(alleles), len(keys) << 24 | len(cells))
+        shared += text("" if i == "." else i) + b"".join(map(text, alleles)) + (ints([number[x] for x in flt.split(";")]) if flt != "." else b"\0")
+        for k, *v in pairs:
+            shared += ints([number[k]]) + (b"\0" if not v else floats(split(v[0], float)) if kinds[k] == "Float" else ints(split(v[0], int)) if kinds[k] == "Integer" else text(v[0]))
+        own = b""
+        table = [(x.split(":") + ["."] * 9)[: len(keys)] for x in cells]
+        for k, key in enumerate(keys):
+            own += ints([number[key]])
+            col = [row[k] for row in table]
+            if key == "GT":
+                al = [[0 if a == "." else (int(a) + 1 << 1) | ("|" in g and j > 0) for j, a in enumerate(g.replace("|", "/").split("/"))] for g in col]
+                w = max(map(len, al))
+                own += kind(1, w) + b"".join(ints(a, w, head=False) for a in al)
+            else:
+                v = [split(x, int) for x in col]
+                w = max(map(len, v))
+                letter, _, missing, end = bcf.INTEGERS[2]
+                own += kind(2, w) + b"".join(struct.pack(f"<{w}{letter}", *[missing if x is None else x for x in r], *[end] * (w - len(r))) for r in v)
+        out.append(struct.pack("<II", len(shared), len(own)) + shared + own)
+    raw = head.encode() + b"\0"
+    return b"BCF\x02\x02" + struct.pack("<I", len(raw)) + raw + b"".join(out)
+
+
+def test_bcf_equals_vcf(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [x for x in VCF.split("\n") if x and not x.startswith("#")]
+    rows[1] = rows[1].replace("DP=x;", "DP=70000;").replace(";AXF=w", "")
+    rows = [r.replace("AF=0.6;", "") for r in rows]
+    for k in range(2000):
+        info = ";".join(x for x in (f"AF={rng.randrange(8) / 8},.", f"DP={rng.choice([3, 300, 70000, -5])}", "DB") if rng.random() < 0.7) or "."
+        rows.append(f"{rng.choice('1X')}\t{k + 1}\t{rng.choice(['.', f'rs{k}', 'long' * 9])}\t{'A' * rng.choice([1, 20])}\tC,G\t{rng.choice(['.', '7', '2.5'])}\t{rng.choice(['PASS', '.', 'q10;s50'])}\t{info}\tGT:AD\t{rng.choice(['0/1', '1|0', './.', '1'])}:{rng.choice(['1,2,3', '.', '4,.'])}\t0/0:9")
+    data = bcf_bytes(rows)
+    (tmp_path / "a.bcf").write_bytes(b"".join(blocks.bgzf_compress(data[k : k + 1500]) for k in range(0, len(data), 1500)) + blocks.BGZF_END)
+    (tmp_path / "a.vcf").write_text(BCF_HEAD + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n" + "\n".join(rows) + "\n")
+    from quillon.sources import bcf
+
+    vcf = formats.read(spark, str(tmp_path / "a.vcf"))
+    key = lambda r: str(r)
+    want = sorted(vcf.collect(), key=key)
+    size = os.path.getsize(tmp_path / "a.bcf")
+    for parts in (1, 4, 40):
+        d = bcf.read_bcf(spark, str(tmp_path / "a.bcf"), -(-size // parts))
+        assert d.schema == vcf.schema and sorted(d.collect(), key=key) == want
+    (tmp_path / "a.bcf").write_bytes((tmp_path / "a.bcf").read_bytes()[: size // 2])
+    with pytest.raises(Exception, match="FormatError"):
+        bcf.read_bcf(spark, str(tmp_path / "a.bcf")).count()
