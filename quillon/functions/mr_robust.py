@@ -114,50 +114,72 @@ def ratio_errors(bx: np.ndarray, by: np.ndarray, sx: np.ndarray, sy: np.ndarray,
     return np.sqrt(sy**2 / bx**2 + by**2 * sx**2 / bx**4)
 
 
-def _median_fit(kind: str, bx: np.ndarray, by: np.ndarray, sx: np.ndarray, sy: np.ndarray, p: Parameters) -> tuple[float, float, float]:
-    rng = np.random.default_rng(p.seed)
-    ratio = by / bx
-    weight = np.ones(len(bx)) if kind == "mr_simple_median" else 1 / ratio_errors(bx, by, sx, sy, False) ** 2
-    if kind == "mr_penalised_weighted_median":
-        centre = weighted_median(ratio, weight)[0]
-        tail = np.array([normal_two_sided(math.sqrt(w) * (r - centre)) for w, r in zip(weight, ratio, strict=True)])
-        weight = weight * np.minimum(1, tail * p.penk)
-    b = float(weighted_median(ratio, weight)[0])
-    x, y = rng.normal(bx, sx, (p.nboot, len(bx))), rng.normal(by, sy, (p.nboot, len(by)))
-    se = float(weighted_median(y / x, weight).std(ddof=1))
-    return b, se, normal_two_sided(b / se) if se > 0 else math.nan
-
-
-def _mode_fit(kind: str, bx: np.ndarray, by: np.ndarray, sx: np.ndarray, sy: np.ndarray, p: Parameters) -> tuple[float, float, float]:
-    rng = np.random.default_rng(p.seed)
-    ratio = by / bx
-    error = ratio_errors(bx, by, sx, sy, kind.endswith("nome"))
-    used = np.ones(len(bx)) if "simple" in kind else error
-    b = mode(ratio, used, p.phi)
-    boot = np.array([mode(row, used, p.phi) for row in rng.normal(ratio, error, (p.nboot, len(bx)))])
-    se = mad(boot)
-    return b, se, t_two_sided(b / se, len(bx) - 1) if se > 0 else math.nan
-
-
 MEDIANS = ("mr_simple_median", "mr_weighted_median", "mr_penalised_weighted_median")
 MODES = ("mr_simple_mode", "mr_weighted_mode", "mr_simple_mode_nome", "mr_weighted_mode_nome")
+#: Replicates that a task draws for a group; numbers that it draws at a time.
+PER_BLOCK, DRAWN = 125, 2_000_000
+
+
+def normals(seed: int, replicate: int, size: int) -> np.ndarray:
+    """The standard normal draws of a replicate: the same wherever and with whatever others it is drawn."""
+    return np.random.Generator(np.random.Philox(key=[seed, replicate])).standard_normal(size)
+
+
+def _replicates(kind: str, bx: np.ndarray, by: np.ndarray, sx: np.ndarray, sy: np.ndarray, p: Parameters, which: range) -> tuple[float, np.ndarray]:
+    """The estimate, and those of the replicates ``which``.  Memory: some numbers an instrument, not one for each instrument and replicate."""
+    k, ratio = len(bx), by / bx
+    step = max(1, DRAWN // (2 * k))
+    if kind in MEDIANS:
+        weight = np.ones(k) if kind == "mr_simple_median" else 1 / ratio_errors(bx, by, sx, sy, False) ** 2
+        if kind == "mr_penalised_weighted_median":
+            centre = weighted_median(ratio, weight)[0]
+            tail = np.array([normal_two_sided(math.sqrt(w) * (r - centre)) for w, r in zip(weight, ratio, strict=True)])
+            weight = weight * np.minimum(1, tail * p.penk)
+        out = []
+        for lo in range(which.start, which.stop, step):
+            z = np.stack([normals(p.seed, r, 2 * k) for r in range(lo, min(lo + step, which.stop))])
+            out.append(weighted_median((by + sy * z[:, k:]) / (bx + sx * z[:, :k]), weight))
+        return float(weighted_median(ratio, weight)[0]), np.concatenate(out) if out else np.zeros(0)
+    error = ratio_errors(bx, by, sx, sy, kind.endswith("nome"))
+    used = np.ones(k) if "simple" in kind else error
+    return mode(ratio, used, p.phi), np.array([mode(ratio + error * normals(p.seed, r, k), used, p.phi) for r in which])
 
 
 def robust(kept: DataFrame, method: str, parameters: Parameters = Parameters()) -> DataFrame:  # noqa: B008
-    """One row per group; fewer than three instruments (or a zero exposure effect) give nothing."""
-    fit = _median_fit if method in MEDIANS else _mode_fit
+    """One row per group; fewer than three instruments (or a zero exposure effect) give nothing.
+
+    A group's replicates are dealt to tasks, PER_BLOCK to each, which hold the group's instruments and draw by counters (seed and replicate);
+    the spread of the replicates, and the p-value, are aggregations."""
+    blocks = max(1, -(-parameters.nboot // PER_BLOCK))
 
     def run(t: pa.Table) -> pa.Table:
         bx, by, sx, sy = (t[c].to_numpy().astype(float) for c in ("beta_exposure", "beta_outcome", "se_exposure", "se_outcome"))
         order = np.lexsort((sy, sx, by, bx))
         bx, by, sx, sy = bx[order], by[order], sx[order], sy[order]
-        rows = [] if len(bx) < 3 or (bx == 0).any() else [(t["id_exposure"][0].as_py(), t["id_outcome"][0].as_py(), method, len(bx), *fit(method, bx, by, sx, sy, parameters))]
-        names = [x.split()[0] for x in RESULT.split(", ")]
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array([r[k] for r in rows], ty) for k, ty in enumerate(types)], names=names)
-
-    cols = kept.select(*mr.KEYS, "beta_exposure", "beta_outcome", "se_exposure", "se_outcome")
-    return cols.groupBy(*mr.KEYS).applyInArrow(run, RESULT)
+        block = t["_block"][0].as_py()
+        which = range(block * PER_BLOCK, min((block + 1) * PER_BLOCK, parameters.nboot))
+        b, values = (math.nan, np.zeros(0)) if len(bx) < 3 or (bx == 0).any() else _replicates(method, bx, by, sx, sy, parameters, which)
+        n = 0 if math.isnan(b) and not len(values) else 1
+        key = lambda c: pa.array([t[c][0].as_py()] * n, pa.string())
+        return pa.table({"id_exposure": key("id_exposure"), "id_outcome": key("id_outcome"), "nsnp": pa.array([len(bx)] * n, pa.int64()), "b": pa.array([b] * n, pa.float64()), "boot": pa.array([values.tolist()] * n, pa.list_(pa.float64()))})
+
+    cols = kept.select(*[F.col(c).cast("string").alias(c) for c in mr.KEYS], "beta_exposure", "beta_outcome", "se_exposure", "se_outcome")
+    dealt = cols.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = dealt.groupBy(*mr.KEYS, "_block").applyInArrow(run, "id_exposure string, id_outcome string, nsnp long, b double, boot array<double>")
+    d = parts.groupBy(*mr.KEYS).agg(F.max("nsnp").alias("nsnp"), F.max("b").alias("b"), F.sort_array(F.flatten(F.collect_list("boot"))).alias("x"))  # nboot numbers a group
+    n = F.size("x")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
+    middle = lambda x: (F.get(x, ((n - 1) / 2).cast("int")) + F.get(x, (n / 2).cast("int"))) / 2
+    if method in MEDIANS:
+        d = d.withColumn("_mean", mean)
+        d = d.withColumn("se", F.when(n > 1, F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean"))) / (n - 1))))
+        p = p_normal(F.col("b") / F.col("se"))
+    else:
+        d = d.withColumn("_mid", middle(F.col("x")))
+        d = d.withColumn("_away", F.sort_array(F.transform("x", lambda v: F.abs(v - F.col("_mid"))))).withColumn("se", F.lit(1.4826) * middle(F.col("_away")))
+        p = p_student(F.col("b") / F.col("se"), (F.col("nsnp") - 1).cast("double"))
+    p = F.when(F.col("se") > 0, p).otherwise(F.lit(math.nan))
+    return d.select(*mr.KEYS, F.lit(method).alias("method"), "nsnp", "b", "se", p.alias("pval"))
 
 
 DEFAULT = ["mr_wald_ratio", "mr_egger_regression", "mr_weighted_median", "mr_ivw", "mr_simple_mode", "mr_weighted_mode"]
