@@ -476,10 +476,12 @@ def _median(method: str, weight: str) -> str:
 
 
 def _chi2(q: str, df: str) -> str:
-    """Upper tail for whole degrees of freedom, as a finite sum; with odd ones from the tail of the normal distribution on (for q above 20)."""
+    """Upper tail for whole degrees of freedom, as a finite sum; with odd ones from the tail of the normal distribution on (by its series, or from q = 20 on by its expansion)."""
     term = lambda j: f"exp(-({q}) / 2 + ({j}) * ln(({q}) / 2) - lgamma(({j}) + 1))"
     even = f"list_sum(list_transform(range(0, ({df}) // 2), lambda k: {term('k')}))"
-    odd = f"list_sum(list_transform(range(1, ({df}) // 2 + 1), lambda k: {term('k - 0.5::DOUBLE')})) + exp(-({q}) / 2) / sqrt(pi() * ({q}) / 2) * (1 - 1 / ({q}) + 3 / pow({q}, 2) - 15 / pow({q}, 3))"
+    series = f"1 - list_sum(list_transform(range(0, 90), lambda k: {term('k + 0.5::DOUBLE')}))"
+    normal = f"CASE WHEN {q} < 20 THEN {series} ELSE exp(-({q}) / 2) / sqrt(pi() * ({q}) / 2) * (1 - 1 / ({q}) + 3 / pow({q}, 2) - 15 / pow({q}, 3)) END"
+    odd = f"coalesce(list_sum(list_transform(range(1, ({df}) // 2 + 1), lambda k: {term('k - 0.5::DOUBLE')})), 0) + {normal}"
     return f"round(CASE WHEN ({df}) % 2 = 0 THEN {even} ELSE {odd} END, 7)"
 
 
