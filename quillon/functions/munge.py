@@ -17,20 +17,21 @@ from .stats import quantiles
 
 # Usual names of the columns, and the value of a signed statistic without effect.
 NAMES = {
-    "SNP": ["SNP", "SNPID", "MARKERNAME", "RS", "RSID", "RS_NUMBER", "RS_NUMBERS", "ID"],
+    "SNP": ["SNP", "MARKERNAME", "SNPID", "RS", "RSID", "RS_NUMBER", "RS_NUMBERS", "ID"],
+    "NSTUDY": ["NSTUDY", "N_STUDY", "NSTUDIES", "N_STUDIES"],
     "P": ["P", "PVALUE", "P_VALUE", "PVAL", "P_VAL", "GC_PVALUE"],
     "A1": ["A1", "ALLELE1", "ALLELE_1", "EFFECT_ALLELE", "REFERENCE_ALLELE", "INC_ALLELE", "EA"],
     "A2": ["A2", "ALLELE2", "ALLELE_2", "OTHER_ALLELE", "NON_EFFECT_ALLELE", "DEC_ALLELE", "NEA"],
     "N": ["N", "WEIGHT"],
-    "N_CAS": ["N_CAS", "N_CASE", "N_CASES", "NCASE", "CASES_N"],
-    "N_CON": ["N_CON", "N_CONTROL", "N_CONTROLS", "NCONTROL", "CONTROLS_N"],
-    "INFO": ["INFO"],
-    "FRQ": ["FRQ", "MAF", "EAF", "FRQ_U", "F_U"],
-    "Z": ["Z", "ZSCORE", "Z_SCORE", "GC_ZSCORE"],
+    "N_CAS": ["NCASE", "CASES_N", "N_CASE", "N_CASES", "N_CAS"],
+    "N_CON": ["N_CONTROLS", "N_CON", "NCONTROL", "CONTROLS_N", "N_CONTROL"],
+    "Z": ["ZSCORE", "Z_SCORE", "GC_ZSCORE", "Z"],
     "OR": ["OR"],
-    "BETA": ["BETA", "B", "EFFECT", "EFFECTS"],
+    "BETA": ["B", "BETA", "EFFECTS", "EFFECT"],
     "LOG_ODDS": ["LOG_ODDS"],
     "SIGNED_SUMSTAT": ["SIGNED_SUMSTAT"],
+    "INFO": ["INFO"],
+    "FRQ": ["EAF", "FRQ", "MAF", "FRQ_U", "F_U"],
 }
 NULLS = {"OR": 1.0, "BETA": 0.0, "Z": 0.0, "LOG_ODDS": 0.0, "SIGNED_SUMSTAT": 0.0}
 PAIRS = {"A": "T", "T": "A", "C": "G", "G": "C"}
@@ -113,18 +114,24 @@ def check_median(df: DataFrame, column: str, expected: float, tolerance: float =
 
 def munge(
     df: DataFrame, order: list[str] | None = None, n: float | None = None, flags: dict[str, str] | None = None, ignore: list[str] | None = None,
-    info_min: float = 0.9, maf_min: float = 0.01, n_min: float | None = None, merge_alleles: DataFrame | None = None, a1_inc: bool = False,
+    info_min: float = 0.9, maf_min: float = 0.01, n_min: float | None = None, merge_alleles: DataFrame | None = None, a1_inc: bool = False, daner_n: bool = False, nstudy_min: float | None = None,
 ) -> DataFrame:
     """SNP, A1, A2, Z, N of the rows that pass.
 
     order: columns that give the file order (a SNP's first row stays); without it rows keep
     their place by monotonically increasing id.  A header with sizes in its frequency columns
-    gives N.  Without n_min, N must reach its 90 % quantile over 1.5."""
-    sizes = daner_sizes(df.columns)
+    gives N; with daner_n the sizes stand in columns Nca and Nco.  Without n_min, N must reach its 90 % quantile
+over 1.5.  Rows of fewer studies than nstudy_min go where that is given."""
+    sizes = None if daner_n else daner_sizes(df.columns)
     drop = list(ignore or [])
     if sizes:
         flags = {"FRQ": f"FRQ_U_{sizes[1]}"} | (flags or {})
         n = n or float(sum(sizes))
+    if daner_n:
+        by_size = {clean(c): c for c in df.columns}
+        if "NCA" not in by_size or "NCO" not in by_size:
+            raise MungeError("no columns Nca and Nco")
+        flags = {"N_CAS": by_size["NCA"], "N_CON": by_size["NCO"]} | {"FRQ": c for c in df.columns if c.strip().startswith("FRQ_U_")} | (flags or {})
     names = column_map(df.columns, flags, drop)
     at = {meaning: given for given, meaning in names.items()}
     if missing := {"SNP", "P"} - set(at):
@@ -135,11 +142,13 @@ def munge(
     number = lambda c: df[f"`{at[c]}`"].cast("string").try_cast("double").alias(c)
     cols = [df[f"`{at['SNP']}`"].cast("string").alias("SNP")]
     cols += [F.upper(df[f"`{at[c]}`"].cast("string")).alias(c) for c in ("A1", "A2") if c in at]
-    cols += [number(c) for c in ("P", "INFO", "FRQ", "N", "N_CAS", "N_CON", signed) if c in at]
+    cols += [number(c) for c in ("P", "INFO", "FRQ", "N", "N_CAS", "N_CON", "NSTUDY", signed) if c in at]
     place = F.struct(*[df[f"`{c}`"] for c in order]) if order else F.monotonically_increasing_id()
     d = df.select(*cols, place.alias("_at"))
     needed = [c for c in d.columns if c not in ("INFO", "_at")]
     d = d.filter(F.col("SNP") != ".").dropna(subset=needed).filter("P > 0 and P <= 1")
+    if "NSTUDY" in d.columns and nstudy_min is not None:
+        d = d.filter(F.col("NSTUDY") >= nstudy_min)
     if "INFO" in d.columns:
         d = d.filter(F.col("INFO").isNull() | F.col("INFO").between(max(0.0, info_min), 2.0))
     if "FRQ" in d.columns:

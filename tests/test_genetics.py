@@ -199,3 +199,13 @@ def test_density_against_direct_sum():
     grid, d = mr_robust.density(x, w, 0.3)
     direct = (w * np.exp(-0.5 * ((grid[:, None] - x) / 0.3) ** 2)).sum(1) / w.sum() / (0.3 * math.sqrt(2 * math.pi))
     assert len(grid) == 512 and np.abs(d - direct).max() < 1e-3
+
+
+def test_munge_studies_and_sizes_by_row(spark):
+    rows = [("rs1", "A", "C", 0.3, 0.1, 0.05, 100.0, 300.0, 3), ("rs2", "A", "G", 0.4, -0.1, 0.05, 200.0, 300.0, 1), ("rs3", "C", "A", 0.4, -0.2, 1e-300, 200.0, 350.0, 4)]
+    d = spark.createDataFrame(rows, "SNP string, A1 string, A2 string, `FRQ_U_900` double, BETA double, P double, Nca double, Nco double, `N-studies` int")
+    got = {r.SNP: (r.Z, r.N) for r in munge.munge(d, order=["SNP"], daner_n=True, n_min=0.0, nstudy_min=2).collect()}
+    assert set(got) == {"rs1", "rs3"} and got["rs1"] == (pytest.approx(1.959963984540054), 400.0) and got["rs3"][0] == pytest.approx(-37.0655, abs=1e-3)
+    with pytest.raises(munge.MungeError, match="Nca"):
+        munge.munge(d.drop("Nca"), order=["SNP"], daner_n=True)
+    assert munge.munge(d, order=["SNP"], daner_n=True, n_min=0.0).count() == 3
