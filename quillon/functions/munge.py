@@ -12,6 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .columns import z_of_p
 from .stats import quantiles
 
@@ -161,6 +162,7 @@ over 1.5.  Rows of fewer studies than nstudy_min go where that is given."""
     if "N" in d.columns:
         least = n_min
         if n_min is None:
+            d = store.stored(d.drop("_at", "_k"), "munged")  # read for the quantile and for the result
             top = quantiles(d, "N", [0.9]).first()
             least = top["q0"] / 1.5 if top else 0.0
         d = d.filter(F.col("N") >= F.lit(least))
