@@ -61,16 +61,15 @@ def weighted_quantile(df: DataFrame, x: str, w: str, q: float, *by: str) -> Data
     """Rows (by..., quantile): where the cumulative weight of the sorted values reaches q of the total, interpolated between neighbours.
 
     Of equal values the one of the smallest weight comes first, and only that one is interpolated to.
-    Equal rows are counted first; the window sees distinct pairs of value and weight only."""
+    Equal rows are counted first; of a group, only the parts that the target lies in are put in order."""
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
     g = df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(w).cast("double").alias("_w")).agg(F.count("*").alias("_n")).filter("_x is not null")
-    order = Window.partitionBy(*by).orderBy("_x", "_w")
-    mass = F.col("_w") * F.col("_n")
-    g = g.withColumns({"_c": F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(mass).over(Window.partitionBy(*by)), "_p": F.lag("_x", 1).over(order)})
-    target, start = F.lit(float(q)) * F.col("_all"), F.col("_c") - mass
-    ramp = F.col("_p") + F.try_divide(target - start, F.col("_w")) * (F.col("_x") - F.col("_p"))
-    at = g.filter(target <= F.col("_c")).withColumn("_v", F.when((F.col("_p") < F.col("_x")) & (F.col("_w") > 0) & (target <= start + F.col("_w")), ramp).otherwise(F.col("_x")))
+    target = F.lit(float(q)) * F.col("_all")
+    g = _spread(g.withColumn("_mass", F.col("_w") * F.col("_n")), by, ["_x", "_w"], "_mass", (target > F.col("_before")) & (target <= F.col("_before") + F.col("_here")) | (F.col("_before") == 0))
+    start = F.col("_upto") - F.col("_mass")
+    ramp = F.col("_prev") + F.try_divide(target - start, F.col("_w")) * (F.col("_x") - F.col("_prev"))
+    at = g.filter(target <= F.col("_upto")).withColumn("_v", F.when((F.col("_prev") < F.col("_x")) & (F.col("_w") > 0) & (target <= start + F.col("_w")), ramp).otherwise(F.col("_x")))
     return at.groupBy(*by).agg(F.min_by("_v", F.struct("_x", "_w")).alias("quantile"))
 
 
@@ -79,47 +78,76 @@ def order_statistic(df: DataFrame, x: str, k: int, *by: str) -> DataFrame:
     if k < 1:
         raise ValueError("order statistics count from 1")
     g = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
-    g = g.withColumn("_c", F.sum("_n").over(Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
-    return g.filter(F.col("_c") >= k).groupBy(*by).agg(F.min("_x").alias("value")).filter("value is not null")
-
-
-def _ranked(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
-    """Distinct values (by..., x) with _n, the rows that hold each, and _upto, the rows of the group up to and with it.
-
-    One global order over groups and values: a group of any size is spread over parts."""
-    counts = store.stored(df.groupBy(*by, x).agg(F.count("*").alias("_n")), "counts")  # read three times
-    placed = _placed(counts, [*by, x], "_n").withColumn("_at", F.col("_i") + F.col("_offset")).drop("_i", "_offset", "_total")
-    if not by:
-        return placed.withColumnRenamed("_at", "_upto")
-    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
-    first = placed.groupBy(*by).agg(F.min(F.col("_at") - F.col("_n")).alias("_before")).select(*keys, "_before")
-    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
-    return placed.join(first, same).withColumn("_upto", F.col("_at") - F.col("_before")).select(*by, x, "_n", "_upto")
+    g = _spread(g, by, ["_x"], "_n", (F.col("_before") < k) & (k <= F.col("_before") + F.col("_here")))
+    return g.filter(F.col("_upto") >= k).groupBy(*by).agg(F.min("_x").alias("value")).filter("value is not null")
+
+
+def _spread(counts: DataFrame, by: tuple[str, ...], order: list[str], mass: str, wanted: Column | None = None) -> DataFrame:
+    """``counts`` with _upto, the mass of the group's rows up to and with this one; _all, that of the group; _prev, the value of order[0] in the row before.
+
+    One global order over groups and values: a group of any size is spread over parts, whose sums are added up a
+    group at a time (a row a part).  ``wanted`` (of _before, _here and _all, the mass before, in and of all parts) keeps
+    some of a group's parts, and only their rows are sorted."""
+    rows = _parted(store.stored(counts, "counts"), [*by, *order])[0].drop("_key")  # the counts are read three times
+    near = Window.partitionBy(*by).orderBy("_part")
+    sizes = rows.groupBy("_part", *by).agg(F.sum(mass).alias("_here"), F.max(order[0]).alias("_last")).withColumns({
+        "_before": F.coalesce(F.sum("_here").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_all": F.sum("_here").over(Window.partitionBy(*by)),
+        "_lag": F.lag("_last", 1).over(near),
+    })
+    if wanted is not None:
+        sizes = sizes.filter(wanted)
+    sizes = sizes.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(("_part", *by))], "_before", "_all", "_lag")
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(("_part", *by))]
+    inside = Window.partitionBy("_part", *by).orderBy(*order)
+    out = rows.join(sizes, same).withColumns({
+        "_upto": F.col("_before") + F.sum(mass).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "_prev": F.coalesce(F.lag(order[0], 1).over(inside), F.col("_lag")),
+    })
+    return out.select(*counts.columns, "_upto", "_all", "_prev")
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], into: str, value: str, how: str) -> DataFrame:
+    """``into``: the largest ``value`` of the group's rows before this one (how: max), or the last known one up to and with it (how: last).
+
+    Groups are spread over the parts of one global order; a part's end is carried into the group's later parts."""
+    rows = _parted(store.stored(df, "carried"), [*by, *order])[0].drop("_key")  # read three times
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    last = F.max(value) if how == "max" else F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_part", *by).agg(last.alias("_end")).withColumn("_ahead", F.max("_end").over(ahead) if how == "max" else F.last("_end", ignorenulls=True).over(ahead))
+    ends = ends.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(("_part", *by))], "_ahead")
+    out = rows.join(ends, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(("_part", *by))])
+    if how == "max":
+        found = F.greatest(F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_ahead"))
+    else:
+        found = F.coalesce(F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_ahead"))
+    return out.withColumn("_found", found).select(*[F.col(c) for c in df.columns if c != into], F.col("_found").alias(into))
 
 
 def average_ranks(df: DataFrame, x: str, *by: str) -> DataFrame:
     """``rank``: ties get the mean of their ranks.  Only distinct values are put in order."""
-    ranks = _ranked(df, x, by).select(*by, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+    counts = df.groupBy(*by, x).agg(F.count("*").alias("_n"))
+    ranks = _spread(counts, by, [x], "_n").select(*by, x, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
     return df.join(ranks, [*by, x])
 
 
 def quantiles(df: DataFrame, x: str, shares: list[float], *by: str) -> DataFrame:
-    """Rows (by..., q0, q1, ...): type-7 quantiles, interpolated between neighbours, from counts of distinct values; no group is held in one buffer."""
+    """Rows (by..., q0, q1, ...): type-7 quantiles, interpolated between neighbours, from counts of distinct values.
+
+    No group is held in one buffer, and of a group only the parts that hold one of the ranks are put in order."""
     if any(not 0 <= q <= 1 for q in shares):
         raise ValueError("a quantile lies between 0 and 1")
-    r = _ranked(df.filter(F.col(x).isNotNull()), x, by)
-    size = r.groupBy(*by).agg(F.max("_upto").alias("_all"))
-    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
-    same = [r[c].eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
-    r = r.join(size.select(*keys, "_all"), same) if by else r.crossJoin(F.broadcast(size))  # one row
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
     place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
-    at = lambda k: (F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))
-    found = []
-    for i, q in enumerate(shares):
-        found.append(F.max(F.when(at(F.floor(place(q)) + 1), F.col(x))).alias(f"lo{i}"))
-        found.append(F.max(F.when(at(F.ceil(place(q)) + 1), F.col(x))).alias(f"hi{i}"))
+    ranks = [end(place(q)) + 1 for q in shares for end in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for k in ranks:
+        wanted = wanted | (F.col("_before") < k) & (k <= F.col("_before") + F.col("_here"))
+    r = _spread(counts, by, [x], "_n", wanted)
+    found = [F.max(F.when((F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto")), F.col(x))).alias(f"k{i}") for i, k in enumerate(ranks)]
     out = r.groupBy(*by).agg(F.max("_all").alias("_all"), *found).filter(F.col("_all").isNotNull())
-    between = lambda i, q: F.col(f"lo{i}") + (place(q) - F.floor(place(q))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
+    between = lambda i, q: F.col(f"k{2 * i}") + (place(q) - F.floor(place(q))) * (F.col(f"k{2 * i + 1}") - F.col(f"k{2 * i}"))
     return out.select(*by, *[between(i, q).alias(f"q{i}") for i, q in enumerate(shares)])
 
 
@@ -173,12 +201,12 @@ def _order_key(df: DataFrame, order: list[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], (F.xxhash64(*rest) if rest else F.lit(0)).alias("tie"))
 
 
-def _placed(df: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
-    """_i (1-based within a part), _offset and _total of every row in a global order; with a weight, sums of it up to and with the row.
+def _parted(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """``df`` with _key and its part in a global order, _part, and the number of parts.
 
     A row's part is a function of its own key: literal bounds, taken once from a hashed sample, are
-    searched by an expression.  However often the plan runs anew and however its shuffles are dealt, counts
-    and places agree, provided that ``df`` gives the same rows each time.  Nulls come first."""
+    searched by an expression.  However often the plan runs anew and however its shuffles are dealt, parts
+    agree, provided that ``df`` gives the same rows each time.  Nulls come first."""
     spark = df.sparkSession
     parts = max(1, min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = _order_key(df, order)
@@ -197,15 +225,19 @@ def _placed(df: DataFrame, order: list[str], weight: str | None = None) -> DataF
         mid = (lo + hi) // 2
         return F.when(F.col("_key") < literal(cuts[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
 
-    rows = df.withColumn("_key", key).withColumn("_part", part(0, len(cuts)))
-    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg((F.sum(weight) if weight else F.count("*")).alias("n")).collect()}  # a row a part
+    return df.withColumn("_key", key).withColumn("_part", part(0, len(cuts))), len(cuts) + 1
+
+
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """_i (1-based within a part), _offset and _total of every row in a global order."""
+    rows, parts = _parted(df, order)
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a part
     offsets, total = [], 0
-    for k in range(len(cuts) + 1):
+    for k in range(parts):
         offsets.append(total)
         total += sizes.get(k, 0)
     offset = F.get(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("_part"))
-    w = Window.partitionBy("_part").orderBy("_key")
-    here = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(w)
+    here = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     return rows.withColumns({"_i": here, "_offset": offset, "_total": F.lit(total).cast("long")}).drop("_part", "_key")
 
 
