@@ -239,7 +239,12 @@ def heritability(rows: DataFrame, m: float, blocks: int = BLOCKS, intercept: flo
     step = None if intercept is not None or two_step is None else F.col("y") < two_step
     fit = Regression(d, m, blocks, 1.0, h2_weights(m), intercept, step).fit()
     mean = d.agg(F.avg("y").alias("mean")).first()["mean"]
-    return Heritability(fit, mean, quantiles(d.select("y"), "y", [0.5]).first()["q0"] / MEDIAN_CHISQ)
+    return Heritability(fit, mean, lambda_gc(d.select("y"), "y"))
+
+
+def lambda_gc(df: DataFrame, chisq: str) -> float:
+    """Inflation: the median chi-square over its value without effect."""
+    return quantiles(df, chisq, [0.5]).first()["q0"] / MEDIAN_CHISQ
 
 
 @dataclass
@@ -288,6 +293,19 @@ def summary(h: Heritability) -> str:
     return "\n".join(lines)
 
 
+def rg_summary(r: Correlation) -> str:
+    """Plain report of a genetic correlation: both traits, their covariance, and the correlation."""
+    g = r.gencov
+    lines = ["Heritability of phenotype 1", summary(r.h1), "Heritability of phenotype 2", summary(r.h2), "Genetic covariance", f"Total observed-scale gencov: {g.tot:.4f} ({g.tot_se:.4f})"]
+    lines.append(f"Intercept: constrained to {g.intercept:.4f}" if g.intercept_se is None else f"Intercept: {g.intercept:.4f} ({g.intercept_se:.4f})")
+    lines.append("Genetic correlation")
+    if math.isnan(r.rg):
+        lines.append("Genetic correlation: nan (nan) (a heritability isn't above 0)")
+    else:
+        lines += [f"Genetic correlation: {r.rg:.4f} ({r.se:.4f})", f"Z-score: {r.z:.4f}", f"P: {r.p:.4g}"]
+    return "\n".join(lines)
+
+
 H2_SCHEMA = "h2 double, h2_se double, intercept double, intercept_se double, mean_chisq double, lambda_gc double, ratio double, n_snps long, m double"
 RG_SCHEMA = "rg double, se double, z double, p double, gencov double, gencov_se double, gencov_intercept double, h2_1 double, h2_2 double"
 

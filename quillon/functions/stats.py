@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -57,6 +59,23 @@ def weighted_correlation(x: str, y: str, w: str) -> Column:
     return F.when(under > 0, _weighted_product(x, y, w) / under)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; an error where either side is constant, null for fewer than two rows with both values."""
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    flat = lambda c: F.min(F.when(known, F.col(c))) == F.max(F.when(known, F.col(c)))
+    constant = (F.count_if(known) > 1) & (flat(x) | flat(y))
+    return F.when(constant, F.raise_error(F.lit(f"{x} or {y} is constant")).cast("double")).when(
+        F.count_if(known) > 1, F.covar_pop(x, y) / F.sqrt(F.var_pop(F.when(known, F.col(x))) * F.var_pop(F.when(known, F.col(y))))
+    )
+
+
+def delta_variance(g: Callable[[Column], Column], x: Column, variance: Column) -> Column:
+    """Variance of g(x) by the delta method: the derivative is a central difference with a step of max(1, |x|) times the cube root of the machine's precision."""
+    h = F.greatest(F.lit(1.0), F.abs(x)) * float(np.finfo(float).eps ** (1 / 3))
+    slope = (g(x + h) - g(x - h)) / (2 * h)
+    return variance * slope * slope
+
+
 def weighted_quantile(df: DataFrame, x: str, w: str, q: float, *by: str) -> DataFrame:
     """Rows (by..., quantile): where the cumulative weight of the sorted values reaches q of the total, interpolated between neighbours.
 
@@ -151,35 +170,97 @@ def quantiles(df: DataFrame, x: str, shares: list[float], *by: str) -> DataFrame
     return out.select(*by, *[between(i, q).alias(f"q{i}") for i, q in enumerate(shares)])
 
 
-def ols(df: DataFrame, x_columns: list[str], y_column: str, intercept: bool = True) -> DataFrame:
-    """Least squares from one aggregation of products, and a second for the residuals.
+#: A pivot below it makes a matrix singular.
+LEAST_PIVOT = 1e-300
+
+
+@dataclass
+class Regression:
+    """Least squares by ``terms``: coefficients and what follows from them; ``fit`` is the fitted value as a column of the rows."""
+
+    terms: list[str]
+    coefficient: np.ndarray
+    std_error: np.ndarray
+    rss: float
+    tss: float
+    n: int
+    intercept: bool
+    fit: Column
+
+    @property
+    def df(self) -> int:
+        return self.n - len(self.terms)
+
+    @property
+    def t_stat(self) -> np.ndarray:
+        return self.coefficient / self.std_error
+
+    @property
+    def p_value(self) -> list[float]:
+        return [float(t_two_sided(t, self.df)) for t in self.t_stat]
 
+    @property
+    def r_squared(self) -> float:
+        return 1 - self.rss / self.tss
+
+    @property
+    def adjusted_r_squared(self) -> float:
+        return 1 - (1 - self.r_squared) * (self.n - self.intercept) / self.df
+
+
+def inverse(a: np.ndarray) -> np.ndarray:
+    """Inverse of a small matrix; an error where elimination meets no pivot of LEAST_PIVOT or more."""
+    try:
+        out = np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        raise ValueError("the matrix is singular") from None
+    if not np.isnan(a).any() and (not np.isfinite(out).all() or np.abs(np.linalg.svd(a, compute_uv=False)).min() < LEAST_PIVOT):
+        raise ValueError("the matrix is singular")
+    return out
+
+
+def regression(df: DataFrame, x_columns: list[str], y_column: str, intercept: bool = True, weights: str | None = None) -> Regression:
+    """Least squares, weighted where ``weights`` names a column, from one aggregation of products and a second for the residuals.
+
+    Sums of squares carry the weights; the total one is about the weighted mean, or about 0 without an intercept.
     Nulls become NaN and poison the fit, as a missing value would in the arrays."""
     nan = F.lit(float("nan"))
-    cols = ([F.lit(1.0)] if intercept else []) + [F.coalesce(F.col(c).cast("double"), nan) for c in x_columns]
-    y = F.coalesce(F.col(y_column).cast("double"), nan)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), nan)
+    cols = ([F.lit(1.0)] if intercept else []) + [number(c) for c in x_columns]
+    y, w = number(y_column), number(weights) if weights else F.lit(1.0)
     p = len(cols)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     row = df.agg(
-        *[F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i, j in pairs], *[F.sum(c * y).alias(f"b{i}") for i, c in enumerate(cols)],
-        F.count("*").alias("n"), F.avg(y).alias("mean"),
+        *[F.sum(w * cols[i] * cols[j]).alias(f"a{i}_{j}") for i, j in pairs], *[F.sum(w * c * y).alias(f"b{i}") for i, c in enumerate(cols)],
+        F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.min(w).alias("least"),
     ).first()
     n = row["n"]
     if n <= p:
         raise ValueError("more terms than rows")
+    if weights and not row["least"] > 0:
+        raise ValueError(f"weights in {weights} must be above 0")
     a = np.empty((p, p))
     for i, j in pairs:
         a[i, j] = a[j, i] = row[f"a{i}_{j}"]
+    back = inverse(a)
     coef = np.linalg.solve(a, np.array([row[f"b{i}"] for i in range(p)]))
     fit = sum((c * float(k) for c, k in zip(cols, coef, strict=True)), F.lit(0.0))
-    centre = row["mean"] if intercept else 0.0
-    s = df.agg(F.sum((y - fit) * (y - fit)).alias("rss"), F.sum((y - centre) * (y - centre)).alias("tss")).first()
-    sigma2 = s["rss"] / (n - p)
-    se = np.sqrt(np.diag(np.linalg.inv(a)) * sigma2)
+    centre = row["wy"] / row["w"] if intercept else 0.0
+    s = df.agg(F.sum(w * (y - fit) * (y - fit)).alias("rss"), F.sum(w * (y - centre) * (y - centre)).alias("tss")).first()
     names = (["intercept"] if intercept else []) + [f"x{i + 1}" for i in range(len(x_columns))]
-    r2 = 1 - s["rss"] / s["tss"]
-    rows = [(t, float(c), float(e), float(c / e), float(t_two_sided(c / e, n - p)), float(r2), float(n)) for t, c, e in zip(names, coef, se, strict=True)]
-    return df.sparkSession.createDataFrame(rows, OLS_SCHEMA)
+    return Regression(names, coef, np.sqrt(np.diag(back) * s["rss"] / (n - p)), s["rss"], s["tss"], n, intercept, fit)
+
+
+def ols(df: DataFrame, x_columns: list[str], y_column: str, intercept: bool = True, weights: str | None = None) -> DataFrame:
+    """``regression`` as rows, one a term."""
+    r = regression(df, x_columns, y_column, intercept, weights)
+    each = zip(r.terms, r.coefficient, r.std_error, r.t_stat, r.p_value, strict=True)
+    return df.sparkSession.createDataFrame([(t, float(c), float(e), float(z), p, float(r.r_squared), float(r.n)) for t, c, e, z, p in each], OLS_SCHEMA)
+
+
+def fitted(df: DataFrame, r: Regression, y_column: str) -> DataFrame:
+    """``df`` with the columns fitted and residual."""
+    return df.withColumns({"fitted": r.fit, "residual": F.col(y_column).cast("double") - r.fit})
 
 
 def liability_factor(sample: float, population: float) -> float:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import ldsc, mr, mr_robust, munge, odds, partitioned, stats
 from ..operators import frames, intervals, ld
 from ..sources import formats, sinks, store
-from ..sources.lake import Lake
+from ..sources.lake import Lake, latest, search
 from . import catalog_files
 from .registry import Engine
 
@@ -58,10 +58,7 @@ SHARED = {
     "string_functions": "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_type, 1, 4) AS s, replace(p_brand, 'Brand', 'B') AS b, concat(p_brand, '-', p_type) AS c, trim(p_name) AS t, p_name LIKE '%a%' AS has_a FROM {part}",
     "math_functions": "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, round(sqrt(l_quantity), 9) AS q, round(ln(l_extendedprice), 9) AS l, CAST(l_orderkey % 7 AS BIGINT) AS m FROM {lineitem}",
     "conditional_functions": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'open') AS s, greatest(o_totalprice, 1000.0) AS g, least(o_totalprice, 1000.0) AS l FROM {orders}",
-    "latest_record_per_id": "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1",
-    "keyword_search_sorted": "SELECT p_partkey, p_name, p_retailprice FROM {part} WHERE lower(p_name) LIKE '%re%' ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 25",
     "append_union_cast": "SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_totalprice AS DOUBLE) AS v FROM {orders} WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderkey % 2 <> 0",
-    "lambda_gc": "SELECT round(median(l_quantity * l_quantity / 100) / 0.4549, 9) AS lambda_gc, round(avg(l_quantity * l_quantity / 100), 9) AS mean_chisq FROM {lineitem}",
     "munge_filter": "SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM {documents} WHERE n_chars BETWEEN 200 AND 20000) WHERE rn = 1",
     "struct_access": "SELECT s.k AS k, s.name AS name FROM (SELECT {{struct}} AS s FROM {nation})",
     "date_functions": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mon FROM {orders}",
@@ -249,11 +246,11 @@ def meta_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id_outcome", "nsnp", F.round("b", 7).alias("b"), F.round("q", 5).alias("q"), F.round("i2", 5).alias("i2"), F.round("tau2", 7).alias("tau2"))
 
 
-def _instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _instruments(spark: SparkSession, sf_dir: str, outcome: str = "c_nationkey") -> DataFrame:
     """Customers as instruments, nations as outcomes: effects from balances and keys."""
     c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
     return c.select(
-        F.lit("e").alias("id_exposure"), F.col("c_nationkey").cast("string").alias("id_outcome"), (F.col("c_acctbal") / 20000 + 0.6).alias("beta_exposure"),
+        F.lit("e").alias("id_exposure"), F.col(outcome).cast("string").alias("id_outcome"), (F.col("c_acctbal") / 20000 + 0.6).alias("beta_exposure"),
         ((F.col("c_acctbal") / 30000 + 0.3) + k % 11 / 50.0).alias("beta_outcome"), (k % 7 / 100.0 + 0.02).alias("se_outcome"), (k % 5 / 100.0 + 0.02).alias("se_exposure"),
     )
 
@@ -290,10 +287,68 @@ def liability_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the partitions that a target (flags A and N) doesn't hold yet, by anti-join on the partition key."""
-    li = _t(spark, sf_dir, "lineitem")
-    held = li.filter("l_returnflag in ('A', 'N')").select("l_returnflag").distinct()
-    return li.join(held, "l_returnflag", "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """Rows of the partitions that a load adds to a table that holds flags A and N already; the same load once more adds none."""
+    lake = Lake(spark, f"quillon_{uuid.uuid4().hex[:8]}")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    lake.load_partitions(li.filter("l_returnflag in ('A', 'N')"), "lines", "l_returnflag")
+    added = lake.load_partitions(li, "lines", "l_returnflag")
+    if not lake.load_partitions(li, "lines", "l_returnflag").isEmpty():
+        raise RuntimeError("a repeated load added rows")
+    return lake.table("lines").join(added, "l_returnflag", "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+def keyword_search_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose name holds a keyword, the dearest first."""
+    return search(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), "re", "p_name", ["p_name", "p_retailprice"], 25, "p_retailprice", True, "p_partkey")
+
+
+def latest_record_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+def lambda_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inflation and mean of chi-squares made from quantities."""
+    chi = _t(spark, sf_dir, "lineitem").select((F.col("l_quantity") * F.col("l_quantity") / 100).alias("chisq"))
+    return chi.agg(F.round(F.avg("chisq"), 9).alias("mean_chisq")).withColumn("lambda_gc", F.round(F.lit(ldsc.lambda_gc(chi, "chisq")), 9))
+
+
+def wls_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices on quantities, weighted by the line's discount."""
+    li = _t(spark, sf_dir, "lineitem").withColumn("w", F.col("l_discount") + 0.01)
+    out = stats.ols(li, ["l_quantity"], "l_extendedprice", weights="w")
+    return out.select("term", F.round("coefficient", 5).alias("coefficient"), F.round("std_error", 5).alias("std_error"), F.round("t_stat", 4).alias("t_stat"), F.round("r_squared", 8).alias("r_squared"))
+
+
+def mr_wald(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of single instruments: every customer is an outcome of its own."""
+    out = mr_robust.estimates(_instruments(spark, sf_dir, "c_custkey"), ["mr_wald_ratio"])
+    return out.select("id_outcome", F.round("b", 8).alias("b"), F.round("se", 8).alias("se"))
+
+
+def mr_pleiotropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intercept of the regression with one, and its error."""
+    p = mr_robust.pleiotropy(_instruments(spark, sf_dir))
+    return p.select("id_outcome", "nsnp", F.round("intercept", 7).alias("intercept"), F.round("intercept_se", 7).alias("intercept_se"))
+
+
+def mr_directionality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether exposures are explained better than outcomes, from effects, errors and sample sizes."""
+    d = _instruments(spark, sf_dir).withColumns({"samplesize_exposure": F.lit(5000), "samplesize_outcome": F.lit(8000)})
+    return mr_robust.directionality(d).select("id_outcome", F.round("r2_exposure", 7).alias("r2_exposure"), F.round("r2_outcome", 7).alias("r2_outcome"), "correct_direction")
+
+
+def meta_egger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mr.meta_egger(_instruments(spark, sf_dir))
+    return m.select("id_outcome", "nsnp", *[F.round(c, 7).alias(c) for c in ("b", "se", "intercept", "intercept_se", "tau2")], F.round("q", 5).alias("q"))
+
+
+def overlap_of_long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' sessions (15 minutes, every hundredth one 40 days) met by their purchases' hours: counts of a purchase's overlaps."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type", at.alias("start"))
+    sessions = e.withColumn("end", F.col("start") + F.when(F.col("event_id") % 100 == 0, 40 * 86400).otherwise(900)).drop("event_type")
+    bought = e.filter("event_type = 'purchase'").withColumn("end", F.col("start") + 3600).drop("event_type")
+    return intervals.overlap_join(bought, sessions, ["user_id"], 1800).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 def _snp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,8 +564,21 @@ ORACLES |= {
     "SELECT round(h, 8) AS h2, round((SELECT 1000 / any_value(nbar) * sqrt(var_samp(pseudo) / 200) FROM v), 8) AS h2_se, round((SELECT median(y) FROM d) / 0.4549, 8) AS lambda_gc, round((SELECT avg(y) FROM d), 8) AS mean_chisq, (SELECT count(*) FROM d) AS n_snps FROM e3",
     "odds_population_frequency": "SELECT p_partkey, round((af - z) / (1 - p) * 0.99 + z / p * 0.01, 8) AS population_af FROM (SELECT *, CASE WHEN o = 1 THEN af * p ELSE (1 + (af + p) * (o - 1) - sqrt(pow(1 + (af + p) * (o - 1), 2) - 4 * o * (o - 1) * af * p)) / (2 * (o - 1)) END AS z FROM (SELECT p_partkey, p_size / 60.0::DOUBLE AS af, p_partkey % 7 / 10.0::DOUBLE + 0.1::DOUBLE AS p, p_partkey % 5 / 2.0::DOUBLE + 0.25::DOUBLE AS o FROM part))",
 }
+_MEANS = "sum(w) AS sw, sum(w * w) AS sww, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS xx, sum(w * x * y) AS xy, sum(w * y * y) AS yy"
+_LINE = "(sw * xy - sx * sy) / (sw * xx - sx * sx) AS b, (xx * sy - sx * xy) / (sw * xx - sx * sx) AS a, sw * xx - sx * sx AS det"
+ORACLES |= {
+    "keyword_search_sorted": "SELECT p_partkey, p_name, p_retailprice FROM part WHERE lower(p_name) LIKE '%re%' ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 25",
+    "latest_record_per_id": "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "lambda_gc": "SELECT round(median(l_quantity * l_quantity / 100) / 0.4549, 9) AS lambda_gc, round(avg(l_quantity * l_quantity / 100), 9) AS mean_chisq FROM lineitem",
+    "wls_weighted": f"WITH l AS (SELECT l_discount + 0.01::DOUBLE AS w, l_quantity AS x, l_extendedprice AS y FROM lineitem), f AS (SELECT *, {_LINE} FROM (SELECT count(*) AS n, {_MEANS} FROM l)), r AS (SELECT sum(w * (y - a - b * x) * (y - a - b * x)) AS rss, sum(w * (y - sy / sw) * (y - sy / sw)) AS tss FROM l, f), e AS (SELECT *, rss / (n - 2) AS s2 FROM f, r) SELECT term, round(c, 5) AS coefficient, round(se, 5) AS std_error, round(c / se, 4) AS t_stat, round(1 - rss / tss, 8) AS r_squared FROM (SELECT 'intercept' AS term, a AS c, sqrt(xx / det * s2) AS se, rss, tss FROM e UNION ALL SELECT 'x1', b, sqrt(sw / det * s2), rss, tss FROM e)",
+    "mr_wald": f"SELECT id_outcome, round(y / x, 8) AS b, round(se / abs(x), 8) AS se FROM {_INS.replace('c_nationkey', 'c_custkey')}",
+    "mr_directionality": f"SELECT id_outcome, round(rx, 7) AS r2_exposure, round(ry, 7) AS r2_outcome, rx > ry AS correct_direction FROM (SELECT id_outcome, sum(x * x / (sx * sx) / (4998 + x * x / (sx * sx))) AS rx, sum(y * y / (se * se) / (7998 + y * y / (se * se))) AS ry FROM {_INS} GROUP BY 1)",
+    "meta_egger": f"WITH s AS (SELECT id_outcome, count(*) AS n, {_MEANS} FROM (SELECT *, 1 / (se * se) AS w FROM {_INS}) GROUP BY 1), f AS (SELECT *, yy - a * sy - b * xy AS q FROM (SELECT *, {_LINE} FROM s)) SELECT id_outcome, n AS nsnp, round(b, 7) AS b, round(sqrt(sw / det * q / (n - 2)), 7) AS se, round(a, 7) AS intercept, round(sqrt(xx / det * q / (n - 2)), 7) AS intercept_se, round(CASE WHEN q > n - 2 THEN (q - (n - 2)) / (sw - sww / sw) ELSE 0 END, 7) AS tau2, round(q, 5) AS q FROM f",
+    "mr_pleiotropy": f"WITH s AS (SELECT id_outcome, count(*) AS n, {_MEANS} FROM (SELECT id_outcome, 1 / (se * se) AS w, abs(x) AS x, CASE WHEN x < 0 THEN -y ELSE y END AS y FROM {_INS}) GROUP BY 1), f AS (SELECT *, (yy - a * sy - b * xy) / (n - 2) AS s2 FROM (SELECT *, {_LINE} FROM s)) SELECT id_outcome, n AS nsnp, round(a, 7) AS intercept, round(sqrt(xx / det) * greatest(1, sqrt(s2)), 7) AS intercept_se FROM f",
+    "overlap_of_long_spans": "WITH e AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS s FROM events) SELECT p.event_id, count(*) AS n FROM e p JOIN e q ON p.user_id = q.user_id AND p.s <= q.s + CASE WHEN q.event_id % 100 = 0 THEN 3456000 ELSE 900 END AND q.s <= p.s + 3600 WHERE p.event_type = 'purchase' GROUP BY 1",
+}
 FUNCTIONS = [
-    window_groups_frame,
+    window_groups_frame, keyword_search_sorted, latest_record_per_id, lambda_gc, wls_weighted, mr_wald, mr_pleiotropy, mr_directionality, meta_egger, overlap_of_long_spans,
     h2_partitioned, h2_fixed_intercept, odds_population_frequency,
     flagship, describe_stats, quantiles_type7, rank_average, weighted_quantile, ols_multi, range_join_binned, self_join_window_distance, interval_merge, as_of_join,
     mr_ivw, mr_ivw_variants, mr_egger, mr_weighted_median, mr_heterogeneity, meta_analysis, harmonise_rows, jackknife_blocks, liability_scale, partition_idempotent_load, approx_distinct,

@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .store import shared_folder
+from .store import shared_folder, stored
 
 #: Page of a query.
 ROWS = 50
@@ -86,21 +87,31 @@ class Lake:
 
     def load_partitions(self, df: DataFrame, name: str, key: str) -> DataFrame:
         """Append the partitions of ``df`` that the table doesn't hold; returns their keys.  Repeating a load adds nothing."""
-        held = self.table(name).select(key).distinct() if self.exists(name) else None
+        held = stored(self.table(name).select(key).distinct(), "held") if self.exists(name) else None
         new = df if held is None else df.join(held, key, "left_anti").select(*df.columns)
-        keys = [r[0] for r in new.select(key).distinct().collect()]  # one a partition
-        if keys:
+        keys = stored(new.select(key).distinct(), "keys")  # as they are before the load
+        if not keys.isEmpty():
             order = [c for c in df.columns if c != key] + [key]  # the partition column stands last in a partitioned table
             self.write(new.select(*order), name, "append" if held is not None else "overwrite", key)
-        return self.spark.createDataFrame([(k,) for k in keys], df.select(key).schema)
+        return keys
 
-    def load_each(self, parts: dict[str, DataFrame], prefix: str) -> list[str]:
-        """One table a part, named prefix_part; those that are there already are left alone."""
+    def load_each(self, parts: dict[str, DataFrame], prefix: str, at_once: int = 4) -> list[str]:
+        """One table a part, named prefix_part, ``at_once`` at a time; those that are there already are left alone."""
         made = [p for p in parts if not self.exists(f"{prefix}_{p}")]
-        for p in made:
-            self.write(parts[p], f"{prefix}_{p}")
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            for job in [pool.submit(self.write, parts[p], f"{prefix}_{p}") for p in made]:
+                job.result()
         return made
 
+    def load_panel(self, df: DataFrame, name: str) -> bool:
+        """Append a panel of LD scores, ``locus`` as a struct.  A table of other columns or types is dropped and made anew; whether that was so is returned."""
+        if "locus.contig" in df.columns:
+            df = locus_struct(df)
+        plain = lambda d: [(f.name, f.dataType.simpleString()) for f in d.schema]
+        drifted = self.exists(name) and plain(self.table(name)) != plain(df)
+        self.write(df, name, "overwrite" if drifted else "append")
+        return drifted
+
     def tables(self) -> list[str]:
         """Names of all tables of this namespace and those below it; a namespace that can't be read is passed over."""
 

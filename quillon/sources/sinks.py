@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 
 def one_file(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Let ``write`` fill a folder beside the target and move its part file there, so a failed write leaves the target alone."""
+    """Let ``write`` fill a folder beside the target and move its part file there: a failed write leaves the target alone.
+
+    The old file is moved aside until the new one is in its place, so at any moment one of them is whole."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -18,9 +20,15 @@ def one_file(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
     write(temp)
     folder = jvm.org.apache.hadoop.fs.Path(temp)
     part = next((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), None)
-    fs.delete(target, True)
-    if part is not None:
-        fs.rename(part, target)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{temp}.old")
+    held = fs.exists(target)
+    if held and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if part is not None and not fs.rename(part, target):
+        if held:
+            fs.rename(aside, target)
+        raise OSError(f"{part} can't be moved to {path}")
+    fs.delete(aside, True)
     fs.delete(folder, True)
 
 
