@@ -17,8 +17,12 @@ def one_file(spark: SparkSession, path: str, write: Callable[[str], None]) -> No
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     temp = f"{path}.{uuid.uuid4().hex}"
-    write(temp)
     folder = jvm.org.apache.hadoop.fs.Path(temp)
+    try:
+        write(temp)
+    except Exception:
+        fs.delete(folder, True)
+        raise
     part = next((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), None)
     aside = jvm.org.apache.hadoop.fs.Path(f"{temp}.old")
     held = fs.exists(target)
