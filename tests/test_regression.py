@@ -79,6 +79,6 @@ def test_sinks_leave_one_whole_file(spark, tmp_path):
 
 def test_report_of_a_correlation(spark):
     rows = spark.range(60).select(F.col("id").alias("i"), (F.col("id") % 13 / 6.0 + 4).alias("ld"), F.lit(5.0).alias("wld"), F.lit(9.0).alias("n1"), F.lit(9.0).alias("n2"))
-    rows = rows.withColumn("z1", F.col("ld") * 10 + F.sin("id")).withColumn("z2", -F.col("z1"))
+    rows = rows.withColumn("z1", F.col("ld") * 10 + F.sin("i")).withColumn("z2", -F.col("z1"))
     text = ldsc.rg_summary(ldsc.correlation(rows, 900.0, 20, (1.0, 1.0, 0.0)))
     assert "Genetic correlation: -1.0" in text and "Heritability of phenotype 2" in text and "Intercept: constrained to 0.0000" in text
