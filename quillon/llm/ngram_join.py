@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_rows, components
+from .common import Workspace, arrow_rows, components, fitted
 from .lines import row_key
 from .shingles import chunks, mix, shingle_sets
 
@@ -72,8 +72,9 @@ HUBS = 6
 FIRST_TRIES, MORE_TRIES = 2, 8
 #: Bytes of points that a task holds before it joins the tiles at hand.
 TILE_BYTES = 16_000_000
-#: Rows of an Arrow batch.
+#: Rows of an Arrow batch; rows with a set or a point, or with neither, for which a step has a task.
 ROWS = 1000
+WIDE, NARROW = 2000, 20_000
 
 
 def prefix_length(n: int) -> int:
@@ -129,7 +130,8 @@ def summed(rows: DataFrame) -> np.ndarray:
             total += np.frombuffer(x.as_buffer(), "<u2")
         return pa.table({"part": t["part"][:1], "bytes": pa.array([total.tobytes()], pa.binary())})
 
-    got = {r["part"]: r["bytes"] for r in rows.groupBy("part").applyInArrow(run, "part int, bytes binary").collect()}
+    total = fitted(rows.groupBy("part").applyInArrow(run, "part int, bytes binary"), rows.count(), WIDE)
+    got = {r["part"]: r["bytes"] for r in total.collect()}
     return np.concatenate([np.frombuffer(got[k], "<u8") for k in range(PARTS)]) if got else np.zeros(CELLS, "<u8")
 
 
@@ -139,9 +141,10 @@ def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h & m).astype(np.int64), (h >> np.uint64(32) & m).astype(np.int64)]
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """Packed Bloom filter of the one column of ``keys`` (long); its size follows the count up to MOST_BLOOM bits."""
-    bits = min(MOST_BLOOM, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+def bloom(keys: DataFrame, n: int | None = None) -> np.ndarray:
+    """Packed Bloom filter of the one column of ``keys`` (long), which may repeat; its size follows their number ``n`` (else counted) up to MOST_BLOOM bits."""
+    n = keys.count() if n is None else n
+    bits = min(MOST_BLOOM, max(1 << 16, 1 << (16 * n).bit_length()))
     width = bits // PARTS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +159,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
 
     placed = keys.mapInArrow(place, "part int, p int").groupBy("part").applyInArrow(build, "part int, bytes binary")
     out = np.zeros((PARTS, width // 8), np.uint8)
-    for r in placed.collect():
+    for r in fitted(placed, 2 * n, NARROW).collect():
         out[r["part"]] = np.frombuffer(r["bytes"], np.uint8)
     return out.ravel()
 
@@ -452,12 +455,12 @@ class JaccardJoin:
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Links (a, b) among stored pairs (x, y) of ids."""
-        ws = self.ws
-        wanted = self.spark.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("x", "y"))).distinct()))
+        ws, n = self.ws, pairs.count()
+        wanted = self.spark.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("x", "y"))), 2 * n))
         sets = self.src.mapInArrow(_sets_of(wanted), "id long, set binary").groupBy("id").agg(F.collect_set("set").alias("sets"))
-        sets = ws.put(sets, f"sets-{tag}")
-        rows = pairs.join(sets.select(F.col("id").alias("y"), F.col("sets").alias("sy")), "y")
-        rows = rows.join(sets.select(F.col("id").alias("x"), F.col("sets").alias("sx")), "x").select("x", "y", "sx", "sy")
+        sets = ws.put(fitted(sets, 2 * n, WIDE), f"sets-{tag}")
+        rows = fitted(pairs.join(sets.select(F.col("id").alias("y"), F.col("sets").alias("sy")), "y"), n, WIDE)
+        rows = fitted(rows.join(sets.select(F.col("id").alias("x"), F.col("sets").alias("sx")), "x").select("x", "y", "sx", "sy"), n, WIDE)
         out = ws.put(rows.mapInArrow(_verify, "a long, b long"), f"links-{tag}")
         ws.drop(f"sets-{tag}")
         wanted.destroy()
@@ -472,24 +475,25 @@ class JaccardJoin:
 
         shared = post().groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo < hi").select("token")
         shared = ws.put(shared, "tokens")
-        only = self.spark.sparkContext.broadcast(bloom(shared))
+        only = self.spark.sparkContext.broadcast(bloom(shared, shared.count()))
         rows = post(only).join(shared.hint("shuffle_hash"), "token").distinct()
         rows = ws.put(rows.join(cls.select("k1", "id", "n"), "k1").select("token", "id", "n"), "rows")
         only.destroy()
         ws.drop("tokens")
+        n = rows.count()
         each = rows.groupBy("token").agg(
             F.count("*").alias("m"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("member"), "id")).alias("s2")
         )
-        each = each.filter("m > 1").groupBy("m", "lo", "s1", "s2").agg(F.min("token").alias("token"))
-        each = ws.put(each.select("token", "m"), "sizes")
-        rows = ws.put(rows.join(each.select("token"), "token"), "members")
-        each = ws.put(each.join(with_hubs(rows, 1), "token"), "groups")
+        each = fitted(each.filter("m > 1"), n, NARROW).groupBy("m", "lo", "s1", "s2").agg(F.min("token").alias("token"))
+        each = ws.put(fitted(each.select("token", "m"), n, NARROW), "sizes")
+        rows = ws.put(fitted(rows.join(each.select("token"), "token"), n, NARROW), "members")
+        each = ws.put(fitted(each.join(with_hubs(rows, 1), "token"), rows.count(), NARROW), "groups")
         ws.drop("rows", "sizes")
         return rows, each
 
     def star_links(self, rows: DataFrame, groups: DataFrame, cls: DataFrame) -> DataFrame:
         """Links (a, b) of the star round over rows (token, id, n) and groups (token, m, hubs): of pairs of hubs, and of the others with their best hubs."""
-        ws = self.ws
+        ws, m = self.ws, rows.count()
         q = F.ceil(F.col("m") / TILE).cast("long")
         r = rows.join(groups.select("token", "m", q.alias("q"), "hubs"), "token")
         r = r.withColumn("hub", F.exists("hubs", lambda h: h["id"] == F.col("id")).cast("int"))
@@ -497,23 +501,25 @@ class JaccardJoin:
         r = r.filter(fits | ((F.col("hub") == 1) & (F.col("m") > HUBS)))
         one = F.array(F.pmod(F.xxhash64("id"), F.col("q")))
         sides = F.when(F.col("hub") == 1, F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).otherwise(one)
-        r = r.select("token", F.explode(sides).alias("side"), "id", "n", "hub")
-        r = r.join(cls.select("id", "vec"), "id").select("token", "side", "id", "n", "hub", "vec")
+        r = fitted(r.select("token", F.explode(sides).alias("side"), "id", "n", "hub"), m, NARROW)
+        r = fitted(r.join(cls.select("id", "vec"), "id").select("token", "side", "id", "n", "hub", "vec"), m, WIDE)
         p = r.repartition("token", "side").sortWithinPartitions("token", "side").mapInArrow(_stars, "y long, x long, score double, hubs boolean")
         # one row for each document: its best hub; pairs of hubs stand for themselves
         p = p.groupBy("y", F.when(F.col("hubs"), F.col("x")).alias("own")).agg(F.max(F.struct("score", (-F.col("x")).alias("x"))).alias("b"))
-        pairs = ws.put(p.select((-F.col("b.x")).alias("x"), "y").distinct(), "star-pairs")
+        p = fitted(p.select((-F.col("b.x")).alias("x"), "y"), m, NARROW)
+        pairs = ws.put(fitted(p.distinct(), m, NARROW), "star-pairs")
         out = self.verified(pairs, "star")
         ws.drop("star-pairs")
         return out
 
     def tree_links(self, rows: DataFrame, cls: DataFrame, comp: DataFrame, most: int, tag: str) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) between components within the groups of rows (token, m, id, n), and the tokens of groups of which pairs are left."""
-        ws = self.ws
-        rows = ws.put(rows.join(comp, "id", "left").select("token", "m", "id", "n", F.coalesce("component", "id").alias("comp")), f"apart-{tag}")
+        ws, m = self.ws, rows.count()
+        rows = rows.join(comp, "id", "left").select("token", "m", "id", "n", F.coalesce("component", "id").alias("comp"))
+        rows = ws.put(fitted(rows, m, NARROW), f"apart-{tag}")
         step = F.floor(F.log(DEN / NUM, F.col("n").cast("double"))).cast("long")
         r = rows.withColumn("c", step)
-        per = r.groupBy("token", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
+        per = fitted(r.groupBy("token", "c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")), m, NARROW)
         per = per.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("k"))
         r = r.join(per.filter("lo < hi").select("token", "k"), "token")
         count = lambda c: F.coalesce(F.element_at("k", c), F.lit(0).cast("long"))
@@ -530,11 +536,11 @@ class JaccardJoin:
         below = F.transform(upto(blocks(F.col("down"))), lambda j: tile(F.col("down"), j, c, i, F.lit(1)))
         whole = F.array(tile(F.lit(-1).cast("long"), zero, F.lit(-1).cast("long"), zero, F.lit(0)))
         tiles = F.when(F.col("m") > TILE, F.concat(own, above, below)).otherwise(whole)
-        r = r.select("token", F.explode(tiles).alias("t"), "id", "n", "comp")
-        r = r.join(cls.select("id", "vec"), "id").select("token", "t.ca", "t.a", "t.cb", "t.b", "t.second", "id", "n", "comp", "vec")
+        r = fitted(r.select("token", F.explode(tiles).alias("t"), "id", "n", "comp"), m, NARROW)
+        r = fitted(r.join(cls.select("id", "vec"), "id").select("token", "t.ca", "t.a", "t.cb", "t.b", "t.second", "id", "n", "comp", "vec"), m, WIDE)
         key = ["token", "ca", "a", "cb", "b"]
         found = r.repartition(*key).sortWithinPartitions(*key).mapInArrow(_trees(most), "x long, y long, token long").distinct()
-        found = ws.put(found, f"found-{tag}")
+        found = ws.put(fitted(found, m, NARROW), f"found-{tag}")
         out = self.verified(found.filter("token is null").select("x", "y"), tag)
         ws.drop(f"apart-{tag}")
         return out, found.filter("token is not null").select("token")
@@ -550,7 +556,7 @@ class JaccardJoin:
         members = first.filter("part is null").select("doc_id", "n", "k1", "k2", "r1", "r2")
         # the point goes by its class's smallest id, so one of equal sets carries it
         cls = first.filter("part is null and n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min("vec").alias("vec"))
-        cls = ws.put(cls, "classes")
+        cls = ws.put(fitted(cls, members.count(), WIDE), "classes")
         rows, groups = self.groups(late, cls)
         found = self.star_links(rows, groups, cls)
         comp = ws.put(components(ws, found, "cc-star"), "components-star")

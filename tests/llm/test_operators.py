@@ -123,6 +123,29 @@ def test_components(spark):
     assert components(Workspace(spark), edges.limit(0)).count() == 0
 
 
+def test_steps_over_small_tables_have_few_tasks(spark):
+    """Shuffles of 64 partitions, of which adaptive plans may not put small ones together: a path of 300 ids takes tasks by its rows."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i + 1, i) for i in range(300)], "a long, b long")
+        sc.setJobGroup("few-tasks", "components")
+        out = components(Workspace(spark), edges)
+        assert sorted(map(tuple, out.collect())) == [(i, 0) for i in range(301)]
+        assert out.rdd.getNumPartitions() <= 2 * sc.defaultParallelism
+        told = sc.statusTracker()
+        jobs = told.getJobIdsForGroup("few-tasks")
+        tasks = [told.getStageInfo(s).numCompletedTasks for j in jobs for s in told.getJobInfo(j).stageIds if told.getStageInfo(s)]
+        assert len(jobs) > 5 and sum(tasks) < 2200, sum(tasks)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_shingles_of_many_texts():
     assert [len(x) for x in shingles.shingle_sets([(t or "").encode() for t in TEXTS])] == [len(x) for x in sets(TEXTS)]
 
