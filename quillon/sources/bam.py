@@ -25,6 +25,10 @@ OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 CHAIN, MOST_RECORD = 8, 1 << 28
 #: Uncompressed bytes that are decoded at a time.
 CHUNK = 4 << 20
+#: Places that are looked at together when a range's first record is sought.
+LOOK = 1 << 16
+_CODES = np.full(256, 15, np.uint8)
+_CODES[[ord(c) for c in BASES]] = range(len(BASES))
 _PAIRS = np.array([[ord(BASES[v >> 4]), ord(BASES[v & 15])] for v in range(256)], np.uint8)
 
 
@@ -86,8 +90,8 @@ def _plausible(raw: np.ndarray, at: np.ndarray, refs: int) -> np.ndarray:
 
 def resync(raw: np.ndarray, upto: int, refs: int, last: bool) -> int | None:
     """The first place below ``upto`` where CHAIN records in a row start, or all up to the file's end (last)."""
-    at = np.arange(max(0, min(upto, len(raw) - 36)))
-    for k in at[_plausible(raw, at, refs)].tolist():
+    end = max(0, min(upto, len(raw) - 36))
+    for k in (k for a in range(0, end, LOOK) for k in (np.flatnonzero(_plausible(raw, np.arange(a, min(end, a + LOOK)), refs)) + a).tolist()):
         p, good = k, 0
         while good < CHAIN and p + 36 <= len(raw):
             one = np.array([p])
@@ -202,28 +206,98 @@ def records(f: ByteFile, part: BamRange) -> Iterator[pa.RecordBatch]:
         yield decode(raw, np.array(starts), part.names)
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts without nulls, and where each starts in them and its length."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every piece, ``size`` of them, one piece after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
+def _cigar(text: str) -> bytes:
+    out, number = [], ""
+    for c in text if text != "*" else "":
+        if c.isdigit():
+            number += c
+        else:
+            out.append(int(number) << 4 | OPS.index(c))
+            number = ""
+    return struct.pack(f"<{len(out)}I", *out)
+
+
+def _letters(seq: pa.Array) -> pa.Array:
+    """Bases in upper case, one byte each."""
+    import pyarrow.compute as pc
+
+    data, _, _ = _bytes_of(seq)
+    if len(data) and data.max() > 127:  # no base: the code of N
+        return pa.array(["".join(c if c.isascii() else "N" for c in x.upper()) for x in seq.to_pylist()], pa.string())
+    return pc.ascii_upper(seq)
+
+
 def encode(batch: pa.RecordBatch, refs: dict[str, int]) -> bytes:
     """Rows of READS as BAM records (no index bins of their own: the bin is that of an unplaced read)."""
-    ops, bases, out = {c: k for k, c in enumerate(OPS)}, {c: k for k, c in enumerate(BASES)}, []
-    for r in batch.to_pylist():
-        name = (r["qname"] or "*").encode() + b"\0"
-        cigar, number = [], ""
-        for c in r["cigar"] if r["cigar"] not in (None, "*") else "":
-            if c.isdigit():
-                number += c
-            else:
-                cigar.append(int(number) << 4 | ops[c])
-                number = ""
-        seq = "" if r["seq"] in (None, "*") else r["seq"].upper()
-        qual = bytes(ord(c) - 33 for c in r["qual"]) if r["qual"] not in (None, "*") else b"\xff" * len(seq)
-        codes = [bases.get(c, 15) for c in seq] + [0] * (len(seq) % 2)
-        packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-        own = refs.get(r["rname"], -1)
-        other = own if r["rnext"] == "=" else refs.get(r["rnext"], -1)
-        body = struct.pack("<iiBBHHHiiii", own, (r["pos"] or 0) - 1, len(name), r["mapq"] or 0, 4680, len(cigar), r["flag"] or 0, len(seq), other, (r["pnext"] or 0) - 1, r["tlen"] or 0)
-        body += name + struct.pack(f"<{len(cigar)}I", *cigar) + packed + qual
-        out.append(struct.pack("<i", len(body)) + body)
-    return b"".join(out)
+    import pyarrow.compute as pc
+
+    n = batch.num_rows
+    if not n:
+        return b""
+    col = dict(zip(batch.schema.names, batch.columns, strict=True))
+    text = lambda c: pc.fill_null(col[c].cast(pa.string()), "*")
+    number = lambda c: pc.fill_null(col[c].cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    gone = lambda x: pc.if_else(pc.equal(x, "*"), "", x)
+    name, name_at, name_n = _bytes_of(pc.if_else(pc.equal(text("qname"), ""), "*", text("qname")))
+    words = text("cigar").dictionary_encode()
+    each = [_cigar(x) for x in words.dictionary.to_pylist()]
+    length, which = np.array([len(x) for x in each], np.int64), words.indices.to_numpy()
+    ops, ops_n = np.frombuffer(b"".join(each), np.uint8), length[which]
+    ops_at = (np.cumsum(length) - length)[which]
+    seq, seq_at, seq_n = _bytes_of(_letters(gone(text("seq"))))
+    qual, qual_at, qual_n = _bytes_of(gone(text("qual")))
+    some = ~pc.equal(text("qual"), "*").to_numpy(zero_copy_only=False)
+    if (some & (qual_n != seq_n)).any():
+        raise FormatError("an alignment has a quality of another length than its bases")
+    names = pa.array(list(refs), pa.string())
+    ref = lambda c: np.append(np.array(list(refs.values()), np.int64), -1)[pc.fill_null(pc.index_in(col[c].cast(pa.string()), value_set=names), len(refs)).to_numpy(zero_copy_only=False)]
+    own = ref("rname")
+    other = np.where(pc.equal(text("rnext"), "=").to_numpy(zero_copy_only=False), own, ref("rnext"))
+    packed_n = (seq_n + 1) // 2
+    kinds = [("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("seq", "<i4"), ("next", "<i4"), ("pnext", "<i4"), ("tlen", "<i4")]
+    head = np.zeros(n, np.dtype(kinds))
+    values = {
+        "size": 32 + name_n + 1 + ops_n + packed_n + seq_n, "ref": own, "pos": number("pos") - 1, "name": name_n + 1, "mapq": number("mapq"), "bin": np.full(n, 4680), "ops": ops_n // 4,
+        "flag": number("flag"), "seq": seq_n, "next": other, "pnext": number("pnext") - 1, "tlen": number("tlen"),
+    }
+    for k, v in values.items():
+        least, most = np.iinfo(head[k].dtype).min, np.iinfo(head[k].dtype).max
+        if v.min() < least or v.max() > most:
+            raise FormatError(f"an alignment's {k} is not within {least} to {most}")
+        head[k] = v
+    size = 4 + values["size"]
+    at = np.cumsum(size) - size
+    out = np.zeros(size.sum(), np.uint8)
+    out[at[:, None] + np.arange(36)] = head.view(np.uint8).reshape(n, 36)
+    at = at + 36
+    out[_places(at, name_n)] = name[_places(name_at, name_n)]
+    at = at + name_n + 1
+    out[_places(at, ops_n)] = ops[_places(ops_at, ops_n)]
+    at = at + ops_n
+    codes = np.zeros(2 * packed_n.sum(), np.uint8)
+    codes[_places(2 * (np.cumsum(packed_n) - packed_n), seq_n)] = _CODES[seq[_places(seq_at, seq_n)]]
+    out[_places(at, packed_n)] = codes[::2] << 4 | codes[1::2]
+    at = at + packed_n
+    there = np.where(some, seq_n, 0)
+    letters = qual[_places(qual_at, there)]
+    if len(letters) and (letters.min() < 33 or letters.max() > 126):
+        raise FormatError("an alignment has a quality outside of ! to ~")
+    out[_places(at, there)] = letters - np.uint8(33)
+    out[_places(at, seq_n - there)] = 255
+    return out.tobytes()
 
 
 class BamSource(DataSource):

@@ -1,6 +1,11 @@
 """Steps whose memory or time must not grow faster than their input."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from quillon.plans import catalog
+from quillon.sources import bam, blocks
 
 
 def test_distinct_counts_stand_apart_from_sketches(spark, tmp_path):
@@ -10,3 +15,34 @@ def test_distinct_counts_stand_apart_from_sketches(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("a", 40, 40, True, True), (None, 1, 2, True, True), ("b", 0, 0, True, True)}
     sketches = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "approx_count_distinct" in x and "Aggregate [" in x]
     assert sketches and not any("user_id" in x.split("Aggregate [")[1].split("]")[0] for x in sketches)  # a sketch a type, none a user
+
+
+def _reads(n):
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    rows = [(f"r{i}", 4, "s1", i, 30, f"{i % 90 + 1}M2I" if i % 3 else None, "=", 7, -3, "acGT=" * (i % 5) + "éR", "*" if i % 2 else "I" * (5 * (i % 5) + 2)) for i in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in bam.READS.split(", ")])
+
+
+def test_bam_records_are_made_by_columns():
+    batch = _reads(500)
+    data = bam.encode(batch, {"s1": 0})
+    raw = np.frombuffer(data, np.uint8)
+    at, k = [], 0
+    while k < len(data):
+        at.append(k)
+        k += 4 + int(np.frombuffer(data[k : k + 4], "<i4")[0])
+    back = bam.decode(raw, np.array(at), ["s1"])
+    want = [r | {"cigar": r["cigar"] or "*", "seq": r["seq"].upper().replace("É", "N")} for r in batch.to_pylist()]
+    assert back.to_pylist() == want
+    assert bam.encode(batch.slice(0, 0), {}) == b""
+    with pytest.raises(blocks.FormatError, match="quality of another length"):
+        bam.encode(pa.RecordBatch.from_pylist([batch.to_pylist()[0] | {"qual": "I"}], batch.schema), {"s1": 0})
+
+
+def test_bam_search_for_the_first_record_looks_at_few_places(monkeypatch):
+    raw, seen = np.frombuffer(bam.encode(_reads(5000), {"s1": 0}), np.uint8)[11:], []
+    plausible = bam._plausible
+    monkeypatch.setattr(bam, "_plausible", lambda r, at, n: seen.append(len(at)) or plausible(r, at, n))
+    first = 4 + int(np.frombuffer(bam.encode(_reads(1), {"s1": 0})[:4], "<i4")[0]) - 11
+    assert bam.resync(raw, len(raw), 1, False) == first
+    assert sum(seen) < len(raw) / 4
