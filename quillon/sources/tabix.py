@@ -24,6 +24,8 @@ from .formats import vcf_columns
 MIN_SHIFT, DEPTH = 14, 5
 #: A chunk that is longer in the file is cut where a block starts.
 PART_BYTES = 64 << 20
+#: Lines of a file that ``sorted_lines`` makes.
+FILE_LINES = 1_000_000
 
 
 class NoIndex(ValueError):
@@ -384,6 +386,7 @@ def write_indexed_vcf(lines: DataFrame, path: str, header: str) -> None:
     lines.select("value").write.format("vcf_region").option("header", header).mode("append").save(path)
 
 
-def sorted_lines(rows: DataFrame, chrom: str = "chrom", pos: str = "pos", line: str = "value", parts: int = 8) -> DataFrame:
-    """Lines dealt into sorted ranges of positions, for ``write_indexed_vcf``."""
-    return rows.repartitionByRange(parts, F.col(chrom), F.col(pos)).sortWithinPartitions(chrom, pos, line).select(F.col(line).alias("value"))
+def sorted_lines(rows: DataFrame, chrom: str = "chrom", pos: str = "pos", line: str = "value", parts: int | None = None) -> DataFrame:
+    """Lines dealt into sorted ranges of positions, for ``write_indexed_vcf``: ``parts`` of them, else one for each ``FILE_LINES`` lines and 8 at least.  Lines of one position may go to several ranges."""
+    parts = parts or max(8, -(-rows.count() // FILE_LINES))
+    return rows.repartitionByRange(parts, F.col(chrom), F.col(pos), F.col(line)).sortWithinPartitions(chrom, pos, line).select(F.col(line).alias("value"))

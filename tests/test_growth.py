@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from quillon.plans import catalog
-from quillon.sources import bam, blocks
+from quillon.sources import bam, blocks, tabix
 
 
 def test_distinct_counts_stand_apart_from_sketches(spark, tmp_path):
@@ -46,3 +46,11 @@ def test_bam_search_for_the_first_record_looks_at_few_places(monkeypatch):
     first = 4 + int(np.frombuffer(bam.encode(_reads(1), {"s1": 0})[:4], "<i4")[0]) - 11
     assert bam.resync(raw, len(raw), 1, False) == first
     assert sum(seen) < len(raw) / 4
+
+
+def test_sorted_lines_take_files_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tabix, "FILE_LINES", 100)
+    rows = spark.range(3000).selectExpr("'c' AS chrom", "CAST(7 AS BIGINT) AS pos", "concat('c\t7\t', id) AS value")
+    out = tabix.sorted_lines(rows)
+    sizes = [len(x) for x in out.rdd.glom().collect()]
+    assert len(sizes) == 30 and sum(sizes) == 3000 and max(sizes) < 400  # also where all are of one position
