@@ -7,12 +7,13 @@ and filters run right after the split; plain and block gzip both decode.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import numbered
 from .bam import read_bam
 from .bigbin import read_bigbed, read_bigwig
 from .blocks import ByteFile, bgzf_size, read_block_text
@@ -127,18 +128,49 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_extract(head, r"^\S*\s*(.*)$", 1)).alias("description"), body.alias("sequence"))
 
 
+def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (own, k, value) of a partition, in the files' order, as records (own, record, l0 to l3): those that start here; lines that are not here are null."""
+    held: list[pa.RecordBatch] = []
+
+    def records(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        own, k, value = t["own"].to_numpy(), t["k"].to_numpy(), t["value"].combine_chunks()
+        cols = [pa.array(own[starts]), pa.array(k[starts] // 4)]
+        for j in range(4):
+            at = np.minimum(starts + j, len(k) - 1)
+            cols.append(value.take(pa.array(at, mask=(own[at] != own[starts]) | (k[at] != k[starts] + j))))
+        return pa.RecordBatch.from_arrays(cols, names=["own", "record", "l0", "l1", "l2", "l3"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([*held, batch])
+        starts = np.flatnonzero(t["k"].to_numpy() % 4 == 0)
+        held = [batch.slice(batch.num_rows)]
+        if len(starts):  # the last one may go on in the next batch
+            held = t.slice(starts[-1], 4).to_batches()
+            yield records(t, starts[:-1])
+    if held:
+        t = pa.Table.from_batches(held)
+        yield records(t, np.flatnonzero(t["k"].to_numpy() % 4 == 0))
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, description, sequence, quality of four-line records; plain files are read in pieces by many tasks.
 
     Lines are numbered in the order of the file (by the split and the line in it), and every four make a record, also one of an empty
-    read.  Blank lines at a file's end are no record; a record without its marks (@ and +), cut off, or with a quality of another length is an error."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    order = numbered(text.withColumn("at", F.monotonically_increasing_id()), ["file", "block", "at"])
-    first = order.groupBy("file").agg(F.min("index").alias("start"), F.max(F.when(F.trim("value") != "", F.col("index"))).alias("end"))
-    # an empty read's last line may be blank
-    d = order.join(F.broadcast(first), "file").withColumn("k", F.col("index") - F.col("start"))  # a row a file
-    d = d.filter(F.floor(F.col("k") / 4) <= F.floor((F.col("end") - F.col("start")) / 4))
-    d = d.groupBy("file", F.floor(F.col("k") / 4).alias("record")).agg(*[F.max(F.when(F.col("k") % 4 == j, F.col("value"))).alias(f"l{j}") for j in range(4)])
+    read; a record is made where it starts, and only the first lines of a split go to a record of the split before.  Blank lines at
+    a file's end are no record; a record without its marks (@ and +), cut off, or with a quality of another length is an error."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = text.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max(F.when(F.trim("value") != "", F.col("at"))).alias("end"))
+    file = Window.partitionBy("file")
+    start = F.coalesce(F.sum("n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    splits = splits.withColumns({"own": F.min("first").over(file), "start": start})  # a file goes by its first line
+    splits = splits.withColumn("records", F.floor(F.max(F.col("start") + F.col("end") - F.col("first")).over(file) / 4))
+    d = text.join(F.broadcast(splits), ["file", "block"]).withColumn("k", F.col("start") + F.col("at") - F.col("first"))  # a row a split
+    d = d.filter(F.floor(F.col("k") / 4) <= F.col("records"))  # an empty read's last line may be blank
+    rest = d.filter((F.col("at") - F.col("first") < 3) & (F.col("k") - F.col("k") % 4 < F.col("start"))).groupBy("own", F.floor(F.col("k") / 4).alias("record"))
+    rest = rest.agg(*[F.max(F.when(F.col("k") % 4 == j, F.col("value"))).alias(f"r{j}") for j in range(1, 4)])
+    got = d.select("own", "k", "value").mapInArrow(_framed, "own long, record long, l0 string, l1 string, l2 string, l3 string")
+    got = got.join(F.broadcast(rest), ["own", "record"], "left")  # a row a split at most
+    d = got.join(F.broadcast(splits.select("own", "file").distinct()), "own").select("file", "record", "l0", *[F.coalesce(f"l{j}", f"r{j}").alias(f"l{j}") for j in range(1, 4)])  # a row a file
     quality = F.coalesce("l3", F.when(F.col("l1") == "", F.lit("")))  # cut off behind the last line end
     fine = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length(quality) == F.length("l1"))
     told = F.concat(F.lit("FormatError: "), F.col("file"), F.lit(": record "), F.col("record").cast("string"), F.lit(" is no FASTQ record"))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from quillon.plans import catalog
-from quillon.sources import bam, blocks, tabix
+from quillon.sources import bam, blocks, formats, tabix
 
 
 def test_distinct_counts_stand_apart_from_sketches(spark, tmp_path):
@@ -54,3 +54,28 @@ def test_sorted_lines_take_files_by_their_number(spark, monkeypatch):
     out = tabix.sorted_lines(rows)
     sizes = [len(x) for x in out.rdd.glom().collect()]
     assert len(sizes) == 30 and sum(sizes) == 3000 and max(sizes) < 400  # also where all are of one position
+
+
+def test_fastq_records_are_made_where_they_start(spark, tmp_path):
+    p = tmp_path / "reads"
+    p.mkdir()
+    reads = [(f"r{i}", "" if i % 7 == 0 else "ACGT"[i % 4] * (i % 23 + 1)) for i in range(400)]
+    for k in range(2):
+        (p / f"{k}.fastq").write_text("".join(f"@{n} d{k}\n{s}\n+\n{'@' * len(s)}\n" for n, s in reads) + "\n" * k)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, rows in ((700, 3), (5000, 10), (40, 10)):  # splits that hold several records, and such as hold less than one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            if size == 40:
+                (p / "0.fastq").write_text("".join(f"@{n} d0\n{s}\n+\n{'@' * len(s)}\n" for n, s in reads[:40]))
+                (p / "1.fastq").unlink()
+            got = formats.read_fastq(spark, str(p))
+            want = [(n, f"d{k}", s, "@" * len(s)) for k in range(2 if size > 40 else 1) for n, s in (reads if size > 40 else reads[:40])]
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "MapInArrow" in plan  # lines are neither sorted nor dealt out
